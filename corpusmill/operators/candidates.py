@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.constants import SEED, TEMPERATURE, TOP_K
 from corpusmill.functions.hashing import gumbel, hash_key
-from corpusmill.operators.skew import salted_join
+from corpusmill.operators.skew import keyed_join
 
 
 def softmax(
@@ -39,7 +39,7 @@ def softmax(
             F.sum("_n").alias("_n"),
         )
     )
-    joined = salted_join(df, totals, context, weight="_n")
+    joined = keyed_join(df, totals, context, weight="_n")
     return joined.withColumn(out, F.exp(scaled - F.col("_peak")) / F.col("_total")).drop("_peak", "_total", "_n")
 
 
@@ -57,7 +57,7 @@ def top_k_ties(df: DataFrame, k: int = TOP_K, context: str = "context", logit: s
     borders = (
         highest.withColumn("_above", above).where(F.col("_above") < k).groupBy(context).agg(F.min(logit).alias("_border"))
     )
-    joined = salted_join(df, borders.join(sizes, context), context, weight="_n")
+    joined = keyed_join(df, borders.join(sizes, context), context, weight="_n")
     return joined.where(F.col(logit) >= F.col("_border")).drop("_border", "_n")
 
 

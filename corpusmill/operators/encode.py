@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.constants import BLOCK_SIZE, UNKNOWN_ID
 from corpusmill.functions.text import pretokenize
-from corpusmill.operators.skew import salted_join
+from corpusmill.operators.skew import keyed_join
 from corpusmill.sources.tokenizer_store import Tokenizer
 
 # Words whose ids one task remembers; the memory is emptied when full.
@@ -90,11 +90,11 @@ def encode_by_dictionary(
     """``(key, input_ids)`` by joining every word occurrence with the word dictionary.
 
     ``words`` must come from the same texts with special tokens kept whole. Frequent words
-    are spread over several tasks by :func:`salted_join`. Prefer :func:`encode` unless the
+    are spread over several tasks by :func:`keyed_join`. Prefer :func:`encode` unless the
     dictionary exists anyway: this form shuffles every occurrence twice.
     """
     occurrences = df.select(key, F.posexplode_outer(pretokenize(text, keep_specials=True)).alias("pos", "word"))
-    joined = salted_join(occurrences, word_pieces(words, tokenizer), "word", weight="n", how="left")
+    joined = keyed_join(occurrences, word_pieces(words, tokenizer), "word", weight="n", how="left")
     placed = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("placed"))
     ids = F.flatten(F.filter(F.transform("placed", lambda p: p["ids"]), lambda i: i.isNotNull()))
     return placed.select(key, ids.alias("input_ids"))

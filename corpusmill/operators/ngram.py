@@ -12,8 +12,8 @@ from corpusmill.operators.candidates import softmax, top_k_ties
 from corpusmill.operators.metrics import macro_loss
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.sampling import batches
-from corpusmill.operators.skew import salted_join
-from corpusmill.session import materialize
+from corpusmill.operators.skew import keyed_join
+from corpusmill.session import WrittenTable, materialize, write_table
 
 # Draws are whole numbers below GRID; the grid is cut into CELLS equal cells for the join.
 GRID_BITS = 32
@@ -35,7 +35,11 @@ def bigrams(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def doc_cross_entropy(
-    df: DataFrame, counts: DataFrame, vocab_size: int | Column, key: str = "doc_id", tokens: str = "tokens"
+    df: DataFrame,
+    counts: DataFrame | WrittenTable,
+    vocab_size: int | Column,
+    key: str = "doc_id",
+    tokens: str = "tokens",
 ) -> DataFrame:
     """``(key, nll, n, loss)``: add-one smoothed cross-entropy of each row's adjacent pairs.
 
@@ -43,9 +47,10 @@ def doc_cross_entropy(
     joins with count zero.
     """
     pairs = next_pairs(df, [key], tokens).groupBy(key, "ctx", "nxt").agg(F.count(F.lit(1)).alias("m"))
-    totals = counts.groupBy("ctx").agg(F.sum("c").alias("c_ctx"))
-    scored = salted_join(pairs, counts, ["ctx", "nxt"], weight="c", how="left")
-    scored = salted_join(scored, totals, "ctx", weight="c_ctx", how="left")
+    counts = counts if isinstance(counts, WrittenTable) else write_table(counts, "bigrams")
+    totals = counts.df.groupBy("ctx").agg(F.sum("c").alias("c_ctx"))
+    scored = keyed_join(pairs, counts, ["ctx", "nxt"], weight="c", how="left")
+    scored = keyed_join(scored, totals, "ctx", weight="c_ctx", how="left")
     seen, context = F.coalesce("c", F.lit(0)), F.coalesce("c_ctx", F.lit(0))
     vocab = vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
     nll = -F.log((seen + 1) / (context + vocab))
@@ -58,7 +63,8 @@ def evaluate(
     key: str = "doc_id", tokens: str = "tokens",
 ) -> DataFrame:
     """One row: macro loss (mean of batch means), micro loss (all pairs alike), perplexity."""
-    scored = doc_cross_entropy(validation, bigrams(train, tokens), vocab_size, key, tokens).select(key, "nll", "n")
+    counts = write_table(bigrams(train, tokens), "bigrams")
+    scored = doc_cross_entropy(validation, counts, vocab_size, key, tokens).select(key, "nll", "n")
     numbered = batches(range_rank(scored, [key]), batch_size)
     per_batch = numbered.groupBy("batch_id").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
     return per_batch.agg(
@@ -72,7 +78,7 @@ def evaluate(
 def next_candidates(counts: DataFrame, k: int = TOP_K, temperature: float = TEMPERATURE) -> DataFrame:
     """``(ctx, nxt, c, p)``: the k most frequent next tokens (ties kept) and their probability."""
     top = top_k_ties(counts.withColumn("logit", F.log("c")), k, "ctx", "logit")
-    return softmax(top, temperature, "ctx", "logit", "p").drop("logit")
+    return softmax(materialize(top, "top"), temperature, "ctx", "logit", "p").drop("logit")
 
 
 def draw_cells(candidates: DataFrame) -> DataFrame:
@@ -100,14 +106,14 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
     )
     in_part = Window.partitionBy("ctx", "part").orderBy("nxt").rowsBetween(Window.unboundedPreceding, 0)
     placed = weighted.withColumn("end", F.sum("w").over(in_part)).join(parts, ["ctx", "part"])
-    end = F.col("before") + F.col("end")
-
-    def on_grid(position: Column) -> Column:
-        # Exact whole-number scaling in two steps; the product alone would not fit 64 bits.
-        scaled = (position.cast("decimal(38,0)") * F.lit(1 << GRID_BITS)) / F.col("total")
-        return F.floor(scaled).cast("bigint")
-
-    bounds = placed.select("ctx", "nxt", on_grid(end - F.col("w")).alias("lo"), on_grid(end).alias("hi"))
+    # Whole-number scaling; the product may need more than 64 bits.
+    scaled = f"cast(({{}}) as decimal(20,0)) * {1 << GRID_BITS} div total"
+    bounds = placed.select(
+        "ctx",
+        "nxt",
+        F.expr(scaled.format("before + end - w")).alias("lo"),
+        F.expr(scaled.format("before + end")).alias("hi"),
+    )
     cells = F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))
     return bounds.where(F.col("hi") > F.col("lo")).select("ctx", F.explode(cells).alias("cell"), "nxt", "lo", "hi")
 
@@ -127,7 +133,7 @@ def continue_batch(
     candidate stops. Only key, last token and new tokens move between steps; the prompts
     themselves are joined once at the end. The state is written every few steps.
     """
-    cells = materialize(draw_cells(candidates), "cells")
+    cells = materialize(draw_cells(materialize(candidates, "candidates")), "cells")
     state = materialize(
         prompts.where(F.size(tokens) > 0).select(
             key,

@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import WrittenTable, write_table
+
+# A per-key table up to this size on disk is broadcast; a larger one is joined with salts.
+BROADCAST_BYTES = 8 << 20
 SALTS = 64
 HOT_SHARE = 0.001
 
 
-def salted_join(
+def keyed_join(
     left: DataFrame,
-    right: DataFrame,
+    right: DataFrame | WrittenTable,
     on: str | list[str],
     weight: str,
     how: str = "inner",
+    broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Equi-join in which the rows of hot keys are spread over ``salts`` tasks.
+    """Equi-join with an aggregated table whose ``weight`` column says how often a key occurs.
 
-    ``right`` is an aggregated table whose ``weight`` column says how often a key occurs.
-    Keys above ``hot_share`` of the total weight are hot. At most ``1 / hot_share`` key rows
-    can be, whatever the data, so their list is safe to broadcast. Hot rows of ``right``
-    are repeated once per salt; every other row keeps salt 0. The result is the plain join.
+    The per-key table is written first, so its size is known: a small one is broadcast. With
+    a large one, both sides are shuffled and the rows of hot keys are spread over ``salts``
+    tasks. Keys above ``hot_share`` of the total weight are hot. At most ``1 / hot_share``
+    keys can be, whatever the data, so their list is safe to broadcast. Hot rows of
+    ``right`` are repeated once per salt; every other row keeps salt 0.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    total = right.agg(F.sum(weight)).scalar()
-    hot = right.where(F.col(weight) > hot_share * total).select(*keys).distinct().withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)).cast("int")
+    table = right if isinstance(right, WrittenTable) else write_table(right, "per-key")
+    if table.size <= broadcast_bytes:
+        return left.join(F.broadcast(table.df), keys, how)
+    total = table.df.agg(F.sum(weight)).scalar()
+    hot = F.broadcast(table.df.where(F.col(weight) > hot_share * total).select(*keys).withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     salted = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    repeated = table.df.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

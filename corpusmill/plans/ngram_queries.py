@@ -11,7 +11,7 @@ from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_t
 from corpusmill.operators.ngram import bigrams, continue_batch, doc_cross_entropy, evaluate, next_candidates
 from corpusmill.plans.oracle_bpe import WORD_PATTERN
 from corpusmill.plans.registry import SQL_TOKENS, query, r9, tokens
-from corpusmill.session import materialize
+from corpusmill.session import materialize, write_table
 
 CONTINUED_STEPS = 6
 
@@ -101,7 +101,7 @@ per_doc as materialized (
 
 @query(f"{_SQL_LOSS} select doc_id, n, round(nll / n, 9) as loss from per_doc")
 def document_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = materialize(bigrams(_split(spark, sf_dir, "train")), "bigrams")
+    counts = write_table(bigrams(_split(spark, sf_dir, "train")), "bigrams")
     scored = doc_cross_entropy(_split(spark, sf_dir, "validation"), counts, _train_words(spark, sf_dir))
     return scored.select("doc_id", "n", r9("loss").alias("loss"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +58,26 @@ def delete_scratch(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the scratch area and read it back.
+@dataclass(frozen=True)
+class WrittenTable:
+    """A table in the scratch area and its size on disk."""
+
+    df: DataFrame
+    size: int
+
+
+def write_table(df: DataFrame, name: str = "table") -> WrittenTable:
+    """Write ``df`` once to the scratch area.
 
-    The result has no lineage, survives executor loss, is pruned by column and has
-    a known size, so Spark broadcasts it only below ``autoBroadcastJoinThreshold``.
+    What is read back has no lineage, survives executor loss and is pruned by column.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
+    spark = df.sparkSession
+    path = write_scratch(df, name)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = file_system.getContentSummary(hadoop_path).getLength()
+    return WrittenTable(spark.read.schema(df.schema).parquet(path), size)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    return write_table(df, name).df
