@@ -10,9 +10,11 @@ merged token. Numeric order of symbols therefore equals the order of token ids.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.constants import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
@@ -20,9 +22,13 @@ from corpusmill.operators.words import alphabet
 from corpusmill.session import delete_scratch, write_scratch
 from corpusmill.sources.tokenizer_store import Tokenizer
 
+Merge = tuple[int, int, int]
+
 FIRST_MERGED = 0x110000
-# Pairs fetched per round; a batch never grows past the fetched list.
+# Pairs fetched per round; a round never decides anything beyond the fetched list.
 PAIRS_PER_ROUND = 1024
+# Merges tried ahead in one round.
+MERGES_AHEAD = 24
 # Merges kept as pending expressions before the word table is written again.
 MERGES_PER_WRITE = 32
 
@@ -39,14 +45,18 @@ def symbol_words(words: DataFrame) -> DataFrame:
     return words.where(F.length("word") > 1).select(symbols_of("word").alias("symbols"), "n")
 
 
-def pair_counts(symbols: DataFrame) -> DataFrame:
-    """``(l, r, c)``: how often symbol ``r`` follows ``l``, weighted by the word count."""
-    pieces = symbols.select(F.split(F.btrim("symbols"), "  ").cast("array<int>").alias("s"), "n")
+def _adjacent(symbols: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, l, r)``: one row per adjacent symbol pair of each word."""
+    pieces = symbols.select(*keep, F.split(F.btrim("symbols"), "  ").cast("array<int>").alias("s"))
     last = F.size("s") - 1
     zipped = F.arrays_zip(F.slice("s", F.lit(1), last).alias("l"), F.slice("s", F.lit(2), last).alias("r"))
     # The outer form keeps Spark from adding a filter that would split every word twice.
-    pairs = pieces.select("n", F.inline_outer(zipped)).toDF("n", "l", "r")
-    return pairs.where(F.col("l").isNotNull()).groupBy("l", "r").agg(F.sum("n").alias("c"))
+    return pieces.select(*keep, F.inline_outer(zipped)).toDF(*keep, "l", "r").where(F.col("l").isNotNull())
+
+
+def pair_counts(symbols: DataFrame) -> DataFrame:
+    """``(l, r, c)``: how often symbol ``r`` follows ``l``, weighted by the word count."""
+    return _adjacent(symbols, "n").groupBy("l", "r").agg(F.sum("n").alias("c"))
 
 
 def best_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
@@ -54,12 +64,47 @@ def best_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
     return pairs.orderBy(F.desc("c"), "l", "r").limit(k)
 
 
-def apply_merges(symbols, merges: Sequence[tuple[int, int, int]]) -> Column:
+def _merge_steps(merges: Sequence[Merge]) -> Column:
+    steps = [{"step": i, "pair": f" {l}  {r} ", "merged": f" {m} "} for i, (l, r, m) in enumerate(merges, 1)]
+    return F.from_json(F.lit(json.dumps(steps)), "array<struct<step:int,pair:string,merged:string>>")
+
+
+def apply_merges(symbols, merges: Sequence[Merge]) -> Column:
     """Symbols after the merges ``(l, r, merged)``, applied one after the other."""
     symbols = F.col(symbols) if isinstance(symbols, str) else symbols
-    steps = json.dumps([{"pair": f" {l}  {r} ", "merged": f" {m} "} for l, r, m in merges])
-    steps = F.from_json(F.lit(steps), "array<struct<pair:string,merged:string>>")
-    return F.aggregate(steps, symbols, lambda acc, step: F.replace(acc, step["pair"], step["merged"]))
+    return F.aggregate(_merge_steps(merges), symbols, lambda acc, step: F.replace(acc, step["pair"], step["merged"]))
+
+
+def trial_counts(symbols: DataFrame, predicted: Sequence[Merge]) -> DataFrame:
+    """``(l, r, changes, bound)``: pair counts now and how each predicted merge would change them.
+
+    ``changes`` holds ``(step, w)``: the count at step 0, then the difference made by the
+    predicted merge of that step. ``bound`` is at least the pair's count after any step.
+    Only words that a merge touches add rows beyond the plain count.
+    """
+    now = F.struct(F.lit(0).alias("step"), F.col("symbols"), F.col("n"))
+    versions = F.array(now)
+    if predicted:
+
+        def apply(acc: Column, step: Column) -> Column:
+            after = F.replace(acc["symbols"], step["pair"], step["merged"])
+            undone = F.struct(step["step"], acc["symbols"], (-F.col("n")).alias("n"))
+            done = F.struct(step["step"], after.alias("symbols"), F.col("n"))
+            changed = F.struct(after.alias("symbols"), F.concat(acc["versions"], F.array(undone, done)).alias("versions"))
+            return F.when(F.contains(acc["symbols"], step["pair"]), changed).otherwise(acc)
+
+        start = F.struct(F.col("symbols"), versions.alias("versions"))
+        versions = F.aggregate(_merge_steps(predicted), start, apply)["versions"]
+    steps = symbols.select(F.inline(versions))
+    changes = _adjacent(steps, "step", "n").groupBy("l", "r", "step").agg(F.sum("n").alias("w"))
+    return (
+        changes.where(F.col("w") != 0)
+        .groupBy("l", "r")
+        .agg(
+            F.collect_list(F.struct("step", "w")).alias("changes"),
+            F.sum(F.greatest("w", F.lit(0))).alias("bound"),
+        )
+    )
 
 
 def independent_prefix(
@@ -93,6 +138,110 @@ def independent_prefix(
     return batch
 
 
+@dataclass
+class Vocabulary:
+    """Tokens learned so far, and the symbols that stand for them in the word table."""
+
+    tokens: list[str]
+    symbol: dict[str, int]
+    spell: dict[int, str]
+    merges: list[tuple[str, str]]
+    learned: int = 0
+
+    @classmethod
+    def start(cls, specials: Sequence[str], chars: Sequence[str]) -> Vocabulary:
+        symbol = {token: i - len(specials) for i, token in enumerate(specials)} | {ch: ord(ch) for ch in chars}
+        return cls([*specials, *chars], symbol, {s: token for token, s in symbol.items()}, [])
+
+    def copy(self) -> Vocabulary:
+        return Vocabulary(list(self.tokens), dict(self.symbol), dict(self.spell), list(self.merges), self.learned)
+
+    def learn(self, l: int, r: int) -> Merge:
+        """Record a merge; a spelling that exists already keeps its symbol and id."""
+        text = self.spell[l] + self.spell[r]
+        self.merges.append((self.spell[l], self.spell[r]))
+        if text not in self.symbol:
+            self.symbol[text] = FIRST_MERGED + self.learned
+            self.spell[self.symbol[text]] = text
+            self.tokens.append(text)
+            self.learned += 1
+        return l, r, self.symbol[text]
+
+
+def confirm_merges(
+    rows: Sequence[Row], predicted: Sequence[Merge], vocabulary: Vocabulary, vocab_size: int, min_count: int
+) -> tuple[list[Merge], dict[tuple[int, int], int]]:
+    """Merges that are certain after one round, and the counts in front of the last batch.
+
+    A predicted merge is confirmed while it is the best pair of the exact counts that the
+    trial produced for its step. After the last confirmed one, the counts are exact too and
+    the independent run of best pairs follows. A pair that was not fetched ranks behind the
+    last fetched one at every step, so decisions are only taken in front of that border.
+    """
+    counts = {(row.l, row.r): 0 for row in rows}
+    later: dict[int, list[tuple[tuple[int, int], int]]] = defaultdict(list)
+    for row in rows:
+        for step, w in row.changes:
+            later[step].append(((row.l, row.r), w))
+    border = (-rows[-1].bound, rows[-1].l, rows[-1].r) if len(rows) == PAIRS_PER_ROUND else None
+
+    def rank(pair: tuple[int, int]) -> tuple[int, int, int]:
+        return (-counts[pair], *pair)
+
+    def certain(pair: tuple[int, int]) -> bool:
+        return counts[pair] >= min_count and (border is None or rank(pair) <= border)
+
+    merges: list[Merge] = []
+    for step in range(len(predicted) + 1):
+        for pair, w in later[step]:
+            counts[pair] += w
+        best = min(counts, key=rank, default=None)
+        if step == len(predicted) or best is None or not certain(best):
+            break
+        if best != predicted[step][:2] or len(vocabulary.tokens) >= vocab_size:
+            break
+        merges.append(vocabulary.learn(*best))
+    ranked = [(*pair, counts[pair]) for pair in sorted(filter(certain, counts), key=rank)]
+    room = vocab_size - len(vocabulary.tokens)
+    batch = independent_prefix(ranked, vocabulary.spell, set(vocabulary.symbol), room, min_count)
+    settled = {(l, r): count for l, r, count in ranked}
+    for l, r in batch:
+        merges.append(vocabulary.learn(l, r))
+        _move_counts(settled, merges[-1])
+    return merges, settled
+
+
+def predict_merges(counts: dict[tuple[int, int], float], vocabulary: Vocabulary, ahead: int) -> list[Merge]:
+    """Likely next merges. A wrong guess costs time only, the next round checks every one."""
+    counts, draft, predicted = dict(counts), vocabulary.copy(), []
+    for _ in range(ahead):
+        best = min(counts, key=lambda pair: (-counts[pair], pair), default=None)
+        if best is None or counts[best] <= 0:
+            break
+        predicted.append(draft.learn(*best))
+        _move_counts(counts, predicted[-1])
+    return predicted
+
+
+def _move_counts(counts: dict[tuple[int, int], float], merge: Merge) -> None:
+    """Guess the counts after a merge, as if the neighbours of a pair were independent of it."""
+    l, r, merged = merge
+    count = counts.pop((l, r))
+    if count <= 0:
+        return
+    before_r = count + sum(c for (_, y), c in counts.items() if y == r)
+    after_l = count + sum(c for (x, _), c in counts.items() if x == l)
+    for (x, y), c in list(counts.items()):
+        if x == r:
+            moved, target = c * count / before_r, (merged, y)
+        elif y == l:
+            moved, target = c * count / after_l, (x, merged)
+        else:
+            continue
+        counts[x, y] -= moved
+        counts[target] = counts.get(target, 0) + moved
+
+
 def train_bpe(
     words: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -101,44 +250,35 @@ def train_bpe(
 ) -> Tokenizer:
     """Learn merges from a word table ``(word, n)``.
 
-    Each round counts pairs over the whole word table on the cluster; only the best pairs
-    reach the driver. Merges wait as expressions on the last written word table, which is
-    rewritten when enough of them are pending.
+    Each round counts pairs over the whole word table on the cluster, now and after each of
+    a few predicted merges; only the best pairs reach the driver. What the exact counts
+    confirm is kept. Kept merges wait as expressions on the last written word table, which
+    is rewritten when enough of them are pending.
     """
     spark = words.sparkSession
     # The alphabet is bounded by Unicode, the merge list by ``vocab_size``.
     chars = [row.ch for row in alphabet(words, len(specials)).orderBy("token_id").collect()]
-    vocab = [*specials, *chars]
-    known = set(vocab)
-    spell = {ord(ch): ch for ch in chars}
-    symbol_by_text = {ch: symbol for symbol, ch in spell.items()}
-    merges: list[tuple[str, str]] = []
-
+    vocabulary = Vocabulary.start(specials, chars)
     written = _write_words(spark, symbol_words(words))
-    pending: list[tuple[int, int, int]] = []
-    while len(vocab) < vocab_size:
-        state = _read_words(spark, written, pending)
-        best = best_pairs(pair_counts(state), PAIRS_PER_ROUND).collect()
-        batch = independent_prefix(best, spell, known, vocab_size - len(vocab), max(1, min_frequency))
-        if not batch:
-            break
-        for l, r in batch:
-            text = spell[l] + spell[r]
-            merges.append((spell[l], spell[r]))
-            if text not in symbol_by_text:
-                symbol = FIRST_MERGED + len(vocab) - len(specials) - len(chars)
-                symbol_by_text[text] = symbol
-                spell[symbol] = text
-            if text not in known:
-                vocab.append(text)
-                known.add(text)
-            pending.append((l, r, symbol_by_text[text]))
+    pending: list[Merge] = []
+    predicted: list[Merge] = []
+    while len(vocabulary.tokens) < vocab_size:
+        trial = trial_counts(_read_words(spark, written, pending), predicted)
+        rows = trial.orderBy(F.desc("bound"), "l", "r").limit(PAIRS_PER_ROUND).collect()
+        merges, counts = confirm_merges(rows, predicted, vocabulary, vocab_size, max(1, min_frequency))
+        if not merges:
+            if not predicted:
+                break
+            predicted = []  # The trial crowded out the best pair; count without one.
+            continue
+        pending.extend(merges)
+        predicted = predict_merges(counts, vocabulary, min(MERGES_AHEAD, vocab_size - len(vocabulary.tokens)))
         if len(pending) >= MERGES_PER_WRITE:
             previous, written = written, _write_words(spark, _read_words(spark, written, pending))
             delete_scratch(spark, previous)
             pending = []
     delete_scratch(spark, written)
-    return Tokenizer(tuple(vocab), tuple(merges), tuple(specials))
+    return Tokenizer(tuple(vocabulary.tokens), tuple(vocabulary.merges), tuple(specials))
 
 
 def _write_words(spark: SparkSession, words: DataFrame) -> str:
@@ -148,6 +288,6 @@ def _write_words(spark: SparkSession, words: DataFrame) -> str:
     return write_scratch(paired.repartition(partitions, "symbols"), "words")
 
 
-def _read_words(spark: SparkSession, path: str, pending: Sequence[tuple[int, int, int]]) -> DataFrame:
+def _read_words(spark: SparkSession, path: str, pending: Sequence[Merge]) -> DataFrame:
     words = spark.read.schema("symbols string, n bigint").parquet(path)
     return words.withColumn("symbols", apply_merges("symbols", pending)) if pending else words

@@ -16,16 +16,19 @@ from corpusmill.sources.tokenizer_store import Tokenizer
 
 # Words whose ids one task remembers; the memory is emptied when full.
 REMEMBERED_WORDS = 1 << 20
+NO_MERGE = 1 << 62
 
 
-def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge_word(symbols: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
     """Ids of one word: keep merging the adjacent pair that was learned first."""
-    while len(symbols) > 1:
-        ranked = [(merges[pair], at) for at, pair in enumerate(zip(symbols, symbols[1:])) if pair in merges]
-        if not ranked:
-            break
-        (_, merged), at = min(ranked)
-        symbols[at : at + 2] = [merged]
+    open_ranks = [ranks.get(pair, NO_MERGE) for pair in zip(symbols, symbols[1:])]
+    while open_ranks and (rank := min(open_ranks)) < NO_MERGE:
+        at = open_ranks.index(rank)
+        symbols[at : at + 2] = [merged[rank]]
+        del open_ranks[at]
+        for pair in (at - 1, at):
+            if 0 <= pair < len(open_ranks):
+                open_ranks[pair] = ranks.get((symbols[pair], symbols[pair + 1]), NO_MERGE)
     return symbols
 
 
@@ -37,7 +40,8 @@ def piece_encoder(tokenizer: Tokenizer) -> Callable[[Column], Column]:
     travel with the function; both are bounded by the vocabulary size.
     """
     ids = {token: i for i, token in enumerate(tokenizer.vocab)}
-    merges = {(ids[l], ids[r]): (rank, ids[l + r]) for rank, (l, r) in enumerate(tokenizer.merges)}
+    ranks = {(ids[l], ids[r]): rank for rank, (l, r) in enumerate(tokenizer.merges)}
+    merged = [ids[l + r] for l, r in tokenizer.merges]
     whole = {token: [ids[token]] for token in tokenizer.specials}
 
     @F.arrow_udf("array<int>")
@@ -51,7 +55,7 @@ def piece_encoder(tokenizer: Tokenizer) -> Callable[[Column], Column]:
             for word in words.dictionary.to_pylist():
                 piece = remembered.get(word)
                 if piece is None:
-                    piece = merge_word([ids.get(ch, UNKNOWN_ID) for ch in word], merges)
+                    piece = merge_word([ids.get(ch, UNKNOWN_ID) for ch in word], ranks, merged)
                     remembered[word] = piece
                 pieces.append(piece)
             yield _lay_out(batch, words.indices.to_numpy(zero_copy_only=False), pieces)

@@ -21,6 +21,7 @@ DATASET_SCHEMA = T.StructType(
     ]
 )
 
+CSV_ROWS_PER_FILE = 100_000
 # With Spark's default options CSV text is trimmed and an empty text becomes null.
 _CSV_COMMON = {
     "header": True,
@@ -51,8 +52,12 @@ def read_corpus(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled, embedded line breaks, nulls and empty texts are kept."""
-    df.write.mode("overwrite").options(quoteAll=True, **_CSV_COMMON).csv(path)
+    """CSV with a header; quotes are doubled, embedded line breaks, nulls and empty texts are kept.
+
+    A file with embedded line breaks is read by one task, so files are kept small.
+    """
+    writer = df.write.mode("overwrite").options(quoteAll=True, maxRecordsPerFile=CSV_ROWS_PER_FILE, **_CSV_COMMON)
+    writer.csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str = TEXT_SCHEMA) -> DataFrame:

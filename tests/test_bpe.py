@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from tokenizers import Tokenizer as LibraryTokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Whitespace
@@ -42,10 +43,7 @@ def _merges_on_plain_lists(text, vocab_size):
     by_text = {ch: symbol for symbol, ch in spell.items()}
     size = len(chars) + len(SPECIAL_TOKENS)
     while size < vocab_size:
-        pairs = Counter()
-        for word, symbols in state.items():
-            for pair in zip(symbols, symbols[1:]):
-                pairs[pair] += words[word]
+        pairs = _pairs(words, state)
         ranked = [(l, r, c) for (l, r), c in sorted(pairs.items(), key=lambda p: (-p[1], p[0]))]
         batch = bpe.independent_prefix(ranked, spell, set(by_text), vocab_size - size, 1)
         if not batch:
@@ -57,12 +55,8 @@ def _merges_on_plain_lists(text, vocab_size):
                 by_text[merged] = bpe.FIRST_MERGED + size
                 spell[by_text[merged]] = merged
                 size += 1
-            for word, symbols in state.items():
-                at = 0
-                while at + 1 < len(symbols):
-                    if (symbols[at], symbols[at + 1]) == (l, r):
-                        symbols[at : at + 2] = [by_text[merged]]
-                    at += 1
+            for symbols in state.values():
+                _merge(symbols, l, r, by_text[merged])
     return merges
 
 
@@ -74,6 +68,78 @@ def test_batched_rounds_equal_the_library(letters):
         assert _merges_on_plain_lists(text, 60) == _library_merges(library_tokenizer([text], 60))
 
 
+def _merge(symbols, l, r, merged):
+    at = 0
+    while at + 1 < len(symbols):
+        if (symbols[at], symbols[at + 1]) == (l, r):
+            symbols[at : at + 2] = [merged]
+        at += 1
+
+
+def _pairs(words, state):
+    pairs = Counter()
+    for word, symbols in state.items():
+        for pair in zip(symbols, symbols[1:]):
+            pairs[pair] += words[word]
+    return pairs
+
+
+def _trial_rows(words, state, predicted, fetched):
+    """What one look-ahead round fetches, counted on Python lists."""
+    state = {word: list(symbols) for word, symbols in state.items()}
+    before = _pairs(words, state)
+    changes = {pair: [(0, c)] for pair, c in before.items()}
+    for step, merge in enumerate(predicted, 1):
+        for symbols in state.values():
+            _merge(symbols, *merge)
+        after = _pairs(words, state)
+        for pair in set(before) | set(after):
+            if after[pair] != before[pair]:
+                changes.setdefault(pair, []).append((step, after[pair] - before[pair]))
+        before = after
+    rows = [
+        Row(l=l, r=r, changes=made, bound=sum(max(w, 0) for _, w in made)) for (l, r), made in changes.items()
+    ]
+    return sorted(rows, key=lambda row: (-row.bound, row.l, row.r))[:fetched]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc", "abcdefgh", "abcdefghijklmnop"])
+@pytest.mark.parametrize("fetched", [1, 3, 10, 1024])
+def test_look_ahead_rounds_equal_the_library(letters, fetched, monkeypatch):
+    monkeypatch.setattr(bpe, "PAIRS_PER_ROUND", fetched)
+    rng = random.Random(letters + str(fetched))
+    for _ in range(25):
+        text = _random_text(rng, letters)
+        words = Counter(text.split())
+        state = {word: [ord(ch) for ch in word] for word in words}
+        vocabulary, predicted = bpe.Vocabulary.start(SPECIAL_TOKENS, sorted(set(text) - {" "})), []
+        while len(vocabulary.tokens) < 60:
+            rows = _trial_rows(words, state, predicted, fetched)
+            merges, counts = bpe.confirm_merges(rows, predicted, vocabulary, 60, 1)
+            if not merges:
+                if not predicted:
+                    break
+                predicted = []
+                continue
+            for merge in merges:
+                for symbols in state.values():
+                    _merge(symbols, *merge)
+            predicted = bpe.predict_merges(counts, vocabulary, 6)
+        assert vocabulary.merges == _library_merges(library_tokenizer([text], 60))
+
+
+def test_trial_counts_equal_a_recount(spark):
+    text = _random_text(random.Random(5), "abc", 200)
+    words = Counter(text.split())
+    state = {word: [ord(ch) for ch in word] for word in words}
+    predicted = [(97, 98, 1001), (1001, 97, 1002), (99, 99, 1003), (98, 1002, 1004)]
+    table = bpe.symbol_words(spark.createDataFrame(list(words.items()), "word string, n long"))
+    rows = bpe.trial_counts(table, predicted).collect()
+    got = {(row.l, row.r): (row.bound, sorted(map(tuple, row.changes))) for row in rows}
+    expected = _trial_rows(words, state, predicted, None)
+    assert got == {(row.l, row.r): (row.bound, row.changes) for row in expected}
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdé😀"])
 def test_training_equals_the_library(spark, letters):
     text = _random_text(random.Random(7), letters)
