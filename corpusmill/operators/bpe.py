@@ -27,8 +27,9 @@ Merge = tuple[int, int, int]
 FIRST_MERGED = 0x110000
 # Pairs fetched per round; a round never decides anything beyond the fetched list.
 PAIRS_PER_ROUND = 1024
-# Merges tried ahead in one round.
+# Merges tried ahead in one round: a few more than the last round confirmed, up to a limit.
 MERGES_AHEAD = 24
+MORE_AHEAD = 4
 # Merges kept as pending expressions before the word table is written again.
 MERGES_PER_WRITE = 32
 
@@ -272,7 +273,8 @@ def train_bpe(
             predicted = []  # The trial crowded out the best pair; count without one.
             continue
         pending.extend(merges)
-        predicted = predict_merges(counts, vocabulary, min(MERGES_AHEAD, vocab_size - len(vocabulary.tokens)))
+        ahead = min(MERGES_AHEAD, len(merges) + MORE_AHEAD, vocab_size - len(vocabulary.tokens))
+        predicted = predict_merges(counts, vocabulary, ahead)
         if len(pending) >= MERGES_PER_WRITE:
             previous, written = written, _write_words(spark, _read_words(spark, written, pending))
             delete_scratch(spark, previous)
