@@ -10,11 +10,12 @@ merged token. Numeric order of symbols therefore equals the order of token ids.
 from __future__ import annotations
 
 import json
+import math
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusmill.constants import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
@@ -32,6 +33,7 @@ MERGES_AHEAD = 24
 MORE_AHEAD = 4
 # Merges kept as pending expressions before the word table is written again.
 MERGES_PER_WRITE = 32
+WORDS_PER_TASK = 10_000
 
 
 def symbols_of(word) -> Column:
@@ -249,7 +251,7 @@ def train_bpe(
     specials: Sequence[str] = SPECIAL_TOKENS,
     min_frequency: int = MIN_FREQUENCY,
 ) -> Tokenizer:
-    """Learn merges from a word table ``(word, n)``.
+    """Learn merges from a word table ``(word, n)``, best a written one: it is read three times.
 
     Each round counts pairs over the whole word table on the cluster, now and after each of
     a few predicted merges; only the best pairs reach the driver. What the exact counts
@@ -260,11 +262,13 @@ def train_bpe(
     # The alphabet is bounded by Unicode, the merge list by ``vocab_size``.
     chars = [row.ch for row in alphabet(words, len(specials)).orderBy("token_id").collect()]
     vocabulary = Vocabulary.start(specials, chars)
-    written = _write_words(spark, symbol_words(words))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(most, math.ceil(words.count() / WORDS_PER_TASK)))
+    written, table = _write_words(symbol_words(words), partitions)
     pending: list[Merge] = []
     predicted: list[Merge] = []
     while len(vocabulary.tokens) < vocab_size:
-        trial = trial_counts(_read_words(spark, written, pending), predicted)
+        trial = trial_counts(_merged(table, pending), predicted)
         rows = trial.orderBy(F.desc("bound"), "l", "r").limit(PAIRS_PER_ROUND).collect()
         merges, counts = confirm_merges(rows, predicted, vocabulary, vocab_size, max(1, min_frequency))
         if not merges:
@@ -276,20 +280,20 @@ def train_bpe(
         ahead = min(MERGES_AHEAD, len(merges) + MORE_AHEAD, vocab_size - len(vocabulary.tokens))
         predicted = predict_merges(counts, vocabulary, ahead)
         if len(pending) >= MERGES_PER_WRITE:
-            previous, written = written, _write_words(spark, _read_words(spark, written, pending))
+            previous = written
+            written, table = _write_words(_merged(table, pending), partitions)
             delete_scratch(spark, previous)
             pending = []
     delete_scratch(spark, written)
     return Tokenizer(tuple(vocabulary.tokens), tuple(vocabulary.merges), tuple(specials))
 
 
-def _write_words(spark: SparkSession, words: DataFrame) -> str:
-    """Write the words that still hold a pair, spread over all shuffle partitions."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paired = words.where(F.instr("symbols", "  ") > 0)
-    return write_scratch(paired.repartition(partitions, "symbols"), "words")
+def _write_words(words: DataFrame, partitions: int) -> tuple[str, DataFrame]:
+    """Write the words that still hold a pair, spread evenly over the tasks of the next rounds."""
+    paired = words.where(F.instr("symbols", "  ") > 0).repartition(partitions, "symbols")
+    path = write_scratch(paired, "words")
+    return path, words.sparkSession.read.schema("symbols string, n bigint").parquet(path)
 
 
-def _read_words(spark: SparkSession, path: str, pending: Sequence[Merge]) -> DataFrame:
-    words = spark.read.schema("symbols string, n bigint").parquet(path)
+def _merged(words: DataFrame, pending: Sequence[Merge]) -> DataFrame:
     return words.withColumn("symbols", apply_merges("symbols", pending)) if pending else words

@@ -15,7 +15,7 @@ from corpusmill.operators.skew import keyed_join
 from corpusmill.sources.tokenizer_store import Tokenizer
 
 # Words whose ids one task remembers; the memory is emptied when full.
-REMEMBERED_WORDS = 1 << 20
+REMEMBERED_WORDS = 1 << 18
 NO_MERGE = 1 << 62
 
 

@@ -12,7 +12,7 @@ from corpusmill.operators.candidates import softmax, top_k_ties
 from corpusmill.operators.metrics import macro_loss
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.sampling import batches
-from corpusmill.operators.skew import keyed_join
+from corpusmill.operators.skew import fits_broadcast, keyed_join
 from corpusmill.session import WrittenTable, materialize, write_table
 
 # Draws are whole numbers below GRID; the grid is cut into CELLS equal cells for the join.
@@ -118,6 +118,17 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
     return bounds.where(F.col("hi") > F.col("lo")).select("ctx", F.explode(cells).alias("cell"), "nxt", "lo", "hi")
 
 
+def _step_table(table: WrittenTable) -> DataFrame:
+    """The table as every step joins it: broadcast if small, else placed and sorted once.
+
+    Cached blocks of a lost executor are read again from the written table.
+    """
+    if fits_broadcast(table):
+        return F.broadcast(table.df)
+    partitions = int(table.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.df.repartition(partitions, "ctx", "cell").sortWithinPartitions("ctx", "cell").persist()
+
+
 def continue_batch(
     prompts: DataFrame,
     candidates: DataFrame,
@@ -133,7 +144,7 @@ def continue_batch(
     candidate stops. Only key, last token and new tokens move between steps; the prompts
     themselves are joined once at the end. The state is written every few steps.
     """
-    cells = materialize(draw_cells(materialize(candidates, "candidates")), "cells")
+    cells = _step_table(write_table(draw_cells(materialize(candidates, "candidates")), "cells"))
     state = materialize(
         prompts.where(F.size(tokens) > 0).select(
             key,
@@ -159,8 +170,9 @@ def continue_batch(
             F.coalesce("c.nxt", "s.ctx").alias("ctx"),
             F.when(F.col("c.nxt").isNull(), F.col("s.generated")).otherwise(grown).alias("generated"),
         )
-        if (step + 1) % STEPS_PER_WRITE == 0 and step + 1 < steps:
+        if (step + 1) % STEPS_PER_WRITE == 0 or step + 1 == steps:
             state = materialize(state, "continued")
+    cells.unpersist()
     result = prompts.join(state.select(key, "generated"), key, "left")
     generated = F.coalesce("generated", F.slice(tokens, 1, 0))
     return result.withColumn("generated", generated).withColumn(

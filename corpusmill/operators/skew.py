@@ -13,13 +13,16 @@ SALTS = 64
 HOT_SHARE = 0.001
 
 
+def fits_broadcast(table: WrittenTable) -> bool:
+    return table.size <= BROADCAST_BYTES
+
+
 def keyed_join(
     left: DataFrame,
     right: DataFrame | WrittenTable,
     on: str | list[str],
     weight: str,
     how: str = "inner",
-    broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
@@ -33,7 +36,7 @@ def keyed_join(
     """
     keys = [on] if isinstance(on, str) else list(on)
     table = right if isinstance(right, WrittenTable) else write_table(right, "per-key")
-    if table.size <= broadcast_bytes:
+    if fits_broadcast(table):
         return left.join(F.broadcast(table.df), keys, how)
     total = table.df.agg(F.sum(weight)).scalar()
     hot = F.broadcast(table.df.where(F.col(weight) > hot_share * total).select(*keys).withColumn("_hot", F.lit(True)))

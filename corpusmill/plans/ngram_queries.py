@@ -92,24 +92,25 @@ counts as materialized ({_sql_bigrams("select tokens from toks where split = 'tr
 totals as (select ctx, sum(c) as c_ctx from counts group by ctx),
 vocab as (select count(distinct word) as v from (select unnest(tokens) as word from toks where split = 'train')),
 pairs as (
-  select doc_id, z[1] as ctx, z[2] as nxt
-  from (select doc_id, unnest(list_zip(tokens[:-2], tokens[2:])) as z from toks where split = 'validation')),
+  select split, doc_id, z[1] as ctx, z[2] as nxt
+  from (select split, doc_id, unnest(list_zip(tokens[:-2], tokens[2:])) as z from toks)),
 per_doc as materialized (
-  select doc_id, sum(-ln((coalesce(c, 0) + 1)::double / (coalesce(c_ctx, 0) + v))) as nll, count(*) as n
-  from pairs left join counts using (ctx, nxt) left join totals using (ctx), vocab group by doc_id)"""
+  select split, doc_id, sum(-ln((coalesce(c, 0) + 1)::double / (coalesce(c_ctx, 0) + v))) as nll, count(*) as n
+  from pairs left join counts using (ctx, nxt) left join totals using (ctx), vocab group by split, doc_id)"""
 
 
 @query(f"{_SQL_LOSS} select doc_id, n, round(nll / n, 9) as loss from per_doc")
 def document_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the statistics of the training split."""
     counts = write_table(bigrams(_split(spark, sf_dir, "train")), "bigrams")
-    scored = doc_cross_entropy(_split(spark, sf_dir, "validation"), counts, _train_words(spark, sf_dir))
+    scored = doc_cross_entropy(tokens(spark, sf_dir), counts, _train_words(spark, sf_dir))
     return scored.select("doc_id", "n", r9("loss").alias("loss"))
 
 
 @query(f"""{_SQL_LOSS},
 per_batch as (
   select (pos - 1) // 4 as batch_id, sum(nll) as nll, sum(n) as n
-  from (select *, row_number() over (order by doc_id) as pos from per_doc) group by 1)
+  from (select *, row_number() over (order by doc_id) as pos from per_doc where split = 'validation') group by 1)
 select round(avg(nll / n), 9) as macro_loss, round(sum(nll) / sum(n), 9) as micro_loss,
   round(exp(avg(nll / n)), 6) as perplexity, sum(n)::bigint as n_pairs
 from per_batch""")

@@ -42,8 +42,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _session_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/corpusmill/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    return f"{_session_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_scratch(df: DataFrame, name: str = "table") -> str:
@@ -53,7 +57,7 @@ def write_scratch(df: DataFrame, name: str = "table") -> str:
 
 
 def delete_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a table written by :func:`write_scratch` once nothing reads it any more."""
+    """Remove a written folder once nothing reads it any more."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
@@ -79,5 +83,10 @@ def write_table(df: DataFrame, name: str = "table") -> WrittenTable:
     return WrittenTable(spark.read.schema(df.schema).parquet(path), size)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table this application wrote; tables derived from them can no longer be read."""
+    delete_scratch(spark, _session_scratch(spark))
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return write_table(df, name).df

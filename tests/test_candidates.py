@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import skew
 from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_ties
 from corpusmill.operators.ngram import (
     bigrams, continue_batch, doc_cross_entropy, draw_cells, evaluate, next_candidates,
@@ -18,7 +19,14 @@ def table(spark):
     return spark.createDataFrame(ROWS, "context string, candidate string, logit double")
 
 
-def test_softmax(table):
+@pytest.fixture(params=[True, False], ids=["broadcast", "salted"])
+def broadcasting(request, monkeypatch):
+    """Small per-key tables broadcast, or treated like large ones."""
+    if not request.param:
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+
+
+def test_softmax(table, broadcasting):
     got = {(r.context, r.candidate): r.p for r in softmax(table, 0.8).collect()}
     for context in "abc":
         scores = {c: v / 0.8 for k, c, v in ROWS if k == context}
@@ -29,7 +37,7 @@ def test_softmax(table):
 
 
 @pytest.mark.parametrize("k, kept", [(1, 1), (2, 3), (3, 3), (4, 4), (50, 4)])
-def test_top_k_keeps_ties(table, k, kept):
+def test_top_k_keeps_ties(table, k, kept, broadcasting):
     assert top_k_ties(table, k).where("context = 'a'").count() == kept
 
 
@@ -51,17 +59,23 @@ def test_draws_follow_the_probabilities(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_is_the_plain_join(spark, how):
+def test_keyed_join_is_the_plain_join(spark, how, broadcasting):
     """One key holds a third of the rows; some keys have no partner."""
     key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500)
     left = spark.range(6000).select("id", key.alias("k"))
     right = left.where("k < 400").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
     plain = left.join(right, "k", how).select("id", "k", "n", "v")
-    salted = keyed_join(left, right, "k", "n", how, broadcast_bytes=-1).select("id", "k", "n", "v")
-    small = keyed_join(left, right, "k", "n", how).select("id", "k", "n", "v")
-    expected = sorted(map(tuple, plain.collect()), key=repr)
-    assert sorted(map(tuple, salted.collect()), key=repr) == expected
-    assert sorted(map(tuple, small.collect()), key=repr) == expected
+    keyed = keyed_join(left, right, "k", "n", how).select("id", "k", "n", "v")
+    assert sorted(map(tuple, keyed.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    left = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    salted = keyed_join(left, right, "k", "n", salts=8)
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and salted.count() == 9000
 
 
 DOCS = [(0, "a b a b c"), (1, "a b c"), (2, "b a"), (3, "a z q a b")]
@@ -72,7 +86,7 @@ def docs(spark):
     return spark.createDataFrame([(i, t.split()) for i, t in DOCS], "doc_id long, tokens array<string>")
 
 
-def test_cross_entropy_and_report(docs):
+def test_cross_entropy_and_report(docs, broadcasting):
     train, validation = docs.where("doc_id < 3"), docs.where("doc_id in (0, 3)")
     pairs = Counter(p for i, t in DOCS if i < 3 for p in zip(t.split(), t.split()[1:]))
     totals = Counter()
@@ -103,7 +117,7 @@ def test_cells_cover_the_grid_without_gaps(docs):
         assert all(a[1] == b[0] for a, b in zip(borders, borders[1:]))
 
 
-def test_continuation(spark, docs):
+def test_continuation(spark, docs, broadcasting):
     prompts = spark.createDataFrame(
         [(1, ["a"]), (2, ["q", "b"]), (3, ["nothing"]), (4, []), (5, ["c"])], "conv_id long, tokens array<string>"
     )
