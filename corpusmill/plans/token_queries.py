@@ -170,16 +170,14 @@ def fixed_length_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sample_sql(picked: str) -> str:
-    return f"""
-select split, doc_id, case when split = 'train' then pos end as sample_pos from (
-  select split, doc_id, row_number() over (partition by split order by md5('42:' || doc_id), doc_id) as pos
-  from ({SQL_CORPUS})) where {picked}"""
-
-
-@query(_sample_sql("split = 'validation' or pos <= 300"))
+@query(f"""
+with placed as (
+  select split, doc_id, case split when 'train' then 300 else 3000 end as k, count(*) over (partition by split) as n,
+    row_number() over (partition by split order by md5('42:' || doc_id), doc_id) as pos
+  from ({SQL_CORPUS}))
+select split, doc_id, case when k <= n then pos end as sample_pos from placed where k > n or pos <= k""")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300 training rows; the validation split holds fewer rows than asked for and stays whole."""
+    """300 training rows; a split with fewer rows than asked for stays whole."""
     sample = sample_n(corpus(spark, sf_dir), {"train": 300, "validation": 3000})
     return sample.select("split", "doc_id", "sample_pos")
 
