@@ -107,8 +107,9 @@ def encode_by_dictionary(
 def token_usage(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """``(token_id, token, n)``: how often each token occurs, from the dictionary alone."""
     spark = words.sparkSession
-    pieces = word_pieces(words, tokenizer).select(F.explode("ids").alias("token_id"), "n")
-    used = pieces.groupBy("token_id").agg(F.sum("n").alias("n"))
+    # The outer form keeps Spark from adding a filter that would encode every word twice.
+    pieces = word_pieces(words, tokenizer).select(F.explode_outer("ids").alias("token_id"), "n")
+    used = pieces.where(F.col("token_id").isNotNull()).groupBy("token_id").agg(F.sum("n").alias("n"))
     # The vocabulary table has exactly ``vocab_size`` rows, a parameter of the training.
     return used.join(F.broadcast(tokenizer.vocab_table(spark)), "token_id").select("token_id", "token", "n")
 

@@ -122,12 +122,17 @@ def gate_weights(routes="routes") -> Column:
     )
 
 
+def explode_routes(df: DataFrame, routes: str, *keep: str) -> DataFrame:
+    """One row per route. The outer form keeps Spark from adding a filter that would score every row twice."""
+    return df.select(*keep, F.inline_outer(routes)).where(F.col("expert_id").isNotNull())
+
+
 def dispatch(df: DataFrame, row_id: str = "vec_id", gates: str = "gates") -> DataFrame:
     """``(row_id, expert_id, gate)`` of positive gates, laid out by expert.
 
     A popular expert's rows are spread over several tasks; an expert without rows gets none.
     """
-    routed = df.select(row_id, F.inline(gates)).where(F.col("gate") > 0).select(row_id, "expert_id", "gate")
+    routed = explode_routes(df, gates, row_id).where(F.col("gate") > 0).select(row_id, "expert_id", "gate")
     salt = F.pmod(F.xxhash64(row_id), F.lit(DISPATCH_SALTS))
     return routed.repartition(F.col("expert_id"), salt)
 
@@ -154,7 +159,7 @@ def _add_routed(summed: Column, gates: Column, block: Experts) -> Column:
 
 def expert_load(df: DataFrame, experts: DataFrame, gates: str = "gates") -> DataFrame:
     """Per expert: routed rows, share of all routes, sum of gates, whether it is unused."""
-    routed = df.select(F.inline(gates)).where(F.col("gate") > 0)
+    routed = explode_routes(df, gates).where(F.col("gate") > 0)
     load = routed.groupBy("expert_id").agg(F.count(F.lit(1)).alias("n"), F.sum("gate").alias("gates"))
     total = load.agg(F.sum("n")).scalar()
     n = F.coalesce("n", F.lit(0))

@@ -4,45 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.constants import BATCH_SIZE, SEED
 from corpusmill.functions.hashing import hash_key
 from corpusmill.operators.ranking import bucket_of, bucket_offsets, hash_rank, range_rank
+from corpusmill.session import materialize
 
 
 def sample_n(
     df: DataFrame, counts: Mapping[str, int | None], seed: int = SEED, by: str = "split", key: str = "doc_id"
 ) -> DataFrame:
-    """Seeded shuffle and the first rows of each split, numbered in ``sample_pos``.
+    """Seeded shuffle and the first rows of each named split, numbered in ``sample_pos``.
 
-    ``counts`` names the rows to keep per split. A split is kept whole and in its own order
-    (``sample_pos`` is null) when its count is None, negative or above the number of rows,
-    or when it is not named. The order is that of ``md5(seed:key)``.
+    ``counts`` names the splits of the result and the rows to keep of each. A split is kept
+    whole and in its own order (``sample_pos`` is null) when its count is None, negative or
+    above its number of rows. The order is that of ``md5(seed:key)``.
 
     Only the hash bucket in which the count is reached limits a split, so all other rows
     are dropped by a filter in front of the shuffle.
     """
     limited = {split: k for split, k in counts.items() if k is not None and k >= 0}
-    whole = df.where(~F.col(by).isin(*limited) | F.col(by).isNull()) if limited else df
-    whole = whole.withColumn("sample_pos", F.lit(None).cast("bigint"))
-    if not limited:
-        return whole
-    drawn = df.where(F.col(by).isin(*limited))
-    order = hash_key(seed, F.col(key))
+    parts = []
+    if len(limited) < len(counts):
+        whole = df.where(F.col(by).isin(*(counts.keys() - limited.keys())))
+        parts.append(whole.withColumn("sample_pos", F.lit(None).cast("bigint")))
+    if limited:
+        parts.append(_head_of_order(df.where(F.col(by).isin(*limited)), limited, hash_key(seed, F.col(key)), by, key))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _head_of_order(df: DataFrame, limited: Mapping[str, int], order: Column, by: str, key: str) -> DataFrame:
     wanted = F.create_map(*[F.lit(item) for pair in limited.items() for item in pair])[F.col(by)]
-    offsets = bucket_offsets(drawn, order, [by])
+    # At most one row per named split and hash bucket; written once, because it is read twice.
+    offsets = materialize(bucket_offsets(df, order, [by]), "offsets")
     # One row per named split.
     borders = offsets.groupBy(by).agg(
         F.max(F.when(F.col("_before") < wanted, F.col("_bucket"))).alias("_last"),
-        F.first("_total").alias("_total"),
+        F.max("_total").alias("_total"),
     )
-    near = drawn.join(F.broadcast(borders), by).where((wanted > F.col("_total")) | (bucket_of(order) <= F.col("_last")))
+    near = df.join(F.broadcast(borders), by).where((wanted > F.col("_total")) | (bucket_of(order) <= F.col("_last")))
     ranked = hash_rank(near, order, [key], [by], "sample_pos", offsets)
     kept = ranked.where((wanted > F.col("_total")) | (F.col("sample_pos") <= wanted))
     position = F.when(wanted <= F.col("_total"), F.col("sample_pos"))
-    return whole.unionByName(kept.withColumn("sample_pos", position).drop("_last", "_total"))
+    return kept.withColumn("sample_pos", position).drop("_last", "_total")
 
 
 def epoch_order(df: DataFrame, seed: int, epoch: int, shuffle: bool = True, key: str = "doc_id") -> DataFrame:

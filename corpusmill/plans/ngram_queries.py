@@ -9,8 +9,9 @@ from corpusmill.constants import SEED
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_ties
 from corpusmill.operators.ngram import bigrams, continue_batch, doc_cross_entropy, evaluate, next_candidates
+from corpusmill.operators.words import explode_words
 from corpusmill.plans.oracle_bpe import WORD_PATTERN
-from corpusmill.plans.registry import SQL_TOKENS, query, r9, tokens
+from corpusmill.plans.registry import SQL_TOKENS, corpus, query, r9, tokens
 from corpusmill.session import materialize, write_table
 
 CONTINUED_STEPS = 6
@@ -82,7 +83,7 @@ def _split(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
 
 
 def _train_words(spark: SparkSession, sf_dir: str) -> Column:
-    words = _split(spark, sf_dir, "train").select(F.explode("tokens").alias("word")).distinct()
+    words = explode_words(corpus(spark, sf_dir).where("split = 'train'")).distinct()
     return words.agg(F.count(F.lit(1))).scalar()
 
 

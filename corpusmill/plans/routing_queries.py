@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.routing import (
-    add_noise, best_experts, centroids, combine, dispatch, expert_blocks, expert_load, gate_logits, gate_weights, route_top_k,
+    add_noise, centroids, combine, dispatch, expert_blocks, expert_load, explode_routes, gate_logits, gate_weights,
+    route_top_k,
 )
 from corpusmill.plans.registry import embeddings, query
 from corpusmill.session import materialize
@@ -54,8 +55,8 @@ def expert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_SQL_LOGITS} select vec_id, expert_id, round(logit, 8) as logit from logits")
 def expert_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     (block,) = expert_blocks(_experts(spark, sf_dir))
-    scored = embeddings(spark, sf_dir).select("vec_id", F.inline(gate_logits(block)))
-    return scored.withColumn("logit", F.round("logit", 8))
+    scored = embeddings(spark, sf_dir).withColumn("logits", gate_logits(block))
+    return explode_routes(scored, "logits", "vec_id").withColumn("logit", F.round("logit", 8))
 
 
 @query(f"""
@@ -68,23 +69,22 @@ from keyed""")
 def noisy_expert_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     (block,) = expert_blocks(_experts(spark, sf_dir))
     scored = embeddings(spark, sf_dir).withColumn("logits", gate_logits(block))
-    noisy = scored.select("vec_id", F.inline(add_noise("logits", "logits", "vec_id", seed=7)))
-    return noisy.withColumn("logit", F.round("logit", 8))
+    noisy = scored.withColumn("noisy", add_noise("logits", "logits", "vec_id", seed=7))
+    return explode_routes(noisy, "noisy", "vec_id").withColumn("logit", F.round("logit", 8))
 
 
 @query(f"with {_SQL_GATES} select vec_id, expert_id, round(logit, 8) as logit from chosen")
 def chosen_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored in several passes over blocks of three experts, as a large expert table would be."""
     blocks = expert_blocks(_experts(spark, sf_dir), entries=3 * 64)
-    routed = route_top_k(embeddings(spark, sf_dir), blocks).select("vec_id", F.inline("routes"))
-    return routed.withColumn("logit", F.round("logit", 8))
+    routed = route_top_k(embeddings(spark, sf_dir), blocks)
+    return explode_routes(routed, "routes", "vec_id").withColumn("logit", F.round("logit", 8))
 
 
 @query(f"with {_SQL_GATES} select vec_id, expert_id, round(gate, 8) as gate from gates")
 def expert_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated, _, _ = _gated(spark, sf_dir)
-    gates = gated.select("vec_id", F.inline("gates"))
-    return gates.select("vec_id", "expert_id", F.round("gate", 8).alias("gate"))
+    return explode_routes(gated, "gates", "vec_id").select("vec_id", "expert_id", F.round("gate", 8).alias("gate"))
 
 
 @query(f"with {_SQL_GATES} select vec_id, expert_id, round(gate, 8) as gate from gates where gate > 0")
@@ -100,7 +100,7 @@ select vec_id, (pos - 1)::int as pos, round(sum(gate * w), 8) as x
 from gates join weights using (expert_id) group by vec_id, pos""")
 def combined_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated, _, blocks = _gated(spark, sf_dir)
-    combined = combine(gated, blocks).select("vec_id", F.posexplode("combined").alias("pos", "x"))
+    combined = combine(gated, blocks).select("vec_id", F.posexplode_outer("combined").alias("pos", "x"))
     return combined.withColumn("x", F.round("x", 8))
 
 

@@ -30,8 +30,15 @@ def test_sample_is_the_head_of_the_seeded_order(spark, k, parts):
 
 @pytest.mark.parametrize("k", [None, -1, 181])
 def test_sample_keeps_a_whole_split_unshuffled(spark, k):
-    rows = sample_n(_corpus(spark), {"train": k}).collect()
-    assert len(rows) == 200 and all(r.sample_pos is None for r in rows)
+    rows = sample_n(_corpus(spark), {"train": k, "validation": 20}).collect()
+    train = [r for r in rows if r.split == "train"]
+    assert len(train) == 180 and all(r.sample_pos is None for r in train)
+    assert sorted(r.sample_pos for r in rows if r.split == "validation") == list(range(1, 21))
+
+
+def test_only_named_splits_are_sampled(spark):
+    assert {r.split for r in sample_n(_corpus(spark), {"train": -1}).collect()} == {"train"}
+    assert {r.split for r in sample_n(_corpus(spark), {"validation": 3}).collect()} == {"validation"}
 
 
 def test_sample_sends_only_chosen_rows_into_the_shuffle(spark):
