@@ -31,7 +31,13 @@ def train_loss(metrics: DataFrame, k: int, compat: bool = False, by: Sequence[st
 
 
 def log10_loss(loss="loss") -> Column:
-    return F.log10(loss)
+    """Base-10 logarithm with the floating-point results for zero (-inf) and below (NaN), not null."""
+    loss = F.col(loss) if isinstance(loss, str) else loss
+    return (
+        F.when(loss > 0, F.log10(loss))
+        .when(loss == 0, F.lit(float("-inf")))
+        .when(loss.isNotNull(), F.lit(float("nan")))
+    )
 
 
 def bucket_mean(metrics: DataFrame, value: str = "loss", width: int = BUCKET_STEPS) -> DataFrame:

@@ -28,6 +28,12 @@ def test_buckets_and_reports(log):
     assert log.select(m.log10_loss()).first()[0] == pytest.approx(math.log10(0.5))
 
 
+def test_logarithm_of_odd_losses(spark):
+    table = spark.createDataFrame([(0.0,), (-1.0,), (None,), (100.0,)], "loss double")
+    zero, below, missing, hundred = [r[0] for r in table.select(m.log10_loss()).collect()]
+    assert zero == float("-inf") and math.isnan(below) and missing is None and hundred == 2.0
+
+
 def test_epochs(log):
     summary = m.epoch_summary(log)
     rows = {r.epoch: r for r in summary.collect()}
