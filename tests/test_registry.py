@@ -6,6 +6,8 @@ import __spark_entry__ as contract
 import duckdb
 import pytest
 
+from corpusmill.plans import registry
+
 
 @pytest.fixture(scope="module")
 def sql(sf_dir):
@@ -16,10 +18,10 @@ def sql(sf_dir):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(registry.ORACLE) == set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, sf_dir, sql, name):
     table = contract.queries()[name](spark, sf_dir)
     expected = sql.sql(contract.oracle_sql()[name])
