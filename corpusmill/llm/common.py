@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,15 +60,26 @@ def running_total(df: DataFrame, order_by: Sequence[str], amount: str, out: str
     The rows are range-partitioned and sorted, so a value that fills a third of the table is
     split as long as a later column differs. They are written once, because range borders are
     sampled and must not move between summing and shifting. Only sums per partition are
-    brought together: one row per partition, whatever the data. Pass only needed columns.
+    brought together: one row per partition, whatever the data. ``amount`` holds no nulls and
+    nothing below zero. Pass only needed columns.
     """
     rows = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    part = materialize(rows.withColumn("_place", F.monotonically_increasing_id()), "ordered")
-    part = part.withColumn("_part", F.shiftright("_place", 33))
-    sums = part.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    amount_at = df.columns.index(amount)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        front = 0
+        for batch in batches:
+            amounts = np.asarray(batch.column(amount_at).to_numpy(zero_copy_only=False), np.int64)
+            ends = front + np.cumsum(amounts)
+            if len(ends):
+                front = int(ends[-1])
+            names = [*batch.schema.names, "_local"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - amounts)], names=names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_local", T.LongType())])
+    place = F.shiftright(F.monotonically_increasing_id(), 33)
+    part = materialize(rows.mapInArrow(add_up, schema).withColumn("_part", place), "ordered")
+    ends = part.groupBy("_part").agg(F.max(F.col("_local") + F.col(amount)).alias("_sum"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
-    local = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    summed = part.withColumn("_local", F.coalesce(F.sum(amount).over(local), F.lit(0)))
-    joined = summed.join(F.broadcast(shift), "_part")
-    return joined.withColumn(out, F.col("_shift") + F.col("_local")).drop("_part", "_place", "_local", "_shift")
+    shift = ends.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    return part.join(F.broadcast(shift), "_part").withColumn(out, F.col("_shift") + F.col("_local")).drop("_part", "_local", "_shift")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import token_counts
+from corpusmill.llm import mixing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +35,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.token_budget(documents(spark, sf_dir), model, TOKEN_LIMIT)
+
+
+@query(
+    r"""
+    with sized as (
+      select doc_id, source, md5(coalesce(doc_id::varchar, '')) as key,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+    sources as (
+      select source, sum(size)::bigint as source_size, sum(size)::double * 2 as most,
+        (row_number() over (order by source is null, source) - 1) % 3 as turn from sized group by source),
+    weighed as (select *, [5.0, 2.0, 1.0][turn + 1]::double as weight from sources),
+    steps as (
+      select most / weight as ratio, sum(sum(source_size)) over () * 1.5::double as wanted,
+        sum(sum(most)) over (order by most / weight) as stopped,
+        sum(sum(weight)) over () - sum(sum(weight)) over (order by most / weight) as open,
+        lead(most / weight) over (order by most / weight) as next_ratio
+      from weighed group by most / weight),
+    levels as (
+      select 1.5::double * sum(source_size) / sum(weight) as level from weighed
+      having 1.5::double * sum(source_size) / sum(weight) < min(most / weight)
+      union all
+      select (wanted - stopped) / open from steps
+      where open > 0 and (wanted - stopped) / open >= ratio and (wanted - stopped) / open < next_ratio),
+    targets as (select source, source_size, turn, least(most, (select max(level) from levels) * weight) as target from weighed),
+    placed as (
+      select s.*, t.source_size, t.target, floor(t.target)::bigint as whole,
+        floor(t.target)::bigint // greatest(t.source_size, 1) as turns, [-0.5, 0.0, 0.5][t.turn + 1]::double as slope,
+        coalesce(sum(size) over (partition by s.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+      from sized s join targets t on s.source is not distinct from t.source),
+    parts as (select *, greatest(0, least(size, whole - turns * source_size - before))::bigint as part from placed),
+    shares as (select *, least(1.0::double, (before + size / 2.0::double) / whole) as share from parts)
+    select doc_id, size::bigint as size, source_size, target, turns * size + part as taken,
+      case when size = 0 or turns = 0 and part = 0 then null when slope = 0 then share
+        else (sqrt((1.0::double - slope) * (1.0::double - slope) + 4.0::double * slope * share) - (1.0::double - slope)) / (2.0::double * slope) end as position
+    from shares"""
+)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    first = F.get("positions", F.lit(0)).alias("position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
