@@ -83,3 +83,31 @@ def running_total(df: DataFrame, order_by: Sequence[str], amount: str, out: str
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = ends.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
     return part.join(F.broadcast(shift), "_part").withColumn(out, F.col("_shift") + F.col("_local")).drop("_part", "_local", "_shift")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` for the nodes of the undirected ``edges (a, b)``; the root is the smallest node.
+
+    Alternates large-star and small-star steps: each node's links move to the smallest of its
+    neighbours, first for the larger neighbours, then for the smaller ones, until every node is
+    linked to its root alone. A step is a minimum per node and a join, so a node with very
+    many neighbours is combined before the shuffle. Every round is written, which cuts lineage.
+    """
+    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                        .distinct(), "links")
+    seen = None
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").select(F.explode(F.array(
+            F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b"))
+        )).alias("link")).select("link.*").where("a <> b").distinct()
+        links = materialize(small, "links")
+        mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+            own = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return materialize(roots.unionByName(own), "roots")
+        seen = mark

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing, token_counts
+from corpusmill.llm import language, minhash, mixing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_budget(documents(spark, sf_dir), model, TOKEN_LIMIT)
 
 
+@query()
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id")
+
+
+def fold(parts: int):
+    """``crc32(doc_id as text) mod parts``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(fold(3) != 1))
+    held_out = (fold(3) == 1).alias("held_out")
+    return language.predict(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
 @query(
     r"""
     with sized as (
