@@ -168,7 +168,7 @@ def _regrouped(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
-    """``(row_id, doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+    """``(row_id, text_key, doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest id of the documents reachable by links; ``kept`` is true
     for that document, once even if its row is repeated (``row_id`` then decides).
@@ -219,13 +219,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
         roots = materialize(_regrouped(classes.select("class"), links), "grouped")
 
     keys = class_of.join(roots, "class").select("set_key", "root")
-    rows = signed.select("row_id", "doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
+    rows = signed.select("row_id", "text_key", "doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
     rows = materialize(rows.withColumn("root", F.coalesce("root", "row_id")).drop("set_key"), "rooted")
     # The smallest id decides; among repeated rows of it, the first row.
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
     first = rows.groupBy("root").agg(F.min(order).alias("_first"))
     joined = rows.join(first, "root")
     return joined.select(
-        "row_id", "doc_id", "n_shingles", F.col("_first.doc_id").alias("component_id"),
+        "row_id", "text_key", "doc_id", "n_shingles", F.col("_first.doc_id").alias("component_id"),
         (F.col("row_id") == F.col("_first.row_id")).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component is kept, all columns unchanged."""
+    kept = near_duplicates(docs, similarity).where("kept").select(F.col("text_key").alias("_key"))
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("_key")
+    rows = docs.select(F.struct("*").alias("_row"), key).join(kept, "_key")
+    # Equal rows share their key, and one of them stays.
+    return rows.dropDuplicates(["_key"]).select("_row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, minhash, mixing, token_counts
+from corpusmill.llm import language, minhash, mixing, packing, personal_data, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,9 +37,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_budget(documents(spark, sf_dir), model, TOKEN_LIMIT)
 
 
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
 @query()
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id")
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id", "text_key")
 
 
 def fold(parts: int):
@@ -55,6 +60,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out), model).drop("text")
 
 
+@query()
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(documents(spark, sf_dir)))
+
+
 @query(
     r"""
     with sized as (
