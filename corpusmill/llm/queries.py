@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, minhash, mixing, packing, personal_data, token_counts
+from corpusmill.llm import language, minhash, mixing, packing, personal_data, token_counts, web_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +65,11 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find(documents(spark, sf_dir)))
 
 
+@query()
+def op9_web_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query(
     r"""
     with sized as (
