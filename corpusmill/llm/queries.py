@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, minhash, mixing, packing, personal_data, token_counts, web_text
+from corpusmill.llm import class_model, language, minhash, mixing, packing, personal_data, token_counts, web_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,12 +31,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fold(parts: int):
+    """``crc32(doc_id as text) mod parts``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.token_budget(documents(spark, sf_dir), model, TOKEN_LIMIT)
 
 
+@query()
+def op2_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.score(documents(spark, sf_dir).select("doc_id", "text", (fold(7) == 2).alias("held_out")))
+
+
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
@@ -47,11 +57,6 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id", "text_key")
 
 
-def fold(parts: int):
-    """``crc32(doc_id as text) mod parts``."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
-
-
 @query()
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
