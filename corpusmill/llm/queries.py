@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import class_model, language, minhash, mixing, packing, personal_data, token_counts, web_text
+from corpusmill.llm import class_model, language, minhash, mixing, neighbours, packing, personal_data, token_counts, web_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +65,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out), model).drop("text")
 
 
+@query()
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query()
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find(documents(spark, sf_dir)))
