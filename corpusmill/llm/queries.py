@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import class_model, language, minhash, mixing, neighbours, packing, personal_data, token_counts, web_text
+from corpusmill.llm import class_model, language, minhash, mixing, neighbours, packing, personal_data, token_counts, top_k, web_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+@query(
+    """
+    with whole as (
+      select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+      where vec_id is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+      select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+      from whole q join whole c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 20 = 0),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+    select query_id, rank, vec_id, score from ranked where rank <= 20"""
+)
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id", "text_key")
