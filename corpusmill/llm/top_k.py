@@ -34,6 +34,7 @@ BLOCK = 8192
 QUERIES = 256
 # A query is settled when at most this share of a block's vectors can still be members.
 POSSIBLE = 1 / 16
+WIDTHS = (np.int8, np.int16, np.int32, np.int64)
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -89,6 +90,17 @@ def postings(components: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.column_stack([impacts[new], dims[new]]), np.append(new, len(rows)), rows, values
 
 
+def _stored(x: np.ndarray) -> bytes:
+    """Integers in the smallest of four widths, which the first byte names."""
+    width = next(i for i, kind in enumerate(WIDTHS) if not x.size or (x.min() >= np.iinfo(kind).min and x.max() <= np.iinfo(kind).max))
+    return bytes([width]) + np.ascontiguousarray(x, WIDTHS[width]).tobytes()
+
+
+def _loaded(raw: pa.Scalar) -> np.ndarray:
+    data = raw.as_buffer()
+    return np.frombuffer(data, WIDTHS[data[0]], offset=1).astype(np.int64)
+
+
 class BlockIndex:
     """Impact-ordered postings of one block of vectors."""
 
@@ -99,27 +111,31 @@ class BlockIndex:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(query number, ids, scores)`` of each query's best ``k`` in this block."""
         n, dim = self.components.shape
+        asked = queries.astype(np.float64)
         open_ = np.arange(len(queries))
         totals = np.zeros((n, len(queries)))
-        impacts, dims = (self.segments[:, 0], self.segments[:, 1]) if len(self.segments) else (np.empty(0, int),) * 2
-        levels = sorted(set(impacts.tolist()), reverse=True)
-        # Largest component of each dimension, level by level.
-        peak = {s: np.abs(self.values[self.starts[s] : self.starts[s + 1]]).max() for s in range(len(impacts))}
-        for level in [*levels, None]:
+        impacts = self.segments[:, 0]
+        # Largest component of each segment; what is left of a dimension is bounded by its largest.
+        peaks = np.maximum.reduceat(np.abs(self.values), self.starts[:-1]) if len(impacts) else np.empty(0)
+        dims = np.repeat(self.segments[:, 1], np.diff(self.starts))
+        for level in sorted(set(impacts.tolist()), reverse=True) or [0]:
+            first, end = (self.starts[np.searchsorted(-impacts, -level, side)] for side in ("left", "right"))
+            # All segments of one impact at once: their postings as a matrix, summed over dimensions.
+            segment = np.zeros((n, dim))
+            segment[self.rows[first:end], dims[first:end]] = self.values[first:end]
+            totals += segment @ asked[open_].T
             left = np.zeros(dim)
-            for s in range(len(impacts)):
-                if level is not None and impacts[s] == level:
-                    at = slice(self.starts[s], self.starts[s + 1])
-                    totals[self.rows[at]] += self.values[at, None] * queries[open_, dims[s]].astype(np.float64)
-                elif level is not None and impacts[s] < level:
-                    left[dims[s]] = max(left[dims[s]], peak[s])
-            slack = np.abs(queries[open_]) @ left
+            rest = impacts < level
+            np.maximum.at(left, self.segments[rest, 1], peaks[rest])
+            slack = np.abs(asked[open_]) @ left
+            last = not rest.any()
+            if not last and not (np.ptp(totals, axis=0) > 2.0 * slack).any():
+                continue
             own = self.ids[:, None] == query_ids[None, open_]
             others = np.where(own, -np.inf, totals)
             kth = np.partition(others, n - k, axis=0)[n - k] if n > k else np.full(len(open_), -np.inf)
             possible = (others >= kth - 2.0 * slack) & ~own
-            last = not left.any()
-            done = possible.sum(axis=0) <= max(k, n * POSSIBLE) if not last else np.ones(len(open_), bool)
+            done = np.ones(len(open_), bool) if last else possible.sum(axis=0) <= max(k, n * POSSIBLE)
             for i in np.flatnonzero(done):
                 members = np.flatnonzero(possible[:, i])
                 scores = self.components[members] @ queries[open_[i]]
@@ -136,8 +152,7 @@ def build_index(rows: DataFrame, size: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, ids, components in _blocks(batches, size):
-            data = [ids, components, *postings(components)]
-            columns = [pa.array([np.ascontiguousarray(x, np.int64).tobytes()], pa.binary()) for x in data]
+            columns = [pa.array([_stored(x)], pa.binary()) for x in (ids, components, *postings(components))]
             yield pa.record_batch([pa.array([dim], pa.int32()), *columns], names=["dim", *names])
 
     schema = "dim int, " + ", ".join(f"{n} binary" for n in names)
@@ -152,8 +167,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, size: int = QUERIES) ->
     """
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, ids, components in _blocks(batches, size):
-            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()),
-                                   pa.array([np.ascontiguousarray(components).tobytes()], pa.binary())], names=["dim", "query_ids", "queries"])
+            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([_stored(ids)], pa.binary()),
+                                   pa.array([_stored(components)], pa.binary())], names=["dim", "query_ids", "queries"])
 
     slots = max(1, index.count())
     slot: Column = F.pmod(F.xxhash64("block"), F.lit(slots)).alias("slot")
@@ -167,7 +182,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, size: int = QUERIES) ->
             for i in range(batch.num_rows):
                 dim = batch.column(0)[i].as_py()
                 ids, components, segments, starts, rows, values, query_ids, asked = (
-                    np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in range(1, 9))
+                    _loaded(batch.column(c)[i]) for c in range(1, 9))
                 index = BlockIndex(ids, components.reshape(-1, dim), (segments.reshape(-1, 2), starts, rows, values))
                 found = list(index.search(query_ids, asked.reshape(-1, dim), k))
                 if found:
