@@ -22,12 +22,15 @@ def softmax(
 
     One aggregation sums ``exp`` per context and whole-number level of the scaled logit,
     relative to that level, so nothing overflows; the few levels of a context are then
-    brought to its highest one.
+    brought to its highest one. A logit of minus infinity, a masked candidate, has probability
+    0; a context that is masked whole, or holds NaN or plus infinity, has no probabilities
+    (NaN); a null logit stays null.
     """
-    scaled = F.col(logit) / F.lit(float(temperature))
-    level = F.floor(scaled)
-    levels = df.groupBy(context, level.alias("_level")).agg(
-        F.sum(F.exp(scaled - level)).alias("_sum"), F.count(F.lit(1)).alias("_n")
+    scaled = F.col(logit).cast("double") / F.lit(float(temperature))
+    masked, odd = scaled == float("-inf"), F.isnan(scaled) | (scaled == float("inf"))
+    level = F.when(~masked & ~odd, F.floor(scaled).cast("double"))
+    levels = df.where(scaled.isNotNull()).groupBy(context, level.alias("_level")).agg(
+        F.sum(F.exp(scaled - level)).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.max(odd).alias("_odd")
     )
     peak = F.max("_level").over(Window.partitionBy(context))
     totals = (
@@ -35,12 +38,16 @@ def softmax(
         .groupBy(context)
         .agg(
             F.first("_peak").alias("_peak"),
-            F.sum(F.col("_sum") * F.exp((F.col("_level") - F.col("_peak")).cast("double"))).alias("_total"),
+            F.sum(F.col("_sum") * F.exp(F.col("_level") - F.col("_peak"))).alias("_total"),
             F.sum("_n").alias("_n"),
+            F.max("_odd").alias("_odd"),
         )
     )
-    joined = keyed_join(df, totals, context, weight="_n")
-    return joined.withColumn(out, F.exp(scaled - F.col("_peak")) / F.col("_total")).drop("_peak", "_total", "_n")
+    joined = keyed_join(df, totals, context, weight="_n", how="left")
+    undefined = F.col("_odd") | F.col("_peak").isNull()
+    p = F.when(scaled.isNull(), F.lit(None)).when(undefined, F.lit(float("nan"))).when(masked, F.lit(0.0))
+    p = p.otherwise(F.exp(scaled - F.col("_peak")) / F.col("_total"))
+    return joined.withColumn(out, p).drop("_peak", "_total", "_n", "_odd")
 
 
 def top_k_ties(df: DataFrame, k: int = TOP_K, context: str = "context", logit: str = "logit") -> DataFrame:
@@ -76,7 +83,8 @@ def sample_one(
     seed, context and candidate: the draw does not depend on partitions or row order.
     """
     score = F.col(logit) / F.lit(float(temperature)) + gumbel(hash_key(seed, F.col(context), F.col(candidate)))
-    return df.groupBy(context).agg(F.max_by(candidate, score).alias(candidate))
+    best = F.max(F.struct(score.alias("score"), F.col(candidate).alias("candidate")))
+    return df.groupBy(context).agg(best["candidate"].alias(candidate))
 
 
 def argmax(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,20 +17,33 @@ from corpusmill.sources.tokenizer_store import Tokenizer
 
 # Words whose ids one task remembers; the memory is emptied when full.
 REMEMBERED_WORDS = 1 << 18
-NO_MERGE = 1 << 62
+GONE = -1
 
 
 def merge_word(symbols: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
-    """Ids of one word: keep merging the adjacent pair that was learned first."""
-    open_ranks = [ranks.get(pair, NO_MERGE) for pair in zip(symbols, symbols[1:])]
-    while open_ranks and (rank := min(open_ranks)) < NO_MERGE:
-        at = open_ranks.index(rank)
-        symbols[at : at + 2] = [merged[rank]]
-        del open_ranks[at]
-        for pair in (at - 1, at):
-            if 0 <= pair < len(open_ranks):
-                open_ranks[pair] = ranks.get((symbols[pair], symbols[pair + 1]), NO_MERGE)
-    return symbols
+    """Ids of one word: keep merging the adjacent pair that was learned first, the leftmost of equal ones.
+
+    Pairs wait in a heap and symbols are linked by position, so a long word takes n log n steps.
+    """
+    symbols = list(symbols)
+    after = [*range(1, len(symbols)), -1]
+    before = list(range(-1, len(symbols) - 1))
+    waiting = [(rank, i) for i, pair in enumerate(zip(symbols, symbols[1:])) if (rank := ranks.get(pair)) is not None]
+    heapq.heapify(waiting)
+    while waiting:
+        rank, i = heapq.heappop(waiting)
+        j = after[i]
+        # An entry is stale if one of its symbols has been merged since.
+        if symbols[i] < 0 or j < 0 or ranks.get((symbols[i], symbols[j])) != rank:
+            continue
+        symbols[i], symbols[j] = merged[rank], GONE
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right >= 0 and (found := ranks.get((symbols[left], symbols[right]))) is not None:
+                heapq.heappush(waiting, (found, left))
+    return [s for s in symbols if s != GONE]
 
 
 def piece_encoder(tokenizer: Tokenizer) -> Callable[[Column], Column]:
@@ -93,12 +107,14 @@ def encode_by_dictionary(
 ) -> DataFrame:
     """``(key, input_ids)`` by joining every word occurrence with the word dictionary.
 
-    ``words`` must come from the same texts with special tokens kept whole. Frequent words
+    Words the dictionary lacks, such as special tokens, are encoded in the row. Frequent words
     are spread over several tasks by :func:`keyed_join`. Prefer :func:`encode` unless the
     dictionary exists anyway: this form shuffles every occurrence twice.
     """
     occurrences = df.select(key, F.posexplode_outer(pretokenize(text, keep_specials=True)).alias("pos", "word"))
     joined = keyed_join(occurrences, word_pieces(words, tokenizer), "word", weight="n", how="left")
+    lacking = F.when(F.col("ids").isNull() & F.col("word").isNotNull(), F.array("word"))
+    joined = joined.withColumn("ids", F.coalesce("ids", piece_encoder(tokenizer)(lacking)))
     placed = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("placed"))
     ids = F.flatten(F.filter(F.transform("placed", lambda p: p["ids"]), lambda i: i.isNotNull()))
     return placed.select(key, ids.alias("input_ids"))

@@ -70,6 +70,16 @@ def gate_logits(block: Experts, vector="embedding") -> Column:
     )
 
 
+def softplus(x: Column) -> Column:
+    """``ln(1 + exp(x))`` without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def all_logits(blocks: list[Experts], vector="embedding") -> Column:
+    """Logits of every expert of every block, in one array."""
+    return F.concat(*[gate_logits(block, vector) for block in blocks])
+
+
 def add_noise(logits, noise_logits, row_id, seed: int = SEED) -> Column:
     """Logits plus a standard normal times the softplus of the noise logit, seeded by row and expert."""
     logits = F.col(logits) if isinstance(logits, str) else logits
@@ -78,7 +88,7 @@ def add_noise(logits, noise_logits, row_id, seed: int = SEED) -> Column:
 
     def noisy(gate: Column, noise: Column) -> Column:
         draw = normal(hash_key(seed, row_id, gate["expert_id"]))
-        logit = gate["logit"] + draw * F.log1p(F.exp(noise["logit"]))
+        logit = gate["logit"] + draw * softplus(noise["logit"])
         return F.struct(gate["expert_id"].alias("expert_id"), logit.alias("logit"))
 
     return F.zip_with(logits, noise_logits, noisy)

@@ -11,7 +11,7 @@ from corpusmill.operators.metrics import (
 )
 from corpusmill.plans.registry import SQL_GENERATION_LOG, SQL_METRICS, generation_log, metrics, query, r9
 from corpusmill.session import scratch_path
-from corpusmill.streaming.streams import stream_metrics, write_available
+from corpusmill.streaming.streams import latest_updates, stream_metrics, write_updates
 
 _SQL_BATCH_LOSS = f"select phase, batch_id, avg(loss) as batch_loss from ({SQL_METRICS}) group by phase, batch_id"
 
@@ -115,18 +115,22 @@ def label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 select window_start, window_start + interval 1 day as window_end, event_type, n, mean_value, max_value from (
   select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(avg(value), 9) as mean_value,
     max(value) as max_value
-  from events group by 1, 2)
-where window_start + interval 1 day <= (select max(ts) - interval 2 day from events)""")
+  from events group by 1, 2)""")
 def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as a stream; a day is final once the watermark, two days behind, has passed it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """All events as a stream; every day is there, open ones as they stand after the last batch."""
     path, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     schema = "event_id bigint, ts timestamp_ntz, event_type string, value double"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rolled = stream_metrics(events, "1 day", "2 days", by=("event_type",))
-    write_available(rolled, path, state).awaitTermination()
-    return spark.read.schema(rolled.schema).parquet(path).select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+    # The table's times have no zone; they are read and shown as UTC, whatever the session's zone.
+    zoned = events.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
+    rolled = stream_metrics(zoned, "1 day", "2 days", by=("event_type",))
+    write_updates(rolled, path, state).awaitTermination()
+    current = latest_updates(spark.read.parquet(path), ["window_start", "event_type"])
+
+    def utc(column: str):
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(column).cast("timestamp_ntz")).alias(column)
+
+    return current.select(
+        utc("window_start"), utc("window_end"),
         "event_type", "n", r9("mean_value").alias("mean_value"), "max_value",
     )

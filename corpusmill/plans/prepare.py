@@ -40,7 +40,12 @@ def prepare(
     train_count: int | None = TRAIN_COUNT,
     validation_count: int | None = VALIDATION_COUNT,
     seed: int = SEED,
+    null_policy: str = "nan",
 ) -> DataFrame:
-    """``(split, doc_id, sample_pos, input_ids, n_tokens)``. Sampling comes first, so only kept rows are encoded."""
-    sampled = sample_n(corpus, {TRAIN: train_count, VALIDATION: validation_count}, seed)
+    """``(split, doc_id, sample_pos, input_ids, n_tokens)``. Sampling comes first, so only kept rows are encoded.
+
+    Missing texts are dropped or become the word ``nan``, so every row has exactly ``n`` ids.
+    """
+    cleaned = normalize_text(corpus, null_policy=null_policy)
+    sampled = sample_n(cleaned, {TRAIN: train_count, VALIDATION: validation_count}, seed)
     return fixed_length(encode(sampled, tokenizer).drop("text"), n)

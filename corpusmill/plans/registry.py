@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.words import word_counts
 from corpusmill.plans.oracle_bpe import WORD_PATTERN, encoded_docs, merge_tables
 from corpusmill.session import materialize
-from corpusmill.sources.corpus import TRAIN, VALIDATION, read_corpus, spread
+from corpusmill.sources.corpus import TRAIN, VALIDATION, read_corpus
 from corpusmill.sources.tokenizer_store import Tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,8 @@ ORACLE: dict[str, str] = {}
 QUERY_VOCAB = 192
 # Upper bound of merges: specials and at least the ten digits and 52 letters come first.
 QUERY_ROUNDS = QUERY_VOCAB - 3 - 62
+# The test tables are single files; who runs the queries on them may name a number of tasks.
+ONE_FILE_TASKS = int(os.environ.get("CORPUSMILL_TASKS", "0")) or None
 # Epoch length of the training log that stands on ``events``.
 EPOCH_STEPS = 2000
 
@@ -61,7 +64,7 @@ SQL_GENERATION_LOG = """
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(F.col("doc_id") % 100 == 0, VALIDATION).otherwise(TRAIN)
-    return read_corpus(spark, f"{sf_dir}/documents.parquet", split)
+    return read_corpus(spark, f"{sf_dir}/documents.parquet", split, tasks=ONE_FILE_TASKS)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +119,7 @@ SQL_CONVERSATIONS = """
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
 def tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.routing import (
-    add_noise, centroids, combine, dispatch, expert_blocks, expert_load, explode_routes, gate_logits, gate_weights,
+    all_logits, add_noise, centroids, combine, dispatch, expert_blocks, expert_load, explode_routes, all_logits, gate_weights,
     route_top_k,
 )
 from corpusmill.plans.registry import embeddings, query
@@ -54,8 +54,7 @@ def expert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SQL_LOGITS} select vec_id, expert_id, round(logit, 8) as logit from logits")
 def expert_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (block,) = expert_blocks(_experts(spark, sf_dir))
-    scored = embeddings(spark, sf_dir).withColumn("logits", gate_logits(block))
+    scored = embeddings(spark, sf_dir).withColumn("logits", all_logits(expert_blocks(_experts(spark, sf_dir))))
     return explode_routes(scored, "logits", "vec_id").withColumn("logit", F.round("logit", 8))
 
 
@@ -64,11 +63,10 @@ with {_SQL_LOGITS},
 keyed as (select *, md5('7:' || vec_id || ':' || expert_id) as h from logits)
 select vec_id, expert_id, round(logit
   + sqrt(-2 * ln((('0x' || substr(h, 1, 8))::bigint + 0.5) / 4294967296.0::double))
-  * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::bigint + 0.5) / 4294967296.0::double)) * ln(1 + exp(logit)), 8) as logit
+  * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::bigint + 0.5) / 4294967296.0::double)) * (greatest(logit, 0) + ln(1 + exp(-abs(logit)))), 8) as logit
 from keyed""")
 def noisy_expert_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (block,) = expert_blocks(_experts(spark, sf_dir))
-    scored = embeddings(spark, sf_dir).withColumn("logits", gate_logits(block))
+    scored = embeddings(spark, sf_dir).withColumn("logits", all_logits(expert_blocks(_experts(spark, sf_dir))))
     noisy = scored.withColumn("noisy", add_noise("logits", "logits", "vec_id", seed=7))
     return explode_routes(noisy, "noisy", "vec_id").withColumn("logit", F.round("logit", 8))
 

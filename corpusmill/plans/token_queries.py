@@ -47,7 +47,8 @@ def best_symbol_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with {_SQL_SYMBOLS},
 best as (select l, r from pairs order by c desc, l, r limit 1)
-select word, replace(s, ' ' || l || '  ' || r || ' ', ' 1114112 ') as symbols from symbols, best""")
+select word, replace(s, ' ' || (select l from best) || '  ' || (select r from best) || ' ', ' 1114112 ') as symbols
+from symbols""")
 def first_merge_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = materialize(word_counts(corpus(spark, sf_dir)), "word-counts")
     best = best_pairs(pair_counts(symbol_words(words))).first()
@@ -82,13 +83,12 @@ def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_usage(word_counts(corpus(spark, sf_dir)), tokenizer(spark, sf_dir))
 
 
-@query(SQL_ENCODED + f""",
-cut as materialized (select doc_id, ids[:{BLOCK_SIZE}] as ids from encoded),
-flat as materialized (select doc_id, unnest(ids) as token_id, generate_subscripts(ids, 1) as pos from cut)
+@query(SQL_ENCODED + """,
+flat as materialized (select doc_id, unnest(ids) as token_id, generate_subscripts(ids, 1) as pos from encoded)
 select doc_id, string_agg(token, ' ' order by pos) as decoded from flat join vocab using (token_id) group by doc_id""")
 def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = tokenizer(spark, sf_dir)
-    rows = fixed_length(encode(corpus(spark, sf_dir), learned))
+    rows = encode(corpus(spark, sf_dir), learned)
     return rows.select("doc_id", decode("input_ids", learned).alias("decoded"))
 
 

@@ -33,22 +33,18 @@ _CSV_COMMON = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a source that has fewer scan tasks than the session has cores.
-
-    Only a small source, such as a single file with one row group, is affected; a scan
-    with enough tasks stays as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_corpus(
-    spark: SparkSession, path: str, split: str | Column = "split", columns: Sequence[str] = ("doc_id", "text")
+    spark: SparkSession, path: str, split: str | Column = "split", columns: Sequence[str] = ("doc_id", "text"),
+    tasks: int | None = None,
 ) -> DataFrame:
-    """``(split, *columns)`` from Parquet; ``split`` is a column of the file or an expression."""
+    """``(split, *columns)`` from Parquet; ``split`` is a column of the file or an expression.
+
+    ``tasks`` deals the rows out to that many tasks, which shuffles them: only for a source
+    that is one file with one row group.
+    """
     split = F.col(split) if isinstance(split, str) else split
-    return spread(spark.read.parquet(path).select(split.alias("split"), *columns))
+    rows = spark.read.parquet(path).select(split.alias("split"), *columns)
+    return rows.repartition(tasks) if tasks else rows
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -31,6 +31,24 @@ def stream_prepare(stream: DataFrame, tokenizer: Tokenizer, n: int = BLOCK_SIZE)
     return fixed_length(encode(stream, tokenizer).drop("text"), n)
 
 
+def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write every changed group of a roll-up after each batch, open windows too, then stop.
+
+    A batch has a folder of its own, so a batch that is run again replaces its rows.
+    """
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(put).trigger(availableNow=True).start()
+
+
+def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each group from what :func:`write_updates` wrote."""
+    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "batch_id")])
+    return rows.groupBy(*keys).agg(F.max_by(rest, "batch_id").alias("_last")).select(*keys, "_last.*")
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append everything that is available now to Parquet, exactly once, then stop."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,7 @@ def spark():
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="corpusmill-tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",

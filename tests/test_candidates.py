@@ -133,3 +133,14 @@ def test_continuation(spark, docs, broadcasting):
         assert rows[i].context == (rows[i].tokens + rows[i].generated)[-5:]
     again = {r.conv_id: r.generated for r in continue_batch(prompts.repartition(5), candidates, 12, n=5).collect()}
     assert again == {i: r.generated for i, r in rows.items()}
+
+
+def test_softmax_of_masked_and_odd_logits(spark, broadcasting):
+    inf, nan = math.inf, math.nan
+    rows = [("m", 1, 1.0), ("m", 2, -inf), ("m", 3, 1.0), ("all", 1, -inf), ("nan", 1, nan), ("nan", 2, 0.0),
+            ("inf", 1, inf), ("none", 1, None), ("none", 2, 3.0)]
+    table = spark.createDataFrame(rows, "context string, candidate int, logit double")
+    got = {(r.context, r.candidate): r.p for r in softmax(table).collect()}
+    assert [got["m", i] for i in (1, 2, 3)] == [0.5, 0.0, 0.5]
+    assert all(math.isnan(got[key]) for key in (("all", 1), ("nan", 1), ("nan", 2), ("inf", 1)))
+    assert got["none", 1] is None and got["none", 2] == 1.0

@@ -106,3 +106,41 @@ def test_learning_from_a_corpus_drops_missing_texts(spark):
     assert learn_tokenizer(corpus, 100).vocab[3:] == ("a", "b", "ab")
     kept = learn_tokenizer(corpus, 100, null_policy="nan").vocab
     assert "n" in kept and train_bpe(word_counts(corpus.where("text = 'ab'")), 100).vocab[3:] == ("a", "b", "ab")
+
+
+def test_long_words_merge_quickly_and_alike():
+    import random
+    import time
+
+    from corpusmill.operators.encode import merge_word
+
+    rng = random.Random(4)
+    for _ in range(300):
+        merges, merged = {}, []
+        for rank in range(12):
+            pair = (rng.randrange(3 + rank), rng.randrange(3 + rank))
+            if pair not in merges:
+                merges[pair] = len(merged)
+                merged.append(3 + len(merged))
+        word = [rng.randrange(3) for _ in range(rng.randrange(30))]
+        plain = list(word)
+        while ranks := [(merges[p], i) for i, p in enumerate(zip(plain, plain[1:])) if p in merges]:
+            rank, i = min(ranks)
+            plain[i : i + 2] = [merged[rank]]
+        assert merge_word(word, merges, merged) == plain
+    start = time.perf_counter()
+    assert len(merge_word([0] * 1_000_000, {(0, 0): 0, (1, 1): 1}, [1, 2])) == 250_000
+    assert time.perf_counter() - start < 60
+
+
+def test_dictionary_without_special_tokens_loses_nothing(edges, tokenizer):
+    words = materialize(word_counts(edges))
+    joined = {row.doc_id: row.input_ids for row in encode_by_dictionary(edges, words, tokenizer).collect()}
+    for row in encode(edges, tokenizer).collect():
+        assert joined[row.doc_id] == (row.input_ids or [])
+
+
+def test_prepared_rows_of_missing_texts_are_full(edges, tokenizer):
+    corpus = edges.withColumn("split", F.lit("train"))
+    rows = prepare(corpus, tokenizer, 50, train_count=-1).collect()
+    assert len(rows) == len(EDGES) and all(len(row.input_ids) == 50 for row in rows)

@@ -61,3 +61,12 @@ def test_noise_is_seeded_and_normal(spark):
     assert abs(draws.mean()) < 0.06 and abs(draws.std() - 1) < 0.05
     again = rows.repartition(9).select("id", F.inline(r.add_noise("logits", "logits", "id", 5))).orderBy("id")
     assert np.array_equal([v.logit for v in again.collect()], draws * np.log(2))
+
+
+def test_noise_of_all_blocks_and_of_large_logits(spark, vectors):
+    blocks = r.expert_blocks(r.centroids(vectors), 12)
+    rows = vectors.withColumn("logits", r.all_logits(blocks))
+    noisy = rows.withColumn("noisy", r.add_noise("logits", "logits", "vec_id")).collect()
+    assert len(blocks) == 3 and all(len(row.noisy) == 5 for row in noisy)
+    values = spark.createDataFrame([(x,) for x in (-800.0, 0.0, 800.0)], "x double")
+    assert [v[0] for v in values.select(r.softplus(F.col("x"))).collect()] == pytest.approx([0.0, np.log(2.0), 800.0])

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from corpusmill.sources.corpus import (
-    concat_splits, read_corpus, read_csv, read_dataset, read_lines, split_counts, spread, write_csv, write_dataset,
+    concat_splits, read_corpus, read_csv, read_dataset, read_lines, split_counts, write_csv, write_dataset,
     write_lines,
 )
 
@@ -47,12 +47,6 @@ def test_corpus_scan_prunes_columns(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_spread_leaves_wide_sources_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_concat_keeps_duplicates_and_order(spark):
     a = spark.createDataFrame([("x",), ("x",)], "text string")
     b = spark.createDataFrame([("x",)], "text string")

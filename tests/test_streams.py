@@ -4,7 +4,9 @@ from test_encode import docs, library, tokenizer  # noqa: F401
 
 from corpusmill.operators.encode import encode
 from corpusmill.plans.prepare import fixed_length
-from corpusmill.streaming.streams import stream_metrics, stream_prepare, write_available
+from corpusmill.streaming.streams import (
+    latest_updates, stream_metrics, stream_prepare, write_available, write_updates,
+)
 
 SCHEMA = "ts timestamp_ntz, kind string, value double"
 
@@ -39,3 +41,14 @@ def test_streamed_documents_equal_the_batch_result(spark, tmp_path, docs, tokeni
     batch = fixed_length(encode(docs, tokenizer).drop("text"), 100)
     got = {r.doc_id: (r.input_ids, r.n_tokens) for r in spark.read.parquet(sink).collect()}
     assert got == {r.doc_id: (r.input_ids, r.n_tokens) for r in batch.collect()}
+
+
+def test_open_windows_are_written_too(spark, tmp_path):
+    source, sink, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    for minutes in ([1, 2, 11], [12, 30]):
+        rows = [(_at(minute), "k", float(minute)) for minute in minutes]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        write_updates(stream_metrics(stream, "10 minutes", "5 minutes", by=("kind",)), sink, state).awaitTermination()
+    current = latest_updates(spark.read.parquet(sink), ["window_start", "kind"]).orderBy("window_start").collect()
+    assert [(r.window_start, r.n, r.max_value) for r in current] == [(_at(0), 2, 2.0), (_at(10), 2, 12.0), (_at(30), 1, 30.0)]
