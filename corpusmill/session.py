@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,12 @@ def _session_scratch(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/corpusmill/{spark.sparkContext.applicationId}"
 
 
+# Folders of the calls of `materialize_alone` that are under way, the outermost first.
+_open_folders: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{_session_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([_session_scratch(spark), *_open_folders, f"{name}-{uuid.uuid4().hex}"])
 
 
 def write_scratch(df: DataFrame, name: str = "table") -> str:
@@ -90,3 +95,16 @@ def clear_scratch(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return write_table(df, name).df
+
+
+def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """Write what ``make`` returns and remove every table that was written on the way to it."""
+    folder = scratch_path(spark, "passing")
+    _open_folders.append(folder.rsplit("/", 1)[1])
+    try:
+        df = make()
+    finally:
+        _open_folders.pop()
+    table = materialize(df, name)
+    delete_scratch(spark, folder)
+    return table

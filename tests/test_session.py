@@ -33,3 +33,19 @@ def test_a_local_session_gets_its_own_folder():
 def test_written_table_knows_its_size_and_is_cleared(spark):
     table = session.write_table(spark.range(10), "ten")
     assert table.df.count() == 10 and table.size > 0
+
+
+def test_tables_on_the_way_are_removed(spark):
+    inner = []
+
+    def make():
+        inner.append(session.write_scratch(spark.range(10), "on-the-way"))
+        return spark.read.parquet(inner[0]).where("id < 4")
+
+    table = session.materialize_alone(spark, make, "result")
+    assert table.count() == 4 and "on-the-way" not in " ".join(table.inputFiles())
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(inner[0])
+    with pytest.raises(ZeroDivisionError):
+        session.materialize_alone(spark, lambda: 1 / 0)
+    assert "passing" not in session.scratch_path(spark, "next")
