@@ -9,6 +9,7 @@ what is left is packed into sequences of token ids.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import language, minhash, mixing, packing, personal_data
 from corpusmill.llm.queries import fold
-from corpusmill.session import materialize
+from corpusmill.session import materialize_alone
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -67,5 +68,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # Only a stage's rows stay; the tables it wrote on the way go with it.
+        docs = materialize_alone(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import connected_components, map_batches, with_row_id
-from corpusmill.session import materialize
+from corpusmill.session import materialize, materialize_alone
 
 WORDS = 5
 PERMUTATIONS = 128
@@ -173,6 +173,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     ``component_id`` is the smallest id of the documents reachable by links; ``kept`` is true
     for that document, once even if its row is repeated (``row_id`` then decides).
     """
+    rows = materialize_alone(docs.sparkSession, lambda: _rooted(docs, similarity), "rooted")
+    # The smallest id decides; among repeated rows of it, the first row.
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
+    first = rows.groupBy("root").agg(F.min(order).alias("_first"))
+    joined = rows.join(first, "root")
+    return joined.select(
+        "row_id", "text_key", "doc_id", "n_shingles", F.col("_first.doc_id").alias("component_id"),
+        (F.col("row_id") == F.col("_first.row_id")).alias("kept"),
+    )
+
+
+def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
+    """``(row_id, text_key, doc_id, n_shingles, root)``: rows linked with each other have one root."""
     signed = signatures(docs)
     named = signed.where(F.col("set_key").isNotNull())
     class_of = materialize(named.groupBy("set_key").agg(F.min("row_id").alias("class")), "classes")
@@ -220,15 +233,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
 
     keys = class_of.join(roots, "class").select("set_key", "root")
     rows = signed.select("row_id", "text_key", "doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
-    rows = materialize(rows.withColumn("root", F.coalesce("root", "row_id")).drop("set_key"), "rooted")
-    # The smallest id decides; among repeated rows of it, the first row.
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
-    first = rows.groupBy("root").agg(F.min(order).alias("_first"))
-    joined = rows.join(first, "root")
-    return joined.select(
-        "row_id", "text_key", "doc_id", "n_shingles", F.col("_first.doc_id").alias("component_id"),
-        (F.col("row_id") == F.col("_first.row_id")).alias("kept"),
-    )
+    return rows.withColumn("root", F.coalesce("root", "row_id")).drop("set_key")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
