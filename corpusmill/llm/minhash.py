@@ -8,7 +8,8 @@ by chance, estimate their similarity; links are confirmed on the full sets.
 Equal sets are one class from the start. In a band's bucket every class is compared with the
 smallest class only, so a bucket of any size costs one pair per member. Members that end up
 in the same component need no further comparison; what is left over, members of one bucket in
-different components, is compared in full, so no link between different texts is lost.
+different components, is compared by size and signature inside the join, and what may be a link
+on full sets, so no link between different texts is lost.
 
 A pair with similarity 0.75 shares a band with probability 1 - (1 - 0.75 ** 4) ** 32, about
 0.999995, and an estimate below ``LOOK`` is six standard errors off.
@@ -189,7 +190,7 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
     signed = signatures(docs)
     named = signed.where(F.col("set_key").isNotNull())
     class_of = materialize(named.groupBy("set_key").agg(F.min("row_id").alias("class")), "classes")
-    heads = signed.select(F.col("row_id").alias("class"), "doc_id", "text_key", "packed", "bands")
+    heads = signed.select(F.col("row_id").alias("class"), "doc_id", "text_key", "n_shingles", "packed", "bands")
     classes = materialize(heads.join(class_of.select("class"), "class"), "class-heads")
 
     exploded = classes.select("class", F.explode("bands").alias("band"))
@@ -222,11 +223,16 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
     # Members of one bucket in different components, neither of them the centre.
     rooted = members.where("class <> centre").join(roots, "class")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
-    left = rooted.join(mixed, "band").select("band", F.col("class").alias("a"), F.col("root").alias("_left"))
+    left = rooted.join(mixed, "band").join(classes.select("class", "n_shingles", "packed"), "class").select(
+        "band", F.col("class").alias("a"), F.col("root").alias("_left"), F.col("n_shingles").alias("_n"), F.col("packed").alias("_packed"))
     left = materialize(left, "mixed")
-    right = left.select("band", F.col("a").alias("b"), F.col("_left").alias("_right"))
-    across = left.join(right, "band").where("_left < _right").select("a", "b").distinct()
-    rest = _shared(with_estimate(across).select("a", "b"), classes, docs, similarity)
+    right = left.select(F.col("band").alias("_band"), F.col("a").alias("b"), F.col("_left").alias("_right"),
+                        F.col("_n").alias("_m"), F.col("_packed").alias("_other"))
+    # Sizes bound the similarity; both tests belong to the join, so only pairs that may be links become rows.
+    sizes = F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m")
+    alike = sizes & (estimated(F.col("_packed"), F.col("_other")) >= LOOK)
+    across = left.join(right, (F.col("band") == F.col("_band")) & (F.col("_left") < F.col("_right")) & alike)
+    rest = _shared(across.select("a", "b").distinct(), classes, docs, similarity)
     if not rest.isEmpty():
         links = materialize(links.unionByName(rest), "links")
         roots = materialize(_regrouped(classes.select("class"), links), "grouped")
