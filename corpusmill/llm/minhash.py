@@ -7,12 +7,13 @@ by chance, estimate their similarity; links are confirmed on the full sets.
 
 Equal sets are one class from the start. In a band's bucket every class is compared with the
 smallest class only, so a bucket of any size costs one pair per member. Members that end up
-in the same component need no further comparison; what is left over, members of one bucket in
-different components, is compared by size and signature inside the join, and what may be a link
-on full sets, so no link between different texts is lost.
+in the same component need no further comparison. What is left over, members of one bucket in
+different components, is compared inside a join by size and signature, in two rounds: first
+those that are most alike, one pair for two components, then every pair still in different
+components, by ``WIDE`` further minima as well. What may be a link is confirmed on full sets.
 
 A pair with similarity 0.75 shares a band with probability 1 - (1 - 0.75 ** 4) ** 32, about
-0.999995, and an estimate below ``LOOK`` is six standard errors off.
+0.999995; an estimate below ``LOOK`` or ``LOOK_WIDE`` is five standard errors off.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text
 with fewer words than a shingle is one shingle; repeated rows link with each other; a null
@@ -21,6 +22,8 @@ id stays null and is never the smallest; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,9 +39,12 @@ ROWS = 4
 BANDS = PERMUTATIONS // ROWS
 BITS = 4
 PER_LONG = 64 // BITS
-LOOK = 0.5
+LOOK = 0.55
+# Minima of the texts that are left over after the first comparisons, and the estimate they must reach.
+WIDE = 1024
+LOOK_WIDE = 0.68
 SEED = 20_011
-# Shingles times permutations held at once.
+# Shingles whose hashes under ``PERMUTATIONS`` functions are held at once.
 BLOCK = 2048
 
 
@@ -64,15 +70,16 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 class Signer:
     """Minima of fixed random hash functions over a shingle set."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, permutations: int = PERMUTATIONS, seed: int = SEED):
         random = np.random.default_rng(seed)
-        self.factor = random.integers(0, 1 << 63, PERMUTATIONS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-        self.offset = random.integers(0, 1 << 63, PERMUTATIONS, np.uint64)[:, None]
+        self.factor = random.integers(0, 1 << 63, permutations, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+        self.offset = random.integers(0, 1 << 63, permutations, np.uint64)[:, None]
+        self.block = BLOCK * PERMUTATIONS // permutations
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
-        found = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(shingles), BLOCK):
-            found = np.minimum(found, (shingles[None, i : i + BLOCK] * self.factor + self.offset).min(axis=1))
+        found = np.full(len(self.factor), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(shingles), self.block):
+            found = np.minimum(found, (shingles[None, i : i + self.block] * self.factor + self.offset).min(axis=1))
         return found
 
     def packed(self, minima: np.ndarray) -> np.ndarray:
@@ -88,7 +95,7 @@ class Signer:
         return keys.view(np.int64)
 
 
-def estimated(a: Column, b: Column) -> Column:
+def estimated(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
     """Similarity from two packed signatures: share of equal fields, corrected for chance."""
     def unequal(x: Column, y: Column) -> Column:
         bits = x.bitwiseXOR(y)
@@ -98,7 +105,7 @@ def estimated(a: Column, b: Column) -> Column:
 
     n = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda total, x: total + x)
     chance = 1.0 / (1 << BITS)
-    return (F.lit(1.0) - n / F.lit(float(PERMUTATIONS)) - chance) / (1.0 - chance)
+    return (F.lit(1.0) - n / F.lit(float(permutations)) - chance) / (1.0 - chance)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -125,13 +132,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return materialize(with_row_id(map_batches(keyed, schema, start)), "signatures")
 
 
-def _shared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those ``pairs (a, b)`` of class ids whose full sets are similar, written.
-
-    The sets are made again from the texts, only for classes that occur in a pair.
-    """
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, wide: bool = False) -> DataFrame:
+    """``(class, shingles, wide)`` of the ``wanted`` classes, made again from the texts, written."""
     names = wanted.join(classes.select("class", "doc_id", "text_key"), "class")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_key", F.xxhash64("_doc", "text"))
@@ -139,12 +141,23 @@ def _shared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: f
     found = rows.join(names, same).select("class", "text").dropDuplicates(["class"])
 
     def start():
-        return lambda batch: (batch.column(0), [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()])
+        signer = Signer(WIDE, SEED + 1)
+
+        def read(batch):
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            packed = [signer.packed(signer.minima(s)) if wide else None for s in sets]
+            return batch.column(0), [s.tobytes() for s in sets], packed
+
+        return read
 
-    sets = materialize(map_batches(found, "class bigint, shingles binary", start), "sets")
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("_left"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
+    return materialize(map_batches(found, "class bigint, shingles binary, wide array<bigint>", start), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: the components of those ``pairs (a, b, left, right)`` of classes whose full sets are similar, written."""
+    first = sets.select(F.col("class").alias("a"), F.col("shingles").alias("_left"))
+    second = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_right"))
+    both = pairs.join(first, "a").join(second, "b").select("left", "right", "_left", "_right")
 
     def confirm():
         def similar(batch):
@@ -162,10 +175,13 @@ def _shared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: f
     return materialize(map_batches(both, "a bigint, b bigint", confirm), "confirmed")
 
 
-def _regrouped(members: DataFrame, links: DataFrame) -> DataFrame:
-    roots = connected_components(links)
-    joined = members.drop("root").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    return joined.withColumn("root", F.coalesce("root", "class"))
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots (class, root)`` with the linked components made one, written."""
+    if links.isEmpty():
+        return roots
+    found = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    joined = roots.join(found, "root", "left").select("class", F.coalesce("_new", "root").alias("root"))
+    return materialize(joined, "grouped")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
@@ -196,46 +212,46 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
     exploded = classes.select("class", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     members = materialize(exploded.join(shared.select("band", "centre"), "band"), "members")
-    packed = classes.select("class", "packed")
-
-    def with_estimate(pairs: DataFrame) -> DataFrame:
-        left = packed.select(F.col("class").alias("a"), F.col("packed").alias("_left"))
-        right = packed.select(F.col("class").alias("b"), F.col("packed").alias("_right"))
-        scored = pairs.join(left, "a").join(right, "b").withColumn("score", estimated(F.col("_left"), F.col("_right")))
-        return scored.where(F.col("score") >= LOOK).select("a", "b", "score")
-
+    ends = classes.select("class", "packed")
+    first = ends.select(F.col("class").alias("a"), F.col("packed").alias("_left"))
+    second = ends.select(F.col("class").alias("b"), F.col("packed").alias("_right"))
     stars = members.where("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = materialize(with_estimate(stars), "stars")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
-    links = _shared(best, classes, docs, similarity)
-    roots = materialize(_regrouped(classes.select("class"), links), "grouped")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        left = roots.select(F.col("class").alias("a"), F.col("root").alias("_left"))
-        right = roots.select(F.col("class").alias("b"), F.col("root").alias("_right"))
-        return pairs.join(left, "a").join(right, "b").where("_left <> _right").select("a", "b")
-
-    # Other centres of classes that are not yet in one component with them.
-    more = _shared(apart(stars.join(best, ["a", "b"], "left_anti")), classes, docs, similarity)
-    if not more.isEmpty():
-        links = materialize(links.unionByName(more), "links")
-        roots = materialize(_regrouped(classes.select("class"), links), "grouped")
+    stars = stars.join(first, "a").join(second, "b").where(estimated(F.col("_left"), F.col("_right")) >= LOOK)
+    stars = materialize(stars.select("a", "b", F.col("a").alias("left"), F.col("b").alias("right")), "stars")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    links = _confirmed(stars, _full_sets(wanted, classes, docs), similarity)
+    roots = _merged(classes.select("class", F.col("class").alias("root")), links)
+
     # Members of one bucket in different components, neither of them the centre.
-    rooted = members.where("class <> centre").join(roots, "class")
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
-    left = rooted.join(mixed, "band").join(classes.select("class", "n_shingles", "packed"), "class").select(
-        "band", F.col("class").alias("a"), F.col("root").alias("_left"), F.col("n_shingles").alias("_n"), F.col("packed").alias("_packed"))
-    left = materialize(left, "mixed")
-    right = left.select(F.col("band").alias("_band"), F.col("a").alias("b"), F.col("_left").alias("_right"),
-                        F.col("_n").alias("_m"), F.col("_packed").alias("_other"))
-    # Sizes bound the similarity; both tests belong to the join, so only pairs that may be links become rows.
-    sizes = F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m")
-    alike = sizes & (estimated(F.col("_packed"), F.col("_other")) >= LOOK)
-    across = left.join(right, (F.col("band") == F.col("_band")) & (F.col("_left") < F.col("_right")) & alike)
-    rest = _shared(across.select("a", "b").distinct(), classes, docs, similarity)
-    if not rest.isEmpty():
-        links = materialize(links.unionByName(rest), "links")
-        roots = materialize(_regrouped(classes.select("class"), links), "grouped")
+    def several(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component."""
+        ends = rows.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
+        return rows.join(ends.select("band"), "band")
+
+    def across(rows: DataFrame, test: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+        """Pairs in different components that pass ``test``, which belongs to the join: no other pair becomes a row."""
+        a, b = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
+        # Sizes bound the similarity.
+        sizes = F.least(a("n_shingles"), b("n_shingles")) >= F.lit(similarity) * F.greatest(a("n_shingles"), b("n_shingles"))
+        apart = (a("band") == b("band")) & (a("root") < b("root")) & sizes & test(a, b)
+        return rows.alias("_a").join(rows.alias("_b"), apart).select(
+            a("class").alias("a"), b("class").alias("b"), a("root").alias("left"), b("root").alias("right"),
+            estimated(a("packed"), b("packed")).alias("score"))
+
+    left_over = materialize(several(members.where("class <> centre").select("band", "class").join(roots, "class")), "left-over")
+    sets = _full_sets(left_over.select("class").distinct(), classes, docs, wide=True)
+    known = sets.select("class", "wide").join(classes.select("class", "n_shingles", "packed"), "class")
+    left_over = materialize(left_over.join(known, "class"), "left-over")
+
+    near = across(left_over, lambda a, b: estimated(a("packed"), b("packed")) >= similarity)
+    best = near.groupBy("left", "right").agg(F.max(F.struct("score", "a", "b")).alias("_best"))
+    roots = _merged(roots, _confirmed(best.select("_best.a", "_best.b", "left", "right"), sets, similarity))
+
+    rest = several(left_over.drop("root").join(roots, "class"))
+    rest = across(rest, lambda a, b: (estimated(a("packed"), b("packed")) >= LOOK)
+                  & (estimated(a("wide"), b("wide"), WIDE) >= LOOK_WIDE))
+    rest = rest.drop("score").distinct()
+    roots = _merged(roots, _confirmed(rest, sets, similarity))
 
     keys = class_of.join(roots, "class").select("set_key", "root")
     rows = signed.select("row_id", "text_key", "doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
