@@ -233,14 +233,16 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
         a, b = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
         # Sizes bound the similarity.
         sizes = F.least(a("n_shingles"), b("n_shingles")) >= F.lit(similarity) * F.greatest(a("n_shingles"), b("n_shingles"))
-        apart = (a("band") == b("band")) & (a("root") < b("root")) & sizes & test(a, b)
+        # A pair that meets in several buckets comes out of one of them.
+        once = F.array_min(F.array_intersect(a("bands"), b("bands"))) == a("band")
+        apart = (a("band") == b("band")) & (a("root") < b("root")) & sizes & test(a, b) & once
         return rows.alias("_a").join(rows.alias("_b"), apart).select(
             a("class").alias("a"), b("class").alias("b"), a("root").alias("left"), b("root").alias("right"),
             estimated(a("packed"), b("packed")).alias("score"))
 
     left_over = materialize(several(members.where("class <> centre").select("band", "class").join(roots, "class")), "left-over")
     sets = _full_sets(left_over.select("class").distinct(), classes, docs, wide=True)
-    known = sets.select("class", "wide").join(classes.select("class", "n_shingles", "packed"), "class")
+    known = sets.select("class", "wide").join(classes.select("class", "n_shingles", "packed", "bands"), "class")
     left_over = materialize(left_over.join(known, "class"), "left-over")
 
     near = across(left_over, lambda a, b: estimated(a("packed"), b("packed")) >= similarity)
@@ -250,7 +252,6 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
     rest = several(left_over.drop("root").join(roots, "class"))
     rest = across(rest, lambda a, b: (estimated(a("packed"), b("packed")) >= LOOK)
                   & (estimated(a("wide"), b("wide"), WIDE) >= LOOK_WIDE))
-    rest = rest.drop("score").distinct()
     roots = _merged(roots, _confirmed(rest, sets, similarity))
 
     keys = class_of.join(roots, "class").select("set_key", "root")
