@@ -22,11 +22,14 @@ WEIGHT_BITS = 30
 STEPS_PER_WRITE = 10
 
 
-def next_pairs(df: DataFrame, keep: list[str], tokens: str = "tokens") -> DataFrame:
-    """``(*keep, ctx, nxt)``: every adjacent pair of tokens of a row."""
+def next_pairs(df: DataFrame, keep: list[str], tokens: str = "tokens", outer: bool = False) -> DataFrame:
+    """``(*keep, ctx, nxt)``: every adjacent pair of tokens of a row.
+
+    With ``outer`` a row without pairs gives one row with nulls.
+    """
     last = F.greatest(F.size(tokens) - 1, F.lit(0))
     zipped = F.arrays_zip(F.slice(tokens, F.lit(1), last).alias("ctx"), F.slice(tokens, F.lit(2), last).alias("nxt"))
-    return df.select(*keep, F.inline(zipped))
+    return df.select(*keep, (F.inline_outer if outer else F.inline)(zipped))
 
 
 def bigrams(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -44,9 +47,9 @@ def doc_cross_entropy(
     """``(key, nll, n, loss)``: add-one smoothed cross-entropy of each row's adjacent pairs.
 
     Equal pairs of a row are combined before the joins; pairs never seen stay by the left
-    joins with count zero.
+    joins with count zero. A row with fewer than two tokens has ``n`` 0 and no loss.
     """
-    pairs = next_pairs(df, [key], tokens).groupBy(key, "ctx", "nxt").agg(F.count(F.lit(1)).alias("m"))
+    pairs = next_pairs(df, [key], tokens, outer=True).groupBy(key, "ctx", "nxt").agg(F.count("ctx").alias("m"))
     counts = counts if isinstance(counts, WrittenTable) else write_table(counts, "bigrams")
     totals = counts.df.groupBy("ctx").agg(F.sum("c").alias("c_ctx"))
     scored = keyed_join(pairs, counts, ["ctx", "nxt"], weight="c", how="left")
@@ -55,7 +58,7 @@ def doc_cross_entropy(
     vocab = vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
     nll = -F.log((seen + 1) / (context + vocab))
     per_doc = scored.groupBy(key).agg(F.sum(F.col("m") * nll).alias("nll"), F.sum("m").alias("n"))
-    return per_doc.withColumn("loss", F.col("nll") / F.col("n"))
+    return per_doc.withColumn("loss", F.try_divide("nll", "n"))
 
 
 def evaluate(
@@ -68,9 +71,9 @@ def evaluate(
     numbered = batches(range_rank(scored, [key]), batch_size)
     per_batch = numbered.groupBy("batch_id").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
     return per_batch.agg(
-        F.avg(F.col("nll") / F.col("n")).alias("macro_loss"),
-        (F.sum("nll") / F.sum("n")).alias("micro_loss"),
-        F.exp(F.avg(F.col("nll") / F.col("n"))).alias("perplexity"),
+        F.avg(F.try_divide("nll", "n")).alias("macro_loss"),
+        F.try_divide(F.sum("nll"), F.sum("n")).alias("micro_loss"),
+        F.exp(F.avg(F.try_divide("nll", "n"))).alias("perplexity"),
         F.sum("n").alias("n_pairs"),
     )
 

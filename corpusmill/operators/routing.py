@@ -20,7 +20,6 @@ from corpusmill.functions.hashing import hash_key, normal
 LITERAL_ENTRIES = 1 << 18
 # Logits are compared after rounding, so float noise cannot break a tie.
 RANK_DIGITS = 9
-DISPATCH_SALTS = 16
 
 
 def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -45,7 +44,8 @@ class Experts:
 
 
 def expert_blocks(experts: DataFrame, entries: int = LITERAL_ENTRIES) -> list[Experts]:
-    """The expert table in blocks of bounded size, each fetched on its own."""
+    """The expert table in blocks of bounded size, each fetched on its own; a null id is no expert."""
+    experts = experts.where(F.col("expert_id").isNotNull())
     size = experts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("weights")).alias("dim")).first()
     per_block = max(1, entries // max(1, size.dim or 1))
     blocks, last = [], None
@@ -140,16 +140,20 @@ def explode_routes(df: DataFrame, routes: str, *keep: str) -> DataFrame:
 def dispatch(df: DataFrame, row_id: str = "vec_id", gates: str = "gates") -> DataFrame:
     """``(row_id, expert_id, gate)`` of positive gates, laid out by expert.
 
-    A popular expert's rows are spread over several tasks; an expert without rows gets none.
+    A popular expert's rows are spread over as many tasks as the session shuffles to; an
+    expert without rows gets none.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = explode_routes(df, gates, row_id).where(F.col("gate") > 0).select(row_id, "expert_id", "gate")
-    salt = F.pmod(F.xxhash64(row_id), F.lit(DISPATCH_SALTS))
+    salt = F.pmod(F.xxhash64(row_id), F.lit(tasks))
     return routed.repartition(F.col("expert_id"), salt)
 
 
 def combine(df: DataFrame, blocks: list[Experts], gates: str = "gates", out: str = "combined") -> DataFrame:
     """Add the gate-weighted sum of the chosen experts' vectors, in the row."""
-    summed = F.array_repeat(F.lit(0.0), len(blocks[0].weights[0]))
+    summed = F.array_repeat(F.lit(0.0), len(blocks[0].weights[0]) if blocks else 0)
+    if not blocks:
+        return df.withColumn(out, summed)
     for block in blocks:
         df = df.withColumn(out, _add_routed(summed, F.col(gates), block))
         summed = F.col(out)

@@ -94,13 +94,15 @@ totals as (select ctx, sum(c) as c_ctx from counts group by ctx),
 vocab as (select count(distinct word) as v from (select unnest(tokens) as word from toks where split = 'train')),
 pairs as (
   select split, doc_id, z[1] as ctx, z[2] as nxt
-  from (select split, doc_id, unnest(list_zip(tokens[:-2], tokens[2:])) as z from toks)),
+  from (select split, doc_id, unnest(case when len(tokens) > 1 then list_zip(tokens[:-2], tokens[2:]) else [null] end) as z
+    from toks)),
 per_doc as materialized (
-  select split, doc_id, sum(-ln((coalesce(c, 0) + 1)::double / (coalesce(c_ctx, 0) + v))) as nll, count(*) as n
+  select split, doc_id, count(ctx) as n,
+    sum(case when ctx is null then 0.0 else -ln((coalesce(c, 0) + 1)::double / (coalesce(c_ctx, 0) + v)) end) as nll
   from pairs left join counts using (ctx, nxt) left join totals using (ctx), vocab group by split, doc_id)"""
 
 
-@query(f"{_SQL_LOSS} select doc_id, n, round(nll / n, 9) as loss from per_doc")
+@query(f"{_SQL_LOSS} select doc_id, n, round(nll / nullif(n, 0), 9) as loss from per_doc")
 def document_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the statistics of the training split."""
     counts = write_table(bigrams(_split(spark, sf_dir, "train")), "bigrams")
@@ -112,8 +114,8 @@ def document_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 per_batch as (
   select (pos - 1) // 4 as batch_id, sum(nll) as nll, sum(n) as n
   from (select *, row_number() over (order by doc_id) as pos from per_doc where split = 'validation') group by 1)
-select round(avg(nll / n), 9) as macro_loss, round(sum(nll) / sum(n), 9) as micro_loss,
-  round(exp(avg(nll / n)), 6) as perplexity, sum(n)::bigint as n_pairs
+select round(avg(nll / nullif(n, 0)), 9) as macro_loss, round(sum(nll) / sum(n), 9) as micro_loss,
+  round(exp(avg(nll / nullif(n, 0))), 6) as perplexity, sum(n)::bigint as n_pairs
 from per_batch""")
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = evaluate(

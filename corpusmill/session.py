@@ -67,6 +67,16 @@ def delete_scratch(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small text file, in UTF-8, to any path Spark can reach."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop_path, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 @dataclass(frozen=True)
 class WrittenTable:
     """A table in the scratch area and its size on disk."""

@@ -1,4 +1,4 @@
-"""The learned tokenizer and its storage as two Parquet tables, with a JSON export."""
+"""The learned tokenizer and its storage as two Parquet tables or as one JSON file."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.constants import SPECIAL_TOKENS
+from corpusmill.session import write_file
 
 VOCAB_SCHEMA = "token_id int, token string, is_special boolean"
 MERGES_SCHEMA = "rank int, left string, right string, merged string"
@@ -83,3 +84,29 @@ def tokenizer_json(tokenizer: Tokenizer) -> str:
         },
         ensure_ascii=False,
     )
+
+
+def tokenizer_from_json(text: str) -> Tokenizer:
+    """The tokenizer in such a JSON layout; a layout this package cannot encode with is an error."""
+    layout = json.loads(text)
+    model = layout["model"]
+    cutter = (layout.get("pre_tokenizer") or {}).get("type")
+    if model.get("type", "BPE") != "BPE" or cutter != "Whitespace" or layout.get("normalizer"):
+        raise ValueError("only byte-pair models over white-space words, without a normalizer, can be read")
+    ordered = sorted(model["vocab"].items(), key=lambda entry: entry[1])
+    added = sorted(layout.get("added_tokens") or [], key=lambda token: token["id"])
+    specials = tuple(token["content"] for token in added if token.get("special"))
+    vocab = tuple(token for token, _ in ordered)
+    if [i for _, i in ordered] != list(range(len(ordered))) or vocab[: len(specials)] != specials:
+        raise ValueError("token ids must run from 0 without gaps, special tokens first")
+    # Older files hold a merge as one string.
+    merges = (tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["merges"])
+    return Tokenizer(vocab, tuple(merges), specials)
+
+
+def write_tokenizer_json(spark: SparkSession, tokenizer: Tokenizer, path: str) -> None:
+    write_file(spark, path, tokenizer_json(tokenizer))
+
+
+def read_tokenizer_json(spark: SparkSession, path: str) -> Tokenizer:
+    return tokenizer_from_json(spark.read.text(path, wholetext=True).first().value)

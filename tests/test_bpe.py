@@ -13,7 +13,9 @@ from corpusmill.constants import SPECIAL_TOKENS
 from corpusmill.operators import bpe
 from corpusmill.operators.words import alphabet, word_counts
 from corpusmill.session import materialize
-from corpusmill.sources.tokenizer_store import load_tokenizer, save_tokenizer, tokenizer_json
+from corpusmill.sources.tokenizer_store import (
+    load_tokenizer, read_tokenizer_json, save_tokenizer, tokenizer_from_json, tokenizer_json, write_tokenizer_json,
+)
 
 
 def library_tokenizer(texts, vocab_size):
@@ -188,3 +190,10 @@ def test_store_round_trip_and_library_json(spark, tmp_path):
     library = LibraryTokenizer.from_str(tokenizer_json(learned))
     assert library.get_vocab() == {t: i for i, t in enumerate(learned.vocab)}
     assert _library_merges(library) == list(learned.merges)
+    path = str(tmp_path / "tokenizer.json")
+    write_tokenizer_json(spark, learned, path)
+    assert read_tokenizer_json(spark, path) == learned
+    assert LibraryTokenizer.from_file(path).get_vocab() == library.get_vocab()
+    assert tokenizer_from_json(library.to_str(pretty=True)) == learned
+    with pytest.raises(ValueError):
+        tokenizer_from_json(tokenizer_json(learned).replace('"Whitespace"', '"ByteLevel"'))

@@ -10,6 +10,7 @@ from corpusmill.operators.ngram import (
     bigrams, continue_batch, doc_cross_entropy, draw_cells, evaluate, next_candidates,
 )
 from corpusmill.operators.skew import keyed_join
+from corpusmill.session import write_table
 
 ROWS = [("a", f"c{i}", float(v)) for i, v in enumerate([3, 2, 2, 1])] + [("b", "x", -800.0), ("b", "y", -801.0), ("c", "z", 900.0)]
 
@@ -73,9 +74,19 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
     left = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     right = left.groupBy("k").agg(F.count("*").alias("n"))
-    salted = keyed_join(left, right, "k", "n", salts=8)
+    salted = keyed_join(left, right, "k", "n")
     plan = salted._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan and salted.count() == 9000
+    # A third of all rows and a share of 0.01 per task: 34 salts; no other key is hot.
+    few = keyed_join(left, right, "k", "n", hot_share=0.01).where("k = -1")
+    assert few.count() == 3000 and few.select("id").distinct().count() == 3000
+
+
+def test_packed_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    table = write_table(spark.range(1000))
+    assert skew.fits_broadcast(table)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 999)
+    assert not skew.fits_broadcast(table)
 
 
 DOCS = [(0, "a b a b c"), (1, "a b c"), (2, "b a"), (3, "a z q a b")]
@@ -105,6 +116,15 @@ def test_cross_entropy_and_report(docs, broadcasting):
     assert report.micro_loss == pytest.approx(sum(map(sum, losses.values())) / sum(map(len, losses.values())))
 
 
+def test_short_documents_have_no_loss_and_keep_their_place(spark, docs, broadcasting):
+    train = docs.where("doc_id < 3")
+    short = spark.createDataFrame([(5, ["a"]), (6, []), (7, None), (8, ["a", "b"])], "doc_id long, tokens array<string>")
+    scored = {r.doc_id: (r.n, r.loss) for r in doc_cross_entropy(short, bigrams(train), 4).collect()}
+    assert [scored[i] for i in (5, 6, 7)] == [(0, None)] * 3 and scored[8][0] == 1
+    report = evaluate(train, short, 4, batch_size=3).first()
+    assert report.n_pairs == 1 and report.macro_loss == pytest.approx(scored[8][1])
+
+
 def test_cells_cover_the_grid_without_gaps(docs):
     cells = draw_cells(next_candidates(bigrams(docs))).collect()
     by_context = defaultdict(dict)

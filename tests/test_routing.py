@@ -70,3 +70,12 @@ def test_noise_of_all_blocks_and_of_large_logits(spark, vectors):
     assert len(blocks) == 3 and all(len(row.noisy) == 5 for row in noisy)
     values = spark.createDataFrame([(x,) for x in (-800.0, 0.0, 800.0)], "x double")
     assert [v[0] for v in values.select(r.softplus(F.col("x"))).collect()] == pytest.approx([0.0, np.log(2.0), 800.0])
+
+
+def test_null_labels_are_no_experts_and_an_empty_table_routes_nowhere(spark):
+    experts = spark.createDataFrame([(None, [9.0]), (0, [1.0]), (1, [2.0])], "expert_id int, weights array<double>")
+    rows = spark.createDataFrame([(0, [2.0])], "vec_id long, embedding array<double>")
+    assert [b.ids for b in r.expert_blocks(experts, 1)] == [(0,), (1,)]
+    none = r.expert_blocks(experts.where("expert_id > 5"))
+    gates = rows.withColumn("gates", F.array().cast("array<struct<expert_id:int,logit:double,gate:double>>"))
+    assert none == [] and r.combine(gates, none).first().combined == []
