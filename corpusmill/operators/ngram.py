@@ -15,9 +15,10 @@ from corpusmill.operators.sampling import batches
 from corpusmill.operators.skew import fits_broadcast, keyed_join
 from corpusmill.session import WrittenTable, materialize, write_table
 
-# Draws are whole numbers below GRID; the grid is cut into CELLS equal cells for the join.
+# Draws are whole numbers below 2 ** GRID_BITS. For the join a context's grid is cut into equal
+# cells, a power of two, one for every PER_CELL candidates.
 GRID_BITS = 32
-CELL_BITS = 26
+PER_CELL = 256
 WEIGHT_BITS = 30
 STEPS_PER_WRITE = 10
 
@@ -85,12 +86,13 @@ def next_candidates(counts: DataFrame, k: int = TOP_K, temperature: float = TEMP
 
 
 def draw_cells(candidates: DataFrame) -> DataFrame:
-    """``(ctx, cell, nxt, lo, hi)``: the part of the drawing grid that belongs to a candidate.
+    """``(ctx, cell, shift, nxt, lo, hi)``: the part of the drawing grid that belongs to a candidate.
 
     Probabilities become whole weights, so running sums are exact and leave no gaps. They
     run inside hash groups of a context's candidates, shifted by the groups in front, so a
     context with very many candidates is split. Each interval is repeated per cell it
-    touches: a draw then meets its candidate by equality of context and cell.
+    touches: a draw then meets its candidate by equality of context and cell. ``shift`` is the
+    number of bits in a cell; most contexts have few candidates and a single cell.
     """
     weighted = candidates.select(
         "ctx",
@@ -98,7 +100,7 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
         F.substring(F.md5(F.col("nxt").cast("string")), 1, 2).alias("part"),
         F.greatest(F.lit(1), F.round(F.col("p") * F.lit(float(1 << WEIGHT_BITS))).cast("bigint")).alias("w"),
     )
-    parts = weighted.groupBy("ctx", "part").agg(F.sum("w").alias("_w"))
+    parts = weighted.groupBy("ctx", "part").agg(F.sum("w").alias("_w"), F.count(F.lit(1)).alias("_n"))
     context = Window.partitionBy("ctx")
     earlier = context.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
@@ -106,6 +108,7 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
         "part",
         F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("before"),
         F.sum("_w").over(context).alias("total"),
+        (F.lit(GRID_BITS) - F.ceil(F.log2(F.greatest(F.lit(1.0), F.sum("_n").over(context) / PER_CELL)))).cast("int").alias("shift"),
     )
     in_part = Window.partitionBy("ctx", "part").orderBy("nxt").rowsBetween(Window.unboundedPreceding, 0)
     placed = weighted.withColumn("end", F.sum("w").over(in_part)).join(parts, ["ctx", "part"])
@@ -113,12 +116,14 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
     scaled = f"cast(({{}}) as decimal(20,0)) * {1 << GRID_BITS} div total"
     bounds = placed.select(
         "ctx",
+        "shift",
         "nxt",
         F.expr(scaled.format("before + end - w")).alias("lo"),
         F.expr(scaled.format("before + end")).alias("hi"),
     )
-    cells = F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))
-    return bounds.where(F.col("hi") > F.col("lo")).select("ctx", F.explode(cells).alias("cell"), "nxt", "lo", "hi")
+    cells = F.expr("sequence(shiftright(lo, shift), shiftright(hi - 1, shift))")
+    kept = bounds.where(F.col("hi") > F.col("lo"))
+    return kept.select("ctx", F.explode(cells).alias("cell"), "shift", "nxt", "lo", "hi")
 
 
 def _step_table(table: WrittenTable) -> DataFrame:
@@ -147,18 +152,23 @@ def continue_batch(
     candidate stops. Only key, last token and new tokens move between steps; the prompts
     themselves are joined once at the end. The state is written every few steps.
     """
-    cells = _step_table(write_table(draw_cells(materialize(candidates, "candidates")), "cells"))
+    placed = materialize(draw_cells(materialize(candidates, "candidates")), "placed")
+    shifts = write_table(placed.groupBy("ctx").agg(F.first("shift").alias("shift")), "shifts")
+    known = F.broadcast(shifts.df) if fits_broadcast(shifts) else shifts.df
+    # A candidate knows the cells of the context it leads to, so a step is a single join.
+    following = known.select(F.col("ctx").alias("nxt"), F.col("shift").alias("nxt_shift"))
+    cells = _step_table(write_table(placed.join(following, "nxt", "left"), "cells"))
     state = materialize(
         prompts.where(F.size(tokens) > 0).select(
             key,
             F.element_at(tokens, -1).alias("ctx"),
             F.slice(tokens, 1, 0).alias("generated"),
-        ),
+        ).join(known, "ctx", "left"),
         "prompts",
     )
     for step in range(steps):
         drawn = state.withColumn("r", F.conv(F.substring(hash_key(seed, step, F.col(key)), 1, 8), 16, 10).cast("bigint"))
-        drawn = drawn.withColumn("cell", F.shiftright("r", CELL_BITS))
+        drawn = drawn.withColumn("cell", F.expr("shiftright(r, shift)"))
         joined = drawn.alias("s").join(
             cells.alias("c"),
             (F.col("s.ctx") == F.col("c.ctx"))
@@ -171,6 +181,7 @@ def continue_batch(
         state = joined.select(
             F.col(f"s.{key}").alias(key),
             F.coalesce("c.nxt", "s.ctx").alias("ctx"),
+            F.when(F.col("c.nxt").isNull(), F.col("s.shift")).otherwise(F.col("c.nxt_shift")).alias("shift"),
             F.when(F.col("c.nxt").isNull(), F.col("s.generated")).otherwise(grown).alias("generated"),
         )
         if (step + 1) % STEPS_PER_WRITE == 0 or step + 1 == steps:

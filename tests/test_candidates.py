@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import skew
+from corpusmill.operators import ngram, skew
 from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_ties
 from corpusmill.operators.ngram import (
     bigrams, continue_batch, doc_cross_entropy, draw_cells, evaluate, next_candidates,
@@ -125,11 +125,13 @@ def test_short_documents_have_no_loss_and_keep_their_place(spark, docs, broadcas
     assert report.n_pairs == 1 and report.macro_loss == pytest.approx(scored[8][1])
 
 
-def test_cells_cover_the_grid_without_gaps(docs):
+@pytest.mark.parametrize("per_cell", [256, 1])
+def test_cells_cover_the_grid_without_gaps(docs, monkeypatch, per_cell):
+    monkeypatch.setattr(ngram, "PER_CELL", per_cell)
     cells = draw_cells(next_candidates(bigrams(docs))).collect()
     by_context = defaultdict(dict)
     for row in cells:
-        assert row.lo >> 26 <= row.cell <= (row.hi - 1) >> 26
+        assert row.lo >> row.shift <= row.cell <= (row.hi - 1) >> row.shift
         by_context[row.ctx][row.nxt] = (row.lo, row.hi)
     for intervals in by_context.values():
         borders = sorted(intervals.values())
