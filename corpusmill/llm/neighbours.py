@@ -1,11 +1,16 @@
 """Near-duplicate vectors by neighbour descent.
 
-A neighbour graph starts from leaves of a few random trees (median splits along random
-directions) and is refined: whoever stands in one vertex's list, in either direction, is
-compared with the rest of the list, and better neighbours replace worse ones. A vertex whose
-list is full of links, neighbours at or above the threshold, gets a longer list. An audit
-compares a sample of vertices with all vectors; while it finds too few links, more trees are
-added and the descent goes on.
+A neighbour graph starts from leaves of a few random trees and is refined: whoever stands in
+one vertex's list, in either direction, is compared with the rest of the list, and better
+neighbours replace worse ones. A tree splits at medians: first those of the label, then, as
+long as a node is too large for a task, those of the node, and in the task those of each
+part, so a dense place is cut as finely as its rows need. A vertex whose list is full of
+links, neighbours at or above the threshold, gets a longer list.
+
+An audit compares a sample of vertices with all vectors. Each asked vertex with a link counts
+once, whatever the number of its links, and vertices outside large components are judged on
+their own, asked until enough of them have a link. While too few links are found, more trees
+are added and the descent goes on; if they do not suffice, a warning states the recall.
 
 Links give components. Inside each component all vectors are then compared in blocks, which
 only count links, so lists of any length and groups of any size are exact and no pair of a
@@ -18,6 +23,7 @@ rows link with each other; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +40,20 @@ THRESHOLD = 0.98
 TREES = 4
 DEPTH = 24
 LEAF = 128
+# Rows of a node of a tree that a task splits on its own, and how often larger nodes are split by their own medians.
+NODE = 8192
+SPLITS = 8
 K = 8
 LONGER = 4
 ROUNDS = 3
 BLOCK = 512
-# Vertices the audit compares with all others, the recall it asks for, and how often trees are added.
+# Vertices of large components the audit compares with all others, and from which size a component is large.
 AUDITED = 256
+LARGE = 64
+# Of the other vertices as many are asked, at most ``MOST_ASKED``, as it takes until ``WANTED`` have a link.
+WANTED = 200
+MOST_ASKED = 8192
+# The recall the audit asks for, and how often trees are added.
 RECALL = 0.99
 MORE_TREES = 4
 SEED = 5
@@ -82,8 +96,14 @@ def vertices(vectors: DataFrame) -> DataFrame:
     return materialize(with_row_id(map_batches(rows, "vec_id bigint, group string, key binary, vector binary", start)), "vectors")
 
 
-def _tree_codes(nodes: DataFrame, seed: int, trees: int, leaf: int) -> DataFrame:
-    """``(node, group, vector, tree, code)``: the leaf of each vertex in each random tree."""
+def _tree_codes(nodes: DataFrame, seed: int, trees: int, size: int) -> DataFrame:
+    """``(node, group, vector, tree, code, place)``: where each vertex stands in each random tree.
+
+    Vertices of one ``code`` form a node of the tree with at most about ``size`` rows; ``place`` is
+    along a direction of its own, for what no median could split.
+    """
+    width = DEPTH + 1
+
     def start():
         def project(batch):
             out = []
@@ -91,7 +111,7 @@ def _tree_codes(nodes: DataFrame, seed: int, trees: int, leaf: int) -> DataFrame
                 vector = np.frombuffer(raw.as_buffer(), np.float64)
                 dim = len(vector)
                 if dim not in directions:
-                    directions[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, trees * DEPTH))
+                    directions[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, trees * width))
                 out.append(vector / np.sqrt(vector @ vector) @ directions[dim])
             return batch.column(0), batch.column(1), batch.column(2), out
 
@@ -100,15 +120,25 @@ def _tree_codes(nodes: DataFrame, seed: int, trees: int, leaf: int) -> DataFrame
 
     projected = materialize(map_batches(nodes.select("node", "group", "vector"),
                                         "node bigint, group string, vector binary, p array<double>", start), "projected")
-    middles = F.array(*[F.percentile_approx(F.get("p", F.lit(i)), 0.5, 1000) for i in range(trees * DEPTH)])
-    groups = materialize(projected.groupBy("group").agg(middles.alias("middle"), F.count(F.lit(1)).alias("_n")), "middles")
-    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(leaf))))).cast("int")
-    joined = projected.join(checked_broadcast(groups.withColumn("_depth", depth)), "group")
-    sides = F.zip_with("p", "middle", lambda x, m: F.when(x > m, F.lit("1")).otherwise(F.lit("0")))
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = joined.select("node", "group", "vector", sides.alias("_sides"), "_depth", tree)
-    code = F.array_join(F.slice("_sides", F.col("tree") * DEPTH + 1, F.col("_depth")), "")
-    return rows.select("node", "group", "vector", "tree", code.alias("code"))
+    placed = projected.select("node", "group", "vector", "p", tree).withColumn("p", F.slice("p", F.col("tree") * width + 1, width))
+    leaves = placed.withColumn("code", F.lit(""))
+    keys = ["group", "tree", "code"]
+    for _ in range(SPLITS):
+        counts = leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        large = materialize(counts.where(F.col("_n") > size), "large-nodes")
+        if large.isEmpty():
+            break
+        middles = F.array(*[F.percentile_approx(F.get("p", F.lit(i)), 0.5, 1000) for i in range(DEPTH)])
+        found = leaves.join(checked_broadcast(large), keys).groupBy(*keys).agg(middles.alias("_middle"), F.first("_n").alias("_n"))
+        depth = F.least(F.lit(DEPTH), F.ceil(F.log2(F.col("_n") / F.lit(size)))).cast("int")
+        split = materialize(found.withColumn("_depth", depth), "middles")
+        sides = F.zip_with(F.slice("p", F.lit(1), F.lit(DEPTH)), "_middle", lambda x, m: F.when(x > m, F.lit("1")).otherwise(F.lit("0")))
+        # Each step goes on with the directions behind those already used.
+        used = F.slice(F.concat(sides, sides), F.length("code") % DEPTH + 1, F.col("_depth"))
+        code = F.when(F.col("_middle").isNotNull(), F.concat("code", F.array_join(used, ""))).otherwise(F.col("code"))
+        leaves = leaves.join(checked_broadcast(split), keys, "left").select("node", "group", "vector", "tree", "p", code.alias("code"))
+    return leaves.select("node", "group", "vector", "tree", "code", F.get("p", F.lit(DEPTH)).alias("place"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keys: int, size: int) -> Iterator[pa.Table]:
@@ -140,23 +170,40 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 EDGE = "a bigint, b bigint, sim double"
 
 
-def _leaf_edges(codes: DataFrame, k: int) -> DataFrame:
-    """Best neighbours of each vertex inside its leaves; a large leaf is cut, which the descent makes up for."""
-    order = ["tree", "group", "code", "node"]
-    ranged = codes.select(*order, "vector").repartitionByRange(*order).sortWithinPartitions(*order)
+def _local_leaves(units: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Row numbers of each leaf: parts are halved at their own median, along the line through two of their rows."""
+    parts = [np.arange(len(units))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= size:
+            yield part
+            continue
+        one, other = units[rng.choice(part, 2, replace=False)]
+        order = part[np.argsort(units[part] @ (one - other), kind="stable")]
+        parts += [order[: len(order) // 2], order[len(order) // 2 :]]
+
+
+def _leaf_edges(codes: DataFrame, k: int, seed: int) -> DataFrame:
+    """Best neighbours of each vertex inside its leaves."""
+    order = ["tree", "group", "code", "place", "mix"]
+    # Vectors of one direction have one place; they are cut elsewhere in each tree.
+    mixed = codes.withColumn("mix", F.xxhash64("node", "tree", F.lit(seed)))
+    ranged = mixed.select(*order, "node", "vector").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _cut(batches, 3, 2 * LEAF):
+        for block in _cut(batches, 3, NODE):
             ids = _column(block, "node").to_numpy()
-            if len(ids) < 2:
-                continue
             units = unit_rows(_column(block, "vector"))
-            sims = units @ units.T
-            np.fill_diagonal(sims, -2.0)
-            best = np.argpartition(-sims, min(k, len(ids) - 2), axis=1)[:, : min(k, len(ids) - 1)]
-            a = np.repeat(np.arange(len(ids)), best.shape[1])
-            b = best.ravel()
-            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b]), pa.array(sims[a, b])], names=["a", "b", "sim"])
+            rng = np.random.default_rng([seed, block.column("tree")[0].as_py(), len(ids)])
+            for leaf in _local_leaves(units, 2 * LEAF, rng):
+                if len(leaf) < 2:
+                    continue
+                sims = units[leaf] @ units[leaf].T
+                np.fill_diagonal(sims, -2.0)
+                best = np.argpartition(-sims, min(k, len(leaf) - 2), axis=1)[:, : min(k, len(leaf) - 1)]
+                a = np.repeat(np.arange(len(leaf)), best.shape[1])
+                b = best.ravel()
+                yield pa.record_batch([pa.array(ids[leaf[a]]), pa.array(ids[leaf[b]]), pa.array(sims[a, b])], names=["a", "b", "sim"])
 
     return ranged.mapInArrow(run, EDGE)
 
@@ -195,33 +242,63 @@ def _descent(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return around.select("around").mapInArrow(run, EDGE)
 
 
-def audit(nodes: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, sample: int = AUDITED) -> tuple[int, int]:
-    """``(links, found)`` of a sample of vertices against all: a link is found if both are in one component."""
-    order = F.xxhash64("node")
-    share = min(1.0, sample / max(1, nodes.count()))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    drawn = named.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
-    asked = [(r.node, r.group, r.root, bytes(r.vector)) for r in drawn.select("node", "group", "root", "vector").collect()]
+def _asked_recall(named: DataFrame, drawn: DataFrame, threshold: float) -> tuple[int, float]:
+    """How many of the ``drawn`` vertices have a link, and the sum of the shares of their links that were found."""
+    asked: dict[str, list] = {}
+    for r in drawn.select("node", "group", "root", "vector").collect():
+        asked.setdefault(r.group, []).append((r.node, r.root, bytes(r.vector)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[str, list] = {}
-        for node, group, root, raw in asked:
-            groups.setdefault(group, []).append((node, root, np.frombuffer(raw, np.float64)))
-        links = found = 0
+        groups = {}
+        for group, rows in asked.items():
+            vectors = unit_rows(pa.array([r[2] for r in rows], pa.binary()))
+            groups[group] = (*(np.array([r[i] for r in rows]) for i in (0, 1)), vectors, np.zeros((2, len(rows)), np.int64))
         for batch in batches:
             for group in set(batch.column(1).to_pylist()) & groups.keys():
                 chosen = batch.filter(pa.compute.equal(batch.column(1), group))
                 units = unit_rows(chosen.column(3))
                 ids, own = np.array(chosen.column(0)), np.array(chosen.column(2))
-                for node, root, vector in groups[group]:
-                    near = (units @ (vector / np.sqrt(vector @ vector)) >= threshold) & (ids != node)
-                    links += int(near.sum())
-                    found += int((near & (own == root)).sum())
-        yield pa.record_batch([pa.array([links]), pa.array([found])], names=["links", "found"])
-
-    counts = named.select("node", "group", "root", "vector").mapInArrow(run, "links bigint, found bigint")
-    row = counts.agg(F.sum("links"), F.sum("found")).first()
-    return row[0] or 0, row[1] or 0
+                nodes, roots, vectors, sums = groups[group]
+                for at in range(0, len(nodes), BLOCK):
+                    row, column = np.nonzero(units @ vectors[at : at + BLOCK].T >= threshold)
+                    column += at
+                    row, column = (x[ids[row] != nodes[column]] for x in (row, column))
+                    np.add.at(sums[0], column, 1)
+                    np.add.at(sums[1], column, own[row] == roots[column])
+        for nodes, _, _, sums in groups.values():
+            some = sums[0] > 0
+            yield pa.record_batch([pa.array(x[some]) for x in (nodes, *sums)], names=["node", "links", "found"])
+
+    counts = named.select("node", "group", "root", "vector").mapInArrow(run, "node bigint, links bigint, found bigint")
+    each = counts.groupBy("node").agg((F.sum("found") / F.sum("links")).alias("recall"))
+    row = each.agg(F.count(F.lit(1)), F.sum("recall")).first()
+    return row[0], row[1] or 0.0
+
+
+def audit(nodes: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, sample: int = AUDITED, wanted: int = WANTED,
+          most: int = MOST_ASKED) -> tuple[tuple[int, float], tuple[int, float]]:
+    """``(with a link, recall)`` of sampled vertices outside and inside large components, each vertex counting once.
+
+    A link is found if both its vertices are in one component. Outside, vertices are asked until
+    ``wanted`` have a link, all are asked or ``most`` are; recall is 1 where no asked vertex has a link.
+    """
+    sizes = roots.groupBy("root").agg((F.count(F.lit(1)) >= LARGE).alias("large"))
+    named = nodes.join(roots.join(sizes, "root"), "node", "left").select(
+        "node", "group", "vector", F.coalesce("root", "node").alias("root"), F.coalesce("large", F.lit(False)).alias("large"),
+        F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("draw"))
+    named = materialize(named, "audited")
+    n = {r["large"]: r["n"] for r in named.groupBy("large").agg(F.count(F.lit(1)).alias("n")).collect()}
+    result = []
+    for large, size, enough in ((False, 2 * sample, wanted), (True, sample, 0)):
+        linked, total, done, share = 0, 0.0, 0, 0.0
+        while n.get(large) and share < 1.0 and (not done or linked < enough) and done < most:
+            last, share = share, min(1.0, max(size, 4 * done) / n[large])
+            share = min(share, most / n[large])
+            borders = (F.col("draw") >= int(last * (1 << 30))) & (F.col("draw") < int(share * (1 << 30)))
+            found, recall = _asked_recall(named, named.where((F.col("large") == large) & borders), threshold)
+            linked, total, done = linked + found, total + recall, int(share * n[large])
+        result.append((linked, total / linked if linked else 1.0))
+    return result[0], result[1]
 
 
 def _component_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -272,7 +349,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -
     nodes = materialize(heads.join(classes.select("node", "n"), "node"), "nodes")
     edges, roots = None, None
     for attempt in range(1 + MORE_TREES):
-        new = _leaf_edges(_tree_codes(nodes, SEED + attempt, TREES, LEAF), k)
+        new = _leaf_edges(_tree_codes(nodes, SEED + attempt, TREES, NODE), k, SEED + attempt)
         lists = _lists(new if edges is None else edges.unionByName(new), k, threshold)
         links = -1
         for _ in range(ROUNDS):
@@ -282,9 +359,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -
                 break
         edges = lists
         roots = connected_components(edges.where(F.col("sim") >= threshold).select("a", "b"))
-        asked, found = audit(nodes, roots, threshold)
-        if found >= RECALL * asked:
+        audited = audit(nodes, roots, threshold)
+        if all(recall >= RECALL for _, recall in audited):
             break
+    else:
+        (few, outside), (many, inside) = audited
+        warnings.warn(f"near_vectors: links found {outside:.4f} outside large components ({few} vertices with a link asked), "
+                      f"{inside:.4f} inside ({many} asked), less than {RECALL}", RuntimeWarning)
     linked = materialize(_component_links(nodes, roots, threshold), "links")
     per_node = classes.join(roots, "node", "left").join(linked, "node", "left").select(
         "key", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

@@ -54,6 +54,35 @@ def test_near_vectors(vectors):
     assert sum(r.kept for r in found) == len(groups)
 
 
+def test_isolated_pairs_in_dense_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 64)) * 1.5
+    rows = centres[rng.integers(0, 20, 20_000)] + rng.normal(size=(20_000, 64)) * 0.6
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    away = rng.normal(size=(300, 64))
+    away -= (away * rows[:300]).sum(axis=1, keepdims=True) * rows[:300]
+    twins = rows[:300] * 0.982 + away / np.linalg.norm(away, axis=1, keepdims=True) * math.sqrt(1 - 0.982**2)
+    # One hot group beside them holds nearly all links.
+    hot = rows[19_999] + rng.normal(size=(6_000, 64)) * 0.002
+    every = np.concatenate([rows, twins, hot])
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.component_id for r in neighbours.near_vectors(table.repartition(4)).collect()}
+    assert sum(found[20_000 + i] == found[i] for i in range(300)) >= 0.99 * 300
+    assert len({found[i] for i in range(20_300, 26_300)}) == 1
+
+
+def test_audit_counts_each_vertex_once(spark):
+    rng = np.random.default_rng(8)
+    pairs = rng.normal(size=(200, 64))
+    every = np.concatenate([pairs, pairs + rng.normal(size=(200, 64)) * 0.001, np.ones((300, 64)) + rng.normal(size=(300, 64)) * 0.001])
+    nodes = spark.createDataFrame([(i, "64 x", bytearray(v.tobytes())) for i, v in enumerate(every)], "node long, group string, vector binary")
+    # The large group and half of the pairs are found: few of all links are missing, but half of the pairs.
+    roots = spark.createDataFrame([(i, 400) for i in range(400, 700)] + [(i % 200, i % 200) for i in range(100)]
+                                  + [(200 + i, i) for i in range(100)], "node long, root long")
+    outside, inside = neighbours.audit(nodes, roots)
+    assert outside == (400, 0.5) and inside[0] > 0 and inside[1] == 1.0
+
+
 def test_no_vectors(vectors):
     assert neighbours.near_vectors(vectors.limit(0)).count() == 0
     assert top_k.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
