@@ -1,10 +1,12 @@
 """Main text of web pages, with template subtrees of a site removed.
 
 Pages are read by one pass over their tags. Elements that a page itself declares to be
-something else than the article (menus, forms, adverts, comments, ...) are left out first.
-Every element that is left has a hash of its tag and content. The hashes are counted per
-host in Spark, once per distinct page, and subtrees that recur on many pages of the host are
-deleted as templates. A second pass over the pages writes the text of the rest.
+something else than the article (menus, forms, adverts, comments, ...) are left out first. A
+class or an id alone does not take the article away: an element around the page's main, or
+around its only articles, stays. Every element that is left has a hash of its tag and content.
+The hashes of blocks are counted per host in Spark, once per distinct page, and blocks that
+recur on many pages of the host are deleted as templates; inline elements and table cells
+stay or go with the block around them. A second pass over the pages writes the text of the rest.
 
 Defined results: a null or empty page, or one without an article's text, gives an empty text;
 unclosed and misnested tags are closed as browsers do; a page without a host belongs to the
@@ -58,6 +60,10 @@ OTHER_WORDS = frozenset(
     "banner popup modal newsletter subscribe subscription share sharing social related widget login signup masthead".split()
 )
 OUTER_WORDS = frozenset(["header", "topbar"])
+# Of these words, those of elements that hold comments, each of which may be an article of its own.
+COMMENT_WORDS = frozenset("comment comments disqus replies".split())
+# Blocks that are no template on their own.
+CELLS = frozenset(["td", "th"])
 
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?/][^>]*+>", re.S
@@ -66,32 +72,58 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"
 _WORD = re.compile(r"[a-z]+")
 
 
-def _is_other(tag: str, attributes: str, in_article: bool) -> bool:
+# How an element says that it is not the article: not at all, by its class or id as other parts or as comments, for certain.
+ARTICLE, NAMED, COMMENTS, OTHER = range(4)
+
+
+def _is_other(tag: str, attributes: str, in_article: bool) -> int:
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
-        return True
-    if len(attributes) < 4 or tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+        return OTHER
+    if len(attributes) < 4 or tag in ("html", "body", "main") or (tag == "article" and "comment" not in attributes.lower()):
+        return ARTICLE
+    other = COMMENT_WORDS if tag == "article" else OTHER_WORDS if in_article else OTHER_WORDS | OUTER_WORDS
+    found = ARTICLE
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        words = set(_WORD.findall(value))
-        if name == "role" and words & OTHER_ROLES:
-            return True
-        if name in ("class", "id") and (words & OTHER_WORDS or (not in_article and words & OUTER_WORDS)):
-            return True
-    return False
+            return OTHER
+        if name == "role" and OTHER_ROLES.intersection(_WORD.findall(value)):
+            return OTHER
+        if name in ("class", "id"):
+            # A name of several words, such as nav-menu, counts if all of them do.
+            for words in map(_WORD.findall, value.split()):
+                if words and other.issuperset(words):
+                    found = max(found, NAMED if COMMENT_WORDS.isdisjoint(words) else COMMENTS)
+    return found
 
 
 class Page:
     """The parts of a page that may be its article, and the subtrees they form."""
 
     def __init__(self, source: str | None):
+        self._kept: frozenset[int] = frozenset()
+        self._parse(source)
+        # Elements that only their names make something else stay if they hold the main, or all articles there are.
+        if self._around_main:
+            self._parse(source, self._around_main)
+        if self._around_articles and not (self.articles or self.mains):
+            self._parse(source, self._around_articles)
+        if self._around_comments and not self.text():
+            self._parse(source, self._around_comments)
+
+    def _parse(self, source: str | None, kept: set[int] = frozenset()) -> None:
+        self._kept |= kept
+        # Numbers of the named elements around a main, around an article, around an article among comments.
+        self._around_main: set[int] = set()
+        self._around_articles: set[int] = set()
+        self._around_comments: set[int] = set()
+        self._named: list[tuple[int, int]] = []  # number and kind of the open elements left out by name
+        self._number = self._certain = 0
         self.parts: list[str] = []
         self.subtrees: list[tuple[int, int, int]] = []  # first part, end, hash
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
-        self._open: list[tuple[str, int, bool, list[str]]] = []  # tag, first part, left out, content for the hash
+        self._open: list[tuple[str, int, int, list[str]]] = []  # tag, first part, how left out, content for the hash
         self._out = self._in_article = 0
         if source:
             self._read(source)
@@ -137,7 +169,22 @@ class Page:
         if name in VOID:
             return
         other = _is_other(name, attributes, self._in_article > 0)
-        self._out += other
+        self._number += 1
+        if other in (NAMED, COMMENTS):
+            if self._number in self._kept:
+                other = ARTICLE
+            else:
+                self._named.append((self._number, other))
+        self._out += other > 0
+        self._certain += other == OTHER
+        if name in ("article", "main") and self._named and not self._certain:
+            numbers = {number for number, _ in self._named}
+            if name == "main":
+                self._around_main |= numbers
+            elif any(kind == COMMENTS for _, kind in self._named):
+                self._around_comments |= numbers
+            else:
+                self._around_articles |= numbers
         self._in_article += name == "article"
         self._open.append((name, len(self.parts), other, []))
 
@@ -167,14 +214,18 @@ class Page:
         if not self._out:
             mark = xxhash.xxh3_64_intdigest("\x1f".join([tag, *content]))
             if any(map(str.strip, content)):
-                self.subtrees.append((first, len(self.parts), mark - (1 << 63)))
+                if tag in BLOCK and tag not in CELLS:
+                    self.subtrees.append((first, len(self.parts), mark - (1 << 63)))
                 if tag in ("article", "main"):
                     (self.articles if tag == "article" else self.mains).append((first, len(self.parts)))
                 if self._open:
                     self._open[-1][3].append(f"\x1e{mark:x}")
             if tag in BLOCK:
                 self.parts.append(" ")
-        self._out -= other
+        self._out -= other > 0
+        self._certain -= other == OTHER
+        if other in (NAMED, COMMENTS):
+            self._named.pop()
 
     def _roots(self) -> list[tuple[int, int]]:
         outermost: list[tuple[int, int]] = []

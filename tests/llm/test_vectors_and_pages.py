@@ -124,6 +124,26 @@ def test_page_text():
     assert [web_text.Page(p).text() for p, _ in PAGES] == [t for _, t in PAGES]
 
 
+def test_names_alone_do_not_take_the_article():
+    article = "<article><p>The whole story.</p></article>"
+    for wrapper in ("site has-sidebar", "with-banner", "share-enabled", "sidebar", "widget header"):
+        assert web_text.Page(f"<div>Logo</div><div class='{wrapper}'>{article}</div>").text() == "The whole story.", wrapper
+    assert web_text.Page("<article class='post comments-open'>The story.</article>").text() == "The story."
+    assert web_text.Page("<body class='comments'><div id=banner><main>The story.</main></div></body>").text() == "The story."
+    # Other articles than the page's own stay away, and so do comments.
+    assert web_text.Page(f"{article}<div class=related><article>Another.</article></div>").text() == "The whole story."
+    comments = "<div class=comments><article class='comment'>First!</article></div>"
+    assert web_text.Page(f"<main>Text. {comments}</main>").text() == "Text."
+    assert web_text.Page(f"<p>Text.</p><div class='sidebar'>Links</div>{comments}").text() == "Text."
+
+
+def test_templates_are_blocks(spark):
+    pages = [(i, f"http://h.org/{i}", f"<article><p>Story {i} is <em>not</em> long.</p><table><tr><th>Price</th><td>{i}</td></tr></table>"
+              "<div>Read <b>more</b></div></article>") for i in range(20)]
+    found = web_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: f"Story {i} is not long. Price {i}" for i in range(20)}
+
+
 def test_templates_of_a_host(spark):
     rows = [(i, f"http://h/{i}", f"<article><div><i>Read our rules</i></div><p>story {i} of its own</p></article>", "x") for i in range(30)]
     rows += [(100 + i, "http://copies/x", "<article><p>the same story</p></article>", "x") for i in range(30)]
