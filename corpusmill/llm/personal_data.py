@@ -112,6 +112,24 @@ def running_sums(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, sums(totals, zero), sums))
 
 
+def most_before(ends: Column) -> Column:
+    """The largest of the elements in front of each element, 0 for the first, in blocks as in :func:`running_sums`."""
+    empty = F.array().cast("array<bigint>")
+
+    def most(values: Column, first: Column) -> Column:
+        step = F.aggregate(
+            values, F.struct(first.alias("next"), empty.alias("all")),
+            lambda a, x: F.struct(F.greatest(a["next"], x).alias("next"), F.concat(a["all"], F.array(a["next"])).alias("all")),
+        )
+        return step["all"]
+
+    count = F.ceil(F.size(ends) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+                         lambda b: F.slice(ends, b * BLOCK + 1, F.lit(BLOCK)))
+    zero = F.lit(0).cast("bigint")
+    return F.flatten(F.zip_with(blocks, most(F.transform(blocks, F.array_max), zero), most))
+
+
 def matched(df: DataFrame, pattern: str, out: str, text: str = "text") -> DataFrame:
     """Adds ``out``: array of ``(start, end, value, before, after)`` for all matches of a pattern.
 
@@ -235,11 +253,45 @@ def _marked(kind: str) -> Callable[[Column], Column]:
     return lambda value: F.when(_valid(kind, value), F.lit(f"[{kind}]")).otherwise(value)
 
 
+def _span_of(kind: str) -> Callable[[Column], Column]:
+    return lambda span: F.struct(span["start"].alias("start"), (-span["end"]).alias("to"), F.lit(kind).alias("kind"))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in square brackets, other columns unchanged."""
-    text = F.aggregate("added", F.col("kept")["text"].cast("string"),
-                       lambda t, s: F.replace(t, s["value"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    out = find(docs, keep_row=True).select("kept", text.alias("text"))
+    """``docs`` with every span of ``text`` replaced by its kind in square brackets, other columns unchanged.
+
+    Base and added spans are replaced where they stand in the original text; spans that overlap
+    are replaced together, by the kind of the first of them, the longest if several start there.
+    What becomes a match only when its surroundings are gone (a card in front of an ip) is
+    replaced afterwards, kind by kind.
+    """
+    added = F.transform("added", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["kind"].alias("kind")))
+    spans = F.array_sort(F.concat(*[F.transform(k, _span_of(k)) for k in KINDS], added))
+    out = find(docs, keep_row=True).select("kept", F.col("kept")["text"].cast("string").alias("text"), spans.alias("spans"))
+    out = out.withColumn("front", F.when(F.size("spans") > 0, most_before(F.transform("spans", lambda s: -s["to"]))))
+    both = F.zip_with("spans", "front", lambda s, f: F.struct(f.alias("front"), s["start"].alias("start"), s["kind"].alias("kind")))
+    # Where a span starts behind the ends of all spans in front of it, the text between stays.
+    out = out.withColumn("heads", F.filter(both, lambda h: h["start"] >= h["front"]))
+
+    def block(b: Column) -> Column:
+        heads = F.slice("heads", b * BLOCK + 1, F.lit(BLOCK))
+        first = F.get("heads", b * BLOCK)["front"]
+        last = F.get("heads", F.least((b + 1) * BLOCK, F.size("heads")) - 1)["start"]
+        return F.struct(heads.alias("heads"), first.alias("first"),
+                        F.col("text").substr((first + 1).cast("int"), (last - first).cast("int")).alias("text"))
+
+    def written(block: Column) -> Column:
+        return F.array_join(F.transform(block["heads"], lambda h: F.concat(
+            block["text"].substr((h["front"] - block["first"] + 1).cast("int"), (h["start"] - h["front"]).cast("int")),
+            F.lit("["), h["kind"], F.lit("]"))), "")
+
+    # Positions are searched inside blocks of the text, so that a long text is not walked through once a span.
+    count = F.ceil(F.size("heads") / F.lit(BLOCK)).cast("int")
+    out = out.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), block))
+    end = F.array_max(F.transform("spans", lambda s: -s["to"]))
+    rest = F.col("text").substr((end + 1).cast("int"), F.length("text"))
+    text = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("blocks", written), ""), rest)).otherwise(F.col("text"))
+    out = out.select("kept", text.alias("text"))
     for kind in KINDS:
         out = out.withColumn("found", F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0)))
         out = out.withColumn("gaps", F.when(F.size("found") > 0, F.split("text", PATTERNS[kind], -1)))

@@ -234,3 +234,12 @@ def test_contexts_reveal_unseen_identifiers(spark):
     unseen = [(100, "please call my office 555-123-4567 today"), (101, "version 555-123-4567 shipped on time")]
     rows = {r.doc_id: r for r in personal_data.digest(personal_data.find(spark.createDataFrame(seeds + unseen, "doc_id long, text string"))).collect()}
     assert rows[100].spans == "phone:22:34" and rows[100].n_phone == 0 and rows[101].spans == ""
+
+
+def test_spans_are_redacted_where_they_stand(spark):
+    many = " ".join(f"é{i} +33.1.42.68.53.{i % 90 + 10}, a{i}@b.org" for i in range(600))
+    texts = ["call +33.1.42.68.53.00 now", "no data", "", None, "😀 1.2.3.4", "a@1.2.3.4 and 1.2.3.4", many]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in personal_data.redact(docs).collect()}
+    assert [clean[i] for i in range(6)] == ["call [phone] now", "no data", "", None, "😀 [ip]", "[email] and [ip]"]
+    assert clean[6] == " ".join(f"é{i} [phone], [email]" for i in range(600))
