@@ -1,7 +1,7 @@
 """Brown class-based bigram model: P(word | previous) = P(class | previous class) * P(word | class).
 
 Clustering is by exchange: words move between classes as long as the likelihood of the class
-bigrams grows. The ``OWN_UNITS`` most frequent words move on their own; all others move
+bigrams grows. The ``OWN_UNITS`` most frequent words of the training text move on their own; all others move
 together with the words that end alike, so every word has a class and the clustering's state
 has a fixed size, whatever the corpus. The state, how often each unit stands next to each
 class, is counted over the whole training text in every round.
@@ -116,10 +116,12 @@ def _at_most(counts: DataFrame, limit: int) -> int:
 def lexicon(counts: DataFrame, known_words: int = KNOWN_WORDS, own_units: int = OWN_UNITS) -> Lexicon:
     totals = counts.agg(F.sum("train").alias("tokens"), F.count(F.when(F.col("train") > 0, 1)).alias("types")).first()
     binned = counts.where(F.length("word") > 0).withColumn("bin", F.floor(F.log2(F.col("train") + F.col("held")) * COUNT_BINS))
-    known = binned.where(F.col("bin") >= _at_most(binned, known_words)).collect()
-    own = _at_most(binned, own_units)
-    train = {bytes(r.word): r.train for r in known}
-    first = sorted((bytes(r.word) for r in known if r.bin >= own))
+    # Held-out words may choose which counts travel, never which words have a unit of their own.
+    trained = binned.where(F.col("train") > 0).withColumn("bin", F.floor(F.log2("train") * COUNT_BINS))
+    own = trained.where(F.col("bin") >= _at_most(trained, own_units))
+    first = sorted(bytes(r.word) for r in own.select("word").collect())
+    known = binned.where(F.col("bin") >= _at_most(binned, known_words)).select("word", "train").unionByName(own.select("word", "train"))
+    train = {bytes(r.word): r.train for r in known.collect()}
     units = {w: ending_of(w) for w in train} | {w: ENDINGS + i for i, w in enumerate(first)}
     n_units = ENDINGS + len(first) + 1
     ends = counts.where(F.length("word") == 0).first()

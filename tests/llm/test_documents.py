@@ -243,3 +243,16 @@ def test_spans_are_redacted_where_they_stand(spark):
     clean = {r.doc_id: r.text for r in personal_data.redact(docs).collect()}
     assert [clean[i] for i in range(6)] == ["call [phone] now", "no data", "", None, "😀 [ip]", "[email] and [ip]"]
     assert clean[6] == " ".join(f"é{i} [phone], [email]" for i in range(600))
+
+
+def test_held_out_rows_choose_no_units(spark):
+    training = [(i, f"the a{i % 7} of b{i % 5} and c{i % 3}", False) for i in range(60)]
+    held = [(100 + i, "zebra yak xenon zebra yak a1 a1 a1", True) for i in range(50)]
+    alone, both = (class_model.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), 4, 2, 8, 6)
+                   for rows in (training, training + held))
+    expected = {r.doc_id: r.score for r in alone.collect()}
+    found = {r.doc_id: r.score for r in both.collect() if not r.held_out}
+    assert found.keys() == expected.keys() and all(abs(found[i] - expected[i]) < 1e-9 for i in found)
+    counts = class_model.word_counts(spark.createDataFrame(training + held, "doc_id long, text string, held_out boolean"))
+    lexicon = class_model.lexicon(counts, 8, 6)
+    assert all(lexicon.unit(w) == class_model.ending_of(w) for w in (b"zebra", b"yak", b"xenon", b"unheard"))
