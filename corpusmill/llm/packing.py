@@ -46,6 +46,8 @@ LONG_CHUNK = 64
 BLOCK = 1 << 21
 # Marks at the end of a chunk, behind an ASCII letter or digit.
 CLOSING = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?]+)(?=\s|\Z)")
+# A capital that the tokenizer may compose with the mark behind it before it ignores case.
+COMPOSED = re.compile(rb"[A-Z][\x80-\xff]")
 
 
 class ChunkEncoder:
@@ -96,8 +98,13 @@ class ChunkEncoder:
 
         The tokenizer ignores case and parts letters and digits from the marks behind them. A
         text that may hold a special token, which is looked for first, is only cut at white space.
+        Marks are composed before case is ignored, so a chunk with one behind a capital stays as it is.
         """
-        return (raw if b"<|" in raw else CLOSING.sub(rb" \1", raw.lower())).split()
+        if b"<|" in raw:
+            return raw.split()
+        if raw.isascii() or not COMPOSED.search(raw):
+            return CLOSING.sub(rb" \1", raw.lower()).split()
+        return [c if COMPOSED.search(c) else c.lower() for c in CLOSING.sub(rb" \1", raw).split()]
 
 
 def hilbert_key(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:

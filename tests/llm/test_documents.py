@@ -256,3 +256,14 @@ def test_held_out_rows_choose_no_units(spark):
     counts = class_model.word_counts(spark.createDataFrame(training + held, "doc_id long, text string, held_out boolean"))
     lexicon = class_model.lexicon(counts, 8, 6)
     assert all(lexicon.unit(w) == class_model.ending_of(w) for w in (b"zebra", b"yak", b"xenon", b"unheard"))
+
+
+def test_capitals_with_marks_are_encoded_as_by_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path) as file:
+        encoder = packing.ChunkEncoder(file.read())
+    texts = [f"An {chr(c)}{chr(m)}x, {chr(c)}{chr(m)} END." for c in range(65, 91) for m in range(0x300, 0x370)]
+    texts += [f"{chr(c)}\u0323{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)] + ["PLAIN, Été!", "J\u030c. K."]
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert list(ids) == [*library.encode(text, add_special_tokens=False).ids, 1], ascii(text)
