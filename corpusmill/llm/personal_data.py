@@ -2,9 +2,12 @@
 
 Base entities (email, ip, card, phone) are leftmost, non-overlapping matches that pass a check.
 They are the seeds of the second part: the words around an entity are lexical patterns, and a
-token with digits or an at sign in the same surroundings is a candidate. Patterns and
-instances form a graph that is scored in turns: a pattern is as good as the share of its
-instances that are believed, an instance is believed as far as good patterns hold it. Only
+token with digits or an at sign, or a run of digits with inner spaces, in the same surroundings
+is a candidate. Patterns and instances form a graph that is scored in turns: a pattern is as
+good as the belief in its instances against those that contradict the kind (entities of
+another kind, candidates that do not look like it; those that look like it and are not yet
+reached do not count), an instance is believed as far as good patterns hold it. Instances
+reached in one turn support patterns in the next, also patterns without an entity. Only
 instances of well-supported, nearly pure patterns that also look like the kind are added.
 
 Positions come without a search function: the texts between matches and the matches alternate,
@@ -33,14 +36,18 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# A token that may be an identifier: six characters or more, with an at sign or four digits.
-CANDIDATE = r"(?<!\S)(?=\S{6,64}(?!\S))(?=\S*@|(?:[^\s0-9]*[0-9]){4})\S+"
+# What may be an identifier: 7 to 19 digits with spaces and marks between them up to the end of a
+# token, or a token of six characters or more, with an at sign or four digits.
+CANDIDATE = (
+    r"(?<!\S)(?:[+(]{0,2}[0-9](?:[\x20().-]{0,3}[0-9]){6,18}+(?=[.,;:!?)]{0,3}(?:\s|\z))"
+    r"|(?=\S{6,64}(?!\S))(?=\S*@|(?:[^\s0-9]*[0-9]){4})\S+)"
+)
 # What a found token of each kind must look like, so that a kind's patterns add its like only.
 LIKE = {
     "email": r"^[^\s@]+@[^\s@]+$",
     "ip": r"^[0-9]{1,3}([.,:_-][0-9]{1,3}){3}[.,;:]?$",
-    "card": r"^[0-9](-?[0-9]){11,18}[.,;:]?$",
-    "phone": r"^\+?[(]?[0-9]([-.()]*[0-9]){6,14}[.,;:]?$",
+    "card": r"^[0-9]([\x20-]?[0-9]){11,18}[.,;:]?$",
+    "phone": r"^[+(]{0,2}[0-9]([-.()\x20]*[0-9]){6,14}[.,;:]?$",
 }
 TURNS = 3
 # Distinct believed instances a pattern needs, and how pure it must be.
@@ -186,27 +193,35 @@ def _discovered(rows: DataFrame) -> DataFrame:
     """``(row_id, kind, start, end, value)`` of candidates that patterns learned from the seeds reveal, written."""
     mentions = materialize(_mentions(rows), "mentions")
     edges = mentions.groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
-    seeded = edges.groupBy("pattern").agg(F.count("seed").alias("_seeds")).where(F.col("_seeds") >= SUPPORT)
-    # A pattern without enough seeds around it never becomes one that adds anything.
-    edges = materialize(edges.join(seeded.select("pattern"), "pattern"), "edges")
-    believed = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("belief", F.lit(1.0))
-    good = None
+    # How many instances contradict each kind, and how many may ever support a pattern: seeds, and what looks like a kind.
+    like = {k: F.col("seed").isNull() & F.col("value").rlike(LIKE[k]) for k in KINDS}
+    agrees = {k: F.coalesce(F.col("seed") == k, F.lit(False)) | like[k] for k in KINDS}
+    able = F.col("seed").isNotNull()
+    for kind in KINDS:
+        able = able | like[kind]
+    sizes = edges.groupBy("pattern").agg(F.count(F.when(able, 1)).alias("_able"),
+                                         *[F.count(F.when(~agrees[k], 1)).alias(f"_not_{k}") for k in KINDS])
+    # With fewer such instances than the support asks for, no turn can make a pattern good.
+    sizes = materialize(sizes.where(F.col("_able") >= SUPPORT), "patterns")
+    edges = materialize(edges.where(able).join(sizes.select("pattern"), "pattern"), "edges")
+    seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("belief", F.lit(1.0))
+    against = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"_not_{k}")) for k in KINDS])
+    looks = F.lit(False)
+    for kind in KINDS:
+        looks = looks | ((F.col("kind") == kind) & F.col("value").rlike(LIKE[kind]))
+    believed, good = seeds, None
     for _ in range(TURNS):
         believed = materialize(believed, "beliefs")
-        sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("_n"))
-        held = edges.join(believed, "value").groupBy("pattern", "kind").agg(
-            F.sum("belief").alias("_belief"), F.count(F.when(F.col("belief") >= BELIEVED, 1)).alias("_support"))
-        scored = held.join(sizes, "pattern").withColumn("purity", F.col("_belief") / F.col("_n"))
+        held = edges.join(believed, "value").where(F.col("seed").isNull() | (F.col("seed") == F.col("kind"))).groupBy("pattern", "kind").agg(
+            F.sum("belief").alias("_belief"), F.count(F.lit(1)).alias("_n"),
+            F.count(F.when(F.col("belief") >= BELIEVED, 1)).alias("_support"))
+        scored = held.join(sizes, "pattern").withColumn("purity", F.col("_belief") / (F.col("_n") + against))
         good = materialize(scored.where((F.col("_support") >= SUPPORT) & (F.col("purity") >= PURITY))
                            .select("pattern", "kind", "purity"), "patterns")
         doubt = F.sum(F.log1p(-F.least(F.col("purity"), F.lit(0.999))))
-        reached = edges.where("seed is null").join(good, "pattern")
-        look = F.lit(False)
-        for kind in KINDS:
-            look = look | ((F.col("kind") == kind) & F.col("value").rlike(LIKE[kind]))
-        unseen = reached.where(look).groupBy("value", "kind").agg((F.lit(1.0) - F.exp(doubt)).alias("belief"))
-        seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
-        believed = seeds.withColumn("belief", F.lit(1.0)).unionByName(unseen)
+        reached = edges.where("seed is null").join(good, "pattern").where(looks)
+        unseen = reached.groupBy("value", "kind").agg((F.lit(1.0) - F.exp(doubt)).alias("belief"))
+        believed = seeds.unionByName(unseen.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti"))
     sure = materialize(believed, "beliefs").where(F.col("belief") >= BELIEVED).select("value", F.col("kind").alias("_kind"))
     # Only where a good pattern stands is the instance taken for personal data.
     places = mentions.where("kind is null").join(good.withColumnRenamed("kind", "_kind"), "pattern")

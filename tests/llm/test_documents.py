@@ -267,3 +267,32 @@ def test_capitals_with_marks_are_encoded_as_by_the_library():
     texts += [f"{chr(c)}\u0323{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)] + ["PLAIN, Été!", "J\u030c. K."]
     for text, ids in zip(texts, encoder.ids(texts), strict=True):
         assert list(ids) == [*library.encode(text, add_special_tokens=False).ids, 1], ascii(text)
+
+
+def test_identifiers_are_reached_in_turns(spark):
+    def found(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {r.doc_id: r.spans for r in personal_data.digest(personal_data.find(docs)).collect()}
+
+    seeds = [f"please call my office +1 ({200 + i}) 555-{1000 + i} today" for i in range(60)]
+    # Seven identifiers no base pattern finds do not speak against their own pattern; one holds spaces.
+    unseen = [f"please call my office 555-123-45{10 + i} today" for i in range(6)] + ["please call my office (020) 7946 0018 today"]
+    # A pattern with three of those and three seeds, and one with five of those and no seed, reach others.
+    second = [f"her mobile number 555-123-45{10 + i} works" for i in range(3)]
+    second += [f"her mobile number +1 ({300 + i}) 555-1000 works" for i in range(3)] + ["her mobile number 555-999-0001 works"]
+    third = [f"reach them under 555-123-45{10 + i} always" for i in range(5)] + ["reach them under 555-999-0002 always"]
+    other = ["version 555-123-9999 shipped on time", "please call my lawyer 555-123-8888 instead"]
+    texts = seeds + unseen + second + third + other
+    spans = found(texts)
+    for i, text in enumerate(texts):
+        start = re.search(r"[+(]?[0-9]", text).start()
+        end = max(m.end() for m in re.finditer("[0-9]", text))
+        assert spans[i] == ("" if text in other else f"phone:{start}:{end}"), text
+    cards = [f"paid with card {4111111111110000 + i:d} online" for i in range(400)]
+    cards = [t for t in cards if luhn(t.split()[3])]
+    spans = found([*cards, "paid with card 4111 1111 1111 1112 online"])
+    assert len(cards) >= 20 and spans[len(cards)] == "card:15:34"
+    # Values that look otherwise do contradict: these are order numbers.
+    mixed = [t.replace("office", "desk") for t in seeds[:20]] + [f"please call my desk AB-{1000 + i}x today" for i in range(20)]
+    spans = found([*mixed, "please call my desk 555-123-4567 today"])
+    assert spans[len(mixed)] == ""
