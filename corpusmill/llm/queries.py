@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import class_model, language, minhash, mixing, neighbours, packing, personal_data, token_counts, top_k, web_text
+from corpusmill.llm import (
+    class_model, divergence, exact_copies, language, minhash, mixing, neighbours, packing, personal_data, spelling,
+    token_counts, top_k, web_text,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +138,60 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     first = F.get("positions", F.lit(0)).alias("position")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+
+
+@query(
+    r"""
+    with docs as (
+      select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+      from documents),
+    groups as materialized (select distinct lang, source from docs),
+    counts as materialized (
+      select lang, source, term, count(*) as n, count(distinct row) as docs
+      from (select row, lang, source, unnest(terms) as term from docs) group by all),
+    kept as materialized (select lang, term, sum(n)::bigint as n from counts group by all having sum(docs) >= 3),
+    languages as materialized (select lang, count(*) as size, sum(n)::bigint as total from kept group by lang),
+    totals as materialized (select lang, source, sum(c.n)::bigint as total from counts c join kept using (lang, term) group by all),
+    shares as materialized (
+      select lang, source, term, coalesce(c.n, 0) as n,
+        (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + s.size))::bigint as p
+      from groups join kept k using (lang) join languages s using (lang)
+        left join counts c using (lang, source, term) left join totals t using (lang, source)),
+    overall as materialized (
+      select lang, term, (1 + 1000000000::hugeint * (n + 1) // (total + size))::bigint as q
+      from kept join languages using (lang)),
+    differences as (
+      select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+      from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    parts as (
+      select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.value, 0) as value
+      from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join differences d on d.lang = a.lang and d.source = a.source and d.item = b.source
+      union all
+      select lang, source, 'term', term, (p - q) * (p - q) // q from shares join overall using (lang, term) where n > 0 and p > q),
+    ranked as (
+      select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from parts)
+    select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200"""
+)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+@query(
+    r"""
+    with texts as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as text from documents),
+    placed as (
+      select doc_id, text, row_number() over same as place, first_value(doc_id) over same as keep_id,
+        count(*) over (partition by text) as group_size
+      from texts window same as (partition by text order by doc_id nulls last))
+    select doc_id, keep_id, group_size, place = 1 as kept, sha256(text) as text_sha256 from placed"""
+)
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies.exact_copies(documents(spark, sf_dir))
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(documents(spark, sf_dir)))
