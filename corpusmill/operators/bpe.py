@@ -9,30 +9,30 @@ merged token. Numeric order of symbols therefore equals the order of token ids.
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
-from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.constants import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
+from corpusmill.operators.bpe_blocks import BLOCK_SCHEMA, Merge, make_blocks, map_blocks, pair_code
 from corpusmill.operators.words import alphabet
 from corpusmill.session import delete_scratch, write_scratch
 from corpusmill.sources.tokenizer_store import Tokenizer
 
-Merge = tuple[int, int, int]
-
 FIRST_MERGED = 0x110000
-# Pairs fetched per round; a round never decides anything beyond the fetched list.
+# Pairs whose counts the driver holds after a count of all, and pairs looked at in one round.
+PAIRS_HELD = 1 << 16
 PAIRS_PER_ROUND = 1024
 # Merges tried ahead in one round: a few more than the last round confirmed, up to a limit.
-MERGES_AHEAD = 24
-MORE_AHEAD = 4
-# Merges kept as pending expressions before the word table is written again.
-MERGES_PER_WRITE = 32
+MERGES_AHEAD = 64
+MORE_AHEAD = 8
+# Merges that wait before the blocks are written again.
+MERGES_PER_WRITE = 96
 WORDS_PER_TASK = 10_000
 
 
@@ -78,38 +78,6 @@ def apply_merges(symbols, merges: Sequence[Merge]) -> Column:
     return F.aggregate(_merge_steps(merges), symbols, lambda acc, step: F.replace(acc, step["pair"], step["merged"]))
 
 
-def trial_counts(symbols: DataFrame, predicted: Sequence[Merge]) -> DataFrame:
-    """``(l, r, changes, bound)``: pair counts now and how each predicted merge would change them.
-
-    ``changes`` holds ``(step, w)``: the count at step 0, then the difference made by the
-    predicted merge of that step. ``bound`` is at least the pair's count after any step.
-    Only words that a merge touches add rows beyond the plain count.
-    """
-    now = F.struct(F.lit(0).alias("step"), F.col("symbols"), F.col("n"))
-    versions = F.array(now)
-    if predicted:
-
-        def apply(acc: Column, step: Column) -> Column:
-            after = F.replace(acc["symbols"], step["pair"], step["merged"])
-            undone = F.struct(step["step"], acc["symbols"], (-F.col("n")).alias("n"))
-            done = F.struct(step["step"], after.alias("symbols"), F.col("n"))
-            changed = F.struct(after.alias("symbols"), F.concat(acc["versions"], F.array(undone, done)).alias("versions"))
-            return F.when(F.contains(acc["symbols"], step["pair"]), changed).otherwise(acc)
-
-        start = F.struct(F.col("symbols"), versions.alias("versions"))
-        versions = F.aggregate(_merge_steps(predicted), start, apply)["versions"]
-    steps = symbols.select(F.inline(versions))
-    changes = _adjacent(steps, "step", "n").groupBy("l", "r", "step").agg(F.sum("n").alias("w"))
-    return (
-        changes.where(F.col("w") != 0)
-        .groupBy("l", "r")
-        .agg(
-            F.collect_list(F.struct("step", "w")).alias("changes"),
-            F.sum(F.greatest("w", F.lit(0))).alias("bound"),
-        )
-    )
-
-
 def independent_prefix(
     pairs: Iterable[tuple[int, int, int]], spell: dict[int, str], known: set[str], room: int, min_count: int
 ) -> list[tuple[int, int]]:
@@ -150,6 +118,8 @@ class Vocabulary:
     spell: dict[int, str]
     merges: list[tuple[str, str]]
     learned: int = 0
+    # The symbol that the last merge made, if its spelling was new.
+    made: int | None = None
 
     @classmethod
     def start(cls, specials: Sequence[str], chars: Sequence[str]) -> Vocabulary:
@@ -163,55 +133,67 @@ class Vocabulary:
         """Record a merge; a spelling that exists already keeps its symbol and id."""
         text = self.spell[l] + self.spell[r]
         self.merges.append((self.spell[l], self.spell[r]))
+        self.made = None
         if text not in self.symbol:
-            self.symbol[text] = FIRST_MERGED + self.learned
-            self.spell[self.symbol[text]] = text
+            self.symbol[text] = self.made = FIRST_MERGED + self.learned
+            self.spell[self.made] = text
             self.tokens.append(text)
             self.learned += 1
         return l, r, self.symbol[text]
 
 
-def confirm_merges(
-    rows: Sequence[Row], predicted: Sequence[Merge], vocabulary: Vocabulary, vocab_size: int, min_count: int
-) -> tuple[list[Merge], dict[tuple[int, int], int]]:
-    """Merges that are certain after one round, and the counts in front of the last batch.
+class PairCounts:
+    """Counts of the pairs that may be best, held by the driver and kept exact through merges.
 
-    A predicted merge is confirmed while it is the best pair of the exact counts that the
-    trial produced for its step. After the last confirmed one, the counts are exact too and
-    the independent run of best pairs follows. A pair that was not fetched ranks behind the
-    last fetched one at every step, so decisions are only taken in front of that border.
+    Only the ``PAIRS_HELD`` best pairs of a count are held, and every pair that a merge makes.
+    A pair that is not held ranks behind the last one of that count: it can only lose, unless a
+    merge spells an existing token and so adds to its pairs; what such a pair may have
+    reached at most is ``unsure``. A pair in front of all this is certain.
     """
-    counts = {(row.l, row.r): 0 for row in rows}
-    later: dict[int, list[tuple[tuple[int, int], int]]] = defaultdict(list)
-    for row in rows:
-        for step, w in row.changes:
-            later[step].append(((row.l, row.r), w))
-    border = (-rows[-1].bound, rows[-1].l, rows[-1].r) if len(rows) == PAIRS_PER_ROUND else None
-
-    def rank(pair: tuple[int, int]) -> tuple[int, int, int]:
-        return (-counts[pair], *pair)
-
-    def certain(pair: tuple[int, int]) -> bool:
-        return counts[pair] >= min_count and (border is None or rank(pair) <= border)
-
-    merges: list[Merge] = []
-    for step in range(len(predicted) + 1):
-        for pair, w in later[step]:
-            counts[pair] += w
-        best = min(counts, key=rank, default=None)
-        if step == len(predicted) or best is None or not certain(best):
-            break
-        if best != predicted[step][:2] or len(vocabulary.tokens) >= vocab_size:
-            break
-        merges.append(vocabulary.learn(*best))
-    ranked = [(*pair, counts[pair]) for pair in sorted(filter(certain, counts), key=rank)]
-    room = vocab_size - len(vocabulary.tokens)
-    batch = independent_prefix(ranked, vocabulary.spell, set(vocabulary.symbol), room, min_count)
-    settled = {(l, r): count for l, r, count in ranked}
-    for l, r in batch:
-        merges.append(vocabulary.learn(l, r))
-        _move_counts(settled, merges[-1])
-    return merges, settled
+
+    def __init__(self, codes: Iterable[int], counts: Iterable[int], whole: bool):
+        self.count = dict(zip(codes, counts))
+        self.heap = [(-c, code) for code, c in self.count.items()]
+        self.border = None if whole else max(self.heap)
+        heapq.heapify(self.heap)
+        self.gains: dict[int, int] = {}
+        self.unsure = 0
+
+    def best(self) -> int | None:
+        while self.heap and self.count[self.heap[0][1]] != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0][1] if self.heap else None
+
+    def ranked(self, k: int) -> list[tuple[int, int]]:
+        """The ``k`` best pairs and their counts."""
+        found = []
+        while len(found) < k and (code := self.best()) is not None:
+            found.append((code, self.count[code]))
+            while self.heap and self.heap[0] == (-self.count[code], code):
+                heapq.heappop(self.heap)
+        for code, count in found:
+            heapq.heappush(self.heap, (-count, code))
+        return found
+
+    def certain(self, code: int, min_count: int) -> bool:
+        count = self.count[code]
+        known = self.border is None or ((-count, code) <= self.border and count > self.unsure)
+        return count >= min_count and known
+
+    def change(self, code: int, difference: int, made: int | None) -> None:
+        """Add a difference; ``made`` is the symbol that the merge has made, if it is a new one."""
+        count = self.count.get(code)
+        if count is None:
+            if difference <= 0:
+                return
+            if self.border is not None and made not in (code >> 32, code & 0xFFFFFFFF):
+                self.gains[code] = self.gains.get(code, -self.border[0]) + difference
+                self.unsure = max(self.unsure, self.gains[code])
+                return
+            count = 0
+        self.count[code] = count + difference
+        if count + difference > 0:
+            heapq.heappush(self.heap, (-count - difference, code))
 
 
 def predict_merges(counts: dict[tuple[int, int], float], vocabulary: Vocabulary, ahead: int) -> list[Merge]:
@@ -253,47 +235,117 @@ def train_bpe(
 ) -> Tokenizer:
     """Learn merges from a word table ``(word, n)``, best a written one: it is read three times.
 
-    Each round counts pairs over the whole word table on the cluster, now and after each of
-    a few predicted merges; only the best pairs reach the driver. What the exact counts
-    confirm is kept. Kept merges wait as expressions on the last written word table, which
-    is rewritten when enough of them are pending.
+    The words are written once as blocks with an index from pairs to words. The driver holds
+    the counts of the best pairs. A round tries a run of merges, those that are certain and a
+    few predicted ones behind them, on the words of the merged pairs alone, and brings back
+    how each step changes the counts. A predicted merge is kept while it is the best pair of
+    the exact counts in front of it; behind the last one the independent run of best pairs
+    is certain for the next round. Kept merges wait until the blocks are written again. All
+    pairs are counted at the start and when the held ones no longer decide.
     """
-    spark = words.sparkSession
     # The alphabet is bounded by Unicode, the merge list by ``vocab_size``.
     chars = [row.ch for row in alphabet(words, len(specials)).orderBy("token_id").collect()]
     vocabulary = Vocabulary.start(specials, chars)
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(1, min(most, math.ceil(words.count() / WORDS_PER_TASK)))
-    written, table = _write_words(symbol_words(words), partitions)
+    blocks = WrittenBlocks(words)
+    learn_merges(blocks, vocabulary, vocab_size, max(1, min_frequency))
+    blocks.delete()
+    return Tokenizer(tuple(vocabulary.tokens), tuple(vocabulary.merges), tuple(specials))
+
+
+class WrittenBlocks:
+    """The words as blocks in a written table, and the jobs that run on them."""
+
+    def __init__(self, words: DataFrame):
+        self.spark = words.sparkSession
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._write(make_blocks(words, max(1, min(most, math.ceil(words.count() / WORDS_PER_TASK)))))
+
+    def _write(self, blocks: DataFrame) -> None:
+        self.path = write_scratch(blocks, "blocks")
+        self.table = self.spark.read.schema(BLOCK_SCHEMA).parquet(self.path)
+
+    def delete(self) -> None:
+        delete_scratch(self.spark, self.path)
+
+    def merge(self, pending: Sequence[Merge]) -> None:
+        """Write the blocks again, after the merges."""
+        previous = self.path
+        self._write(map_blocks(self.table, BLOCK_SCHEMA, lambda block: tuple([value] for value in block.after(pending).row())))
+        delete_scratch(self.spark, previous)
+
+    def changes(self, pending: Sequence[Merge], steps: Sequence[Merge]) -> list[list[tuple[int, int]]]:
+        """For every step the pairs whose count it changes, and by how much.
+
+        A step changes pairs with the neighbours of its two symbols, so at most as many rows
+        reach the driver as there are symbols, for each of the few steps.
+        """
+        parts = map_blocks(self.table, "step bigint, code bigint, w bigint", lambda block: block.changes(pending, steps))
+        table = parts.groupBy("step", "code").agg(F.sum("w").alias("w")).where("w <> 0").toArrow()
+        found: list[list[tuple[int, int]]] = [[] for _ in steps]
+        for step, code, w in zip(*(table.column(name).to_pylist() for name in ("step", "code", "w"))):
+            found[step].append((code, w))
+        return found
+
+    def counts(self, pending: Sequence[Merge]) -> PairCounts:
+        """The best pairs of a count of all."""
+        parts = map_blocks(self.table, "code bigint, c bigint", lambda block: block.pair_counts(pending))
+        counts = parts.groupBy("code").agg(F.sum("c").alias("c"))
+        table = counts.orderBy(F.desc("c"), "code").limit(PAIRS_HELD).toArrow()
+        return PairCounts(table.column("code").to_pylist(), table.column("c").to_pylist(), table.num_rows < PAIRS_HELD)
+
+
+def learn_merges(blocks: WrittenBlocks, vocabulary: Vocabulary, vocab_size: int, min_count: int) -> None:
+    """Add merges to the vocabulary until it is full or no pair is left."""
     pending: list[Merge] = []
-    predicted: list[Merge] = []
+    sure: list[tuple[Merge, int | None]] = []
+    counts: PairCounts | None = None
+    ahead = MORE_AHEAD
     while len(vocabulary.tokens) < vocab_size:
-        trial = trial_counts(_merged(table, pending), predicted)
-        rows = trial.orderBy(F.desc("bound"), "l", "r").limit(PAIRS_PER_ROUND).collect()
-        merges, counts = confirm_merges(rows, predicted, vocabulary, vocab_size, max(1, min_frequency))
-        if not merges:
-            if not predicted:
+        counted = counts is None
+        if counts is None:
+            pending, sure = pending + [merge for merge, _ in sure], []
+            counts = blocks.counts(pending)
+        else:
+            confirmed = _confirm(blocks, pending, sure, counts, vocabulary, vocab_size, min_count, ahead)
+            ahead = min(MERGES_AHEAD, confirmed + MORE_AHEAD)
+        ranked = []
+        for code, count in counts.ranked(PAIRS_PER_ROUND):
+            if not counts.certain(code, min_count):
                 break
-            predicted = []  # The trial crowded out the best pair; count without one.
-            continue
-        pending.extend(merges)
-        ahead = min(MERGES_AHEAD, len(merges) + MORE_AHEAD, vocab_size - len(vocabulary.tokens))
-        predicted = predict_merges(counts, vocabulary, ahead)
+            ranked.append((code >> 32, code & 0xFFFFFFFF, count))
+        room = vocab_size - len(vocabulary.tokens)
+        batch = independent_prefix(ranked, vocabulary.spell, set(vocabulary.symbol), room, min_count)
+        sure = [(vocabulary.learn(l, r), vocabulary.made) for l, r in batch]
+        if not sure and len(vocabulary.tokens) < vocab_size:
+            if counted:
+                break
+            counts = None
         if len(pending) >= MERGES_PER_WRITE:
-            previous = written
-            written, table = _write_words(_merged(table, pending), partitions)
-            delete_scratch(spark, previous)
+            blocks.merge(pending)
             pending = []
-    delete_scratch(spark, written)
-    return Tokenizer(tuple(vocabulary.tokens), tuple(vocabulary.merges), tuple(specials))
 
 
-def _write_words(words: DataFrame, partitions: int) -> tuple[str, DataFrame]:
-    """Write the words that still hold a pair, spread evenly over the tasks of the next rounds."""
-    paired = words.where(F.instr("symbols", "  ") > 0).repartition(partitions, "symbols")
-    path = write_scratch(paired, "words")
-    return path, words.sparkSession.read.schema("symbols string, n bigint").parquet(path)
-
-
-def _merged(words: DataFrame, pending: Sequence[Merge]) -> DataFrame:
-    return words.withColumn("symbols", apply_merges("symbols", pending)) if pending else words
+def _confirm(
+    blocks: WrittenBlocks, pending: list[Merge], sure: list[tuple[Merge, int | None]], counts: PairCounts,
+    vocabulary: Vocabulary, vocab_size: int, min_count: int, ahead: int,
+) -> int:
+    """Try the sure merges and predicted ones; add what holds to ``counts`` and ``pending``. Predictions kept."""
+    likely = {(code >> 32, code & 0xFFFFFFFF): count for code, count in counts.ranked(PAIRS_PER_ROUND)}
+    for merge, _ in sure:
+        _move_counts(likely, merge)
+    steps = [*(merge for merge, _ in sure), *predict_merges(likely, vocabulary, ahead)]
+    changes = blocks.changes(list(pending), steps)
+    for step, merge in enumerate(steps):
+        if step < len(sure):
+            made = sure[step][1]
+        else:
+            best = counts.best()
+            right = best is not None and best == pair_code(*merge[:2]) and counts.certain(best, min_count)
+            if not right or len(vocabulary.tokens) >= vocab_size:
+                return step - len(sure)
+            vocabulary.learn(*merge[:2])
+            made = vocabulary.made
+        for code, difference in changes[step]:
+            counts.change(code, difference, made)
+        pending.append(merge)
+    return len(steps) - len(sure)

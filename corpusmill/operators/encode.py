@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.constants import BLOCK_SIZE, UNKNOWN_ID
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.skew import keyed_join
+from corpusmill.session import materialize
 from corpusmill.sources.tokenizer_store import Tokenizer
 
 # Words whose ids one task remembers; the memory is emptied when full.
@@ -139,14 +140,35 @@ def decode(ids, tokenizer: Tokenizer) -> Column:
     return F.array_join(F.transform(plain, lambda i: F.get(tokens, i)), " ")
 
 
+def exact_quantile(counts: DataFrame, value: str, q: float, by: Sequence[str], n: str = "n") -> DataFrame:
+    """``(*by, quantile)``: the smallest value with at least the share ``q`` of a group's rows at or below it.
+
+    ``counts (*by, value, n)`` is a histogram; the running sum sees one row per distinct value.
+    """
+    group = Window.partitionBy(*by)
+    reached = F.sum(n).over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_reached", reached).withColumn("_total", F.sum(n).over(group))
+    return placed.where(F.col("_reached") >= F.col("_total") * F.lit(q)).groupBy(*by).agg(F.min(value).alias("quantile"))
+
+
 def length_stats(df: DataFrame, tokens: str = "input_ids", n: int = BLOCK_SIZE, by: str = "split") -> DataFrame:
-    """Unpadded lengths per group: mean, median, maximum, rows cut at ``n``, share of padding."""
-    size = F.size(tokens)
-    return df.select(by, size.alias("size")).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg("size").alias("mean_tokens"),
-        F.percentile_approx("size", 0.5).alias("median_tokens"),
+    """Unpadded lengths per group: mean, median, maximum, rows cut at ``n``, share of padding.
+
+    Everything comes exactly from the histogram of lengths, which has at most as many rows as the
+    longest row has tokens; a null row has no length.
+    """
+    size = F.when(F.col(tokens).isNotNull(), F.size(tokens))
+    counts = materialize(df.select(by, size.alias("size")).groupBy(by, "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    medians = exact_quantile(counts.where("size is not null"), "size", 0.5, [by]).select(by, F.col("quantile").alias("median_tokens"))
+    length, rows = F.col("size").cast("bigint"), F.col("n")
+    known = F.when(F.col("size").isNotNull(), rows)
+    stats = counts.groupBy(by).agg(
+        F.sum(rows).alias("n_rows"),
+        (F.sum(length * rows) / F.sum(known)).alias("mean_tokens"),
         F.max("size").alias("max_tokens"),
-        F.count_if(F.col("size") > n).alias("n_truncated"),
-        (F.sum(F.greatest(F.lit(0), n - F.col("size"))) / (F.count(F.lit(1)) * n)).alias("pad_share"),
+        F.coalesce(F.sum(F.when(F.col("size") > n, rows)), F.lit(0)).alias("n_truncated"),
+        (F.sum(F.greatest(F.lit(0), n - length) * rows) / (F.sum(known) * n)).alias("pad_share"),
     )
+    # One row per group on either side; a group may be null.
+    joined = stats.alias("s").join(medians.alias("m"), F.col(f"s.{by}").eqNullSafe(F.col(f"m.{by}")), "left")
+    return joined.select(f"s.{by}", "n_rows", "mean_tokens", "median_tokens", "max_tokens", "n_truncated", "pad_share")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.constants import BUCKET_STEPS, REPORT_EVERY
+from corpusmill.operators.ranking import range_rank
+from corpusmill.session import materialize
 
 
 def batch_loss(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -54,12 +56,24 @@ def perplexity(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return metrics.groupBy(*by).agg(F.exp(F.avg("loss")).alias("perplexity"))
 
 
-def epoch_summary(metrics: DataFrame) -> DataFrame:
-    """Per epoch the mean loss of the validation and of the training phase."""
-    return metrics.groupBy("epoch").agg(
-        F.avg(F.when(F.col("phase") == "val", F.col("loss"))).alias("val_loss"),
-        F.avg(F.when(F.col("phase") == "train", F.col("loss"))).alias("train_loss"),
-    )
+def epoch_summary(metrics: DataFrame, compat: bool = False) -> DataFrame:
+    """Per epoch the validation loss and the estimate of the training loss.
+
+    The validation loss is the mean of its batch means; the estimate is the mean of as many of
+    the epoch's first training batches as there were validation batches. ``compat`` divides by
+    that number even if there are fewer training batches.
+    """
+    per_batch = materialize(batch_loss(metrics, ["epoch", "phase"]), "batch-losses")
+    validation = per_batch.where("phase = 'val'").groupBy("epoch").agg(
+        F.avg("batch_loss").alias("val_loss"), F.count(F.lit(1)).alias("_k"))
+    placed = range_rank(per_batch.where("phase = 'train'").select("epoch", "batch_id", "batch_loss"), ["epoch", "batch_id"])
+    starts = placed.groupBy("epoch").agg(F.min("pos").alias("_start"))
+    # One row per epoch on the right.
+    first = placed.join(starts.join(validation, "epoch", "left"), "epoch")
+    counts = F.col("pos") - F.col("_start") < F.col("_k")
+    mean = F.sum(F.when(counts, F.col("batch_loss"))) / F.first("_k") if compat else F.avg(F.when(counts, F.col("batch_loss")))
+    train = first.groupBy("epoch").agg(mean.alias("train_loss"))
+    return validation.drop("_k").join(train, "epoch", "full").select("epoch", "val_loss", "train_loss")
 
 
 def best_by(table: DataFrame, score: str, name: str = "epoch") -> DataFrame:

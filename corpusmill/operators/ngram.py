@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.constants import BATCH_SIZE, BLOCK_SIZE, MAX_NEW_TOKENS, SEED, TEMPERATURE, TOP_K
 from corpusmill.functions.arrays import crop_last
@@ -13,14 +22,16 @@ from corpusmill.operators.metrics import macro_loss
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.sampling import batches
 from corpusmill.operators.skew import fits_broadcast, keyed_join
-from corpusmill.session import WrittenTable, materialize, write_table
+from corpusmill.session import materialize, write_table
 
 # Draws are whole numbers below 2 ** GRID_BITS. For the join a context's grid is cut into equal
 # cells, a power of two, one for every PER_CELL candidates.
 GRID_BITS = 32
 PER_CELL = 256
 WEIGHT_BITS = 30
-STEPS_PER_WRITE = 10
+# Candidates, and places that hold them, that travel to every task of a continuation.
+HEAD_CANDIDATES = 500_000
+HEAD_PLACES = 200_000
 
 
 def next_pairs(df: DataFrame, keep: list[str], tokens: str = "tokens", outer: bool = False) -> DataFrame:
@@ -38,38 +49,123 @@ def bigrams(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return next_pairs(df, [], tokens).groupBy("ctx", "nxt").agg(F.count(F.lit(1)).alias("c"))
 
 
-def doc_cross_entropy(
-    df: DataFrame,
-    counts: DataFrame | WrittenTable,
-    vocab_size: int | Column,
-    key: str = "doc_id",
-    tokens: str = "tokens",
-) -> DataFrame:
-    """``(key, nll, n, loss)``: add-one smoothed cross-entropy of each row's adjacent pairs.
+def row_pairs(df: DataFrame, key: str, inputs: Column, targets: Column) -> DataFrame:
+    """``(key, ctx, nxt, whole, m)``: the pairs of two equally long arrays, equal pairs of a row combined.
 
-    Equal pairs of a row are combined before the joins; pairs never seen stay by the left
-    joins with count zero. A row with fewer than two tokens has ``n`` 0 and no loss.
+    For every context of a row there is a ``whole`` row as well, with all of its pairs; its ``nxt``
+    is the context. A row without pairs gives one ``whole`` row with ``m`` 0 and no context.
+    Pairs with a null are left out. Nothing is shuffled.
     """
-    pairs = next_pairs(df, [key], tokens, outer=True).groupBy(key, "ctx", "nxt").agg(F.count("ctx").alias("m"))
-    counts = counts if isinstance(counts, WrittenTable) else write_table(counts, "bigrams")
-    totals = counts.df.groupBy("ctx").agg(F.sum("c").alias("c_ctx"))
-    scored = keyed_join(pairs, counts, ["ctx", "nxt"], weight="c", how="left")
-    scored = keyed_join(scored, totals, "ctx", weight="c_ctx", how="left")
-    seen, context = F.coalesce("c", F.lit(0)), F.coalesce("c_ctx", F.lit(0))
-    vocab = vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
-    nll = -F.log((seen + 1) / (context + vocab))
-    per_doc = scored.groupBy(key).agg(F.sum(F.col("m") * nll).alias("nll"), F.sum("m").alias("n"))
+    rows = df.select(key, inputs.alias("inputs"), targets.alias("targets"))
+    kind = rows.schema["inputs"].dataType.elementType
+    schema = T.StructType([
+        T.StructField(key, rows.schema[key].dataType), T.StructField("ctx", kind), T.StructField("nxt", kind),
+        T.StructField("whole", T.BooleanType()), T.StructField("m", T.LongType())])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words, left, right = _coded_pairs(batch.column(1), batch.column(2))
+            order = np.lexsort((right, left, row))
+            row, left, right = row[order], left[order], right[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (left[1:] != left[:-1])
+            pair = first.copy()
+            pair[1:] |= right[1:] != right[:-1]
+            pair, whole = np.flatnonzero(pair), np.flatnonzero(first)
+            none = np.setdiff1d(np.arange(batch.num_rows), row)
+            at, zeros = np.concatenate([pair, whole]), np.zeros(len(none), np.int64)
+            m = [np.diff(np.append(starts, len(row))) for starts in (pair, whole)]
+            missing = np.arange(len(at) + len(none)) >= len(at)
+            yield pa.record_batch([
+                batch.column(0).take(pa.array(np.concatenate([row[at], none]))),
+                words.take(pa.array(np.concatenate([left[at], zeros]), mask=missing)),
+                words.take(pa.array(np.concatenate([right[pair], left[whole], zeros]), mask=missing)),
+                pa.array(np.arange(len(missing)) >= len(pair)), pa.array(np.concatenate([*m, zeros]), pa.int64()),
+            ], names=schema.names)
+
+    return rows.mapInArrow(combine, schema)
+
+
+def _coded_pairs(inputs: pa.Array, targets: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Row number, and numbers of input and target among the distinct words, of every pair without a null."""
+    row = np.repeat(np.arange(len(inputs)), inputs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = pa.concat_arrays([inputs.flatten(), targets.flatten()]).dictionary_encode()
+    codes = flat.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    left, right = codes[: len(row)], codes[len(row) :]
+    known = (left >= 0) & (right >= 0)
+    return row[known], flat.dictionary, left[known], right[known]
+
+
+def adjacent(tokens: str) -> tuple[Column, Column]:
+    """The tokens of a row but the last, and but the first."""
+    last = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.slice(tokens, F.lit(1), last), F.slice(tokens, F.lit(2), last)
+
+
+def padded(ids: str, targets: str, n_tokens: str, include_pad: bool) -> tuple[Column, Column]:
+    """Inputs and targets of rows of fixed length: every position, or those of real tokens."""
+    if include_pad:
+        return F.col(ids), F.col(targets)
+    real = F.least(F.col(n_tokens), F.size(ids))
+    return F.slice(ids, F.lit(1), real), F.slice(targets, F.lit(1), real)
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """``(ctx, nxt, c)`` from the result of :func:`row_pairs`."""
+    return pairs.where("not whole").groupBy("ctx", "nxt").agg(F.sum("m").alias("c"))
+
+
+def cross_entropy(pairs: DataFrame, counts: DataFrame, vocab_size: int | Column, key: str) -> DataFrame:
+    """``(key, nll, n, loss)``: add-one smoothed cross-entropy of the result of :func:`row_pairs`.
+
+    ``-ln((c + 1) / (c_ctx + V))`` is the context's ``ln(c_ctx + V)`` less the pair's ``ln(c + 1)``.
+    Both stand in one table, so the pairs meet their counts in a single join; an unseen pair
+    adds nothing and an unseen context ``ln V``.
+    """
+    pair, context = (
+        F.struct("ctx", F.col(nxt).alias("nxt"), F.lit(whole).alias("whole"), "c") for nxt, whole in (("nxt", False), ("ctx", True)))
+    terms = counts.select(F.inline(F.array(pair, context))).groupBy("ctx", "nxt", "whole").agg(F.sum("c").alias("c"))
+    scored = keyed_join(pairs, terms, ["ctx", "nxt", "whole"], weight="c", how="left")
+    count, vocab = F.coalesce("c", F.lit(0)), vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
+    part = F.when(F.col("whole"), F.log(count + vocab)).otherwise(-F.log(count + 1))
+    per_doc = scored.groupBy(key).agg(
+        F.sum(F.col("m") * part).alias("nll"), F.sum(F.when(F.col("whole"), F.col("m")).otherwise(0)).alias("n"))
     return per_doc.withColumn("loss", F.try_divide("nll", "n"))
 
 
+def doc_cross_entropy(
+    df: DataFrame, counts: DataFrame, vocab_size: int | Column, key: str = "doc_id", tokens: str = "tokens",
+) -> DataFrame:
+    """``(key, nll, n, loss)`` of each row's adjacent tokens; with fewer than two, ``n`` is 0 and there is no loss."""
+    return cross_entropy(row_pairs(df, key, *adjacent(tokens)), counts, vocab_size, key)
+
+
 def evaluate(
     train: DataFrame, validation: DataFrame, vocab_size: int | Column, batch_size: int = BATCH_SIZE,
     key: str = "doc_id", tokens: str = "tokens",
 ) -> DataFrame:
     """One row: macro loss (mean of batch means), micro loss (all pairs alike), perplexity."""
-    counts = write_table(bigrams(train, tokens), "bigrams")
-    scored = doc_cross_entropy(validation, counts, vocab_size, key, tokens).select(key, "nll", "n")
-    numbered = batches(range_rank(scored, [key]), batch_size)
+    scored = doc_cross_entropy(validation, bigrams(train, tokens), vocab_size, key, tokens)
+    return report(scored, batch_size, key)
+
+
+def evaluate_fixed(
+    train: DataFrame, validation: DataFrame, vocab_size: int | Column, include_pad: bool = True,
+    batch_size: int = BATCH_SIZE, key: str = "doc_id",
+) -> DataFrame:
+    """The report of :func:`evaluate` for rows of fixed length ``(key, input_ids, targets, n_tokens)``.
+
+    With ``include_pad`` the filling counts in the statistics and in the loss, which lowers it;
+    without, only the targets of real tokens do, the first filling among them.
+    """
+    places = padded("input_ids", "targets", "n_tokens", include_pad)
+    counts = counted(row_pairs(train, key, *places))
+    return report(cross_entropy(row_pairs(validation, key, *places), counts, vocab_size, key), batch_size, key)
+
+
+def report(scored: DataFrame, batch_size: int, key: str) -> DataFrame:
+    """Macro loss, micro loss and perplexity of scored rows, in batches in the order of ``key``."""
+    numbered = batches(range_rank(scored.select(key, "nll", "n"), [key]), batch_size)
     per_batch = numbered.groupBy("batch_id").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
     return per_batch.agg(
         F.avg(F.try_divide("nll", "n")).alias("macro_loss"),
@@ -93,6 +189,9 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
     context with very many candidates is split. Each interval is repeated per cell it
     touches: a draw then meets its candidate by equality of context and cell. ``shift`` is the
     number of bits in a cell; most contexts have few candidates and a single cell.
+
+    A weight is at least 1, so an interval is empty only if a context's weights pass the grid,
+    which takes more than three billion candidates; such an interval cannot be drawn.
     """
     weighted = candidates.select(
         "ctx",
@@ -126,15 +225,31 @@ def draw_cells(candidates: DataFrame) -> DataFrame:
     return kept.select("ctx", F.explode(cells).alias("cell"), "shift", "nxt", "lo", "hi")
 
 
-def _step_table(table: WrittenTable) -> DataFrame:
-    """The table as every step joins it: broadcast if small, else placed and sorted once.
+class Walker:
+    """Draws from the candidates of some places, a place being a cell of a context's grid."""
 
-    Cached blocks of a lost executor are read again from the written table.
-    """
-    if fits_broadcast(table):
-        return F.broadcast(table.df)
-    partitions = int(table.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.df.repartition(partitions, "ctx", "cell").sortWithinPartitions("ctx", "cell").persist()
+    def __init__(self, rows: Iterable[dict], seed: int):
+        """``rows``: ``ctx, cell`` and the lists ``his, nxts, shifts`` of the place's candidates in order."""
+        self.places = {(row["ctx"], row["cell"]): row for row in rows}
+        self.seed = seed
+
+    def walk(self, state: dict, steps: int, at: dict | None = None) -> dict:
+        """Go on from ``state`` until all steps are done, no candidate is left or the place is not known here.
+
+        ``at`` holds the candidates of the place the state stands at.
+        """
+        while state["step"] < steps and state["shift"] is not None:
+            parts = [str(self.seed), str(state["step"]), *([] if state["name"] is None else [state["name"]])]
+            draw = int(hashlib.md5(":".join(parts).encode()).hexdigest()[:8], 16)
+            place = at or self.places.get((state["ctx"], draw >> state["shift"]))
+            if place is None:
+                break
+            at = None
+            i = bisect.bisect_right(place["his"], draw)
+            token = place["nxts"][i]
+            state = {**state, "step": state["step"] + 1, "ctx": token, "shift": place["shifts"][i],
+                     "generated": [*state["generated"], token]}
+        return state
 
 
 def continue_batch(
@@ -149,46 +264,69 @@ def continue_batch(
     """Continue every prompt by up to ``steps`` drawn tokens; add ``generated`` and ``context``.
 
     ``candidates`` is the table of :func:`next_candidates`. A prompt whose last token has no
-    candidate stops. Only key, last token and new tokens move between steps; the prompts
-    themselves are joined once at the end. The state is written every few steps.
+    candidate stops. The candidates of a place are one row. Walks mostly visit frequent
+    contexts, so the rows of the most frequent ones, up to ``HEAD_CANDIDATES`` candidates, travel to
+    every task, and a task walks a prompt as long as it stays among them. Only a prompt that
+    leaves them moves, to the row of the place it stands at, and walks on from there. The
+    prompts themselves are joined once at the end.
     """
-    placed = materialize(draw_cells(materialize(candidates, "candidates")), "placed")
-    shifts = write_table(placed.groupBy("ctx").agg(F.first("shift").alias("shift")), "shifts")
+    spark = prompts.sparkSession
+    cells = materialize(draw_cells(materialize(candidates, "candidates")), "cells")
+    shifts = write_table(cells.groupBy("ctx").agg(F.first("shift").alias("shift")), "shifts")
     known = F.broadcast(shifts.df) if fits_broadcast(shifts) else shifts.df
-    # A candidate knows the cells of the context it leads to, so a step is a single join.
     following = known.select(F.col("ctx").alias("nxt"), F.col("shift").alias("nxt_shift"))
-    cells = _step_table(write_table(placed.join(following, "nxt", "left"), "cells"))
-    state = materialize(
-        prompts.where(F.size(tokens) > 0).select(
-            key,
-            F.element_at(tokens, -1).alias("ctx"),
-            F.slice(tokens, 1, 0).alias("generated"),
-        ).join(known, "ctx", "left"),
-        "prompts",
-    )
-    for step in range(steps):
-        drawn = state.withColumn("r", F.conv(F.substring(hash_key(seed, step, F.col(key)), 1, 8), 16, 10).cast("bigint"))
-        drawn = drawn.withColumn("cell", F.expr("shiftright(r, shift)"))
-        joined = drawn.alias("s").join(
-            cells.alias("c"),
-            (F.col("s.ctx") == F.col("c.ctx"))
-            & (F.col("s.cell") == F.col("c.cell"))
-            & (F.col("s.r") >= F.col("c.lo"))
-            & (F.col("s.r") < F.col("c.hi")),
-            "left",
-        )
-        grown = F.array_append(F.col("s.generated"), F.col("c.nxt"))
-        state = joined.select(
-            F.col(f"s.{key}").alias(key),
-            F.coalesce("c.nxt", "s.ctx").alias("ctx"),
-            F.when(F.col("c.nxt").isNull(), F.col("s.shift")).otherwise(F.col("c.nxt_shift")).alias("shift"),
-            F.when(F.col("c.nxt").isNull(), F.col("s.generated")).otherwise(grown).alias("generated"),
-        )
-        if (step + 1) % STEPS_PER_WRITE == 0 or step + 1 == steps:
-            state = materialize(state, "continued")
-    cells.unpersist()
-    result = prompts.join(state.select(key, "generated"), key, "left")
-    generated = F.coalesce("generated", F.slice(tokens, 1, 0))
-    return result.withColumn("generated", generated).withColumn(
-        "context", crop_last(F.concat(F.col(tokens), F.col("generated")), n)
-    )
+    entry = F.struct("hi", "nxt", F.col("nxt_shift").alias("shift"))
+    rows = cells.join(following, "nxt", "left").groupBy("ctx", "cell").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    weights = candidates.groupBy("ctx").agg(F.sum("c").alias("weight"))
+    rows = rows.select("ctx", "cell", F.col("_entries.hi").alias("his"), F.col("_entries.nxt").alias("nxts"),
+                       F.col("_entries.shift").alias("shifts")).join(weights, "ctx")
+    places = materialize(rows, "places")
+    head = spark.sparkContext.broadcast(Walker(_head(places), seed))
+
+    kind = candidates.schema["nxt"].dataType
+    state = prompts.where(F.size(tokens) > 0).select(
+        key, F.col(key).cast("string").alias("name"), F.element_at(tokens, -1).alias("ctx"), F.lit(0).alias("step"),
+        F.slice(tokens, 1, 0).alias("generated"),
+    ).join(known, "ctx", "left").select(key, "name", "ctx", "shift", "step", "generated")
+    schema = T.StructType([
+        T.StructField(key, prompts.schema[key].dataType), T.StructField("name", T.StringType()), T.StructField("ctx", kind),
+        T.StructField("shift", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("generated", T.ArrayType(kind))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            walked = []
+            for row in batch.to_pylist():
+                at = {name: row.pop(name) for name in ("his", "nxts", "shifts") if name in row}
+                walked.append(head.value.walk(row, steps, at or None))
+            yield pa.RecordBatch.from_pylist(walked, to_arrow_schema(schema))
+
+    moving, parts = materialize(state.mapInArrow(walk, schema), "walked"), []
+    draw = F.conv(F.substring(hash_key(seed, F.col("step"), F.col("name")), 1, 8), 16, 10).cast("bigint")
+    while True:
+        under_way = (F.col("step") < steps) & F.col("shift").isNotNull()
+        parts.append(moving.where(~under_way))
+        left = moving.where(under_way)
+        if left.isEmpty():
+            break
+        left = left.withColumn("cell", draw).withColumn("cell", F.expr("shiftright(cell, shift)"))
+        standing = left.join(places.drop("weight"), ["ctx", "cell"]).select(*schema.names, "his", "nxts", "shifts")
+        moving = materialize(standing.mapInArrow(walk, schema), "walked")
+    done = reduce(DataFrame.unionByName, parts).select(key, "generated")
+    result = prompts.join(done, key, "left").withColumn("generated", F.coalesce("generated", F.slice(tokens, 1, 0)))
+    return result.withColumn("context", crop_last(F.concat(F.col(tokens), F.col("generated")), n))
+
+
+def _head(places: DataFrame) -> list[dict]:
+    """Rows of the most frequent contexts with at most ``HEAD_CANDIDATES`` candidates in all."""
+    sizes = places.select("weight", F.size("his").alias("size")).orderBy(F.desc("weight")).limit(HEAD_PLACES).collect()
+    room, border = HEAD_CANDIDATES, None
+    for row in sizes:
+        room -= row["size"]
+        if room < 0:
+            border = row.weight
+            break
+    if border is None and len(sizes) == HEAD_PLACES:
+        border = sizes[-1].weight
+    # Contexts as frequent as the first one without room stay behind with it.
+    chosen = places if border is None else places.where(F.col("weight") > border)
+    return chosen.drop("weight").toArrow().to_pylist()

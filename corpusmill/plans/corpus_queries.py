@@ -9,13 +9,15 @@ from corpusmill.constants import TEMPERATURE_RANGE, TOKENS_RANGE, TOP_K_RANGE
 from corpusmill.functions.text import clamp, normalize_text, preview, pretokenize
 from corpusmill.operators.words import alphabet, word_counts
 from corpusmill.plans.registry import (
-    SQL_BPE, SQL_CONVERSATIONS, SQL_CORPUS, SQL_TOKENS, conversations, corpus, query, tokenizer,
+    SQL_BPE, SQL_CONVERSATIONS, SQL_CORPUS, SQL_TOKENS, conversations, corpus, query, tokenizer, vocabulary_query,
 )
 from corpusmill.session import scratch_path
 from corpusmill.sources.corpus import (
     concat_splits, read_csv, read_lines, split_counts, write_csv, write_lines,
 )
-from corpusmill.sources.tokenizer_store import load_tokenizer, save_tokenizer
+from corpusmill.sources.tokenizer_store import (
+    load_tokenizer, read_tokenizer_json, save_tokenizer, write_tokenizer_json,
+)
 
 
 @query(SQL_CORPUS)
@@ -136,8 +138,23 @@ def base_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alphabet(word_counts(corpus(spark, sf_dir)))
 
 
-@query(SQL_BPE + "select token_id, token, is_special from vocab")
-def tokenizer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+@vocabulary_query(SQL_BPE + """
+select store, part, place, first, second from (
+  select 'token' as part, token_id as place, token as first, case when is_special then 'special' else 'plain' end as second from vocab
+  union all
+  select 'merge', rank, "left", "right" from merges), (values ('tables'), ('json')) s(store)""")
+def tokenizer_round_trip(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
+    """Tokens and merges as they come back from both stores."""
     path = scratch_path(spark, "tokenizer")
-    save_tokenizer(spark, tokenizer(spark, sf_dir), path)
-    return load_tokenizer(spark, path).vocab_table(spark)
+    learned = tokenizer(spark, sf_dir, vocab_size)
+    save_tokenizer(spark, learned, path)
+    write_tokenizer_json(spark, learned, f"{path}/tokenizer.json")
+    parts = []
+    for store, found in (("tables", load_tokenizer(spark, path)), ("json", read_tokenizer_json(spark, f"{path}/tokenizer.json"))):
+        kind = F.when(F.col("is_special"), "special").otherwise("plain").alias("second")
+        vocab = found.vocab_table(spark).select(
+            F.lit("token").alias("part"), F.col("token_id").alias("place"), F.col("token").alias("first"), kind)
+        merges = found.merges_table(spark).select(
+            F.lit("merge").alias("part"), F.col("rank").alias("place"), F.col("left").alias("first"), F.col("right").alias("second"))
+        parts.append(vocab.unionByName(merges).select(F.lit(store).alias("store"), "part", "place", "first", "second"))
+    return parts[0].unionByName(parts[1])

@@ -56,18 +56,26 @@ def phase_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_EPOCHS = f"""
-select epoch, avg(loss) filter (where phase = 'val') as val_loss, avg(loss) filter (where phase = 'train') as train_loss
-from ({SQL_METRICS}) group by epoch"""
-
-
-@query(f"select epoch, round(val_loss, 9) as val_loss, round(train_loss, 9) as train_loss from ({_SQL_EPOCHS})")
+select epoch, val_loss, train_loss
+from (select epoch, avg(batch_loss) as val_loss, count(*) as k from epoch_batches where phase = 'val' group by epoch)
+full join (
+  select epoch, avg(batch_loss) filter (where place <= k) as train_loss
+  from (select *, row_number() over (partition by epoch order by batch_id) as place from epoch_batches where phase = 'train')
+  left join (select epoch, count(*) as k from epoch_batches where phase = 'val' group by epoch) using (epoch)
+  group by epoch) using (epoch)"""
+_SQL_EPOCH_BATCHES = f"""
+with epoch_batches as (
+  select epoch, phase, batch_id, avg(loss) as batch_loss from ({SQL_METRICS}) group by epoch, phase, batch_id)"""
+
+
+@query(f"{_SQL_EPOCH_BATCHES} select epoch, round(val_loss, 9) as val_loss, round(train_loss, 9) as train_loss from ({_SQL_EPOCHS})")
 def epoch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epoch_summary(metrics(spark, sf_dir)).select(
         "epoch", r9("val_loss").alias("val_loss"), r9("train_loss").alias("train_loss")
     )
 
 
-@query(f"select epoch, round(val_loss, 9) as val_loss from ({_SQL_EPOCHS}) order by val_loss, epoch limit 1")
+@query(f"{_SQL_EPOCH_BATCHES} select epoch, round(val_loss, 9) as val_loss from ({_SQL_EPOCHS}) where val_loss is not null order by val_loss, epoch limit 1")
 def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_by(epoch_summary(metrics(spark, sf_dir)), "val_loss").withColumn("val_loss", r9("val_loss"))
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.constants import SEED
+from corpusmill.constants import BLOCK_SIZE, MAX_NEW_TOKENS, PAD_ID, SEED
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_ties
-from corpusmill.operators.ngram import bigrams, continue_batch, doc_cross_entropy, evaluate, next_candidates
+from corpusmill.operators.ngram import (
+    bigrams, continue_batch, counted, cross_entropy, doc_cross_entropy, evaluate, evaluate_fixed, next_candidates, padded,
+    row_pairs,
+)
+from corpusmill.operators.targets import with_targets
 from corpusmill.operators.words import explode_words
 from corpusmill.plans.oracle_bpe import WORD_PATTERN
-from corpusmill.plans.registry import SQL_TOKENS, corpus, query, r9, tokens
-from corpusmill.session import materialize, write_table
+from corpusmill.plans.prepare import fixed_length
+from corpusmill.plans.registry import SQL_TOKENS, SQL_WORD_IDS, corpus, query, r9, tokens, word_ids
+from corpusmill.session import materialize
 
-CONTINUED_STEPS = 6
 
 
 def _sql_bigrams(texts: str) -> str:
@@ -105,7 +109,7 @@ per_doc as materialized (
 @query(f"{_SQL_LOSS} select doc_id, n, round(nll / nullif(n, 0), 9) as loss from per_doc")
 def document_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the statistics of the training split."""
-    counts = write_table(bigrams(_split(spark, sf_dir, "train")), "bigrams")
+    counts = bigrams(_split(spark, sf_dir, "train"))
     scored = doc_cross_entropy(tokens(spark, sf_dir), counts, _train_words(spark, sf_dir))
     return scored.select("doc_id", "n", r9("loss").alias("loss"))
 
@@ -127,6 +131,68 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SQL_FIXED_LOSS = f"""
+fixed as materialized (
+  select split, doc_id, len(input_ids) as n_tokens,
+    input_ids[:{BLOCK_SIZE}] || list_resize([{PAD_ID}], greatest(0, {BLOCK_SIZE} - len(input_ids)), {PAD_ID}) as ids
+  from ({SQL_WORD_IDS})),
+places as materialized (
+  select include_pad, split, doc_id, ctx, nxt from (
+    select split, doc_id, n_tokens, generate_subscripts(ids, 1) as pos, unnest(ids) as ctx,
+      unnest(list_append(ids[2:], {PAD_ID})) as nxt
+    from fixed), (values (true), (false)) m(include_pad) where include_pad or pos <= n_tokens),
+counts as materialized (
+  select include_pad, ctx, nxt, count(*) as c from places where split = 'train' group by all),
+totals as (select include_pad, ctx, sum(c) as c_ctx from counts group by all),
+vocab as (select count(distinct id) + 1 as v from (select unnest(ids) as id from fixed where split = 'train') where id <> {PAD_ID}),
+modes as (select distinct include_pad, split, doc_id from fixed, (values (true), (false)) m(include_pad)),
+scored as (
+  select include_pad, split, doc_id, count(*) as n, sum(-ln((coalesce(c, 0) + 1)::double / (coalesce(c_ctx, 0) + v))) as nll
+  from places left join counts using (include_pad, ctx, nxt) left join totals using (include_pad, ctx), vocab group by all),
+per_doc as materialized (
+  select include_pad, split, doc_id, coalesce(n, 0) as n, nll from modes left join scored using (include_pad, split, doc_id))"""
+
+
+def _fixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Rows of fixed length with targets, and the number of distinct ids of the training rows and the filling."""
+    rows = materialize(with_targets(fixed_length(word_ids(spark, sf_dir))), "fixed")
+    ids = rows.where("split = 'train'").select(F.explode("input_ids").alias("id")).where(F.col("id") != PAD_ID).distinct()
+    return rows, ids.agg(F.count(F.lit(1)) + 1).scalar()
+
+
+@query(f"with {_SQL_FIXED_LOSS} select include_pad, doc_id, n, round(nll / nullif(n, 0), 9) as loss from per_doc")
+def padded_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every row of fixed length, with the filling and without."""
+    rows, vocab = _fixed(spark, sf_dir)
+    parts = []
+    for mode in (True, False):
+        pairs = row_pairs(rows, "doc_id", *padded("input_ids", "targets", "n_tokens", mode))
+        train = row_pairs(rows.where("split = 'train'"), "doc_id", *padded("input_ids", "targets", "n_tokens", mode))
+        scored = cross_entropy(pairs, counted(train), vocab, "doc_id")
+        parts.append(scored.select(F.lit(mode).alias("include_pad"), "doc_id", "n", r9("loss").alias("loss")))
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""with {_SQL_FIXED_LOSS},
+per_batch as (
+  select include_pad, (pos - 1) // 4 as batch_id, sum(nll) as nll, sum(n) as n
+  from (select *, row_number() over (partition by include_pad order by doc_id) as pos from per_doc where split = 'validation')
+  group by all)
+select include_pad, round(avg(nll / nullif(n, 0)), 9) as macro_loss, round(sum(nll) / sum(n), 9) as micro_loss,
+  round(exp(avg(nll / nullif(n, 0))), 6) as perplexity, sum(n)::bigint as n_pairs
+from per_batch group by include_pad""")
+def padded_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, vocab = _fixed(spark, sf_dir)
+    train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    parts = [
+        evaluate_fixed(train, validation, vocab, mode, batch_size=4).withColumn("include_pad", F.lit(mode))
+        for mode in (True, False)
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "include_pad", r9("macro_loss").alias("macro_loss"), r9("micro_loss").alias("micro_loss"),
+        F.round("perplexity", 6).alias("perplexity"), "n_pairs")
+
+
 _SQL_TOP = f"""
 counts as materialized ({_SQL_BIGRAMS}),
 top as materialized (
@@ -142,9 +208,8 @@ def next_token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_candidates(_counts(spark, sf_dir)).select("ctx", "nxt", "c", r9("p").alias("p"))
 
 
-def _sql_continued() -> str:
-    parts = [f"""
-with {_SQL_TOP},
+_SQL_CONTINUED = f"""
+with recursive {_SQL_TOP},
 weighted as (
   select ctx, nxt, left(md5(nxt), 2) as part, greatest(1, cast(round(p * 1073741824.0::double) as bigint)) as w from likely),
 ends as (
@@ -156,28 +221,26 @@ grid as materialized (
 prompts as materialized (
   select conv_id * 1000 + turn as prompt_id, regexp_extract_all(text, '{WORD_PATTERN}') as tokens
   from conversations where role = 'user'),
-t0 as materialized (select prompt_id, tokens[-1] as ctx, []::varchar[] as generated from prompts where len(tokens) > 0)"""]
-    for step in range(CONTINUED_STEPS):
-        parts.append(f"""
-t{step + 1} as materialized (
-  select prompt_id, coalesce(nxt, t.ctx) as ctx,
-    case when nxt is null then generated else list_append(generated, nxt) end as generated
-  from (select *, ('0x' || left(md5('{SEED}:{step}:' || prompt_id), 8))::bigint as r from t{step}) t
-  left join grid g on g.ctx = t.ctx and t.r >= g.lo and t.r < g.hi)""")
-    return ",".join(parts) + f"""
+walk as (
+  select prompt_id, 0 as step, tokens[-1] as ctx, []::varchar[] as generated from prompts where len(tokens) > 0
+  union all
+  select prompt_id, step + 1, nxt, list_append(generated, nxt)
+  from (select *, ('0x' || left(md5('{SEED}:' || step || ':' || prompt_id), 8))::bigint as r from walk where step < {MAX_NEW_TOKENS}) w
+  join grid g on g.ctx = w.ctx and w.r >= g.lo and w.r < g.hi),
+ended as (select prompt_id, arg_max(generated, step) as generated from walk group by prompt_id)
 select prompt_id, array_to_string(coalesce(generated, []), ' ') as generated,
   array_to_string(list_concat(tokens, coalesce(generated, []))[-20:], ' ') as context
-from prompts left join t{CONTINUED_STEPS} using (prompt_id)"""
+from prompts left join ended using (prompt_id)"""
 
 
-@query(_sql_continued())
+@query(_SQL_CONTINUED)
 def continued_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
     prompts = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), pretokenize("text").alias("tokens")
     )
     continued = continue_batch(
-        prompts, next_candidates(_counts(spark, sf_dir)), CONTINUED_STEPS, n=20, key="prompt_id"
+        prompts, next_candidates(_counts(spark, sf_dir)), MAX_NEW_TOKENS, n=20, key="prompt_id"
     )
     return continued.select(
         "prompt_id", F.array_join("generated", " ").alias("generated"), F.array_join("context", " ").alias("context")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.constants import VOCAB_SIZE
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.bpe import train_bpe
 from corpusmill.operators.ranking import range_rank
@@ -21,16 +22,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-# Vocabulary learned by the queries; the default of the library itself is larger.
-QUERY_VOCAB = 192
+# SQL learns a merge by a pass over all words, so its counterparts are for a small vocabulary.
+SMALL_VOCAB = 192
 # Upper bound of merges: specials and at least the ten digits and 52 letters come first.
-QUERY_ROUNDS = QUERY_VOCAB - 3 - 62
+SMALL_ROUNDS = SMALL_VOCAB - 3 - 62
 # The test tables are single files; who runs the queries on them may name a number of tasks.
 ONE_FILE_TASKS = int(os.environ.get("CORPUSMILL_TASKS", "0")) or None
 # Epoch length of the training log that stands on ``events``.
 EPOCH_STEPS = 2000
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
+_tokenizers: dict[tuple[str, str, int], Tokenizer] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -43,6 +44,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def vocabulary_query(sql: str) -> Callable[[Callable[[SparkSession, str, int], DataFrame]], Callable]:
+    """Register a query with the whole vocabulary, and, beside its SQL, with a small one."""
+
+    def register(function: Callable[[SparkSession, str, int], DataFrame]) -> Callable:
+        QUERIES[function.__name__] = lambda spark, sf_dir: function(spark, sf_dir, VOCAB_SIZE)
+        QUERIES["small_" + function.__name__] = lambda spark, sf_dir: function(spark, sf_dir, SMALL_VOCAB)
+        ORACLE["small_" + function.__name__] = sql
+        return function
+
+    return register
+
+
 def r9(value) -> Column:
     return F.round(value, 9)
 
@@ -122,14 +135,14 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-def tokenizer(spark: SparkSession, sf_dir: str) -> Tokenizer:
+def tokenizer(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_SIZE) -> Tokenizer:
     """Learned once per session and scale from all documents."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, vocab_size)
     if key not in _tokenizers:
         words = materialize(word_counts(corpus(spark, sf_dir)), "word-counts")
-        _tokenizers[key] = train_bpe(words, QUERY_VOCAB)
+        _tokenizers[key] = train_bpe(words, vocab_size)
     return _tokenizers[key]
 
 
-SQL_BPE = "with " + merge_tables("select text from documents", QUERY_VOCAB, QUERY_ROUNDS)
+SQL_BPE = "with " + merge_tables("select text from documents", SMALL_VOCAB, SMALL_ROUNDS)
 SQL_ENCODED = SQL_BPE + "," + encoded_docs(SQL_CORPUS)

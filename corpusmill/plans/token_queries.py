@@ -15,11 +15,11 @@ from corpusmill.operators.targets import mask_targets, target_pairs, with_target
 from corpusmill.operators.words import word_counts
 from corpusmill.plans.prepare import fixed_length, prepare
 from corpusmill.plans.registry import (
-    QUERY_VOCAB, SQL_BPE, SQL_CORPUS, SQL_ENCODED, SQL_TOKENS, SQL_WORD_IDS, corpus, query, tokenizer, tokens, word_ids,
+    SQL_BPE, SQL_CORPUS, SQL_ENCODED, SQL_TOKENS, SQL_WORD_IDS, corpus, query, tokenizer, tokens, vocabulary_query, word_ids,
 )
 from corpusmill.session import materialize, scratch_path
 from corpusmill.sources.corpus import read_dataset, write_dataset
-from corpusmill.sources.tokenizer_store import vocab_size
+from corpusmill.sources.tokenizer_store import vocab_size as vocab_rows
 from corpusmill.streaming.streams import stream_prepare, write_available
 
 _SQL_SYMBOLS = f"""
@@ -44,11 +44,19 @@ def best_symbol_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_pairs(pair_counts(symbol_words(word_counts(corpus(spark, sf_dir)))), 50)
 
 
+_SQL_SPELLED = f"""
+select word, n, list_transform(string_split(word, ''), lambda c: unicode(c)) as s
+from (select word, count(*) as n from (select unnest(tokens) as word from ({SQL_TOKENS})) group by word)"""
+
+
 @query(f"""
-with {_SQL_SYMBOLS},
-best as (select l, r from pairs order by c desc, l, r limit 1)
-select word, replace(s, ' ' || (select l from best) || '  ' || (select r from best) || ' ', ' 1114112 ') as symbols
-from symbols""")
+with best as (
+  select min([-c, l, r]) as pair from (
+    select z[1] as l, z[2] as r, sum(n)::bigint as c
+    from (select unnest(list_zip(s[:-2], s[2:])) as z, n from ({_SQL_SPELLED})) group by 1, 2)),
+spelled as (
+  select word, array_to_string(list_transform(s, lambda c: ' ' || c || ' '), '') as s from ({_SQL_SPELLED}))
+select word, replace(s, ' ' || pair[2] || '  ' || pair[3] || ' ', ' 1114112 ') as symbols from spelled, best""")
 def first_merge_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = materialize(word_counts(corpus(spark, sf_dir)), "word-counts")
     best = best_pairs(pair_counts(symbol_words(words))).first()
@@ -56,55 +64,55 @@ def first_merge_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", merged.alias("symbols"))
 
 
-@query(SQL_BPE + 'select rank, "left", "right", merged from merges')
-def learned_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+@vocabulary_query(SQL_BPE + 'select rank, "left", "right", merged from merges')
+def learned_merges(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
     words = materialize(word_counts(corpus(spark, sf_dir)), "word-counts")
-    return train_bpe(words, QUERY_VOCAB).merges_table(spark)
+    return train_bpe(words, vocab_size).merges_table(spark)
 
 
-@query(SQL_ENCODED + "select doc_id, array_to_string(ids, ' ') as ids, len(ids)::int as n_tokens from encoded")
-def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(corpus(spark, sf_dir), tokenizer(spark, sf_dir))
+@vocabulary_query(SQL_ENCODED + "select doc_id, array_to_string(ids, ' ') as ids, len(ids)::int as n_tokens from encoded")
+def encoded_documents(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
+    encoded = encode(corpus(spark, sf_dir), tokenizer(spark, sf_dir, vocab_size))
     return encoded.select("doc_id", F.array_join("input_ids", " ").alias("ids"), F.size("input_ids").alias("n_tokens"))
 
 
-@query(SQL_ENCODED + "select doc_id, array_to_string(ids, ' ') as ids from encoded")
-def encoded_by_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+@vocabulary_query(SQL_ENCODED + "select doc_id, array_to_string(ids, ' ') as ids from encoded")
+def encoded_by_dictionary(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
     docs = corpus(spark, sf_dir)
     words = materialize(word_counts(docs), "word-counts")
-    encoded = encode_by_dictionary(docs, words, tokenizer(spark, sf_dir))
+    encoded = encode_by_dictionary(docs, words, tokenizer(spark, sf_dir, vocab_size))
     return encoded.select("doc_id", F.array_join("input_ids", " ").alias("ids"))
 
 
-@query(SQL_BPE + """
+@vocabulary_query(SQL_BPE + """
 select token_id, token, sum(n)::bigint as n
 from (select unnest(pieces) as token_id, n from word_pieces) join vocab using (token_id) group by token_id, token""")
-def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_usage(word_counts(corpus(spark, sf_dir)), tokenizer(spark, sf_dir))
+def token_frequencies(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
+    return token_usage(word_counts(corpus(spark, sf_dir)), tokenizer(spark, sf_dir, vocab_size))
 
 
-@query(SQL_ENCODED + """,
+@vocabulary_query(SQL_ENCODED + """,
 flat as materialized (select doc_id, unnest(ids) as token_id, generate_subscripts(ids, 1) as pos from encoded)
 select doc_id, string_agg(token, ' ' order by pos) as decoded from flat join vocab using (token_id) group by doc_id""")
-def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learned = tokenizer(spark, sf_dir)
+def decoded_documents(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
+    learned = tokenizer(spark, sf_dir, vocab_size)
     rows = encode(corpus(spark, sf_dir), learned)
     return rows.select("doc_id", decode("input_ids", learned).alias("decoded"))
 
 
-@query(SQL_BPE + "select count(*) as vocab_size from vocab")
-def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab_size(tokenizer(spark, sf_dir).vocab_table(spark))
+@vocabulary_query(SQL_BPE + "select count(*) as vocab_size from vocab")
+def vocabulary_size(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
+    return vocab_rows(tokenizer(spark, sf_dir, vocab_size).vocab_table(spark))
 
 
-@query(SQL_ENCODED + f"""
+@vocabulary_query(SQL_ENCODED + f"""
 select split, count(*) as n_rows, round(avg(len(ids)), 9) as mean_tokens,
   quantile_disc(len(ids), 0.5)::int as median_tokens, max(len(ids))::int as max_tokens,
   count(*) filter (where len(ids) > {BLOCK_SIZE}) as n_truncated,
   round(sum(greatest(0, {BLOCK_SIZE} - len(ids)))::double / (count(*) * {BLOCK_SIZE}), 9) as pad_share
 from encoded group by split""")
-def token_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = length_stats(encode(corpus(spark, sf_dir), tokenizer(spark, sf_dir)))
+def token_length_profile(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
+    stats = length_stats(encode(corpus(spark, sf_dir), tokenizer(spark, sf_dir, vocab_size)))
     return stats.withColumn("mean_tokens", F.round("mean_tokens", 9)).withColumn("pad_share", F.round("pad_share", 9))
 
 
@@ -114,7 +122,7 @@ select split, doc_id, array_to_string(ids[:{BLOCK_SIZE}] || list_resize([2], gre
 from """
 
 
-@query(
+@vocabulary_query(
     SQL_ENCODED
     + f""",
 chosen as (
@@ -125,9 +133,9 @@ chosen as (
     + _SQL_FIXED
     + "encoded semi join chosen using (split, doc_id)"
 )
-def prepared_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared_dataset(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
     """The whole job, through the partitioned dataset on disk."""
-    rows = prepare(corpus(spark, sf_dir), tokenizer(spark, sf_dir), train_count=100, validation_count=-1)
+    rows = prepare(corpus(spark, sf_dir), tokenizer(spark, sf_dir, vocab_size), train_count=100, validation_count=-1)
     path = scratch_path(spark, "dataset")
     write_dataset(rows.drop("sample_pos"), path)
     return read_dataset(spark, path).select(
@@ -135,19 +143,19 @@ def prepared_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(SQL_ENCODED + _SQL_FIXED.replace("split, doc_id, ", "doc_id, ") + "encoded where split = 'validation'")
-def dataset_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+@vocabulary_query(SQL_ENCODED + _SQL_FIXED.replace("split, doc_id, ", "doc_id, ") + "encoded where split = 'validation'")
+def dataset_split_scan(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
     path = scratch_path(spark, "dataset")
-    write_dataset(fixed_length(encode(corpus(spark, sf_dir), tokenizer(spark, sf_dir)).drop("text")), path)
+    write_dataset(fixed_length(encode(corpus(spark, sf_dir), tokenizer(spark, sf_dir, vocab_size)).drop("text")), path)
     rows = read_dataset(spark, path, "validation", ["doc_id", "input_ids", "n_tokens"])
     return rows.withColumn("input_ids", F.array_join("input_ids", " "))
 
 
-@query(SQL_ENCODED + _SQL_FIXED.replace("split, doc_id, ", "doc_id, ") + "encoded")
-def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+@vocabulary_query(SQL_ENCODED + _SQL_FIXED.replace("split, doc_id, ", "doc_id, ") + "encoded")
+def streamed_documents(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
     """All documents arriving as a stream, encoded against the learned vocabulary."""
     path, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    learned = tokenizer(spark, sf_dir)
+    learned = tokenizer(spark, sf_dir, vocab_size)
     arriving = spark.readStream.schema("doc_id bigint, text string").option("pathGlobFilter", "documents.parquet")
     prepared = stream_prepare(arriving.parquet(sf_dir), learned)
     write_available(prepared, path, state).awaitTermination()

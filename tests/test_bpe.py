@@ -2,15 +2,16 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
-from pyspark.sql import Row
 from tokenizers import Tokenizer as LibraryTokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Whitespace
 from tokenizers.trainers import BpeTrainer
 
 from corpusmill.constants import SPECIAL_TOKENS
-from corpusmill.operators import bpe
+from corpusmill.operators import bpe, bpe_blocks
+from corpusmill.operators.bpe_blocks import Block, flat_symbols
 from corpusmill.operators.words import alphabet, word_counts
 from corpusmill.session import materialize
 from corpusmill.sources.tokenizer_store import (
@@ -86,60 +87,63 @@ def _pairs(words, state):
     return pairs
 
 
-def _trial_rows(words, state, predicted, fetched):
-    """What one look-ahead round fetches, counted on Python lists."""
-    state = {word: list(symbols) for word, symbols in state.items()}
-    before = _pairs(words, state)
-    changes = {pair: [(0, c)] for pair, c in before.items()}
-    for step, merge in enumerate(predicted, 1):
-        for symbols in state.values():
-            _merge(symbols, *merge)
-        after = _pairs(words, state)
-        for pair in set(before) | set(after):
-            if after[pair] != before[pair]:
-                changes.setdefault(pair, []).append((step, after[pair] - before[pair]))
-        before = after
-    rows = [
-        Row(l=l, r=r, changes=made, bound=sum(max(w, 0) for _, w in made)) for (l, r), made in changes.items()
-    ]
-    return sorted(rows, key=lambda row: (-row.bound, row.l, row.r))[:fetched]
+class PlainBlocks:
+    """The learner's jobs on blocks in memory."""
+
+    def __init__(self, words, per_block):
+        items = list(words.items())
+        self.blocks = []
+        for i in range(0, len(items), per_block):
+            part = items[i : i + per_block]
+            self.blocks.append(Block(flat_symbols([w for w, _ in part]), np.array([n for _, n in part], np.int64)))
+
+    def merge(self, pending):
+        self.blocks = [Block.read(dict(zip(("symbols", "counts", "pairs", "starts", "words"), b.after(pending).row())))
+                       for b in self.blocks]
+
+    def changes(self, pending, steps):
+        total = [Counter() for _ in steps]
+        for block in self.blocks:
+            for step, code, w in zip(*(x.tolist() for x in block.changes(pending, steps))):
+                total[step][code] += w
+        return [[(code, w) for code, w in step.items() if w] for step in total]
+
+    def counts(self, pending):
+        total = Counter()
+        for block in self.blocks:
+            total.update(dict(zip(*(x.tolist() for x in block.pair_counts(pending)))))
+        best = sorted(total.items(), key=lambda pair: (-pair[1], pair[0]))[: bpe.PAIRS_HELD]
+        return bpe.PairCounts([c for c, _ in best], [n for _, n in best], len(best) < bpe.PAIRS_HELD)
 
 
 @pytest.mark.parametrize("letters", ["ab", "abc", "abcdefgh", "abcdefghijklmnop"])
-@pytest.mark.parametrize("fetched", [1, 3, 10, 1024])
-def test_look_ahead_rounds_equal_the_library(letters, fetched, monkeypatch):
-    monkeypatch.setattr(bpe, "PAIRS_PER_ROUND", fetched)
-    rng = random.Random(letters + str(fetched))
+@pytest.mark.parametrize("held", [1, 3, 10, 1024])
+def test_look_ahead_rounds_equal_the_library(letters, held, monkeypatch):
+    monkeypatch.setattr(bpe, "PAIRS_HELD", held)
+    monkeypatch.setattr(bpe, "MERGES_PER_WRITE", 7)
+    rng = random.Random(letters + str(held))
     for _ in range(25):
         text = _random_text(rng, letters)
-        words = Counter(text.split())
-        state = {word: [ord(ch) for ch in word] for word in words}
-        vocabulary, predicted = bpe.Vocabulary.start(SPECIAL_TOKENS, sorted(set(text) - {" "})), []
-        while len(vocabulary.tokens) < 60:
-            rows = _trial_rows(words, state, predicted, fetched)
-            merges, counts = bpe.confirm_merges(rows, predicted, vocabulary, 60, 1)
-            if not merges:
-                if not predicted:
-                    break
-                predicted = []
-                continue
-            for merge in merges:
-                for symbols in state.values():
-                    _merge(symbols, *merge)
-            predicted = bpe.predict_merges(counts, vocabulary, 6)
+        vocabulary = bpe.Vocabulary.start(SPECIAL_TOKENS, sorted(set(text) - {" "}))
+        bpe.learn_merges(PlainBlocks(Counter(text.split()), rng.choice([1, 9, 100])), vocabulary, 60, 1)
         assert vocabulary.merges == _library_merges(library_tokenizer([text], 60))
 
 
-def test_trial_counts_equal_a_recount(spark):
-    text = _random_text(random.Random(5), "abc", 200)
-    words = Counter(text.split())
+@pytest.mark.parametrize("letters", ["ab", "abc", "abcdefgh"])
+def test_changes_of_a_trial_equal_a_recount(letters):
+    words = Counter(_random_text(random.Random(5), letters, 200).split())
     state = {word: [ord(ch) for ch in word] for word in words}
-    predicted = [(97, 98, 1001), (1001, 97, 1002), (99, 99, 1003), (98, 1002, 1004)]
-    table = bpe.symbol_words(spark.createDataFrame(list(words.items()), "word string, n long"))
-    rows = bpe.trial_counts(table, predicted).collect()
-    got = {(row.l, row.r): (row.bound, sorted(map(tuple, row.changes))) for row in rows}
-    expected = _trial_rows(words, state, predicted, None)
-    assert got == {(row.l, row.r): (row.bound, row.changes) for row in expected}
+    merges = [(97, 98, 1001), (1001, 97, 1002), (98, 98, 1003), (98, 1002, 1004), (97, 97, 1005)]
+    found = PlainBlocks(words, 30).changes(merges[:1], merges[1:])
+    for step, merge in enumerate(merges):
+        before = _pairs(words, state)
+        for symbols in state.values():
+            _merge(symbols, *merge)
+        after = _pairs(words, state)
+        moved = {(p[0] << 32) | p[1]: after[p] - before[p] for p in before | after if after[p] != before[p]}
+        assert step == 0 or dict(found[step - 1]) == moved
+    counts = PlainBlocks(words, 30).counts(merges)
+    assert counts.count == {(l << 32) | r: c for (l, r), c in _pairs(words, state).items() if c}
 
 
 @pytest.mark.parametrize("letters", ["ab", "abcdé😀"])
@@ -156,6 +160,7 @@ def test_training_on_documents_equals_the_library_for_any_partitioning(spark, sf
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     library = library_tokenizer([r.text for r in docs.collect()], 150)
     monkeypatch.setattr(bpe, "MERGES_PER_WRITE", 8)
+    monkeypatch.setattr(bpe_blocks, "BLOCK_WORDS", 500)
     for parts in (1, 7):
         learned = bpe.train_bpe(materialize(word_counts(docs.repartition(parts))), 150)
         assert list(learned.merges) == _library_merges(library)
