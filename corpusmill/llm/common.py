@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,27 +17,58 @@ from corpusmill.session import materialize
 
 # Rows of a table that may be collected or broadcast because its size was counted first.
 SMALL_ROWS = 50_000
+SMALL_BYTES = 8 << 20
+# Bytes of text handed to a function at once.
+PART_BYTES = 4 << 20
 
 
 def map_batches(
     df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Sequence[Sequence]]]
 ) -> DataFrame:
-    """Apply a function to every Arrow batch; ``start`` runs once per task and returns it.
+    """Apply a function to parts of the Arrow batches; ``start`` runs once per task and returns it.
 
-    The function returns one list per column of ``schema``.
+    A part holds a bounded number of bytes of text, however long the batch; a longer text is a
+    part of its own. The function returns one list per column of ``schema``.
     """
     fields = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
         for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
+            for part in parts_of(batch):
+                columns = function(part)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def parts_of(batch: pa.RecordBatch, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut so that a part's texts and binaries hold ``size`` bytes or are a single row."""
+    lengths = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            lengths += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(lengths), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def per_worker(key: str, make: Callable[[], object]):
+    """One object per Python worker, kept for its later tasks; a new key replaces the old object.
+
+    The functions of a job are made anew for every task, so it is kept outside of them.
+    """
+    held = sys.modules.setdefault("_corpusmill_worker", types.ModuleType("_corpusmill_worker")).__dict__
+    if held.get("key") != key:
+        held.update(key=key, value=None)
+        held["value"] = make()
+    return held["value"]
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))
@@ -50,8 +84,11 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint only if the table, which must be written, has at most ``SMALL_ROWS`` rows."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """Broadcast hint only if the table, which must be written, has few rows and few bytes."""
+    if df.count() > SMALL_ROWS:
+        return df
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= SMALL_BYTES else df
 
 
 def running_total(df: DataFrame, order_by: Sequence[str], amount: str, out: str = "before") -> DataFrame:

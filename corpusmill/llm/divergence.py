@@ -36,7 +36,7 @@ TERM_RANKS = 200
 # Bytes of text whose pointers are sorted together.
 BLOCK = 1 << 23
 # Counts of terms per cell of the pair sums, pairs held at once, and sources packed into one row.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 12
 PAIRS = 1 << 20
 PACKED = 1024
 

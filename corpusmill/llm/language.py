@@ -15,6 +15,8 @@ answers; other columns are kept as they are by :func:`predict`.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +38,9 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.02
 # Characters of one text whose features are held at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Numbers that are no digits, such as fractions and circled numbers, count as word characters.
+_OTHER_NUMBERS = "".join(chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl"))
+_NOT_LETTERS = re.compile(rf"[\W\d_{_OTHER_NUMBERS}]+")
 
 
 def letters(text: str | None) -> str:
@@ -167,15 +171,21 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         return extract
 
     sample = rows.where(draw < chance).select("text", "lang", F.xxhash64("text", "doc_id").alias("key"))
-    sample = map_batches(sample, "at array<bigint>, x array<double>, lang string, key bigint", start)
+    sample = map_batches(sample, "at array<int>, x array<double>, lang string, key bigint", start)
     # The sample is bounded, so one task can learn from it; only the weights come to the driver.
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))) if r[0]]
-        rows.sort(key=lambda r: r[3])
-        names = sorted({r[2] for r in rows})
+        # The features stay in the batches' buffers.
+        rows = []
+        for batch in batches:
+            borders = batch.column(0).offsets.to_numpy()
+            at, x = batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
+            labels, keys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rows += [(keys[i], labels[i], at[a:b], x[a:b]) for i, (a, b) in enumerate(zip(borders, borders[1:])) if a < b]
+        rows.sort(key=lambda r: r[0])
+        names = sorted({r[1] for r in rows})
         if not names:
             return
-        data = [(np.array(at), np.array(x), names.index(lang)) for at, x, lang, _ in rows]
+        data = [(at, x, names.index(lang)) for _, lang, at, x in rows]
         held = data[::5] if len(data) >= 50 else data
         leader = Leader(len(names))
         for _ in range(EPOCHS):

@@ -185,10 +185,10 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
-    """``(row_id, text_key, doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+    """``(row_id, text_key, doc_id, n_shingles, component_id, kept, chosen)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest id of the documents reachable by links; ``kept`` is true
-    for that document, once even if its row is repeated (``row_id`` then decides).
+    for that document, ``chosen`` for one row of it, even if its row is repeated.
     """
     rows = materialize_alone(docs.sparkSession, lambda: _rooted(docs, similarity), "rooted")
     # The smallest id decides; among repeated rows of it, the first row.
@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     joined = rows.join(first, "root")
     return joined.select(
         "row_id", "text_key", "doc_id", "n_shingles", F.col("_first.doc_id").alias("component_id"),
-        (F.col("row_id") == F.col("_first.row_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("_first.doc_id")).alias("kept"),
+        (F.col("row_id") == F.col("_first.row_id")).alias("chosen"),
     )
 
 
@@ -261,7 +262,7 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component is kept, all columns unchanged."""
-    kept = near_duplicates(docs, similarity).where("kept").select(F.col("text_key").alias("_key"))
+    kept = near_duplicates(docs, similarity).where("chosen").select(F.col("text_key").alias("_key"))
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("_key")
     rows = docs.select(F.struct("*").alias("_row"), key).join(kept, "_key")
     # Equal rows share their key, and one of them stays.

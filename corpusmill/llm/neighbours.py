@@ -340,7 +340,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors (vec_id, embedding, label)``.
 
     ``component_id`` is the smallest id reachable by links; ``kept`` is true for that vector,
-    once even if its row is repeated.
+    in every row that repeats it.
     """
     rows = vertices(vectors)
     valid = rows.where(F.col("key").isNotNull())
@@ -375,4 +375,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -
     first = joined.groupBy("root").agg(F.min(order).alias("_first"))
     return joined.join(first, "root").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("_first.vec_id").alias("component_id"),
-        (F.col("row_id") == F.col("_first.row_id")).alias("kept"))
+        F.col("vec_id").eqNullSafe(F.col("_first.vec_id")).alias("kept"))

@@ -16,6 +16,7 @@ over several; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import map_batches, running_total, with_row_id
+from corpusmill.llm.common import map_batches, per_worker, running_total, with_row_id
 from corpusmill.session import materialize
 
 LENGTH = 2048
@@ -39,15 +40,18 @@ AXES = 3
 CELL_BITS = 10
 HASHED = 1024
 SEED = 97
-# Chunks a task remembers, and the longest chunk worth remembering.
+# Chunks a worker remembers, and the longest chunk worth remembering.
 REMEMBERED = 500_000
 LONG_CHUNK = 64
 # Bytes of text cut into chunks at once.
 BLOCK = 1 << 21
 # Marks at the end of a chunk, behind an ASCII letter or digit.
-CLOSING = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?]+)(?=\s|\Z)")
+CLOSING = re.compile(rb"([.,;:!?](?<=[A-Za-z0-9].)[.,;:!?]*)(?=\s|\Z)")
 # A capital that the tokenizer may compose with the mark behind it before it ignores case.
 COMPOSED = re.compile(rb"[A-Z][\x80-\xff]")
+# Small letters of ASCII and Latin-1: a word that nothing normalises and nothing cuts.
+SMALL_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+SMALL_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class ChunkEncoder:
@@ -61,14 +65,27 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = tokenizers.Tokenizer.from_str(tokenizer_json)
         self.known: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        cut = self.library.pre_tokenizer
+        shown = {c: cut.pre_tokenize_str(c) for c in SMALL_LETTERS} if cut else {}
+        self.spelled = {ord(c): parts[0][0] for c, parts in shown.items() if len(parts) == 1}
+        # Whole words may go to the model alone if that gives what the library gives.
+        probes = [*SMALL_LETTERS, SMALL_LETTERS, "internationalisation", "été", "straße", "the"]
+        self.direct = all(self._model_ids(p) == self.library.encode(p, add_special_tokens=False).ids for p in probes)
+
+    def _model_ids(self, word: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(word.translate(self.spelled))]
 
     def _look_up(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Remember the short chunks' ids; give back those of the long ones."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(chunks - self.known.keys())
-        found = self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        ids = {c: array("I", e.ids).tobytes() for c, e in zip(new, found)}
+        new = [c for c in chunks if c not in self.known]
+        whole = [c for c in new if SMALL_WORD.fullmatch(c)] if self.direct else []
+        rest = [c for c in new if not SMALL_WORD.fullmatch(c)] if self.direct else new
+        found = self.library.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
+        ids = {c: array("I", e.ids).tobytes() for c, e in zip(rest, found)}
+        ids.update((c, array("I", self._model_ids(c.decode())).tobytes()) for c in whole)
         long = {c: ids.pop(c) for c in new if len(c) > LONG_CHUNK}
         self.known.update(ids)
         return long
@@ -88,10 +105,10 @@ class ChunkEncoder:
     def _group(self, raws: list[bytes]) -> Iterator[np.ndarray]:
         split = [self._chunks(raw) for raw in raws]
         long = self._look_up(set().union(*split))
-        known = {**self.known, **long} if long else self.known
-        end = array("I", [END_ID]).tobytes()
+        known, end = self.known, array("I", [END_ID]).tobytes()
         for chunks in split:
-            yield np.frombuffer(b"".join(map(known.__getitem__, chunks)) + end, np.uint32)
+            ids = [long[c] if c in long else known[c] for c in chunks] if long else map(known.__getitem__, chunks)
+            yield np.frombuffer(b"".join(ids) + end, np.uint32)
 
     def _chunks(self, raw: bytes) -> list[bytes]:
         """Texts that are encoded on their own, with as few different ones as is safe.
@@ -145,9 +162,11 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     with open(tokenizer) as file:
         blob = file.read()
     matrix = np.random.default_rng(SEED).standard_normal((HASHED, AXES))
+    digest = hashlib.sha256(blob.encode()).hexdigest()
 
     def start():
-        encoder, squeeze = ChunkEncoder(blob), zstandard.ZstdCompressor(level=1)
+        encoder = per_worker(f"chunks-{digest}", lambda: ChunkEncoder(blob))
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def encode(batch):
             packed, sizes, places = [], [], []

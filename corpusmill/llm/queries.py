@@ -74,7 +74,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id", "text_key")
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_id", "text_key", "chosen")
 
 
 @query()

@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from corpusmill.llm import class_model, language, minhash, mixing, packing, personal_data
+from corpusmill.llm import class_model, common, language, minhash, mixing, packing, personal_data
 from corpusmill.llm.queries import QUERIES, fold
 
 BASE = "the quick brown fox jumps over the lazy dog near the old stone bridge while seven small birds sing"
@@ -62,12 +63,25 @@ def test_near_duplicates(docs):
     found = minhash.near_duplicates(docs).collect()
     expected = Counter((d, len(shingles(t)), c) for (d, t, *_), c in zip(TEXTS, components([(d, t) for d, t, *_ in TEXTS])))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
-    assert sum(r.kept for r in found) == len({(r.component_id) for r in found})
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert sum(r.chosen for r in found) == len({(r.component_id) for r in found})
     kept = minhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in found)
+    assert kept.columns == docs.columns and kept.count() == sum(r.chosen for r in found)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_parts_of_batches():
+    texts = ["a" * n for n in (3, 0, 5, 20, 1, 1, 1)] + [None]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(8))], names=["t", "i"])
+    parts = [p.column(1).to_pylist() for p in common.parts_of(batch, 8)]
+    assert parts == [[0, 1, 2], [3], [4, 5, 6, 7]]
+    assert list(common.parts_of(batch.slice(0, 0))) == []
+
+
+def test_numbers_without_letters_have_no_language():
+    assert [language.letters(t) for t in ("½ ²", "①", "Ⅷ 12", "½a")] == ["", "", "", " a "]
+
+
 def test_near_duplicates_in_one_bucket(spark):
     """A large group of near copies, and members that only link with members that are not the centre."""
     rng = np.random.default_rng(1)
