@@ -65,6 +65,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = tokenizers.Tokenizer.from_str(tokenizer_json)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.model = self.library.model
         cut = self.library.pre_tokenizer
         shown = {c: cut.pre_tokenize_str(c) for c in SMALL_LETTERS} if cut else {}
@@ -77,12 +78,21 @@ class ChunkEncoder:
         return [token.id for token in self.model.tokenize(word.translate(self.spelled))]
 
     def _look_up(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Remember the short chunks' ids; give back those of the long ones."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        """Remember the short chunks' ids; give back those of the long ones.
+
+        When the memory is half full it becomes the older half, from which chunks that occur again return.
+        """
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         new = [c for c in chunks if c not in self.known]
-        whole = [c for c in new if SMALL_WORD.fullmatch(c)] if self.direct else []
-        rest = [c for c in new if not SMALL_WORD.fullmatch(c)] if self.direct else new
+        if self.older:
+            again = {c: self.older[c] for c in new if c in self.older}
+            self.known.update(again)
+            new = [c for c in new if c not in again]
+        whole: list[bytes] = []
+        rest: list[bytes] = []
+        for c in new:
+            (whole if self.direct and SMALL_WORD.fullmatch(c) else rest).append(c)
         found = self.library.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
         ids = {c: array("I", e.ids).tobytes() for c, e in zip(rest, found)}
         ids.update((c, array("I", self._model_ids(c.decode())).tobytes()) for c in whole)
