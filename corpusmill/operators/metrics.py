@@ -7,8 +7,9 @@ Training log: ``(step, epoch, phase, batch_id, loss)``. Generation log:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.constants import BUCKET_STEPS, REPORT_EVERY
@@ -107,7 +108,7 @@ def usage(log: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group: uses of each name as a map, the set of names, their number, all uses.
 
     Meant for a small fixed set of labels, such as event types or experts: a group's map
-    has one entry per label. For unlimited names use :func:`usage_counts`. Uses are counted
+    has one entry per label. For unlimited names use :func:`usage_top`. Uses are counted
     per group and name first, so a hot label reaches the second step as a single row.
     """
     entries = F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), "n")))
@@ -117,3 +118,21 @@ def usage(log: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("n_names"),
         F.sum("n").alias("n_uses"),
     )
+
+
+def usage_top(log: DataFrame, name: str, by: Sequence[str], k: int) -> DataFrame:
+    """Per group: the ``k`` most used names with their uses, how many names there are, all uses and those not listed.
+
+    For unlimited names: a group of any size is one short list. Uses are counted per group and
+    name, and all but the best ``k`` names of a task's groups are dropped before they are ranked.
+    Equally used names are listed in order.
+    """
+    counts = materialize(usage_counts(log, name, by), "uses")
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), F.col(name))
+    listed = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    entry = F.struct("place", F.col(name).alias("name"), "n")
+    lists = listed.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("top"), F.sum("n").alias("_listed"))
+    totals = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_uses"))
+    same = [totals[column].eqNullSafe(lists[column]) for column in by]
+    joined = totals.join(lists, reduce(Column.__and__, same))
+    return joined.select(*[totals[column] for column in by], "top", "n_names", "n_uses", (F.col("n_uses") - F.col("_listed")).alias("n_rest"))

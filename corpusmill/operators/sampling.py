@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,13 @@ from corpusmill.functions.hashing import hash_key
 from corpusmill.operators.ranking import bucket_of, bucket_offsets, hash_rank, range_rank
 from corpusmill.session import materialize
 
+PERMUTATION_ROUNDS = 6
+# Of a large table hardly a number leaves its range, of a small one at most 32 do.
+PERMUTATION_WALKS = 40
+# A prime below 2 ** 31, so that products stay below 2 ** 63.
+HASH_PRIME = 2_147_483_647
+HASH_FACTOR = 1_103_515_245
+
 
 def sample_n(
     df: DataFrame, counts: Mapping[str, int | None], seed: int = SEED, by: str = "split", key: str = "doc_id"
@@ -58,6 +68,66 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, shuffle: bool = True, key:
     return range_rank(df, [key])
 
 
+@dataclass(frozen=True)
+class Permutation:
+    """A keyed permutation of the numbers 0 to ``n - 1``, computed in the row.
+
+    A number is a place in a grid just large enough; rounds move its row by a hash of its column
+    and its column by a hash of its row, which can be undone, so no two numbers meet. What
+    leaves the range goes through the rounds again until it is back.
+    """
+
+    n: int
+    seed: int
+    epoch: int
+
+    @property
+    def sides(self) -> tuple[int, int]:
+        wide = math.isqrt(max(0, self.n - 1)) + 1
+        return wide, -(-max(1, self.n) // wide)
+
+    @property
+    def keys(self) -> list[tuple[int, int]]:
+        """Two numbers below 2 ** 28 for every round, the second one odd."""
+        digits = [hashlib.md5(f"{self.seed}:{self.epoch}:{i}".encode()).hexdigest() for i in range(PERMUTATION_ROUNDS)]
+        return [(int(d[:7], 16), int(d[7:14], 16) | 1) for d in digits]
+
+    def of(self, row: Column) -> Column:
+        high, low = self.sides
+        rounds = F.array(*[
+            F.struct(F.lit(key).cast("bigint").alias("key"), F.lit(factor).cast("bigint").alias("factor"), F.lit(i % 2 == 0).alias("even"))
+            for i, (key, factor) in enumerate(self.keys)])
+
+        def mixed(x: Column, step: Column) -> Column:
+            h = (x + step["key"]) % HASH_PRIME * step["factor"] % HASH_PRIME
+            return (h.bitwiseXOR(F.shiftright(h, 13)) * F.lit(HASH_FACTOR)) % HASH_PRIME
+
+        def turn(state: Column, step: Column) -> Column:
+            a = F.when(step["even"], (state["a"] + mixed(state["b"], step)) % high).otherwise(state["a"])
+            b = F.when(step["even"], state["b"]).otherwise((state["b"] + mixed(state["a"], step)) % low)
+            return F.struct(a.alias("a"), b.alias("b"))
+
+        def permuted(x: Column) -> Column:
+            start = F.struct(F.floor(x / low).cast("bigint").alias("a"), (x % low).cast("bigint").alias("b"))
+            end = F.aggregate(rounds, start, turn)
+            return end["a"] * low + end["b"]
+
+        walks = F.sequence(F.lit(1), F.lit(PERMUTATION_WALKS))
+        found = F.aggregate(walks, permuted(row.cast("bigint")), lambda x, _: F.when(x >= self.n, permuted(x)).otherwise(x))
+        return F.when(found < self.n, found).otherwise(F.raise_error(F.lit("a number did not come back into its range")).cast("bigint"))
+
+
+def numbered_rows(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
+    """The table with ``row``, 0, 1, 2, ... in the order of ``key``, written once for all epochs; and its size."""
+    rows = materialize(range_rank(df, [key]).withColumn("row", F.col("pos") - 1).drop("pos"), "numbered")
+    return rows, rows.count()
+
+
+def epoch_permutation(numbered: DataFrame, n: int, seed: int, epoch: int) -> DataFrame:
+    """Add ``pos``, 1-based, a fresh shuffle for every epoch, to the result of :func:`numbered_rows`: a projection."""
+    return numbered.withColumn("pos", Permutation(n, seed, epoch).of(F.col("row")) + 1)
+
+
 def batches(df: DataFrame, size: int = BATCH_SIZE, pos: str = "pos") -> DataFrame:
     """Cut numbered rows into batches of ``size``; the last batch may be short."""
     before = F.col(pos) - 1

@@ -25,11 +25,13 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir)
 
 
-@query("""
+_SQL_ODD_TEXTS = """
 select doc_id, case doc_id % 5 when 0 then null when 1 then '' when 2 then '  "' || text || '" ' || chr(13) || chr(10)
   when 3 then text || ' \\' else text end as text
-from documents""")
-def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+from documents"""
+
+
+def _odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.col("doc_id") % 5
     odd = (
         F.when(case == 0, F.lit(None))
@@ -38,11 +40,24 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 3, F.concat("text", F.lit(" \\")))
         .otherwise(F.col("text"))
     )
+    return corpus(spark, sf_dir).select("doc_id", odd.alias("text"))
+
+
+@query(_SQL_ODD_TEXTS)
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
-    write_csv(corpus(spark, sf_dir).select("doc_id", odd.alias("text")), path)
+    write_csv(_odd_texts(spark, sf_dir), path)
     return read_csv(spark, path, "doc_id bigint, text string")
 
 
+@query(_SQL_ODD_TEXTS)
+def csv_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, each read by as many tasks as it has byte ranges."""
+    path = scratch_path(spark, "csv")
+    write_csv(_odd_texts(spark, sf_dir), path)
+    return read_csv(spark, path, "doc_id bigint, text string", ranges=True)
+
+
 @query("""
 select line as text, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents)
 group by line""")

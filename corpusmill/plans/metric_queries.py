@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.metrics import (
     best_by, bucket_mean, epoch_summary, every_n, log10_loss, macro_loss, perplexity, throughput, throughput_summary,
-    train_loss, usage,
+    train_loss, usage, usage_top,
 )
 from corpusmill.plans.registry import SQL_GENERATION_LOG, SQL_METRICS, generation_log, metrics, query, r9
 from corpusmill.session import scratch_path
-from corpusmill.streaming.streams import latest_updates, stream_metrics, write_updates
+from corpusmill.streaming.streams import (
+    late_rows, latest_updates, roll_keeping_late, rolled_up, stream_metrics, write_updates,
+)
 
 _SQL_BATCH_LOSS = f"select phase, batch_id, avg(loss) as batch_loss from ({SQL_METRICS}) group by phase, batch_id"
 
@@ -119,6 +121,53 @@ def label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+with counts as (
+  select event_type, coalesce(props, '') as name, count(*) as n from events group by 1, 2),
+ranked as (select *, row_number() over (partition by event_type order by n desc, name) as place from counts)
+select event_type, string_agg(name || '=' || n, ' ' order by place) filter (where place <= 5) as top, count(*) as n_names,
+  sum(n)::bigint as n_uses, coalesce(sum(n) filter (where place > 5), 0)::bigint as n_rest
+from ranked group by event_type""")
+def most_used_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without a limit: the properties of the events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.coalesce("props", F.lit("")).alias("name"))
+    used = usage_top(events, "name", ["event_type"], 5)
+    pairs = F.transform("top", lambda e: F.concat(e["name"], F.lit("="), e["n"].cast("string")))
+    return used.select("event_type", F.array_join(pairs, " ").alias("top"), "n_names", "n_uses", "n_rest")
+
+
+_SQL_ARRIVALS = """
+arrived as (select event_id, ts, event_type, value, event_id % 4 as arrival from events),
+marks as (
+  select a.arrival, max(b.ts) - interval 2 day as mark
+  from (select distinct arrival from arrived) a left join arrived b on b.arrival < a.arrival group by a.arrival),
+timed as (
+  select date_trunc('day', ts) as window_start, event_type, value,
+    coalesce(date_trunc('day', ts) + interval 1 day <= mark, false) as late
+  from arrived join marks using (arrival))"""
+
+
+@query(f"""
+with {_SQL_ARRIVALS}
+select window_start, event_type, count(*) filter (where not late) as n, count(*) filter (where late) as n_late,
+  round(avg(value) filter (where not late), 9) as mean_value, max(value) filter (where late) as max_late
+from timed group by window_start, event_type""")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive in four parts; what comes behind the watermark is kept apart."""
+    source, path, state = (scratch_path(spark, name) for name in ("arrivals", "stream", "stream-state"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    roll_keeping_late(stream, path, state, "1 day", "2 days", by=("event_type",)).awaitTermination()
+    keys = ["window_start", "event_type"]
+    late = late_rows(spark, path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_late"), F.max("value").alias("max_late"))
+    joined = rolled_up(spark, path, ("event_type",)).join(late, keys, "full")
+    return joined.select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("n_late", F.lit(0)).alias("n_late"), r9("mean_value").alias("mean_value"), "max_late")
+
+
 @query("""
 select window_start, window_start + interval 1 day as window_end, event_type, n, mean_value, max_value from (
   select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(avg(value), 9) as mean_value,

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.constants import BLOCK_SIZE, MAX_NEW_TOKENS, PAD_ID, SEED
-from corpusmill.functions.text import pretokenize
+from corpusmill.functions.arrays import crop_last
+from corpusmill.functions.text import preview, pretokenize
 from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_ties
+from corpusmill.operators.encode import decode, encode
 from corpusmill.operators.ngram import (
     bigrams, continue_batch, counted, cross_entropy, doc_cross_entropy, evaluate, evaluate_fixed, next_candidates, padded,
     row_pairs,
@@ -16,7 +18,7 @@ from corpusmill.operators.targets import with_targets
 from corpusmill.operators.words import explode_words
 from corpusmill.plans.oracle_bpe import WORD_PATTERN
 from corpusmill.plans.prepare import fixed_length
-from corpusmill.plans.registry import SQL_TOKENS, SQL_WORD_IDS, corpus, query, r9, tokens, word_ids
+from corpusmill.plans.registry import SQL_TOKENS, SQL_WORD_IDS, corpus, query, r9, tokenizer, tokens, word_ids
 from corpusmill.session import materialize
 
 
@@ -245,3 +247,17 @@ def continued_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continued.select(
         "prompt_id", F.array_join("generated", " ").alias("generated"), F.array_join("context", " ").alias("context")
     )
+
+
+@query()
+def generated_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text in, text out: prompts are encoded, cropped, continued on token ids, decoded and previewed."""
+    learned = tokenizer(spark, sf_dir)
+    encoded = encode(corpus(spark, sf_dir).where("split = 'train'"), learned)
+    candidates = next_candidates(bigrams(encoded, "input_ids"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    prompts = encode(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), "text"), learned)
+    prompts = prompts.withColumn("input_ids", crop_last("input_ids", BLOCK_SIZE))
+    continued = continue_batch(prompts, candidates, MAX_NEW_TOKENS, key="prompt_id", tokens="input_ids")
+    prompt, result = decode("input_ids", learned), decode(F.concat("input_ids", "generated"), learned)
+    return continued.select("prompt_id", F.size("generated").alias("n_new"), preview(prompt, result).alias("preview"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.routing import (
-    all_logits, add_noise, centroids, combine, dispatch, expert_blocks, expert_load, explode_routes, all_logits, gate_weights,
-    route_top_k,
+    add_noise, all_logits, best_experts, block_routes, centroids, combine, dispatch, expert_blocks, expert_load, explode_routes,
+    gate_weights, route_top_k,
 )
 from corpusmill.plans.registry import embeddings, query
 from corpusmill.session import materialize
@@ -71,6 +71,48 @@ def noisy_expert_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_routes(noisy, "noisy", "vec_id").withColumn("logit", F.round("logit", 8))
 
 
+_SQL_NOISY = _SQL_LOGITS + """,
+keyed as (select *, md5('7:' || vec_id || ':' || expert_id) as h from logits),
+noisy as materialized (
+  select vec_id, expert_id, logit
+    + sqrt(-2 * ln((('0x' || substr(h, 1, 8))::bigint + 0.5) / 4294967296.0::double))
+    * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::bigint + 0.5) / 4294967296.0::double)) * (greatest(logit, 0) + ln(1 + exp(-abs(logit)))) as logit
+  from keyed),
+chosen as materialized (
+  select vec_id, expert_id, logit from (
+    select *, row_number() over (partition by vec_id order by round(logit, 9) desc, expert_id) as place from noisy)
+  where place <= 2)"""
+
+
+@query(f"""
+with {_SQL_NOISY}
+select vec_id, expert_id, round(exp(logit - peak) / sum(exp(logit - peak)) over (partition by vec_id), 8) as gate
+from (select *, max(logit) over (partition by vec_id) as peak from chosen)""")
+def noisy_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise first, then the best experts and their weights."""
+    scored = embeddings(spark, sf_dir).withColumn("logits", all_logits(expert_blocks(_experts(spark, sf_dir))))
+    routed = scored.withColumn("routes", best_experts(add_noise("logits", "logits", "vec_id", seed=7)))
+    gated = routed.withColumn("gates", gate_weights())
+    return explode_routes(gated, "gates", "vec_id").select("vec_id", "expert_id", F.round("gate", 8).alias("gate"))
+
+
+@query("""
+with vectors as (select vec_id, embedding::double[] as v from embeddings),
+ranked as (
+  select a.vec_id, b.vec_id as expert_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as logit
+  from vectors a, vectors b),
+chosen as (select *, row_number() over (partition by vec_id order by round(logit, 9) desc, expert_id) as place from ranked)
+select vec_id, expert_id, place::int as place, round(logit, 8) as logit from chosen where place <= 3""")
+def many_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is an expert as well, so their number grows with the table."""
+    vectors = embeddings(spark, sf_dir)
+    experts = vectors.select(F.col("vec_id").alias("expert_id"), F.col("embedding").alias("weights"))
+    routed = block_routes(vectors.select("vec_id", "embedding"), experts, 3)
+    exploded = routed.select("vec_id", F.posexplode("routes").alias("place", "route"))
+    return exploded.select(
+        "vec_id", "route.expert_id", (F.col("place") + 1).alias("place"), F.round("route.logit", 8).alias("logit"))
+
+
 @query(f"with {_SQL_GATES} select vec_id, expert_id, round(logit, 8) as logit from chosen")
 def chosen_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored in several passes over blocks of three experts, as a large expert table would be."""

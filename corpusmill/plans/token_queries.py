@@ -10,7 +10,10 @@ from corpusmill.functions.arrays import crop_last, pad, truncate
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.bpe import apply_merges, best_pairs, pair_counts, symbol_words, symbols_of, train_bpe
 from corpusmill.operators.encode import decode, encode, encode_by_dictionary, length_stats, token_usage
-from corpusmill.operators.sampling import batches, epoch_order, first_by_priority, limit_batches, sample_n, total_steps
+from corpusmill.operators.sampling import (
+    HASH_FACTOR, HASH_PRIME, Permutation, batches, epoch_order, epoch_permutation, first_by_priority, limit_batches,
+    numbered_rows, sample_n, total_steps,
+)
 from corpusmill.operators.targets import mask_targets, target_pairs, with_targets
 from corpusmill.operators.words import word_counts
 from corpusmill.plans.prepare import fixed_length, prepare
@@ -202,6 +205,40 @@ def epoch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.unionByName(fixed).select("split", "doc_id", "pos")
 
 
+def _sql_permuted(seed: int, epoch: int) -> str:
+    """The rounds of the keyed permutation, written out; ``grid`` holds the number of rows and the grid's sides."""
+    def turned(source: str) -> str:
+        for i, (key, factor) in enumerate(Permutation(1, seed, epoch).keys):
+            moved, fixed, side = ("a", "b", "high") if i % 2 == 0 else ("b", "a", "low")
+            h = f"(({fixed} + {key}) % {HASH_PRIME} * {factor} % {HASH_PRIME})"
+            mixed = f"(xor({h}, {h} >> 13) * {HASH_FACTOR}) % {HASH_PRIME}"
+            source = f"(select * replace ((({moved} + {mixed}) % {side}) as {moved}) from {source})"
+        return source
+
+    split = "(select row, x // low as a, x % low as b, n, high, low from walk, grid where not moved or x >= n)"
+    return f"""
+with recursive numbered as materialized (select doc_id, row_number() over (order by doc_id) - 1 as row from documents),
+grid as materialized (
+  select n, high, (n + high - 1) // high as low from (select n, ceil(sqrt(n))::bigint as high from (select count(*) as n from documents))),
+walk as (
+  select row, row as x, false as moved from numbered
+  union all
+  select row, a * low + b, true from {turned(split)})
+select doc_id, {epoch} as epoch, (x + 1)::bigint as pos, x // 32 as batch_id, (x % 32)::int as pos_in_batch
+from walk join numbered using (row), grid where moved and x < n"""
+
+
+@query(" union all ".join(f"select * from ({_sql_permuted(42, epoch)})" for epoch in (0, 1)))
+def permuted_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs over rows that were numbered once."""
+    rows, n = numbered_rows(corpus(spark, sf_dir).select("doc_id"))
+    epochs = [
+        batches(epoch_permutation(rows, n, 42, epoch)).select("doc_id", F.lit(epoch).alias("epoch"), "pos", "batch_id", "pos_in_batch")
+        for epoch in (0, 1)
+    ]
+    return epochs[0].unionByName(epochs[1])
+
+
 _SQL_BATCHES = """
 select doc_id, (pos - 1) // 32 as batch_id, ((pos - 1) % 32)::int as pos_in_batch
 from (select doc_id, row_number() over (order by doc_id) as pos from documents)"""

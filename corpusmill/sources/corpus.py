@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.sources.csv_ranges import read_csv_ranges
+
 TRAIN = "train"
 VALIDATION = "validation"
 
@@ -50,14 +52,21 @@ def read_corpus(
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes are doubled, embedded line breaks, nulls and empty texts are kept.
 
-    A file with embedded line breaks is read by one task, so files are kept small.
+    :func:`read_csv` reads a file by one task, so files are kept small.
     """
     writer = df.write.mode("overwrite").options(quoteAll=True, maxRecordsPerFile=CSV_ROWS_PER_FILE, **_CSV_COMMON)
     writer.csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str = TEXT_SCHEMA) -> DataFrame:
-    """Read what :func:`write_csv` wrote, with an explicit schema."""
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str = TEXT_SCHEMA, ranges: bool = False
+) -> DataFrame:
+    """Read what :func:`write_csv` wrote, with an explicit schema.
+
+    A file is one task, or, with ``ranges``, as many as it has byte ranges: for large files.
+    """
+    if ranges:
+        return read_csv_ranges(spark, path, schema, _CSV_COMMON)
     return spark.read.schema(schema).options(multiLine=True, **_CSV_COMMON).csv(path)
 
 

@@ -157,6 +157,50 @@ def test_continuation(spark, docs, broadcasting):
     assert again == {i: r.generated for i, r in rows.items()}
 
 
+def test_walks_are_the_same_whatever_travels(spark, docs, monkeypatch, broadcasting):
+    """Places that travel and places that prompts move to; one cell a context or several."""
+    prompts = spark.createDataFrame([(i, [w]) for i, w in enumerate("abqzxc" * 5)] + [(None, ["a"])], "conv_id long, tokens array<string>")
+    counts = spark.createDataFrame(
+        [(a, b, (i * 7 + j * 3) % 11 + 1) for i, a in enumerate("abqz") for j, b in enumerate("abqzc") if (i + j) % 4], "ctx string, nxt string, c long")
+    candidates = next_candidates(counts)
+    found = []
+    for head, places, per_cell in ((1 << 20, 1 << 20, 256), (0, 10, 256), (5, 1, 1), (7, 100, 1)):
+        monkeypatch.setattr(ngram, "HEAD_CANDIDATES", head)
+        monkeypatch.setattr(ngram, "HEAD_PLACES", places)
+        monkeypatch.setattr(ngram, "PER_CELL", per_cell)
+        rows = continue_batch(prompts, candidates, 9).collect()
+        found.append(sorted((repr(r.conv_id), tuple(r.tokens), tuple(r.generated)) for r in rows))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 31
+    assert any(len(g) == 9 for *_, g in found[0]) and any(g == () for *_, g in found[0])
+
+
+@pytest.mark.parametrize("include_pad", [True, False])
+def test_loss_of_fixed_rows(spark, include_pad, broadcasting):
+    rows = [(0, [5, 6, 5, 2, 2], [6, 5, 2, 2, 2], 3), (1, [2, 2, 2, 2, 2], [2] * 5, 0), (2, [5, 5, 6, 7, 5], [5, 6, 7, 5, 2], 9), (3, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, input_ids array<int>, targets array<int>, n_tokens int")
+    pairs = {i: list(zip(a, b))[: None if include_pad else n] for i, a, b, n in rows if a}
+    counts = Counter(p for i in (0, 1) for p in pairs[i])
+    totals = Counter(a for i in (0, 1) for a, _ in pairs[i])
+    losses = {i: [-math.log((counts[p] + 1) / (totals[p[0]] + 9)) for p in found] for i, found in pairs.items()}
+    places = ngram.padded("input_ids", "targets", "n_tokens", include_pad)
+    train = ngram.counted(ngram.row_pairs(table.where("doc_id < 2"), "doc_id", *places))
+    scored = {r.doc_id: r for r in ngram.cross_entropy(ngram.row_pairs(table, "doc_id", *places), train, 9, "doc_id").collect()}
+    for i, values in losses.items():
+        assert scored[i].n == len(values) and scored[i].nll == pytest.approx(sum(values))
+    assert scored[3].n == 0 and scored[3].loss is None
+    report = ngram.evaluate_fixed(table.where("doc_id < 2"), table, 9, include_pad, batch_size=2).first()
+    batches = [losses[0] + losses[1], losses[2]]
+    assert report.macro_loss == pytest.approx(sum(sum(b) / len(b) for b in batches) / 2)
+    assert report.n_pairs == sum(map(len, batches))
+
+
+def test_pairs_are_moved_once(spark, docs, broadcasting, request):
+    scored = doc_cross_entropy(docs, bigrams(docs), 4)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    # The rows of pairs come from one pass over the documents and meet one table.
+    assert plan.count("MapInArrow") <= 2 and plan.count("posexplode") == 0
+
+
 def test_softmax_of_masked_and_odd_logits(spark, broadcasting):
     inf, nan = math.inf, math.nan
     rows = [("m", 1, 1.0), ("m", 2, -inf), ("m", 3, 1.0), ("all", 1, -inf), ("nan", 1, nan), ("nan", 2, 0.0),

@@ -4,7 +4,9 @@ from test_bpe import library_tokenizer
 
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.bpe import train_bpe
-from corpusmill.operators.encode import decode, encode, encode_by_dictionary, length_stats, token_usage
+from corpusmill.operators.encode import (
+    decode, encode, encode_by_dictionary, exact_quantile, length_stats, token_usage,
+)
 from corpusmill.operators.words import word_counts
 from corpusmill.plans.prepare import fixed_length, learn_tokenizer, prepare
 from corpusmill.session import materialize
@@ -85,6 +87,18 @@ def test_length_profile(spark):
     assert stats.pad_share == pytest.approx(6 / 16)
 
 
+def test_medians_are_exact(spark):
+    lengths = spark.range(30_001).select(F.lit("train").alias("split"), (F.col("id") % 997).cast("int").alias("size"))
+    counts = lengths.groupBy("split", "size").agg(F.count(F.lit(1)).alias("n"))
+    ordered = sorted(i % 997 for i in range(30_001))
+    for q in (0.0, 0.25, 0.5, 0.999, 1.0):
+        at = max(0, -(-int(q * 1000) * 30_001 // 1000) - 1)
+        assert exact_quantile(counts, "size", q, ["split"]).first().quantile == ordered[at]
+    rows = spark.createDataFrame([(None, [1, 2]), (None, None), ("a", []), ("a", None)], "split string, input_ids array<int>")
+    found = {r.split: r for r in length_stats(rows, n=4).collect()}
+    assert (found[None].n_rows, found[None].median_tokens, found["a"].median_tokens, found["a"].pad_share) == (2, 2, 0, 1.0)
+
+
 def test_preparation_samples_before_encoding(docs, tokenizer, library):
     corpus = docs.withColumn("split", F.when(F.col("doc_id") % 100 == 0, "validation").otherwise("train"))
     rows = prepare(corpus, tokenizer, 200, train_count=20, validation_count=-1).collect()

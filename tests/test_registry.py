@@ -17,11 +17,15 @@ def sql(sf_dir):
     return connection
 
 
-def test_every_query_has_a_counterpart():
-    assert set(registry.ORACLE) == set(registry.QUERIES)
+# Compared with the public library and plain walks in test_full_vocabulary.py: SQL is too slow for the whole vocabulary.
+WITHOUT_SQL = {name.removeprefix("small_") for name in registry.QUERIES if name.startswith("small_")} | {"generated_previews"}
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_every_other_query_has_a_counterpart():
+    assert set(registry.ORACLE) == set(registry.QUERIES) - WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_equals_sql(spark, sf_dir, sql, name):
     table = contract.queries()[name](spark, sf_dir)
     expected = sql.sql(contract.oracle_sql()[name])

@@ -79,3 +79,58 @@ def test_null_labels_are_no_experts_and_an_empty_table_routes_nowhere(spark):
     none = r.expert_blocks(experts.where("expert_id > 5"))
     gates = rows.withColumn("gates", F.array().cast("array<struct<expert_id:int,logit:double,gate:double>>"))
     assert none == [] and r.combine(gates, none).first().combined == []
+
+
+def test_means_do_not_depend_on_the_partitions(spark, vectors, monkeypatch):
+    odd = [(None, 1.0), ([], 2.0), ([1.0, None], 3.0), ([5.0, 7.0, 9.0], 3.0), ([3.0], None), ([4.0, 1.0], None)]
+    rows = spark.createDataFrame([(v, None if k is None else int(k)) for v, k in odd], "embedding array<float>, label int")
+    found = {w.expert_id: w.weights for w in r.centroids(rows).collect()}
+    assert found == {2: [], 3: [3.0, 7.0, 9.0], None: [3.5, 1.0]}
+    many = spark.range(3000).select((F.col("id") % 7).cast("int").alias("label"), F.transform(
+        F.sequence(F.lit(1), F.lit(5)), lambda i: F.sin(F.col("id") * i)).cast("array<float>").alias("embedding"))
+    results = []
+    for parts, held in ((1, 4096), (4, 2), (16, 4096)):
+        monkeypatch.setattr(r, "LABELS_HELD", held)
+        results.append({w.expert_id: w.weights for w in r.centroids(many.repartition(parts)).collect()})
+    plan = r.centroids(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    for other in results[1:]:
+        assert all(np.allclose(other[k], results[0][k], rtol=1e-12, atol=1e-15) for k in range(7))
+
+
+@pytest.mark.parametrize("round_bytes", [1 << 20, 8 * 6 * 50])
+def test_block_routes_equal_numpy(spark, round_bytes, monkeypatch):
+    """Experts of very different lengths, ties, several rounds and blocks, vectors that cannot be scored."""
+    monkeypatch.setattr(r, "BLOCK_EXPERTS", 16)
+    rng = np.random.default_rng(8)
+    weights = np.round(rng.normal(size=(230, 6)), 1) * rng.choice([0.01, 1.0, 5.0], 230)[:, None]
+    weights[50:60] = weights[40]
+    x = rng.normal(size=(90, 6))
+    experts = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(weights)], "expert_id int, weights array<double>")
+    rows = [(i, v.tolist(), "kept") for i, v in enumerate(x)] + [(900, None, "a"), (901, [1.0], "b"), (902, [None] * 6, "c"), (903, [0.0] * 6, "d")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, other string").repartition(3)
+    found = {row.vec_id: row for row in r.block_routes(table, experts, 3, round_bytes=round_bytes).collect()}
+    logits = x @ weights.T
+    for i in range(90):
+        best = sorted(range(230), key=lambda e: (-round(logits[i, e], 9), e))[:3]
+        assert [g.expert_id for g in found[i].routes] == best and found[i].other == "kept"
+        assert np.allclose([g.logit for g in found[i].routes], logits[i, best])
+    assert [found[i].routes for i in (900, 901, 902)] == [[], [], []]
+    assert [g.expert_id for g in found[903].routes] == [0, 1, 2]
+    none = r.block_routes(table, experts.limit(0), 3)
+    assert none.where("size(routes) > 0").count() == 0 and none.count() == 94
+
+
+def test_short_experts_are_left_out():
+    """Once the bound proves it, no product is made with the blocks to come."""
+    class Counted(np.ndarray):
+        products = 0
+
+        @property
+        def T(self):
+            Counted.products += 1
+            return np.asarray(self).T
+
+    blocks = [(np.arange(4) + 4 * i, (np.eye(4) * 10.0 ** -i).view(Counted), 10.0 ** -i) for i in range(5)]
+    best = r.best_of_blocks(np.array([[1.0, 0.9, 0.8, 0.7]]), blocks, 2, [[]])
+    assert [e for e, _ in best[0]] == [0, 1] and Counted.products == 1

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranking import range_rank
-from corpusmill.operators.sampling import batches, epoch_order, first_by_priority, limit_batches, sample_n, total_steps
+from corpusmill.operators.sampling import (
+    Permutation, batches, epoch_order, epoch_permutation, first_by_priority, limit_batches, numbered_rows, sample_n, total_steps,
+)
 
 
 def _corpus(spark, n=200, parts=3):
@@ -76,3 +78,31 @@ def test_first_by_priority(spark):
     assert {tuple(r) for r in first_by_priority(table, "name", ["a", "b", "c"], ["g"]).collect()} == {("x", "b"), ("y", "c")}
     assert first_by_priority(table, "name", ["c", "b"]).first().name == "c"
     assert first_by_priority(table, "name", ["nothing"]).first().name is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 100, 1023, 5000])
+def test_permutations_reach_every_place(spark, n):
+    rows = spark.range(n)
+    orders = []
+    for seed, epoch in ((42, 0), (42, 1), (7, 0)):
+        found = [r.p for r in rows.select("id", Permutation(n, seed, epoch).of(F.col("id")).alias("p")).orderBy("id").collect()]
+        assert sorted(found) == list(range(n))
+        orders.append(tuple(found))
+    assert n < 16 or len(set(orders)) == 3
+    if n == 5000:
+        # Neighbours are far from each other, and every tenth of the rows is spread over all places.
+        steps = [abs(a - b) for a, b in zip(orders[0], orders[0][1:])]
+        assert 1200 < sum(steps) / len(steps) < 2200
+        for i in range(10):
+            assert 2000 < sum(orders[0][i::10]) / 500 < 3000
+
+
+def test_epochs_of_numbered_rows_are_projections(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "doc_id long, other long")
+    numbered, n = numbered_rows(rows.repartition(5))
+    assert n == 101 and [r.row for r in numbered.orderBy("doc_id").collect()] == list(range(101))
+    epoch = epoch_permutation(numbered, n, 42, 3)
+    assert "Exchange" not in epoch._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pos for r in epoch.collect()) == list(range(1, 102))
+    again, _ = numbered_rows(rows.repartition(2))
+    assert {r.doc_id: r.pos for r in epoch_permutation(again, n, 42, 3).collect()} == {r.doc_id: r.pos for r in epoch.collect()}

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from corpusmill.sources.corpus import (
@@ -19,6 +21,36 @@ def test_csv_round_trip(spark, tmp_path):
     assert [r.text for r in back] == TEXTS
 
 
+def test_csv_ranges_equal_the_reader_of_whole_files(spark, tmp_path):
+    """Records, quotes and line breaks that cross many byte ranges, a record longer than several, several files."""
+    path = str(tmp_path / "csv")
+    pick = random.Random(2)
+    pieces = ["\n", "\r\n", '"', '""', ",", "a", "bc", " ", "\n\n", "é", "\\", "'"]
+    texts = TEXTS + ["".join(pick.choice(pieces) for _ in range(pick.randrange(60))) for _ in range(400)]
+    texts += ["\n" * 3000, 'x"\n' * 2000, "y" * 9000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(2, "doc_id")
+    write_csv(rows, path)
+    whole = [tuple(r) for r in read_csv(spark, path, "doc_id long, text string").orderBy("doc_id").collect()]
+    assert whole == list(enumerate(texts))
+    for size in (300, 5000, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            back = read_csv(spark, path, "doc_id long, text string", ranges=True)
+            assert sorted(map(tuple, back.collect())) == whole
+            tasks = spark.read.text(path).rdd.getNumPartitions()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert size > 300 or tasks > 50
+
+
+def test_ranges_of_empty_files(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    write_csv(_rows(spark).limit(0), path)
+    assert read_csv(spark, path, "doc_id long, text string", ranges=True).collect() == []
+
+
 def test_lines(spark, tmp_path):
     path = str(tmp_path / "lines")
     write_lines(_rows(spark), path)
