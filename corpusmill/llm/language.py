@@ -15,7 +15,6 @@ answers; other columns are kept as they are by :func:`predict`.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,14 +37,18 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.02
 # Characters of one text whose features are held at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
-# Numbers that are no digits, such as fractions and circled numbers, count as word characters.
-_OTHER_NUMBERS = "".join(chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl"))
-_NOT_LETTERS = re.compile(rf"[\W\d_{_OTHER_NUMBERS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
     """Lower-case letters with single blanks around words; empty if there is no letter."""
-    clean = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    clean = _NOT_LETTERS.sub(" ", text.lower()) if text else ""
+    if not clean.isascii():
+        # Numbers that are no digits, such as fractions and circled numbers, count as word characters.
+        numbers = {c for c in set(clean) if unicodedata.category(c) in ("No", "Nl")}
+        if numbers:
+            clean = re.sub(" +", " ", clean.translate({ord(c): " " for c in numbers}))
+    clean = clean.strip()
     return f" {clean} " if clean else ""
 
 

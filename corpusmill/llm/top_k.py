@@ -3,8 +3,9 @@
 Vectors are cut into blocks. A block's index holds, for every dimension, postings of the
 vectors with a component there, in segments by quantised impact, the bit length of the
 component's size; the segments lie in descending order of impact. A block of queries processes all
-segments of one impact, then those of the next. What the remaining segments can still add or
-take away is bounded by each dimension's largest remaining component, so a query stops as
+segments of one impact, then those of the next. What the remaining segments can still add to
+a vector's score or take away is bounded by the length of the vector's remaining components times
+that of the query, and by each dimension's largest remaining component. A query stops as
 soon as that proves which few vectors may be among its best; only those are scored exactly. A
 query for which nothing can be proved early processes all segments, and its scores are exact.
 
@@ -32,8 +33,9 @@ from corpusmill.session import materialize
 SCALE = 64.0
 BLOCK = 8192
 QUERIES = 256
-# A query is settled when at most this share of a block's vectors can still be members.
+# A query is settled when at most this share of a block's vectors, or this many times k, can still be members.
 POSSIBLE = 1 / 16
+SPARE = 4
 WIDTHS = (np.int8, np.int16, np.int32, np.int64)
 
 
@@ -107,6 +109,8 @@ class BlockIndex:
     def __init__(self, ids: np.ndarray, components: np.ndarray, index: tuple):
         self.ids, self.components = ids, components
         self.segments, self.starts, self.rows, self.values = index
+        # Postings processed so far, each query counting.
+        self.read = 0
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(query number, ids, scores)`` of each query's best ``k`` in this block."""
@@ -118,24 +122,29 @@ class BlockIndex:
         # Largest component of each segment; what is left of a dimension is bounded by its largest.
         peaks = np.maximum.reduceat(np.abs(self.values), self.starts[:-1]) if len(impacts) else np.empty(0)
         dims = np.repeat(self.segments[:, 1], np.diff(self.starts))
+        # Squared length of what is left of each vector.
+        rest = (self.components.astype(np.float64) ** 2).sum(axis=1)
+        sizes = np.sqrt((asked**2).sum(axis=1))
         for level in sorted(set(impacts.tolist()), reverse=True) or [0]:
             first, end = (self.starts[np.searchsorted(-impacts, -level, side)] for side in ("left", "right"))
             # All segments of one impact at once: their postings as a matrix, summed over dimensions.
             segment = np.zeros((n, dim))
             segment[self.rows[first:end], dims[first:end]] = self.values[first:end]
             totals += segment @ asked[open_].T
+            self.read += int(end - first) * len(open_)
+            rest -= np.bincount(self.rows[first:end], self.values[first:end].astype(np.float64) ** 2, n)
+            lower = impacts < level
+            last = not lower.any()
             left = np.zeros(dim)
-            rest = impacts < level
-            np.maximum.at(left, self.segments[rest, 1], peaks[rest])
-            slack = np.abs(asked[open_]) @ left
-            last = not rest.any()
-            if not last and not (np.ptp(totals, axis=0) > 2.0 * slack).any():
-                continue
+            np.maximum.at(left, self.segments[lower, 1], peaks[lower])
+            # The lengths' product is taken a little too large, whatever the rounding.
+            lengths = np.sqrt(np.maximum(rest, 0.0))[:, None] * sizes[None, open_] * (1 + 1e-9) + 1e-6
+            slack = 0.0 if last else np.minimum(lengths, (np.abs(asked[open_]) @ left)[None, :])
             own = self.ids[:, None] == query_ids[None, open_]
-            others = np.where(own, -np.inf, totals)
-            kth = np.partition(others, n - k, axis=0)[n - k] if n > k else np.full(len(open_), -np.inf)
-            possible = (others >= kth - 2.0 * slack) & ~own
-            done = np.ones(len(open_), bool) if last else possible.sum(axis=0) <= max(k, n * POSSIBLE)
+            least = np.where(own, -np.inf, totals - slack)
+            kth = np.partition(least, n - k, axis=0)[n - k] if n > k else np.full(len(open_), -np.inf)
+            possible = (totals + slack >= kth) & ~own
+            done = np.ones(len(open_), bool) if last else possible.sum(axis=0) <= max(SPARE * k, n * POSSIBLE)
             for i in np.flatnonzero(done):
                 members = np.flatnonzero(possible[:, i])
                 scores = self.components[members] @ queries[open_[i]]
