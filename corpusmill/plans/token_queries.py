@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.constants import BLOCK_SIZE
 from corpusmill.functions.arrays import crop_last, pad, truncate
 from corpusmill.functions.text import pretokenize
-from corpusmill.operators.bpe import apply_merges, best_pairs, pair_counts, symbol_words, symbols_of, train_bpe
+from corpusmill.operators.bpe import apply_merges, best_pairs, pair_counts, symbol_words, symbols_of
 from corpusmill.operators.encode import decode, encode, encode_by_dictionary, length_stats, token_usage
 from corpusmill.operators.sampling import (
     HASH_FACTOR, HASH_PRIME, Permutation, batches, epoch_order, epoch_permutation, first_by_priority, limit_batches,
@@ -69,8 +69,7 @@ def first_merge_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @vocabulary_query(SQL_BPE + 'select rank, "left", "right", merged from merges')
 def learned_merges(spark: SparkSession, sf_dir: str, vocab_size: int) -> DataFrame:
-    words = materialize(word_counts(corpus(spark, sf_dir)), "word-counts")
-    return train_bpe(words, vocab_size).merges_table(spark)
+    return tokenizer(spark, sf_dir, vocab_size).merges_table(spark)
 
 
 @vocabulary_query(SQL_ENCODED + "select doc_id, array_to_string(ids, ' ') as ids, len(ids)::int as n_tokens from encoded")

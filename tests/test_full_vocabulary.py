@@ -5,11 +5,12 @@ import json
 import math
 from collections import Counter, defaultdict
 
+import __spark_entry__ as contract
 import pytest
 from test_bpe import _library_merges, library_tokenizer
 
 from corpusmill.constants import BLOCK_SIZE, PAD_ID, SPECIAL_TOKENS, VOCAB_SIZE
-from corpusmill.plans.registry import QUERIES
+from corpusmill.plans.registry import tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +30,7 @@ def ids(texts, library):
 
 @pytest.fixture(scope="module")
 def run(spark, sf_dir):
-    return lambda name: QUERIES[name](spark, sf_dir).collect()
+    return lambda name: contract.queries()[name](spark, sf_dir).collect()
 
 
 def fixed(row):
@@ -114,7 +115,6 @@ def test_generation_from_text_to_text(spark, sf_dir, run, library, ids):
 def test_library_reads_the_stored_json(spark, sf_dir, library, texts):
     from tokenizers import Tokenizer
 
-    from corpusmill.plans.registry import tokenizer
     from corpusmill.sources.tokenizer_store import tokenizer_json
 
     stored = Tokenizer.from_str(tokenizer_json(tokenizer(spark, sf_dir)))
