@@ -54,6 +54,7 @@ def test_near_vectors(vectors):
     found = neighbours.near_vectors(vectors).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=repr) == expected
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
+    assert {r.recall for r in found} == {1.0} and len({r.audited for r in found}) == 1
 
 
 def test_isolated_pairs_in_dense_clusters(spark):
