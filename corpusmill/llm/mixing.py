@@ -20,8 +20,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import checked_broadcast, running_total, with_row_id
+from corpusmill.llm.common import checked_broadcast, running_total
 from corpusmill.operators.ranking import range_rank
 from corpusmill.session import materialize
 
@@ -29,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 VOLUME = 1.5
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 2
+ROW_KEY = ["_key_a", "_key_b"]
 # Slope of the schedules at the weights' three places: falling, level, rising shares.
 SLOPES = (-0.5, 0.0, 0.5)
 
@@ -130,20 +132,38 @@ def mix(
     )
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """``(_key_a, _key_b, kept)``: 128 bits that equal rows share, so that no copy of the table is needed to number them."""
+    fields = [F.to_json(c) if isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in docs.columns]
+    marked = [*fields, *[F.col(c).isNull() for c in docs.columns]]
+    return docs.select(
+        F.xxhash64(*marked).alias("_key_a"), F.xxhash64(F.lit(1), *marked).alias("_key_b"), F.struct("*").alias("kept"))
+
+
+def _one_of_equal(keyed: DataFrame, copies: DataFrame) -> DataFrame:
+    """Every row of ``keyed`` once: the copies of equal rows all stand behind the same key."""
+    repeated = materialize(copies.groupBy(*ROW_KEY, "turn").count().where("count > 1").select(*ROW_KEY).distinct(), "repeated")
+    if repeated.isEmpty():
+        return keyed
+    repeated = checked_broadcast(repeated)
+    equal = keyed.join(repeated, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return keyed.join(repeated, ROW_KEY, "left_anti").unionByName(equal)
+
+
 def training_documents(docs: DataFrame) -> DataFrame:
     """The copies the mix takes, range-sorted by training position, with the columns of ``docs``.
 
     A copy that is taken in part holds the first words of its text.
     """
-    rows = materialize(with_row_id(docs.select(F.struct("*").alias("kept"))), "documents")
+    keyed = _with_row_key(docs)
     fields = [F.col("kept")[c].alias(c) for c in ("doc_id", "source", "text")]
-    mixed = mix(rows.select("row_id", *fields), carry=["row_id"]).where("taken > 0")
-    copies = mixed.select("row_id", "size", "taken", F.posexplode("positions").alias("turn", "position"))
+    mixed = mix(keyed.select(*ROW_KEY, *fields), carry=ROW_KEY).where("taken > 0")
+    copies = mixed.select(*ROW_KEY, "size", "taken", F.posexplode("positions").alias("turn", "position"))
     words = F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size"))
-    copies = materialize(copies.select("row_id", "turn", "position", "size", words.alias("words")), "copies")
-    joined = rows.select("row_id", "kept").join(checked_broadcast(copies), "row_id")
+    copies = materialize(copies.select(*ROW_KEY, "turn", "position", "size", words.alias("words")), "copies")
+    joined = _one_of_equal(keyed, copies).join(checked_broadcast(copies), ROW_KEY)
     each = F.regexp_extract_all(F.col("kept")["text"].cast("string"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(each, F.lit(1), F.col("words").cast("int")), ""))
     joined = joined.withColumn("text", F.coalesce(text, F.col("kept")["text"].cast("string")))
-    ordered = joined.repartitionByRange("position", "row_id", "turn").sortWithinPartitions("position", "row_id", "turn")
+    ordered = joined.repartitionByRange("position", *ROW_KEY, "turn").sortWithinPartitions("position", *ROW_KEY, "turn")
     return ordered.select(*[F.col("text") if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns])

@@ -337,10 +337,12 @@ def _component_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> Da
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors (vec_id, embedding, label)``.
+    """``(vec_id, n_links, component_id, kept, audited, recall)``, one row per row of ``vectors (vec_id, embedding, label)``.
 
     ``component_id`` is the smallest id reachable by links; ``kept`` is true for that vector,
-    in every row that repeats it.
+    in every row that repeats it. ``recall`` is the lower one of the two audited recalls, outside and
+    inside large components, and ``audited`` the number of asked vertices with a link: the same in
+    every row, so a result that missed its mark shows it.
     """
     rows = vertices(vectors)
     valid = rows.where(F.col("key").isNotNull())
@@ -375,4 +377,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -
     first = joined.groupBy("root").agg(F.min(order).alias("_first"))
     return joined.join(first, "root").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("_first.vec_id").alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.col("_first.vec_id")).alias("kept"))
+        F.col("vec_id").eqNullSafe(F.col("_first.vec_id")).alias("kept"),
+        F.lit(sum(asked for asked, _ in audited)).cast("bigint").alias("audited"),
+        F.lit(min(recall for _, recall in audited)).cast("double").alias("recall"))

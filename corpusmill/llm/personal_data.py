@@ -40,7 +40,7 @@ PATTERNS = {
 # token, or a token of six characters or more, with an at sign or four digits.
 CANDIDATE = (
     r"(?<!\S)(?:[+(]{0,2}[0-9](?:[\x20().-]{0,3}[0-9]){6,18}+(?=[.,;:!?)]{0,3}(?:\s|\z))"
-    r"|(?=\S{6,64}(?!\S))(?=\S*@|(?:[^\s0-9]*[0-9]){4})\S+)"
+    r"|(?=\S{6})(?=\S*@|(?:[^\s0-9]*+[0-9]){4})\S++)"
 )
 # What a found token of each kind must look like, so that a kind's patterns add its like only.
 LIKE = {
