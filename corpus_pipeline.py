@@ -9,7 +9,7 @@ what is left is packed into sequences of token ids.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import language, minhash, mixing, packing, personal_data
 from corpusmill.llm.queries import fold
-from corpusmill.session import materialize_alone
+from corpusmill.session import materialize_alone, release_shuffles
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,6 +30,18 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
+def stage(function: Stage) -> Stage:
+    """A stage starts without what the one before it has left in the shuffle folders."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_shuffles(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(fold(3) != 1))
     found = language.predict(docs.select(F.struct("*").alias("row"), "text"), model)
@@ -37,18 +49,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select("row.*")
 
 
+@stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.one_of_each(docs)
 
 
+@stage
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(personal_data.redact(docs))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(mixing.training_documents(docs))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

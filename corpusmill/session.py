@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -98,6 +99,12 @@ def write_table(df: DataFrame, name: str = "table") -> WrittenTable:
     return WrittenTable(spark.read.schema(df.schema).parquet(path), size)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove every table this application wrote; tables derived from them can no longer be read."""
     delete_scratch(spark, _session_scratch(spark))
