@@ -1,13 +1,16 @@
 """Brown class-based bigram model: P(word | previous) = P(class | previous class) * P(word | class).
 
 Clustering is by exchange: words move between classes as long as the likelihood of the class
-bigrams grows. The ``OWN_UNITS`` most frequent words of the training text move on their own; all others move
-together with the words that end alike, so every word has a class and the clustering's state
-has a fixed size, whatever the corpus. The state, how often each unit stands next to each
-class, is counted over the whole training text in every round.
+bigrams grows. The ``OWN_UNITS`` most frequent words of the training text move on their own; while they
+do, all others move together with the words that end alike, so the clustering's state has a
+fixed size, whatever the corpus. The state, how often each unit stands next to each class, is
+counted over the whole training text in every round. Then every other word of the training text
+leaves its ending: the classes around it are counted in Spark, and it moves to the class in
+which these are most likely, one step of the exchange against the fixed classes. So each
+training word's class comes from its own neighbours, however many words there are.
 
-Word counts are exact for all words. The most frequent words travel with the job in a table of
-bounded size; the others are joined by word, and since none of them is frequent, no key is hot.
+Word counts are exact for all words. Counts and classes of the most frequent words travel with the job in
+tables of bounded size; those of the others are joined by word, and since none of them is frequent, no key is hot.
 
 A token is a run of anything but space and the control characters from tab to carriage
 return, A-Z lower-cased; each document ends with one end token, which is also what stands in front
@@ -28,17 +31,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import map_batches, with_row_id
+from corpusmill.llm.common import map_batches, parts_of, with_row_id
 from corpusmill.session import materialize
 
 CLASSES = 64
 ROUNDS = 5
-# Words whose counts travel with the job, and those of them that are clustered one by one.
+# Words whose counts travel with the job, and those of them that are clustered in every round.
 KNOWN_WORDS = 1 << 17
 OWN_UNITS = 8192
 ENDINGS = 2048
@@ -48,7 +52,10 @@ END = b""
 BACK_OFF = 1.0
 # Distinct words a counting task holds before it hands them on.
 HELD_WORDS = 300_000
+HELD_COUNTS = 2_000_000
 COUNT_BINS = 16
+# Tasks whose counts are added up together before the sums are.
+TASK_GROUP = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -89,10 +96,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Counts and units of the most frequent words; sizes of the whole vocabulary."""
+    """Counts and units of the most frequent words; sizes of the whole vocabulary.
+
+    In a text, numbers below ``n_units`` are units, the next ones stand for ``others``, the known
+    words without a unit of their own, and those behind them for the document's words that are not known.
+    """
 
     train: dict[bytes, int]
     units: dict[bytes, int]
+    others: list[bytes]
     n_units: int
     tokens: int  # in the training text
     types: int
@@ -127,23 +139,27 @@ def lexicon(counts: DataFrame, known_words: int = KNOWN_WORDS, own_units: int =
     ends = counts.where(F.length("word") == 0).first()
     train[END] = ends.train if ends else 0
     units[END] = n_units - 1
-    return Lexicon(train, units, n_units, totals.tokens or 0, totals.types or 0)
+    others = sorted(train.keys() - set(first) - {END})
+    return Lexicon(train, units, others, n_units, totals.tokens or 0, totals.types or 0)
 
 
 def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
-    """``(row_id, doc_id, held_out, n_tokens, units, known, logs, rare, rare_n)``, written.
+    """``(row_id, doc_id, held_out, n_tokens, units, endings, known, logs, rare, rare_n)``, written.
 
-    ``units`` are compressed 16-bit integers; ``known`` and ``logs`` sum over the words of the
-    lexicon; ``rare`` holds the document's other words and ``rare_n`` how often each occurs.
+    ``units`` are the compressed 32-bit numbers of the tokens; ``known`` and ``logs`` sum over the words of
+    the lexicon; ``rare`` holds the document's other words, ``endings`` (16 bits) the units of
+    their endings and ``rare_n`` how often each occurs.
     """
-    table = {w: (words.units[w], float(np.log10(n + 1.0)), n > 0) for w, n in words.train.items()}
+    numbers = {**words.units, **{w: words.n_units + i for i, w in enumerate(words.others)}}
+    table = {w: (numbers[w], float(np.log10(n + 1.0)), n > 0) for w, n in words.train.items()}
+    base = words.n_units + len(words.others)
 
     def start():
         squeeze = zstandard.ZstdCompressor(level=1)
         end_unit = table[END][0]
 
         def encode(batch):
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for text in batch.column(2).to_pylist():
                 tokens = words_of(text)
                 counts = Counter(tokens)
@@ -152,46 +168,65 @@ def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
                 for word, n in counts.items():
                     found = table.get(word)
                     if found is None:
-                        units[word] = ending_of(word)
+                        units[word] = base + len(rare)
                         rare.append(word)
                     else:
                         units[word] = found[0]
                         logs += n * found[1]
                         known += n * found[2]
-                sequence = np.fromiter(map(units.__getitem__, tokens), np.uint16, len(tokens))
-                sequence = np.append(sequence, np.uint16(end_unit))
-                row = (len(sequence), squeeze.compress(sequence.tobytes()), known, logs, rare, [counts[w] for w in rare])
+                sequence = np.fromiter(map(units.__getitem__, tokens), np.uint32, len(tokens))
+                sequence = np.append(sequence, np.uint32(end_unit))
+                endings = np.fromiter(map(ending_of, rare), np.uint16, len(rare))
+                row = (len(sequence), squeeze.compress(sequence.tobytes()), endings.tobytes(), known, logs, rare, [counts[w] for w in rare])
                 for column, value in zip(out, row):
                     column.append(value)
             return batch.column(0), batch.column(1), *out
 
         return encode
 
-    schema = ("doc_id bigint, held_out boolean, n_tokens bigint, units binary, known bigint, logs double, "
+    schema = ("doc_id bigint, held_out boolean, n_tokens bigint, units binary, endings binary, known bigint, logs double, "
               "rare array<binary>, rare_n array<int>")
     return materialize(with_row_id(map_batches(docs.select("doc_id", "held_out", "text"), schema, start)), "units")
 
 
-def _sequences(batch: pa.RecordBatch, expand: zstandard.ZstdDecompressor) -> np.ndarray:
-    """Units of a batch's documents, one after the other; every document ends with the end unit."""
-    return np.frombuffer(b"".join(expand.decompress(v.as_buffer()) for v in batch.column(0)), np.uint16).astype(np.int64)
+class Reader:
+    """Tokens of a batch's documents, one after the other; every document ends with the end unit."""
+
+    def __init__(self, words: Lexicon):
+        self.n_units, self.base = words.n_units, words.n_units + len(words.others)
+        self.units = np.append(np.arange(self.n_units), np.fromiter(map(ending_of, words.others), np.int64, len(words.others)))
+
+    def places(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Numbers of the tokens of ``batch (units, endings, ...)``; rare words are numbered through the whole batch."""
+        expand = zstandard.ZstdDecompressor()
+        found = [np.frombuffer(expand.decompress(v.as_buffer()), np.uint32) for v in batch.column(0)]
+        rare = np.array([len(v.as_buffer()) // 2 for v in batch.column(1)], np.int64)
+        shifts = np.repeat(np.cumsum(rare) - rare, [len(f) for f in found])
+        numbers = np.concatenate(found).astype(np.int64)
+        return numbers + shifts * (numbers >= self.base)
 
+    def endings(self, batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(v.as_py() for v in batch.column(1)), np.uint16).astype(np.int64)
 
-def neighbours(training: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    def units_of(self, batch: pa.RecordBatch) -> np.ndarray:
+        return np.append(self.units, self.endings(batch))[self.places(batch)]
+
+
+def neighbours(training: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each unit stands before (first result) and after each class, over the whole training text.
 
-    Tasks count densely and hand on blocks of units; the blocks of all tasks are added up in
-    Spark and only the sums, of a size that does not depend on the corpus, reach the driver.
+    Tasks count densely and hand on blocks of units; the blocks are added up in Spark, first those of
+    neighbouring tasks, and only the sums, of a size that does not depend on the corpus, reach the driver.
     """
-    n_units, block = len(classes), 512
+    n_units, block = words.n_units, 512
     width = n_units * n_classes
+    reader = Reader(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         total = np.zeros((2, width), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                units = _sequences(batch, expand)
+            for part in parts_of(batch):
+                units = reader.units_of(part)
                 before = np.append(n_units - 1, units[:-1])  # the end unit stands before each first word
                 total[0] += np.bincount(before * n_classes + classes[units], minlength=width)
                 total[1] += np.bincount(units * n_classes + classes[before], minlength=width)
@@ -211,7 +246,10 @@ def neighbours(training: DataFrame, classes: np.ndarray, n_classes: int) -> tupl
                                   names=["start", "cells"])
 
     schema = "start bigint, cells binary"
-    parts = training.select("units").mapInArrow(count, schema).repartition("start").mapInArrow(add, schema)
+    parts = training.select("units", "endings").mapInArrow(count, schema)
+    parts = parts.withColumn("group", F.floor(F.spark_partition_id() / TASK_GROUP))
+    parts = parts.repartition("start", "group").select("start", "cells").mapInArrow(add, schema)
+    parts = parts.repartition("start").mapInArrow(add, schema)
     total = np.zeros((2, n_units, n_classes), np.int64)
     for row in parts.collect():
         cells = np.frombuffer(row.cells, np.int64).reshape(2, -1, n_classes)
@@ -257,42 +295,170 @@ def exchanged(classes: np.ndarray, after: np.ndarray, before: np.ndarray, n_clas
 class ClassModel:
     """``transition[a, b]`` and ``emission[c]``: log10 of a class after a class, of one count of a class."""
 
-    classes: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
 
 
-def cluster(training: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def cluster(training: DataFrame, words: Lexicon, n_classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each unit."""
-    classes = np.arange(n_units, dtype=np.int64) % (n_classes - 1)
+    classes = np.arange(words.n_units, dtype=np.int64) % (n_classes - 1)
     classes[-1] = n_classes - 1
     for _ in range(rounds):
-        classes = exchanged(classes, *neighbours(training, classes, n_classes), n_classes)
+        classes = exchanged(classes, *neighbours(training, words, classes, n_classes), n_classes)
     return classes
 
 
-def class_types(counts: DataFrame, words: Lexicon) -> np.ndarray:
-    """Number of distinct training words of each unit, over the whole vocabulary."""
-    def start():
-        return lambda batch: ([words.unit(w) for w in batch.column(0).to_pylist()],)
+def _transition(grid: np.ndarray) -> np.ndarray:
+    """log10 of the smoothed probability of a class (column) after a class (row)."""
+    sizes = grid.sum(axis=1)
+    share = (sizes + 1.0) / (sizes.sum() + len(grid))
+    return np.log10((grid + BACK_OFF * share) / (sizes[:, None] + BACK_OFF))
 
-    units = map_batches(counts.where("train > 0").select("word"), "unit bigint", start)
-    types = np.zeros(words.n_units, np.int64)
-    for row in units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per unit
-        types[row.unit] = row.n
-    return types
 
+def context_counts(training: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int = CLASSES) -> DataFrame:
+    """``(word, slot, train, codes, ns)`` of every training word without a unit of its own.
 
-def fit(training: DataFrame, counts: DataFrame, words: Lexicon, n_classes: int = CLASSES, rounds: int = ROUNDS) -> ClassModel:
-    classes = cluster(training, words.n_units, n_classes, rounds)
-    after, _ = neighbours(training, classes, n_classes)
+    ``codes`` are the classes in front of the word and, ``n_classes`` higher, those behind it; ``slot`` is the
+    word's place among the lexicon's ``others`` or -1. At most ``2 * n_classes`` codes a word.
+    """
+    reader, others = Reader(words), words.others
+    width, n_units, n_others = 2 * n_classes, words.n_units, len(words.others)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare: dict[bytes, int] = {}
+        held: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+
+        def merged() -> np.ndarray:
+            keys, amounts = np.concatenate(held, axis=1)
+            keys, place = np.unique(keys, return_inverse=True)
+            return np.stack([keys, np.bincount(place, weights=amounts, minlength=len(keys)).astype(np.int64)])
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            names = pa.array([*others, *rare], pa.binary())
+            keys, amounts = merged()
+            for i in range(0, len(keys), 1 << 17):
+                word, code = np.divmod(keys[i : i + (1 << 17)], width)
+                yield pa.record_batch(
+                    [names.take(pa.array(word)), pa.array(np.where(word < n_others, word, -1)), pa.array(code), pa.array(amounts[i : i + (1 << 17)])],
+                    names=["word", "slot", "code", "n"])
+            rare.clear()
+            held[:] = [np.empty((2, 0), np.int64)]
+
+        for batch in batches:
+            for part in parts_of(batch):
+                numbers = reader.places(part)
+                kinds = classes[np.append(reader.units, reader.endings(part))[numbers]]
+                names = [rare.setdefault(w, n_others + len(rare)) for ws in part.column(2).to_pylist() for w in ws]
+                at = np.flatnonzero(numbers >= n_units)  # an end stands behind every word
+                word = np.append(np.arange(n_others), np.array(names, np.int64))[numbers[at] - n_units]
+                before = np.append(classes[n_units - 1], kinds)[at]
+                keys, amounts = np.unique(np.append(word * width + before, word * width + n_classes + kinds[at + 1]), return_counts=True)
+                held.append(np.stack([keys, amounts]))
+                if sum(h.shape[1] for h in held) > HELD_COUNTS:
+                    held[:] = [merged()]
+                if len(rare) > HELD_WORDS or 2 * held[0].shape[1] > HELD_COUNTS:
+                    yield from rows()
+        yield from rows()
+
+    partial = training.select("units", "endings", "rare").mapInArrow(count, "word binary, slot bigint, code bigint, n bigint")
+    cells = partial.groupBy("word", "slot", "code").agg(F.sum("n").alias("n"))
+    behind = F.sum(F.when(F.col("code") >= n_classes, F.col("n")))
+    each = cells.groupBy("word", "slot").agg(behind.alias("train"), F.collect_list(F.struct("code", "n")).alias("cells"))
+    return each.select("word", "slot", "train", F.col("cells.code").alias("codes"), F.col("cells.n").alias("ns"))
+
+
+def assigned(training: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int = CLASSES) -> DataFrame:
+    """``(word, slot, train, kind)``, written: the class in which a word's neighbours are most likely, for all words of :func:`context_counts`."""
+    after, _ = neighbours(training, words, classes, n_classes)
     grid = np.zeros((n_classes, n_classes))
     np.add.at(grid, classes, after)
-    sizes = np.bincount(classes, weights=after.sum(axis=1), minlength=n_classes)
-    types = np.bincount(classes, weights=class_types(counts, words), minlength=n_classes)
-    share = (sizes + 1.0) / (sizes.sum() + n_classes)
-    transition = (grid + BACK_OFF * share) / (grid.sum(axis=1, keepdims=True) + BACK_OFF)
-    return ClassModel(classes, np.log10(transition), -np.log10(sizes + types + 1.0))
+    steps = _transition(grid)
+    # In front of and behind a word of each class; the last class is that of the end alone.
+    gains = np.concatenate([steps, steps.T])[:, :-1]
+    sizes = np.log10(grid.sum(axis=1) + 1.0)[:-1]
+
+    def start():
+        def choose(batch):
+            total = np.zeros((batch.num_rows, 2 * n_classes))
+            lengths = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            total[row, batch.column(3).flatten().to_numpy()] = batch.column(4).flatten().to_numpy()
+            train = batch.column(2).to_numpy()
+            return batch.column(0), batch.column(1), train, (total @ gains - train[:, None] * sizes).argmax(axis=1)
+
+        return choose
+
+    counts = context_counts(training, words, classes, n_classes)
+    return materialize(map_batches(counts, "word binary, slot bigint, train bigint, kind bigint", start), "assigned")
+
+
+def classed(rows: DataFrame, words: Lexicon, classes: np.ndarray, found: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, logs, kinds)``, written: the documents as compressed classes (16 bits) of their tokens."""
+    reader = Reader(words)
+    known = classes[reader.units]
+    for row in found.where("slot >= 0").select("slot", "kind").collect():  # at most the lexicon's words
+        known[words.n_units + row.slot] = row.kind
+    each = rows.select("row_id", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("place", "r"))
+    each = each.select("row_id", "place", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
+    rare = each.join(found.where("slot < 0").select("word", "train", "kind"), "word").groupBy("row_id").agg(
+        F.sum(F.col("n") * F.log10(F.col("train") + 1.0)).alias("_logs"), F.sum("n").alias("_known"),
+        F.collect_list(F.struct("place", "kind")).alias("_found"))
+    joined = rows.drop("rare", "rare_n").join(rare, "row_id", "left").select(
+        "units", "endings", F.col("_found.place").alias("places"), F.col("_found.kind").alias("kinds"), "doc_id", "held_out", "n_tokens",
+        (F.col("known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
+        (F.col("logs") + F.coalesce("_logs", F.lit(0.0))).alias("logs"))
+
+    def start():
+        squeeze = zstandard.ZstdCompressor(level=1)
+
+        def run(batch):
+            kinds = classes[reader.endings(batch)]
+            sizes = np.array([len(v.as_buffer()) // 2 for v in batch.column(1)], np.int64)
+            for first, places, chosen in zip(np.cumsum(sizes) - sizes, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if places:
+                    kinds[first + np.array(places)] = chosen
+            sequence = np.append(known, kinds)[reader.places(batch)].astype(np.uint16)
+            ends = np.cumsum(batch.column(6).to_numpy())
+            return *batch.columns[4:], [squeeze.compress(part.tobytes()) for part in np.split(sequence, ends[:-1])]
+
+        return run
+
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, kinds binary"
+    return materialize(map_batches(joined, schema, start), "classes")
+
+
+def _kinds(column: pa.Array) -> np.ndarray:
+    expand = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(expand.decompress(v.as_buffer()) for v in column), np.uint16).astype(np.int64)
+
+
+def fit(training: DataFrame, types: np.ndarray) -> ClassModel:
+    """The model of ``training (kinds)``; ``types`` are the distinct training words of each class, the last one that of the end."""
+    n_classes = len(types)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_classes * n_classes, np.int64)
+        for batch in batches:
+            for part in parts_of(batch):
+                kinds = _kinds(part.column(0))
+                total += np.bincount(np.append(n_classes - 1, kinds[:-1]) * n_classes + kinds, minlength=len(total))
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
+
+    cells = training.select("kinds").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    grid = np.zeros(n_classes * n_classes)
+    for row in cells.collect():  # one row per pair of classes
+        grid[row.cell] = row.n
+    grid = grid.reshape(n_classes, n_classes)
+    return ClassModel(_transition(grid), -np.log10(grid.sum(axis=1) + types + 1.0))
+
+
+def class_types(words: Lexicon, classes: np.ndarray, found: DataFrame) -> np.ndarray:
+    """Number of distinct training words of each class, over the whole vocabulary."""
+    types = np.bincount(classes[ENDINGS:-1], minlength=int(classes[-1]) + 1).astype(np.int64)
+    types[-1] = words.train[END] > 0
+    for row in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per class
+        types[row.kind] += row.n
+    return types
 
 
 def score(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS, known_words: int = KNOWN_WORDS,
@@ -304,37 +470,30 @@ def score(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS, known
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    counts = word_counts(docs)
-    words = lexicon(counts, known_words, own_units)
+    words = lexicon(word_counts(docs), known_words, own_units)
     rows = encoded(docs, words)
-    model = fit(rows.where("not held_out"), counts, words, n_classes, rounds)
-    transition, emission, classes, n_units = model.transition, model.emission, model.classes, words.n_units
+    training = rows.where("not held_out")
+    classes = cluster(training, words, n_classes, rounds)
+    found = assigned(training, words, classes, n_classes)
+    texts = classed(rows, words, classes, found)
+    model = fit(texts.where("not held_out"), class_types(words, classes, found))
+    transition, emission = model.transition, model.emission
 
     def start():
-        expand = zstandard.ZstdDecompressor()
-
         def run(batch):
-            units = _sequences(pa.record_batch([batch.column(1)], names=["units"]), expand)
-            kinds = classes[units]
-            steps = transition[np.append(classes[n_units - 1], kinds[:-1]), kinds] + emission[kinds]
-            ends = np.flatnonzero(units == n_units - 1)
-            totals = np.add.reduceat(steps, np.append(0, ends[:-1] + 1))
-            return batch.column(0), totals
+            kinds = _kinds(batch.column(5))
+            steps = transition[np.append(len(emission) - 1, kinds[:-1]), kinds] + emission[kinds]
+            ends = np.cumsum(batch.column(2).to_numpy())
+            return *batch.columns[:5], np.add.reduceat(steps, np.append(0, ends[:-1]))
 
         return run
 
-    chain = map_batches(rows.select("row_id", "units"), "row_id bigint, steps double", start)
-    each = rows.select("row_id", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
-    each = each.select("row_id", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
-    seen = counts.where("train > 0").select("word", "train")
-    rare = each.join(seen, "word").groupBy("row_id").agg(
-        F.sum(F.col("n") * F.log10(F.col("train") + 1.0)).alias("_logs"), F.sum("n").alias("_known"))
-    joined = rows.select("row_id", "doc_id", "held_out", "n_tokens", "known", "logs").join(chain, "row_id").join(rare, "row_id", "left")
-    counted = F.col("logs") + F.coalesce("_logs", F.lit(0.0))
-    total = F.col("steps") + counted
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, steps double"
+    chain = map_batches(texts, schema, start)
+    total = F.col("steps") + F.col("logs")
     norm = float(np.log10(words.tokens + words.types + 1.0))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(words.tokens).cast("bigint").alias("train_tokens"), (counted - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+    return chain.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(words.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
         total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

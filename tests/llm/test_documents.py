@@ -111,19 +111,71 @@ def test_class_model(docs):
     assert class_model.score(held.limit(0)).count() == 0
 
 
-def test_class_probabilities_add_up(spark):
-    """All known words and one unknown word per class, after any class, have probability one."""
-    rows = [(i, f"a{i % 3} b{i % 5} c{i % 2}", False) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+def test_class_model_against_plain_sums(spark):
+    """Classes around each word, the class it moves to, the probabilities and each document's score."""
+    n_classes = 5
+    texts = [f"a{i % 3} b{i % 5} c{i % 2} rare{i // 2} a{i % 3} seldom{i % 9} b{i % 4}" for i in range(40)] + ["", None, "rare1 " + "b1 a2 " * 500]
+    texts += ["a1 unheard rare1 b2 rare3 unheard", "rare1 rare1 seldom2", "zz"]
+    rows = [(i, t, i >= 43) for i, t in enumerate(texts)] + [(0, texts[0], False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
     counts = class_model.word_counts(docs)
-    lexicon = class_model.lexicon(counts, 6, 3)
-    model = class_model.fit(class_model.encoded(docs, lexicon), counts, lexicon, 4, 2)
-    assert np.allclose((10.0**model.transition).sum(axis=1), 1.0)
-    total = 10.0**model.emission
-    for row in counts.collect():
-        total[model.classes[lexicon.unit(bytes(row.word))]] += (row.train) * 10.0 ** model.emission[model.classes[lexicon.unit(bytes(row.word))]]
-        total[model.classes[lexicon.unit(bytes(row.word))]] += 10.0 ** model.emission[model.classes[lexicon.unit(bytes(row.word))]]
-    assert np.allclose(total, 1.0)
+    lexicon = class_model.lexicon(counts, 12, 4)
+    written = class_model.encoded(docs, lexicon)
+    training = written.where("not held_out")
+    classes = class_model.cluster(training, lexicon, n_classes, 2)
+    found = class_model.assigned(training, lexicon, classes, n_classes)
+
+    end = n_classes - 1
+    unit_class = lambda w: end if w == b"" else int(classes[lexicon.unit(w)])
+    own = {w for w, u in lexicon.units.items() if class_model.ENDINGS <= u < lexicon.n_units - 1}
+    tokens = [[*words(t), b""] for _, t, held in rows if not held]
+    grid, around = np.zeros((n_classes, n_classes)), defaultdict(Counter)
+    for line in tokens:
+        for i, word in enumerate(line):
+            before = unit_class(line[i - 1]) if i else end
+            grid[before, unit_class(word)] += 1
+            if word and word not in own:
+                around[word][before] += 1
+                around[word][n_classes + unit_class(line[i + 1])] += 1
+    plain = {bytes(r.word): dict(zip(r.codes, r.ns)) for r in class_model.context_counts(training, lexicon, classes, n_classes).collect()}
+    assert plain == {w: dict(c) for w, c in around.items()} and len(plain) > 20 and 0 < len(lexicon.others) < len(plain)
+    sizes, total = grid.sum(axis=1), grid.sum()
+    steps = (grid + (sizes + 1) / (total + n_classes)) / (sizes[:, None] + 1)
+    kind = {b"": end, **{w: unit_class(w) for w in own}}
+    chosen = {bytes(r.word): r.kind for r in found.collect()}
+    assert chosen.keys() == around.keys()
+    for word, seen in around.items():
+        n = sum(v for code, v in seen.items() if code >= n_classes)
+        gain = [sum(v * math.log10(steps[c, k] if c < n_classes else steps[k, c - n_classes]) for c, v in seen.items())
+                - n * math.log10(sizes[k] + 1) for k in range(end)]
+        assert gain[chosen[word]] >= max(gain) - 1e-9
+        kind[word] = chosen[word]
+
+    train = Counter(w for line in tokens for w in line)
+    grid = np.zeros((n_classes, n_classes))
+    for line in tokens:
+        for before, word in zip([b"", *line], line):
+            grid[kind[before], kind[word]] += 1
+    sizes = grid.sum(axis=1)
+    steps = (grid + (sizes + 1) / (sizes.sum() + n_classes)) / (sizes[:, None] + 1)
+    types = Counter(kind.values())
+    emission = 1 / (sizes + [types[k] for k in range(n_classes)] + 1)
+    mass = emission.copy()
+    for word, k in kind.items():
+        mass[k] += (train[word] + 1) * emission[k]
+    assert np.allclose(steps.sum(axis=1), 1.0) and np.allclose(mass, 1.0)
+
+    def plain_score(text):
+        line, result = [*words(text), b""], 0.0
+        for before, word in zip([b"", *line], line):
+            a, b = (kind.get(w, unit_class(w)) for w in (before, word))
+            result += math.log10(steps[a, b] * emission[b] * (train[word] + 1))
+        return result
+
+    scored = class_model.score(docs, n_classes, 2, 12, 4).collect()
+    assert len(scored) == len(rows)
+    for r in scored:
+        assert abs(r.score - plain_score(texts[r.doc_id])) < 1e-6 * max(1.0, abs(r.score)), r.doc_id
 
 
 def test_class_model_beats_words(spark, sf_dir):
