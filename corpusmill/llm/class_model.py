@@ -50,9 +50,10 @@ ENDINGS = 2048
 LONG_WORD = 64
 END = b""
 BACK_OFF = 1.0
-# Distinct words a counting task holds before it hands them on.
+# Distinct words and counts a counting task holds before it hands them on; bytes of text it reads at once.
 HELD_WORDS = 300_000
-HELD_COUNTS = 2_000_000
+HELD_COUNTS = 500_000
+HELD_BYTES = 1 << 20
 COUNT_BINS = 16
 # Tasks whose counts are added up together before the sums are.
 TASK_GROUP = 256
@@ -225,7 +226,7 @@ def neighbours(training: DataFrame, words: Lexicon, classes: np.ndarray, n_class
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, width), np.int64)
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, HELD_BYTES):
                 units = reader.units_of(part)
                 before = np.append(n_units - 1, units[:-1])  # the end unit stands before each first word
                 total[0] += np.bincount(before * n_classes + classes[units], minlength=width)
@@ -316,55 +317,57 @@ def _transition(grid: np.ndarray) -> np.ndarray:
 
 
 def context_counts(training: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int = CLASSES) -> DataFrame:
-    """``(word, slot, train, codes, ns)`` of every training word without a unit of its own.
+    """``(word, slot, codes, ns)`` of every training word without a unit of its own, rows of a word in one partition and together.
 
-    ``codes`` are the classes in front of the word and, ``n_classes`` higher, those behind it; ``slot`` is the
-    word's place among the lexicon's ``others`` or -1. At most ``2 * n_classes`` codes a word.
+    ``codes`` (16 bits) are the classes in front of the word and, ``n_classes`` higher, those behind it; ``ns`` (32 bits)
+    how often each occurs in a part of the text; ``slot`` is the word's place among the lexicon's ``others`` or -1.
     """
     reader, others = Reader(words), words.others
     width, n_units, n_others = 2 * n_classes, words.n_units, len(words.others)
 
+    def binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+        offsets = (starts * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare: dict[bytes, int] = {}
         held: list[np.ndarray] = [np.empty((2, 0), np.int64)]
 
         def merged() -> np.ndarray:
             keys, amounts = np.concatenate(held, axis=1)
-            keys, place = np.unique(keys, return_inverse=True)
-            return np.stack([keys, np.bincount(place, weights=amounts, minlength=len(keys)).astype(np.int64)])
+            order = np.argsort(keys, kind="stable")
+            keys, amounts = keys[order], amounts[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            return np.stack([keys[first], np.add.reduceat(amounts, first) if len(first) else amounts])
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            names = pa.array([*others, *rare], pa.binary())
+        def rows() -> pa.RecordBatch:
             keys, amounts = merged()
-            for i in range(0, len(keys), 1 << 17):
-                word, code = np.divmod(keys[i : i + (1 << 17)], width)
-                yield pa.record_batch(
-                    [names.take(pa.array(word)), pa.array(np.where(word < n_others, word, -1)), pa.array(code), pa.array(amounts[i : i + (1 << 17)])],
-                    names=["word", "slot", "code", "n"])
+            word, code = np.divmod(keys, width)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            starts, word = np.append(first, len(keys)), word[first]
+            names = pa.array([*others, *rare], pa.binary()).take(pa.array(word))
             rare.clear()
             held[:] = [np.empty((2, 0), np.int64)]
+            return pa.record_batch([names, pa.array(np.where(word < n_others, word, -1)), binaries(code.astype(np.uint16), starts),
+                                    binaries(amounts.astype(np.uint32), starts)], names=["word", "slot", "codes", "ns"])
 
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, HELD_BYTES):
                 numbers = reader.places(part)
                 kinds = classes[np.append(reader.units, reader.endings(part))[numbers]]
                 names = [rare.setdefault(w, n_others + len(rare)) for ws in part.column(2).to_pylist() for w in ws]
                 at = np.flatnonzero(numbers >= n_units)  # an end stands behind every word
-                word = np.append(np.arange(n_others), np.array(names, np.int64))[numbers[at] - n_units]
+                word = np.append(np.arange(n_others), np.array(names, np.int64))[numbers[at] - n_units] * width
                 before = np.append(classes[n_units - 1], kinds)[at]
-                keys, amounts = np.unique(np.append(word * width + before, word * width + n_classes + kinds[at + 1]), return_counts=True)
-                held.append(np.stack([keys, amounts]))
+                held.append(np.stack(np.unique(np.append(word + before, word + n_classes + kinds[at + 1]), return_counts=True)))
                 if sum(h.shape[1] for h in held) > HELD_COUNTS:
                     held[:] = [merged()]
                 if len(rare) > HELD_WORDS or 2 * held[0].shape[1] > HELD_COUNTS:
-                    yield from rows()
-        yield from rows()
+                    yield rows()
+        yield rows()
 
-    partial = training.select("units", "endings", "rare").mapInArrow(count, "word binary, slot bigint, code bigint, n bigint")
-    cells = partial.groupBy("word", "slot", "code").agg(F.sum("n").alias("n"))
-    behind = F.sum(F.when(F.col("code") >= n_classes, F.col("n")))
-    each = cells.groupBy("word", "slot").agg(behind.alias("train"), F.collect_list(F.struct("code", "n")).alias("cells"))
-    return each.select("word", "slot", "train", F.col("cells.code").alias("codes"), F.col("cells.n").alias("ns"))
+    partial = training.select("units", "endings", "rare").mapInArrow(count, "word binary, slot bigint, codes binary, ns binary")
+    return partial.repartition("word").sortWithinPartitions("word")
 
 
 def assigned(training: DataFrame, words: Lexicon, classes: np.ndarray, n_classes: int = CLASSES) -> DataFrame:
@@ -376,20 +379,38 @@ def assigned(training: DataFrame, words: Lexicon, classes: np.ndarray, n_classes
     # In front of and behind a word of each class; the last class is that of the end alone.
     gains = np.concatenate([steps, steps.T])[:, :-1]
     sizes = np.log10(grid.sum(axis=1) + 1.0)[:-1]
+    width = 2 * n_classes
 
-    def start():
-        def choose(batch):
-            total = np.zeros((batch.num_rows, 2 * n_classes))
-            lengths = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            total[row, batch.column(3).flatten().to_numpy()] = batch.column(4).flatten().to_numpy()
-            train = batch.column(2).to_numpy()
-            return batch.column(0), batch.column(1), train, (total @ gains - train[:, None] * sizes).argmax(axis=1)
+    def chosen(names: list[bytes], slots: list[int], total: np.ndarray) -> pa.RecordBatch:
+        train = total[:, n_classes:].sum(axis=1)
+        kinds = (total @ gains - train[:, None] * sizes).argmax(axis=1)
+        return pa.record_batch([pa.array(names, pa.binary()), pa.array(slots, pa.int64()), pa.array(train.astype(np.int64)), pa.array(kinds)],
+                               names=["word", "slot", "train", "kind"])
 
-        return choose
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, int, np.ndarray] | None = None  # a word may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_pylist()
+            first = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            group = np.repeat(np.arange(len(first)), np.diff([*first, len(names)]))
+            lengths = pc.binary_length(batch.column(2)).to_numpy() // 2
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16)
+            amounts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32)
+            total = np.bincount(np.repeat(group, lengths) * width + codes, weights=amounts, minlength=len(first) * width).reshape(-1, width)
+            if last and last[0] == names[0]:
+                total[0] += last[2]
+            elif last:
+                yield chosen([last[0]], [last[1]], last[2][None])
+            slots = batch.column(1).to_pylist()
+            last = names[-1], slots[-1], total[-1].copy()
+            yield chosen([names[i] for i in first[:-1]], [slots[i] for i in first[:-1]], total[:-1])
+        if last:
+            yield chosen([last[0]], [last[1]], last[2][None])
 
     counts = context_counts(training, words, classes, n_classes)
-    return materialize(map_batches(counts, "word binary, slot bigint, train bigint, kind bigint", start), "assigned")
+    return materialize(counts.mapInArrow(choose, "word binary, slot bigint, train bigint, kind bigint"), "assigned")
 
 
 def classed(rows: DataFrame, words: Lexicon, classes: np.ndarray, found: DataFrame) -> DataFrame:
@@ -424,7 +445,7 @@ def classed(rows: DataFrame, words: Lexicon, classes: np.ndarray, found: DataFra
         return run
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, kinds binary"
-    return materialize(map_batches(joined, schema, start), "classes")
+    return materialize(map_batches(joined, schema, start, HELD_BYTES), "classes")
 
 
 def _kinds(column: pa.Array) -> np.ndarray:
@@ -439,7 +460,7 @@ def fit(training: DataFrame, types: np.ndarray) -> ClassModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, HELD_BYTES):
                 kinds = _kinds(part.column(0))
                 total += np.bincount(np.append(n_classes - 1, kinds[:-1]) * n_classes + kinds, minlength=len(total))
         yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
@@ -489,7 +510,7 @@ def score(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS, known
         return run
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, steps double"
-    chain = map_batches(texts, schema, start)
+    chain = map_batches(texts, schema, start, HELD_BYTES)
     total = F.col("steps") + F.col("logs")
     norm = float(np.log10(words.tokens + words.types + 1.0))
     return chain.select(

@@ -23,11 +23,11 @@ PART_BYTES = 4 << 20
 
 
 def map_batches(
-    df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Sequence[Sequence]]]
+    df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Sequence[Sequence]]], size: int = PART_BYTES
 ) -> DataFrame:
     """Apply a function to parts of the Arrow batches; ``start`` runs once per task and returns it.
 
-    A part holds a bounded number of bytes of text, however long the batch; a longer text is a
+    A part holds at most ``size`` bytes of text, however long the batch; a longer text is a
     part of its own. The function returns one list per column of ``schema``.
     """
     fields = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T._parse_datatype_string(schema).fields])
@@ -35,7 +35,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, size):
                 columns = function(part)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
         pa.default_memory_pool().release_unused()

@@ -124,6 +124,12 @@ def test_class_model_against_plain_sums(spark):
     training = written.where("not held_out")
     classes = class_model.cluster(training, lexicon, n_classes, 2)
     found = class_model.assigned(training, lexicon, classes, n_classes)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # words go on in the next batch
+    try:
+        again = class_model.assigned(training, lexicon, classes, n_classes)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
 
     end = n_classes - 1
     unit_class = lambda w: end if w == b"" else int(classes[lexicon.unit(w)])
@@ -137,8 +143,10 @@ def test_class_model_against_plain_sums(spark):
             if word and word not in own:
                 around[word][before] += 1
                 around[word][n_classes + unit_class(line[i + 1])] += 1
-    plain = {bytes(r.word): dict(zip(r.codes, r.ns)) for r in class_model.context_counts(training, lexicon, classes, n_classes).collect()}
-    assert plain == {w: dict(c) for w, c in around.items()} and len(plain) > 20 and 0 < len(lexicon.others) < len(plain)
+    counted = defaultdict(Counter)
+    for r in class_model.context_counts(training, lexicon, classes, n_classes).collect():
+        counted[bytes(r.word)].update(dict(zip(np.frombuffer(r.codes, np.uint16).tolist(), np.frombuffer(r.ns, np.uint32).tolist())))
+    assert counted == around and len(counted) > 20 and 0 < len(lexicon.others) < len(counted)
     sizes, total = grid.sum(axis=1), grid.sum()
     steps = (grid + (sizes + 1) / (total + n_classes)) / (sizes[:, None] + 1)
     kind = {b"": end, **{w: unit_class(w) for w in own}}
