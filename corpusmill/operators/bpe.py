@@ -31,8 +31,10 @@ PAIRS_PER_ROUND = 1024
 # Merges tried ahead in one round: a few more than the last round confirmed, up to a limit.
 MERGES_AHEAD = 64
 MORE_AHEAD = 8
-# Merges that wait before the blocks are written again.
+# Merges that wait before the blocks are written again: few at first, as the first ones change most
+# words and every round takes the waiting ones again; later more, up to a limit.
 MERGES_PER_WRITE = 96
+LEAST_PER_WRITE = 8
 WORDS_PER_TASK = 10_000
 
 
@@ -320,7 +322,7 @@ def learn_merges(blocks: WrittenBlocks, vocabulary: Vocabulary, vocab_size: int,
             if counted:
                 break
             counts = None
-        if len(pending) >= MERGES_PER_WRITE:
+        if len(pending) >= min(MERGES_PER_WRITE, LEAST_PER_WRITE + len(vocabulary.merges) // 16):
             blocks.merge(pending)
             pending = []
 

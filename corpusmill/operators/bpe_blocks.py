@@ -1,9 +1,11 @@
 """Blocks of words with an inverted index from symbol pairs to the words that hold them.
 
 A block is one row: the symbols of many words as one flat array, every word closed by ``END``,
-the words' counts, and for every adjacent pair of symbols the words it occurs in. A trial of
-merges reads the words of the merged pairs from the index and leaves the others alone. A pair
-of symbols l and r is one number, ``l << 32 | r``, so numbers sort like pairs.
+the words' counts, and for every adjacent pair of symbols the words it occurs in. A merge reads
+the words of its own pair from the index, or, if an earlier merge of the run has made the pair,
+from that merge, and leaves all others alone. So a run of merges costs what it changes, not a
+pass over the block for each of them. A pair of symbols l and r is one number,
+``l << 32 | r``, so numbers sort like pairs.
 """
 
 from __future__ import annotations
@@ -55,23 +57,6 @@ def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(weights[order], first) if len(first) else weights
 
 
-def merged(symbols: np.ndarray, word: np.ndarray, merge: Merge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols and words after a merge, left to right without overlaps, and the words that it changed."""
-    l, r, new = merge
-    hit = np.flatnonzero((symbols[:-1] == l) & (symbols[1:] == r))
-    if l == r and len(hit):
-        first = np.diff(hit, prepend=-2) != 1
-        hit = hit[(hit - np.maximum.accumulate(np.where(first, hit, 0))) % 2 == 0]
-    if not len(hit):
-        return symbols, word, hit
-    changed = np.unique(word[hit])
-    symbols = symbols.copy()
-    symbols[hit] = new
-    kept = np.ones(len(symbols), bool)
-    kept[hit + 1] = False
-    return symbols[kept], word[kept], changed
-
-
 class Block:
     """One block as arrays."""
 
@@ -87,12 +72,12 @@ class Block:
         new[1:] = (codes[1:] != codes[:-1]) | (words[1:] != words[:-1])
         self.pairs, starts = np.unique(codes[new], return_index=True)
         self.words = words[new].astype(np.int32)
-        self.starts = np.append(starts, len(self.words)).astype(np.int64)
+        self.starts = np.append(starts, len(self.words)).astype(np.int32)
 
     @classmethod
-    def read(cls, row: dict[str, bytes]) -> Block:
+    def read(cls, row: dict[str, bytes | pa.Buffer]) -> Block:
         block = cls.__new__(cls)
-        kinds = {"symbols": np.int32, "counts": np.int64, "pairs": np.int64, "starts": np.int64, "words": np.int32}
+        kinds = {"symbols": np.int32, "counts": np.int64, "pairs": np.int64, "starts": np.int32, "words": np.int32}
         for name, kind in kinds.items():
             setattr(block, name, np.frombuffer(row[name], kind))
         return block
@@ -100,59 +85,120 @@ class Block:
     def row(self) -> tuple[bytes, ...]:
         return tuple(getattr(self, name).tobytes() for name in ("symbols", "counts", "pairs", "starts", "words"))
 
-    def touched(self, merges: Sequence[Merge]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and word numbers of the words that the merges can change.
-
-        A merge of a symbol that the block does not hold yet changes only words that an
-        earlier merge, the one that makes the symbol, has changed.
-        """
-        codes = np.array([pair_code(l, r) for l, r, _ in merges], np.int64)
-        at = np.searchsorted(self.pairs, codes)
-        at = at[at < len(self.pairs)]
-        at = at[np.isin(self.pairs[at], codes)]
-        chosen = np.zeros(len(self.counts), bool)
-        for i in at:
-            chosen[self.words[self.starts[i] : self.starts[i + 1]]] = True
-        word = word_numbers(self.symbols)
-        kept = chosen[word]
-        return self.symbols[kept], word[kept]
+    def found(self, code: int) -> np.ndarray:
+        """The words that held a pair when the block was written."""
+        at = int(np.searchsorted(self.pairs, code))
+        if at == len(self.pairs) or self.pairs[at] != code:
+            return self.words[:0]
+        return self.words[self.starts[at] : self.starts[at + 1]]
 
     def changes(self, pending: Sequence[Merge], steps: Sequence[Merge]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Step, pair and difference of its count, for each of the ``steps`` taken after the ``pending`` merges."""
-        symbols, word = self.touched([*pending, *steps])
+        run = Run(self, [*pending, *steps])
         for merge in pending:
-            symbols, word, _ = merged(symbols, word, merge)
+            run.take(merge)
         found = [(np.empty(0, np.int64),) * 3]
-        flags = np.zeros(len(self.counts), bool)
         for step, merge in enumerate(steps):
-            before, word_before = symbols, word
-            symbols, word, changed = merged(symbols, word, merge)
-            if not len(changed):
+            old, old_words, new, new_words = run.take(merge)
+            if not len(old):
                 continue
-            flags[changed] = True
-            old, old_words = pairs_in(*(x[flags[word_before]] for x in (before, word_before)))
-            new, new_words = pairs_in(*(x[flags[word]] for x in (symbols, word)))
-            flags[changed] = False
             weights = np.concatenate((-self.counts[old_words], self.counts[new_words]))
             codes, sums = summed(np.concatenate((old, new)), weights)
             moved = sums != 0
             found.append((np.full(int(moved.sum()), step), codes[moved], sums[moved]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def after(self, pending: Sequence[Merge]) -> Block:
-        symbols, word = self.symbols, word_numbers(self.symbols)
+    def _symbols_after(self, pending: Sequence[Merge]) -> np.ndarray:
+        run = Run(self, pending)
         for merge in pending:
-            symbols, word, _ = merged(symbols, word, merge)
-        return Block(symbols, self.counts)
+            run.take(merge)
+        return run.flat()
+
+    def after(self, pending: Sequence[Merge]) -> Block:
+        return Block(self._symbols_after(pending), self.counts)
 
     def pair_counts(self, pending: Sequence[Merge]) -> tuple[np.ndarray, np.ndarray]:
-        symbols, word = self.symbols, word_numbers(self.symbols)
-        for merge in pending:
-            symbols, word, _ = merged(symbols, word, merge)
-        codes, words = pairs_in(symbols, word)
+        symbols = self._symbols_after(pending)
+        codes, words = pairs_in(symbols, word_numbers(symbols))
         return summed(codes, self.counts[words])
 
 
+class Run:
+    """A block's words while a known run of merges is taken one after the other.
+
+    A word keeps its place in the flat array and gets shorter there. Only pairs with the symbol
+    that a merge makes can be new, so the words of those that the run still needs are noted then.
+    """
+
+    def __init__(self, block: Block, merges: Sequence[Merge]):
+        self.block = block
+        self.symbols = block.symbols.copy()
+        ends = np.flatnonzero(self.symbols == END)
+        self.begin = np.append(0, ends[:-1] + 1)[: len(ends)]
+        self.size = ends - self.begin
+        self.needed: dict[int, set[int]] = {}
+        for l, r, _ in merges:
+            for symbol in (l, r):
+                self.needed.setdefault(symbol, set()).add(pair_code(l, r))
+        self.noted: dict[int, list[np.ndarray]] = {}
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words' symbols, word after word, and which of the words each belongs to."""
+        sizes = self.size[words]
+        ends = np.cumsum(sizes)
+        which = np.repeat(np.arange(len(words)), sizes)
+        return np.arange(len(which)) + (self.begin[words] - ends + sizes)[which], which
+
+    def take(self, merge: Merge) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merge left to right without overlaps. Pairs and words of the changed words, before and after."""
+        l, r, made = merge
+        code = pair_code(l, r)
+        words = self.block.found(code)
+        if code in self.noted:
+            words = np.unique(np.concatenate([words, *self.noted[code]]))
+        place, which = self.places(words)
+        symbols = self.symbols[place]
+        hit = np.flatnonzero((symbols[:-1] == l) & (symbols[1:] == r) & (which[:-1] == which[1:]))
+        if not len(hit):
+            return (np.empty(0, np.int64),) * 4
+        changed = np.zeros(len(words), bool)
+        changed[which[hit]] = True
+        if not changed.all():
+            words = words[changed]
+            kept = changed[which]
+            where = np.cumsum(kept) - 1
+            hit, symbols, place = where[hit], symbols[kept], place[kept]
+            which = np.repeat(np.arange(len(words)), self.size[words])
+        if l == r:
+            first = np.diff(hit, prepend=-2) != 1
+            hit = hit[(hit - np.maximum.accumulate(np.where(first, hit, 0))) % 2 == 0]
+        old, old_words = self._pairs(symbols, which, words)
+        symbols[hit] = made
+        kept = np.ones(len(symbols), bool)
+        kept[hit + 1] = False
+        self.size[words] -= np.bincount(which[hit], minlength=len(words))
+        symbols, which = symbols[kept], which[kept]
+        self.symbols[self.places(words)[0]] = symbols
+        new, new_words = self._pairs(symbols, which, words)
+        for code in self.needed.get(made, ()):
+            at = new_words[new == code]
+            if len(at):
+                self.noted.setdefault(code, []).append(at)
+        return old, old_words, new, new_words
+
+    @staticmethod
+    def _pairs(symbols: np.ndarray, which: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(which[:-1] == which[1:])
+        return symbols[at].astype(np.int64) << 32 | symbols[at + 1], words[which[at]]
+
+    def flat(self) -> np.ndarray:
+        """The symbols as they are now, every word closed by ``END``."""
+        place, which = self.places(np.arange(len(self.size)))
+        out = np.full(len(place) + len(self.size), END, np.int32)
+        out[np.arange(len(place)) + which] = self.symbols[place]
+        return out
+
+
 def make_blocks(words: DataFrame, partitions: int) -> DataFrame:
     """Blocks of the words of ``words (word, n)`` that hold a pair."""
     names = [part.split()[0] for part in BLOCK_SCHEMA.split(", ")]
@@ -188,8 +234,8 @@ def map_blocks(blocks: DataFrame, schema: str, function: Callable[[Block], tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                columns = function(Block.read(row))
+            for i in range(batch.num_rows):
+                columns = function(Block.read({name: batch.column(name)[i].as_buffer() for name in batch.schema.names}))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
     return blocks.mapInArrow(run, schema)

@@ -146,6 +146,18 @@ def test_changes_of_a_trial_equal_a_recount(letters):
     assert counts.count == {(l << 32) | r: c for (l, r), c in _pairs(words, state).items() if c}
 
 
+def test_a_run_of_merges_reads_only_the_words_of_their_pairs(monkeypatch):
+    read = []
+    pairs_of = bpe_blocks.Run.places
+    monkeypatch.setattr(bpe_blocks.Run, "places", lambda run, words: (read.append(len(words)), pairs_of(run, words))[1])
+    words = [f"{chr(0x4E00 + i)}{chr(0x4E01 + i)}{chr(0x4E02 + i)}" for i in range(0, 3000, 3)]
+    block = Block(flat_symbols(words), np.ones(len(words), np.int64))
+    steps = [m for i in range(50) for m in ((ord(words[i][0]), ord(words[i][1]), 1 << 21 | i), (1 << 21 | i, ord(words[i][2]), 1 << 22 | i))]
+    step, _, difference = block.changes(steps[:40], steps[40:])
+    assert len(np.unique(step)) == 60 and difference.min() == -1
+    assert sum(read) <= 4 * len(steps)
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdé😀"])
 def test_training_equals_the_library(spark, letters):
     text = _random_text(random.Random(7), letters)
