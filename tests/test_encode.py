@@ -1,8 +1,10 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_bpe import library_tokenizer
 
 from corpusmill.functions.text import pretokenize
+from corpusmill.operators import encode as encode_module
 from corpusmill.operators.bpe import train_bpe
 from corpusmill.operators.encode import (
     decode, encode, encode_by_dictionary, exact_quantile, length_stats, token_usage,
@@ -61,6 +63,26 @@ def test_encode_by_dictionary_equals_the_row_local_form(docs, edges, tokenizer):
     assert _by_id(joined, "input_ids") == _by_id(encode(both, tokenizer), "input_ids")
 
 
+def test_a_word_is_joined_once_per_part_and_parts_may_be_small(spark, docs, edges, tokenizer, monkeypatch):
+    both = docs.limit(40).unionByName(edges.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    words = word_counts(docs.limit(20))
+    expected = [ids or [] for ids in _by_id(encode(both, tokenizer), "input_ids")]
+    assert _by_id(encode_by_dictionary(both, words, tokenizer), "input_ids") == expected
+    coded = encode_module._coded(both.select("doc_id", pretokenize("text", keep_specials=True).alias("words")).coalesce(1), "doc_id")
+    assert coded.count() == 1 and all(len(r.words) == len(set(r.words)) for r in coded.collect())
+    monkeypatch.setattr(encode_module, "PART_WORDS", 50)
+    parts = list(encode_module._parts(pa.array([["a"] * n for n in (20, 30, 1, 80, 0, 50)] + [None])))
+    assert parts == [(0, 2), (2, 1), (3, 1), (4, 3)]
+    assert list(encode_module._parts(pa.array([], pa.list_(pa.string())))) == [(0, 0)]
+
+
+def test_rows_with_one_key_are_encoded_as_one(spark, tokenizer):
+    rows = spark.createDataFrame([(1, "b c a"), (1, "a d"), (None, "x"), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: r.input_ids for r in encode_by_dictionary(rows, word_counts(rows), tokenizer).collect()}
+    a, b, c, d, x = (tokenizer.vocab.index(ch) for ch in "abcdx")
+    assert found == {1: [a, b, c, d, a], None: [x], 2: []}
+
+
 def test_decode_equals_the_library(docs, library, tokenizer):
     encoded = materialize(fixed_length(encode(docs, tokenizer), 300))
     decoded = encoded.withColumn("decoded", decode("input_ids", tokenizer))
