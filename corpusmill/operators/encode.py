@@ -92,12 +92,12 @@ def piece_encoder(tokenizer: Tokenizer) -> Callable[[Column], Column]:
             return _rows_of(part, ids, ends)
 
         for batch in batches:
-            yield pa.concat_arrays([encoded(batch.slice(start, size)) for start, size in _parts(batch)])
+            yield pa.concat_arrays([encoded(batch.slice(start, size)) for start, size in list_parts(batch)])
 
     return encode_pieces
 
 
-def _parts(lists: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
+def list_parts(lists: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
     """Start and number of the rows of each part: rows in order with ``size`` entries at most, or a single row."""
     ends, start = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while True:
@@ -196,7 +196,7 @@ def _coded(rows: DataFrame, key: str) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for start, size in _parts(batch.column(1)) if batch.num_rows else ():
+            for start, size in list_parts(batch.column(1)) if batch.num_rows else ():
                 words = batch.column(1).slice(start, size)
                 coded = words.flatten().dictionary_encode()
                 lists = [batch.column(0).slice(start, size), words.value_lengths().fill_null(0), coded.dictionary]

@@ -18,6 +18,7 @@ from corpusmill.constants import BATCH_SIZE, BLOCK_SIZE, MAX_NEW_TOKENS, SEED, T
 from corpusmill.functions.arrays import crop_last
 from corpusmill.functions.hashing import hash_key
 from corpusmill.operators.candidates import softmax, top_k_ties
+from corpusmill.operators.encode import list_parts
 from corpusmill.operators.metrics import macro_loss
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.sampling import batches
@@ -32,6 +33,8 @@ WEIGHT_BITS = 30
 # Candidates, and places that hold them, that travel to every task of a continuation.
 HEAD_CANDIDATES = 500_000
 HEAD_PLACES = 200_000
+# Pairs that are combined together, which bounds a task's memory however long its batches are.
+PART_PAIRS = 1 << 18
 
 
 def next_pairs(df: DataFrame, keep: list[str], tokens: str = "tokens", outer: bool = False) -> DataFrame:
@@ -64,24 +67,29 @@ def row_pairs(df: DataFrame, key: str, inputs: Column, targets: Column) -> DataF
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, words, left, right = _coded_pairs(batch.column(1), batch.column(2))
-            order = np.lexsort((right, left, row))
-            row, left, right = row[order], left[order], right[order]
-            first = np.ones(len(row), bool)
-            first[1:] = (row[1:] != row[:-1]) | (left[1:] != left[:-1])
-            pair = first.copy()
-            pair[1:] |= right[1:] != right[:-1]
-            pair, whole = np.flatnonzero(pair), np.flatnonzero(first)
-            none = np.setdiff1d(np.arange(batch.num_rows), row)
-            at, zeros = np.concatenate([pair, whole]), np.zeros(len(none), np.int64)
-            m = [np.diff(np.append(starts, len(row))) for starts in (pair, whole)]
-            missing = np.arange(len(at) + len(none)) >= len(at)
-            yield pa.record_batch([
-                batch.column(0).take(pa.array(np.concatenate([row[at], none]))),
-                words.take(pa.array(np.concatenate([left[at], zeros]), mask=missing)),
-                words.take(pa.array(np.concatenate([right[pair], left[whole], zeros]), mask=missing)),
-                pa.array(np.arange(len(missing)) >= len(pair)), pa.array(np.concatenate([*m, zeros]), pa.int64()),
-            ], names=schema.names)
+            for start, size in list_parts(batch.column(1), PART_PAIRS):
+                yield combined(batch.slice(start, size))
+
+    def combined(part: pa.RecordBatch) -> pa.RecordBatch:
+        row, words, left, right = _coded_pairs(part.column(1), part.column(2))
+        # One number per pair sorts like row, left and right; it is below part rows * (2 * pairs) ** 2.
+        d = max(1, len(words))
+        code = np.sort((row * d + left) * d + right)
+        row_left, right = code // d, code % d
+        row, left = row_left // d, row_left % d
+        first, pair = np.ones(len(code), bool), np.ones(len(code), bool)
+        first[1:], pair[1:] = row_left[1:] != row_left[:-1], code[1:] != code[:-1]
+        pair, whole = np.flatnonzero(pair), np.flatnonzero(first)
+        none = np.setdiff1d(np.arange(part.num_rows), row[whole])
+        at, zeros = np.concatenate([pair, whole]), np.zeros(len(none), np.int64)
+        m = [np.diff(np.append(starts, len(row))) for starts in (pair, whole)]
+        missing = np.arange(len(at) + len(none)) >= len(at)
+        return pa.record_batch([
+            part.column(0).take(pa.array(np.concatenate([row[at], none]))),
+            words.take(pa.array(np.concatenate([left[at], zeros]), mask=missing)),
+            words.take(pa.array(np.concatenate([right[pair], left[whole], zeros]), mask=missing)),
+            pa.array(np.arange(len(missing)) >= len(pair)), pa.array(np.concatenate([*m, zeros]), pa.int64()),
+        ], names=schema.names)
 
     return rows.mapInArrow(combine, schema)
 

@@ -194,6 +194,25 @@ def test_loss_of_fixed_rows(spark, include_pad, broadcasting):
     assert report.n_pairs == sum(map(len, batches))
 
 
+def test_pairs_are_combined_in_bounded_parts(spark, monkeypatch):
+    rows = [(i, [i % 3, 1, 2, 1, 2][: i % 6], [1, 2, 1, 2, i % 3][: i % 6]) for i in range(40)] + [(40, None, None), (41, [7] * 9, [7] * 9)]
+    table = spark.createDataFrame(rows, "doc_id long, inputs array<int>, targets array<int>").coalesce(1)
+    places, found = (F.col("inputs"), F.col("targets")), []
+    coded = ngram._coded_pairs
+
+    def bounded(inputs, targets):
+        assert len(inputs) == 1 or len(inputs.flatten()) <= most
+        return coded(inputs, targets)
+
+    monkeypatch.setattr(ngram, "_coded_pairs", bounded)
+    for most in (8, 1000):
+        monkeypatch.setattr(ngram, "PART_PAIRS", most)
+        found.append(Counter(map(tuple, ngram.row_pairs(table, "doc_id", *places).collect())))
+    expected = Counter((i, a, b) for i, left, right in rows for a, b in zip(left or [], right or []))
+    assert found[0] == found[1]
+    assert {(i, a, b): m for i, a, b, whole, m in found[0] if not whole} == expected
+
+
 def test_pairs_are_moved_once(spark, docs, broadcasting, request):
     scored = doc_cross_entropy(docs, bigrams(docs), 4)
     plan = scored._jdf.queryExecution().executedPlan().toString()

@@ -71,9 +71,9 @@ def test_a_word_is_joined_once_per_part_and_parts_may_be_small(spark, docs, edge
     coded = encode_module._coded(both.select("doc_id", pretokenize("text", keep_specials=True).alias("words")).coalesce(1), "doc_id")
     assert coded.count() == 1 and all(len(r.words) == len(set(r.words)) for r in coded.collect())
     monkeypatch.setattr(encode_module, "PART_WORDS", 50)
-    parts = list(encode_module._parts(pa.array([["a"] * n for n in (20, 30, 1, 80, 0, 50)] + [None])))
+    parts = list(encode_module.list_parts(pa.array([["a"] * n for n in (20, 30, 1, 80, 0, 50)] + [None])))
     assert parts == [(0, 2), (2, 1), (3, 1), (4, 3)]
-    assert list(encode_module._parts(pa.array([], pa.list_(pa.string())))) == [(0, 0)]
+    assert list(encode_module.list_parts(pa.array([], pa.list_(pa.string())))) == [(0, 0)]
 
 
 def test_rows_with_one_key_are_encoded_as_one(spark, tokenizer):
