@@ -28,6 +28,8 @@ LITERAL_ENTRIES = 1 << 18
 # Bytes of expert vectors that travel to every task in one round of block routing, and experts of a block.
 EXPERT_BYTES = 64 << 20
 BLOCK_EXPERTS = 2048
+# Rows scored together, which bounds a task's memory however long its batches are.
+BLOCK_ROWS = 1024
 ROUTE = T.StructType([T.StructField("expert_id", T.LongType()), T.StructField("logit", T.DoubleType())])
 # Labels whose sums a task holds, and groups in which the tasks' sums are merged first.
 LABELS_HELD = 4096
@@ -228,7 +230,7 @@ def block_routes(
 
 def _block_scorer(blocks, k: int, dim: int, vector: str, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, BLOCK_ROWS) for b in batches for start in range(0, max(1, b.num_rows), BLOCK_ROWS)):
             names, fields = batch.schema.names, batch.schema
             vectors, routes = batch.column(names.index(vector)), batch.column(names.index(out)).to_pylist()
             usable = [i for i, v in enumerate(vectors.to_pylist()) if v is not None and len(v) == dim and None not in v]

@@ -121,6 +121,21 @@ def test_block_routes_equal_numpy(spark, round_bytes, monkeypatch):
     assert none.where("size(routes) > 0").count() == 0 and none.count() == 94
 
 
+def test_rows_are_scored_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(r, "BLOCK_ROWS", 8)
+    scored = r.best_of_blocks
+
+    def bounded(x, *rest):
+        assert len(x) <= 8
+        return scored(x, *rest)
+
+    monkeypatch.setattr(r, "best_of_blocks", bounded)
+    experts = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "expert_id int, weights array<double>")
+    table = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "vec_id long, embedding array<double>").coalesce(1)
+    found = r.block_routes(table, experts, 2).collect()
+    assert len(found) == 20 and all([g.expert_id for g in row.routes] == [4, 3] for row in found)
+
+
 def test_short_experts_are_left_out():
     """Once the bound proves it, no product is made with the blocks to come."""
     class Counted(np.ndarray):
