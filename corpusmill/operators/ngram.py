@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,7 +23,7 @@ from corpusmill.operators.metrics import macro_loss
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.sampling import batches
 from corpusmill.operators.skew import fits_broadcast, keyed_join
-from corpusmill.session import materialize, write_table
+from corpusmill.session import WrittenTable, materialize, write_table
 
 # Draws are whole numbers below 2 ** GRID_BITS. For the join a context's grid is cut into equal
 # cells, a power of two, one for every PER_CELL candidates.
@@ -192,72 +192,95 @@ def next_candidates(counts: DataFrame, k: int = TOP_K, temperature: float = TEMP
 def draw_cells(candidates: DataFrame) -> DataFrame:
     """``(ctx, cell, shift, nxt, lo, hi)``: the part of the drawing grid that belongs to a candidate.
 
-    Probabilities become whole weights, so running sums are exact and leave no gaps. They
-    run inside hash groups of a context's candidates, shifted by the groups in front, so a
-    context with very many candidates is split. Each interval is repeated per cell it
-    touches: a draw then meets its candidate by equality of context and cell. ``shift`` is the
-    number of bits in a cell; most contexts have few candidates and a single cell.
+    Probabilities become whole weights, so running sums are exact and leave no gaps. Each
+    interval is repeated per cell it touches: a draw then meets its candidate by equality of
+    context and cell. ``shift`` is the number of bits in a cell; most contexts have few
+    candidates and a single cell.
 
     A weight is at least 1, so an interval is empty only if a context's weights pass the grid,
     which takes more than three billion candidates; such an interval cannot be drawn.
     """
+    parts = _cell_parts(candidates, several_cells(candidates).df)
+    return reduce(DataFrame.unionByName, parts).select("ctx", "cell", "shift", "nxt", "lo", "hi")
+
+
+def several_cells(candidates: DataFrame) -> WrittenTable:
+    """``(ctx, shift)`` of the contexts with more than ``PER_CELL`` candidates; the grid of all others is one cell."""
+    sizes = candidates.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_CELL)
+    return write_table(sizes.select("ctx", (F.lit(GRID_BITS) - F.ceil(F.log2(F.col("n") / PER_CELL))).cast("int").alias("shift")), "several")
+
+
+def _cell_parts(candidates: DataFrame, several: DataFrame) -> list[DataFrame]:
+    """The rows of :func:`draw_cells`, with ``c``: of contexts with a single cell, in tasks of whole contexts, and of the others.
+
+    Running sums of the others run inside hash groups of a context's candidates, shifted by the
+    groups in front, so a context with very many candidates is split.
+    """
     weighted = candidates.select(
         "ctx",
         "nxt",
+        "c",
         F.substring(F.md5(F.col("nxt").cast("string")), 1, 2).alias("part"),
         F.greatest(F.lit(1), F.round(F.col("p") * F.lit(float(1 << WEIGHT_BITS))).cast("bigint")).alias("w"),
     )
-    parts = weighted.groupBy("ctx", "part").agg(F.sum("w").alias("_w"), F.count(F.lit(1)).alias("_n"))
     context = Window.partitionBy("ctx")
+    up_to = Window.unboundedPreceding, 0
+    one = weighted.join(several, weighted["ctx"].eqNullSafe(several["ctx"]), "left_anti")
+    one = one.withColumn("end", F.sum("w").over(context.orderBy("part", "nxt").rowsBetween(*up_to)))
+    one = one.withColumn("total", F.sum("w").over(context)).withColumn("shift", F.lit(GRID_BITS))
+    one = _bounds(one).withColumn("cell", F.lit(0).cast("bigint"))
+
+    wide = weighted.join(several, "ctx")
+    parts = wide.groupBy("ctx", "part").agg(F.sum("w").alias("_w"))
     earlier = context.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
         "ctx",
         "part",
         F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("before"),
         F.sum("_w").over(context).alias("total"),
-        (F.lit(GRID_BITS) - F.ceil(F.log2(F.greatest(F.lit(1.0), F.sum("_n").over(context) / PER_CELL)))).cast("int").alias("shift"),
-    )
-    in_part = Window.partitionBy("ctx", "part").orderBy("nxt").rowsBetween(Window.unboundedPreceding, 0)
-    placed = weighted.withColumn("end", F.sum("w").over(in_part)).join(parts, ["ctx", "part"])
-    # Whole-number scaling; the product may need more than 64 bits.
-    scaled = f"cast(({{}}) as decimal(20,0)) * {1 << GRID_BITS} div total"
-    bounds = placed.select(
-        "ctx",
-        "shift",
-        "nxt",
-        F.expr(scaled.format("before + end - w")).alias("lo"),
-        F.expr(scaled.format("before + end")).alias("hi"),
     )
+    in_part = F.sum("w").over(Window.partitionBy("ctx", "part").orderBy("nxt").rowsBetween(*up_to))
+    wide = wide.withColumn("_end", in_part).join(parts, ["ctx", "part"]).withColumn("end", F.col("before") + F.col("_end"))
     cells = F.expr("sequence(shiftright(lo, shift), shiftright(hi - 1, shift))")
-    kept = bounds.where(F.col("hi") > F.col("lo"))
-    return kept.select("ctx", F.explode(cells).alias("cell"), "shift", "nxt", "lo", "hi")
+    return [one, _bounds(wide).withColumn("cell", F.explode(cells))]
+
+
+def _bounds(ends: DataFrame) -> DataFrame:
+    """``(ctx, nxt, c, shift, lo, hi)``: running sums scaled to the grid in whole numbers, without empty intervals."""
+    # The product needs more than 64 bits only for totals from 2 ** (63 - GRID_BITS).
+    scaled = (f"case when total < {1 << 63 - GRID_BITS} then shiftleft({{0}}, {GRID_BITS}) div total "
+              f"else cast(({{0}}) as decimal(20,0)) * {1 << GRID_BITS} div total end")
+    bounds = ends.select("ctx", "nxt", "c", "shift", F.expr(scaled.format("end - w")).alias("lo"), F.expr(scaled.format("end")).alias("hi"))
+    return bounds.where((F.col("hi") > F.col("lo")) & F.col("nxt").isNotNull())
 
 
 class Walker:
     """Draws from the candidates of some places, a place being a cell of a context's grid."""
 
-    def __init__(self, rows: Iterable[dict], seed: int):
-        """``rows``: ``ctx, cell`` and the lists ``his, nxts, shifts`` of the place's candidates in order."""
-        self.places = {(row["ctx"], row["cell"]): row for row in rows}
-        self.seed = seed
+    def __init__(self, places: dict, shifts: dict, seed: int):
+        """``places``: by context and cell, the upper bounds and tokens of the place's candidates in order; ``shifts``: by context."""
+        self.places, self.shifts, self.seed = places, shifts, seed
 
-    def walk(self, state: dict, steps: int, at: dict | None = None) -> dict:
-        """Go on from ``state`` until all steps are done, no candidate is left or the place is not known here.
+    def walk(self, state: dict, steps: int, at: tuple[list, list] | None = None) -> dict:
+        """Go on from ``state`` until all steps are done or the place is not known here.
 
         ``at`` holds the candidates of the place the state stands at.
         """
-        while state["step"] < steps and state["shift"] is not None:
-            parts = [str(self.seed), str(state["step"]), *([] if state["name"] is None else [state["name"]])]
-            draw = int(hashlib.md5(":".join(parts).encode()).hexdigest()[:8], 16)
-            place = at or self.places.get((state["ctx"], draw >> state["shift"]))
+        step, token, generated = state["step"], state["ctx"], list(state["generated"])
+        name = [] if state["name"] is None else [state["name"]]
+        while step < steps:
+            place = at
+            if place is None and token not in self.shifts:
+                break
+            draw = int(hashlib.md5(":".join([str(self.seed), str(step), *name]).encode()).hexdigest()[:8], 16)
+            place = place or self.places.get((token, draw >> self.shifts[token]))
             if place is None:
                 break
             at = None
-            i = bisect.bisect_right(place["his"], draw)
-            token = place["nxts"][i]
-            state = {**state, "step": state["step"] + 1, "ctx": token, "shift": place["shifts"][i],
-                     "generated": [*state["generated"], token]}
-        return state
+            token = place[1][bisect.bisect_right(place[0], draw)]
+            generated.append(token)
+            step += 1
+        return {**state, "step": step, "ctx": token, "generated": generated}
 
 
 def continue_batch(
@@ -275,66 +298,69 @@ def continue_batch(
     candidate stops. The candidates of a place are one row. Walks mostly visit frequent
     contexts, so the rows of the most frequent ones, up to ``HEAD_CANDIDATES`` candidates, travel to
     every task, and a task walks a prompt as long as it stays among them. Only a prompt that
-    leaves them moves, to the row of the place it stands at, and walks on from there. The
-    prompts themselves are joined once at the end.
+    leaves them moves, to the row of the place it stands at, and walks on from there; if there is
+    none, it has ended. The prompts themselves are joined once at the end.
     """
     spark = prompts.sparkSession
-    cells = materialize(draw_cells(materialize(candidates, "candidates")), "cells")
-    shifts = write_table(cells.groupBy("ctx").agg(F.first("shift").alias("shift")), "shifts")
-    known = F.broadcast(shifts.df) if fits_broadcast(shifts) else shifts.df
-    following = known.select(F.col("ctx").alias("nxt"), F.col("shift").alias("nxt_shift"))
-    entry = F.struct("hi", "nxt", F.col("nxt_shift").alias("shift"))
-    rows = cells.join(following, "nxt", "left").groupBy("ctx", "cell").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    weights = candidates.groupBy("ctx").agg(F.sum("c").alias("weight"))
-    rows = rows.select("ctx", "cell", F.col("_entries.hi").alias("his"), F.col("_entries.nxt").alias("nxts"),
-                       F.col("_entries.shift").alias("shifts")).join(weights, "ctx")
-    places = materialize(rows, "places")
-    head = spark.sparkContext.broadcast(Walker(_head(places), seed))
+    candidates = materialize(candidates, "candidates")
+    several = several_cells(candidates)
+    entries = F.sort_array(F.collect_list(F.struct("hi", "nxt"))).alias("_entries")
+    rows = [part.where("ctx is not null").groupBy("ctx", "cell").agg(entries, F.first("shift").alias("shift"),
+                                                                      F.coalesce(F.sum("c"), F.lit(0)).alias("weight"))
+            for part in _cell_parts(candidates, several.df)]
+    rows = reduce(DataFrame.unionByName, rows)
+    places = materialize(rows.select("ctx", "cell", "shift", "weight", F.col("_entries.hi").alias("his"), F.col("_entries.nxt").alias("nxts")),
+                         "places")
+    head, tail = _head(places)
+    # Only plain data is broadcast: it is loaded where this package need not be installed.
+    known = spark.sparkContext.broadcast((
+        {(row["ctx"], row["cell"]): (row["his"], row["nxts"]) for row in head}, {row["ctx"]: row["shift"] for row in head}))
 
     kind = candidates.schema["nxt"].dataType
     state = prompts.where(F.size(tokens) > 0).select(
-        key, F.col(key).cast("string").alias("name"), F.element_at(tokens, -1).alias("ctx"), F.lit(0).alias("step"),
-        F.slice(tokens, 1, 0).alias("generated"),
-    ).join(known, "ctx", "left").select(key, "name", "ctx", "shift", "step", "generated")
+        F.monotonically_increasing_id().alias("walk"), key, F.col(key).cast("string").alias("name"), F.element_at(tokens, -1).alias("ctx"),
+        F.lit(0).alias("step"), F.slice(tokens, 1, 0).alias("generated"))
     schema = T.StructType([
-        T.StructField(key, prompts.schema[key].dataType), T.StructField("name", T.StringType()), T.StructField("ctx", kind),
-        T.StructField("shift", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("generated", T.ArrayType(kind))])
+        T.StructField("walk", T.LongType()), T.StructField(key, prompts.schema[key].dataType), T.StructField("name", T.StringType()),
+        T.StructField("ctx", kind), T.StructField("step", T.IntegerType()), T.StructField("generated", T.ArrayType(kind))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walker = Walker(*known.value, seed)
         for batch in batches:
             walked = []
             for row in batch.to_pylist():
-                at = {name: row.pop(name) for name in ("his", "nxts", "shifts") if name in row}
-                walked.append(head.value.walk(row, steps, at or None))
+                at = (row.pop("his"), row.pop("nxts")) if "his" in row else None
+                walked.append(walker.walk(row, steps, at))
             yield pa.RecordBatch.from_pylist(walked, to_arrow_schema(schema))
 
-    moving, parts = materialize(state.mapInArrow(walk, schema), "walked"), []
+    moving = materialize(state.mapInArrow(walk, schema), "walked")
+    walked = [moving]
+    shifts = F.broadcast(several.df) if fits_broadcast(several) else several.df
     draw = F.conv(F.substring(hash_key(seed, F.col("step"), F.col("name")), 1, 8), 16, 10).cast("bigint")
-    while True:
-        under_way = (F.col("step") < steps) & F.col("shift").isNotNull()
-        parts.append(moving.where(~under_way))
-        left = moving.where(under_way)
-        if left.isEmpty():
-            break
-        left = left.withColumn("cell", draw).withColumn("cell", F.expr("shiftright(cell, shift)"))
-        standing = left.join(places.drop("weight"), ["ctx", "cell"]).select(*schema.names, "his", "nxts", "shifts")
+    while tail is not None:
+        left = moving.where(F.col("step") < steps).join(shifts, "ctx", "left").withColumn("draw", draw)
+        left = left.withColumn("cell", F.expr(f"shiftright(draw, coalesce(shift, {GRID_BITS}))")).select(*schema.names, "cell")
+        standing = left.join(tail, ["ctx", "cell"]).select(*schema.names, "his", "nxts")
         moving = materialize(standing.mapInArrow(walk, schema), "walked")
-    done = reduce(DataFrame.unionByName, parts).select(key, "generated")
+        if moving.isEmpty():
+            break
+        walked.append(moving)
+    # A prompt's last row has the most steps.
+    done = reduce(DataFrame.unionByName, walked).groupBy("walk").agg(F.max_by(F.struct(key, "generated"), "step").alias("last")).select("last.*")
     result = prompts.join(done, key, "left").withColumn("generated", F.coalesce("generated", F.slice(tokens, 1, 0)))
     return result.withColumn("context", crop_last(F.concat(F.col(tokens), F.col("generated")), n))
 
 
-def _head(places: DataFrame) -> list[dict]:
-    """Rows of the most frequent contexts with at most ``HEAD_CANDIDATES`` candidates in all."""
-    sizes = places.select("weight", F.size("his").alias("size")).orderBy(F.desc("weight")).limit(HEAD_PLACES).collect()
+def _head(places: DataFrame) -> tuple[list[dict], DataFrame | None]:
+    """Rows of the most frequent places with at most ``HEAD_CANDIDATES`` candidates in all; the table of the other places, if any."""
+    sizes = places.select("weight", F.size("his").alias("size")).orderBy(F.desc("weight")).limit(HEAD_PLACES + 1).collect()
     room, border = HEAD_CANDIDATES, None
-    for row in sizes:
+    for place, row in enumerate(sizes):
         room -= row["size"]
-        if room < 0:
+        if room < 0 or place == HEAD_PLACES:
             border = row.weight
             break
-    if border is None and len(sizes) == HEAD_PLACES:
-        border = sizes[-1].weight
-    # Contexts as frequent as the first one without room stay behind with it.
+    # Places as frequent as the first one without room stay behind with it.
     chosen = places if border is None else places.where(F.col("weight") > border)
-    return chosen.drop("weight").toArrow().to_pylist()
+    tail = None if border is None else places.where(F.col("weight") <= border).select("ctx", "cell", "his", "nxts")
+    return chosen.select("ctx", "cell", "shift", "his", "nxts").toArrow().to_pylist(), tail

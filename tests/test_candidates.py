@@ -1,4 +1,6 @@
+import hashlib
 import math
+import pickle
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,7 +12,7 @@ from corpusmill.operators.ngram import (
     bigrams, continue_batch, doc_cross_entropy, draw_cells, evaluate, next_candidates,
 )
 from corpusmill.operators.skew import keyed_join
-from corpusmill.session import write_table
+from corpusmill.session import materialize, write_table
 
 ROWS = [("a", f"c{i}", float(v)) for i, v in enumerate([3, 2, 2, 1])] + [("b", "x", -800.0), ("b", "y", -801.0), ("c", "z", 900.0)]
 
@@ -229,3 +231,32 @@ def test_softmax_of_masked_and_odd_logits(spark, broadcasting):
     assert [got["m", i] for i in (1, 2, 3)] == [0.5, 0.0, 0.5]
     assert all(math.isnan(got[key]) for key in (("all", 1), ("nan", 1), ("nan", 2), ("inf", 1)))
     assert got["none", 1] is None and got["none", 2] == 1.0
+
+
+@pytest.mark.parametrize("per_cell", [256, 2])
+def test_intervals_are_scaled_in_whole_numbers(spark, monkeypatch, per_cell):
+    """Totals below and above the border from which a product needs more than 64 bits."""
+    monkeypatch.setattr(ngram, "PER_CELL", per_cell)
+    weights = {"small": [0.5, 0.3, 0.2], "large": [1.0, 3.0, 7.0, 0.1], "one": [1.0]}
+    rows = [(ctx, f"{ctx}{i}", 1, p) for ctx, ps in weights.items() for i, p in enumerate(ps)]
+    got = {(r.ctx, r.nxt): (r.lo, r.hi) for r in draw_cells(spark.createDataFrame(rows, "ctx string, nxt string, c long, p double")).collect()}
+    for ctx, ps in weights.items():
+        total, end = sum(round(p * 2 ** 30) for p in ps), 0
+        for _, nxt, p in sorted((hashlib.md5(f"{ctx}{i}".encode()).hexdigest()[:2], f"{ctx}{i}", p) for i, p in enumerate(ps)):
+            start, end = end, end + round(p * 2 ** 30)
+            assert got[ctx, nxt] == ((start << 32) // total, (end << 32) // total)
+
+
+def test_places_of_one_cell_take_one_shuffle(docs):
+    candidates = materialize(next_candidates(bigrams(docs)))
+    one, _ = ngram._cell_parts(candidates, ngram.several_cells(candidates).df)
+    plan = one.groupBy("ctx", "cell").agg(F.collect_list("nxt"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_travelling_candidates_need_no_package_on_the_executors(spark, docs, monkeypatch):
+    sent, kept = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or kept(self, value))
+    prompts = spark.createDataFrame([(1, ["a"])], "conv_id long, tokens array<string>")
+    assert continue_batch(prompts, next_candidates(bigrams(docs)), 3).count() == 1
+    assert sent and not any(b"corpusmill" in data for data in sent)
