@@ -26,12 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import map_batches, per_worker, running_total, with_row_id
+from corpusmill.operators.encode import laid_out
 from corpusmill.session import materialize
 
 LENGTH = 2048
@@ -77,7 +79,7 @@ class ChunkEncoder:
     def _model_ids(self, word: str) -> list[int]:
         return [token.id for token in self.model.tokenize(word.translate(self.spelled))]
 
-    def _look_up(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+    def _look_up(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Remember the short chunks' ids; give back those of the long ones.
 
         When the memory is half full it becomes the older half, from which chunks that occur again return.
@@ -113,25 +115,33 @@ class ChunkEncoder:
         yield from self._group(group)
 
     def _group(self, raws: list[bytes]) -> Iterator[np.ndarray]:
-        split = [self._chunks(raw) for raw in raws]
-        long = self._look_up(set().union(*split))
-        known, end = self.known, array("I", [END_ID]).tobytes()
-        for chunks in split:
-            ids = [long[c] if c in long else known[c] for c in chunks] if long else map(known.__getitem__, chunks)
-            yield np.frombuffer(b"".join(ids) + end, np.uint32)
-
-    def _chunks(self, raw: bytes) -> list[bytes]:
-        """Texts that are encoded on their own, with as few different ones as is safe.
+        """Ids of each text: Arrow cuts and numbers the chunks, so that Python looks at every different one only once."""
+        chunks = pc.ascii_split_whitespace(pa.array([self._cleaned(raw) for raw in raws], pa.string()))
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        long = self._look_up(names)
+        pieces = [long[c] if c in long else self.known[c] for c in names] if long else [self.known[c] for c in names]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        ids, ends = laid_out(coded.indices.to_numpy(zero_copy_only=False), sizes, np.frombuffer(b"".join(pieces), np.uint32))
+        borders = ends[np.append(0, np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False)))].tolist()
+        end = np.array([END_ID], np.uint32)
+        for start, stop in zip(borders, borders[1:]):
+            yield np.concatenate((ids[start:stop], end))
+
+    def _cleaned(self, raw: bytes) -> bytes:
+        """The text with white space where it may be cut, so that as few chunks differ as is safe.
 
         The tokenizer ignores case and parts letters and digits from the marks behind them. A
         text that may hold a special token, which is looked for first, is only cut at white space.
         Marks are composed before case is ignored, so a chunk with one behind a capital stays as it is.
         """
         if b"<|" in raw:
-            return raw.split()
+            return raw
+        cut = CLOSING.sub(rb" \1", raw)
+        low = cut.lower()
         if raw.isascii() or not COMPOSED.search(raw):
-            return CLOSING.sub(rb" \1", raw.lower()).split()
-        return [c if COMPOSED.search(c) else c.lower() for c in CLOSING.sub(rb" \1", raw).split()]
+            return low
+        return b" ".join([l if c == l or not COMPOSED.search(c) else c for c, l in zip(cut.split(), low.split())])
 
 
 def hilbert_key(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:

@@ -88,7 +88,7 @@ def piece_encoder(tokenizer: Tokenizer) -> Callable[[Column], Column]:
                 if piece is None:
                     piece = remembered[word] = encode_word(word)
                 pieces.append(piece)
-            ids, ends = _laid_out(words.indices.to_numpy(zero_copy_only=False), *_flat(pieces))
+            ids, ends = laid_out(words.indices.to_numpy(zero_copy_only=False), *_flat(pieces))
             return _rows_of(part, ids, ends)
 
         for batch in batches:
@@ -115,7 +115,7 @@ def _flat(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.fromiter((i for piece in pieces for i in piece), np.int32, int(sizes.sum()))
 
 
-def _laid_out(
+def laid_out(
     word_of: np.ndarray, sizes: np.ndarray, flat: np.ndarray, starts: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a sequence of words, given by number, and where each of them ends, from 0.
@@ -231,7 +231,7 @@ def _put_back(parts: DataFrame, key: str, encode_word: Callable[[str], list[int]
                 own, rest = _flat([encode_word(words[j].as_py()) for j in lacking.tolist()])
                 sizes[lacking], starts[lacking] = own, sum(map(len, flat)) + np.cumsum(own) - own
                 word_of = np.frombuffer(batch.column("numbers")[i].as_buffer(), "<i4")
-                ids, ends = _laid_out(word_of, sizes, np.concatenate([*flat, rest]), starts)
+                ids, ends = laid_out(word_of, sizes, np.concatenate([*flat, rest]), starts)
                 row_ends = np.concatenate(([0], np.cumsum(row_sizes.to_numpy(zero_copy_only=False)))).astype(np.int32)
                 columns = [
                     keys, pa.ListArray.from_arrays(pa.array(ends[row_ends], pa.int32()), pa.array(ids, pa.int32())),

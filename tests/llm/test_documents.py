@@ -343,6 +343,26 @@ def test_capitals_with_marks_are_encoded_as_by_the_library():
         assert list(ids) == [*library.encode(text, add_special_tokens=False).ids, 1], ascii(text)
 
 
+def test_a_chunk_is_looked_up_once_however_often_it_occurs():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path) as file:
+        encoder = packing.ChunkEncoder(file.read())
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, chunk):
+            self.asked += 1
+            return super().__getitem__(chunk)
+
+    encoder.known = Counted(encoder.known)
+    texts = ["The dog, the DOG.\x0b\x0c  the\x1cdog ", " \n", "", None, "<|the dog|> the", "\u00c9t\u00e9 A\u0301 the " + "x" * 90] * 50
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert list(ids) == [*library.encode(text or "", add_special_tokens=False).ids, 1], ascii(text)
+    assert encoder.known.asked <= 12
+
+
 def test_identifiers_are_reached_in_turns(spark):
     def found(texts):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
