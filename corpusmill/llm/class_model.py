@@ -25,7 +25,6 @@ words are told apart by a 128-bit digest; repeated rows count and stay; other co
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +49,8 @@ ENDINGS = 2048
 LONG_WORD = 64
 END = b""
 BACK_OFF = 1.0
-# Distinct words and counts a counting task holds before it hands them on; bytes of text it reads at once.
+# Bytes of text, distinct words and counts a counting task holds before it hands them on; bytes it reads at once.
+HELD_TEXT = 1 << 24
 HELD_WORDS = 300_000
 HELD_COUNTS = 500_000
 HELD_BYTES = 1 << 20
@@ -71,25 +71,47 @@ def ending_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and word number of every token of the texts, and the distinct words, as :func:`words_of` gives them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    word, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+    sizes = pc.binary_length(names).to_numpy(zero_copy_only=False)
+    if (sizes == 0).any():  # in front of a text's first space and behind its last one
+        real = sizes[word] > 0
+        row, word = row[real], word[real]
+    if (sizes > LONG_WORD).any():
+        names = pa.array([w if len(w) <= LONG_WORD else b"\xff" + xxhash.xxh3_128_digest(w) for w in names.to_pylist()], pa.binary())
+    return row, word, names
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, train, held)`` over all of ``docs (text, held_out)``, written."""
+    """``(word, train, held)`` over all of ``docs (text, held_out)``, written; words are counted in Arrow, ``HELD_TEXT`` bytes at once."""
     names = ["word", "train", "held"]
 
-    def rows(counts: list[Counter]) -> pa.RecordBatch:
-        words = list(counts[0].keys() | counts[1].keys())
-        columns = [pa.array(words, pa.binary()), *[pa.array([c[w] for w in words], pa.int64()) for c in counts]]
-        return pa.record_batch(columns, names=names)
+    def counted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        held = table.column(1).to_numpy().astype(bool)
+        row, word, found = _split(table.column(0).combine_chunks())
+        inside = held[row]
+        columns = [np.bincount(word[side], minlength=len(found)) for side in (~inside, inside)]
+        used = np.flatnonzero(columns[0] + columns[1])
+        ends = np.array([(~held).sum(), held.sum()])
+        words = pa.concat_arrays([found.take(pa.array(used)), pa.array([END], pa.binary())])
+        return pa.record_batch([words, *[pa.array(np.append(c[used], n)) for c, n in zip(columns, ends)]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(), Counter()]
+        waiting, size = [], 0
         for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[held].update(words_of(text))
-                counts[held][END] += 1
-                if len(counts[0]) + len(counts[1]) > HELD_WORDS:
-                    yield rows(counts)
-                    counts = [Counter(), Counter()]
-        yield rows(counts)
+            for part in parts_of(batch, HELD_BYTES):
+                waiting.append(part)
+                size += pc.sum(pc.binary_length(part.column(0))).as_py() or 0
+                if size >= HELD_TEXT:
+                    yield counted(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield counted(waiting)
 
     partial = docs.select("text", "held_out").mapInArrow(run, "word binary, train bigint, held bigint")
     return materialize(partial.groupBy("word").agg(F.sum("train").alias("train"), F.sum("held").alias("held")), "words")
@@ -160,28 +182,32 @@ def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
         end_unit = table[END][0]
 
         def encode(batch):
-            out = [[] for _ in range(7)]
-            for text in batch.column(2).to_pylist():
-                tokens = words_of(text)
-                counts = Counter(tokens)
-                counts[END] = 1
-                units, known, logs, rare = {}, 0, 0.0, []
-                for word, n in counts.items():
-                    found = table.get(word)
-                    if found is None:
-                        units[word] = base + len(rare)
-                        rare.append(word)
-                    else:
-                        units[word] = found[0]
-                        logs += n * found[1]
-                        known += n * found[2]
-                sequence = np.fromiter(map(units.__getitem__, tokens), np.uint32, len(tokens))
-                sequence = np.append(sequence, np.uint32(end_unit))
-                endings = np.fromiter(map(ending_of, rare), np.uint16, len(rare))
-                row = (len(sequence), squeeze.compress(sequence.tobytes()), endings.tobytes(), known, logs, rare, [counts[w] for w in rare])
-                for column, value in zip(out, row):
-                    column.append(value)
-            return batch.column(0), batch.column(1), *out
+            # Every different word of the part is looked up once; its documents are told apart by array arithmetic.
+            row, word, names = _split(batch.column(2))
+            n, listed = batch.num_rows, names.to_pylist()
+            found = [table.get(w, (-1, 0.0, False)) for w in listed]
+            number, log, is_known = (np.array(column, kind) for column, kind in zip(zip(*found) if found else ([], [], []), (np.int64, float, bool)))
+            known, logs = (np.bincount(row, weights=values[word], minlength=n) for values in (is_known, log))
+            units = number[word]
+            at = np.flatnonzero(units < 0)
+            keys, place, amounts = np.unique(row[at] * len(listed) + word[at], return_inverse=True, return_counts=True)
+            owner, name = np.divmod(keys, max(1, len(listed)))
+            starts = np.searchsorted(owner, np.arange(n + 1))
+            units[at] = base + place - starts[row[at]]
+            used = np.unique(name)
+            endings = np.zeros(len(listed), np.uint16)
+            endings[used] = [ending_of(listed[i]) for i in used.tolist()]
+            endings = endings[name]
+            # The end of each document stands behind its words.
+            sizes = np.bincount(row, minlength=n)
+            ends = np.cumsum(sizes + 1)
+            sequence = np.full(len(units) + n, end_unit, np.uint32)
+            sequence[np.arange(len(units)) + row] = units
+            offsets = pa.array(starts.astype(np.int32))
+            return (batch.column(0), batch.column(1), sizes + 1, [squeeze.compress(s.tobytes()) for s in np.split(sequence, ends[:-1])],
+                    [endings[i:j].tobytes() for i, j in zip(starts.tolist(), starts[1:].tolist())], known.astype(np.int64) + table[END][2],
+                    logs + table[END][1], pa.ListArray.from_arrays(offsets, names.take(pa.array(name))),
+                    pa.ListArray.from_arrays(offsets, pa.array(amounts.astype(np.int32))))
 
         return encode
 
