@@ -59,20 +59,12 @@ COUNT_BINS = 16
 TASK_GROUP = 256
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of a text; a long one as a marked digest."""
-    words = text.encode().lower().split() if text else []
-    if any(len(w) > LONG_WORD for w in words):
-        return [w if len(w) <= LONG_WORD else b"\xff" + xxhash.xxh3_128_digest(w) for w in words]
-    return words
-
-
 def ending_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Row and word number of every token of the texts, and the distinct words, as :func:`words_of` gives them."""
+    """Row and word number of every token of the texts, and the distinct lower-cased words; a long one as a marked digest."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
     coded = lists.flatten().dictionary_encode()

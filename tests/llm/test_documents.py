@@ -1,5 +1,6 @@
 """Operators on documents against brute force, on small fixtures with every kind of odd row."""
 
+import itertools
 import math
 import re
 import zlib
@@ -343,6 +344,28 @@ def test_capitals_with_marks_are_encoded_as_by_the_library():
         assert list(ids) == [*library.encode(text, add_special_tokens=False).ids, 1], ascii(text)
 
 
+def test_words_are_numbered_and_counted_in_parts(spark, monkeypatch):
+    texts = ["The dog the", "  a  b\x0b\x0cA\n", "", None, " ", "x" * 70 + " y " + "X" * 70, "dog \u00c9 \u00e9 \x1c \x85 \u2003 q", "the " * 40]
+    row, word, names = class_model._split(pa.array(texts, pa.string()))
+    names = names.to_pylist()
+    assert len(set(names)) == len(names)
+    found = [[names[w] for r, w in zip(row, word) if r == i] for i in range(len(texts))]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert [[w if len(w) <= 64 else None for w in p] for p in plain] == [[None if w[:1] == b"\xff" else w for w in f] for f in found]
+    assert found[5][0] == found[5][2] != found[5][1] and len(found[5][0]) == 17
+
+    docs = spark.createDataFrame([(t, i % 3 == 1) for i, t in enumerate(texts)], "text string, held_out boolean").coalesce(1)
+    expected = {w: [0, 0] for w in [b"", *itertools.chain(*found)]}
+    for i, words in enumerate(found):
+        for w in [*words, b""]:
+            expected[w][i % 3 == 1] += 1
+    for held_text, held_bytes in ((1 << 24, 1 << 20), (1, 1)):
+        monkeypatch.setattr(class_model, "HELD_TEXT", held_text)
+        monkeypatch.setattr(class_model, "HELD_BYTES", held_bytes)
+        counts = {bytes(r.word): [r.train, r.held] for r in class_model.word_counts(docs).collect()}
+        assert counts == expected
+
+
 def test_a_chunk_is_looked_up_once_however_often_it_occurs():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
