@@ -89,7 +89,7 @@ def piece_encoder(tokenizer: Tokenizer) -> Callable[[Column], Column]:
                     piece = remembered[word] = encode_word(word)
                 pieces.append(piece)
             ids, ends = laid_out(words.indices.to_numpy(zero_copy_only=False), *_flat(pieces))
-            return _rows_of(part, ids, ends)
+            return rows_of(part, ids, ends)
 
         for batch in batches:
             yield pa.concat_arrays([encoded(batch.slice(start, size)) for start, size in list_parts(batch)])
@@ -130,7 +130,7 @@ def laid_out(
     return flat[source], ends
 
 
-def _rows_of(words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+def rows_of(words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The ids of each row of the list array ``words``, keeping row borders and nulls."""
     row_sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     row_ends = ends[np.concatenate(([0], np.cumsum(row_sizes)))]

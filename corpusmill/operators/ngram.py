@@ -17,12 +17,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusmill.constants import BATCH_SIZE, BLOCK_SIZE, MAX_NEW_TOKENS, SEED, TEMPERATURE, TOP_K
 from corpusmill.functions.arrays import crop_last
 from corpusmill.functions.hashing import hash_key
+from corpusmill.operators import pair_parts
 from corpusmill.operators.candidates import softmax, top_k_ties
 from corpusmill.operators.encode import list_parts
 from corpusmill.operators.metrics import macro_loss
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.sampling import batches
-from corpusmill.operators.skew import fits_broadcast, keyed_join
+from corpusmill.operators.skew import fits_broadcast
 from corpusmill.session import WrittenTable, materialize, write_table
 
 # Draws are whole numbers below 2 ** GRID_BITS. For the join a context's grid is cut into equal
@@ -47,19 +48,27 @@ def next_pairs(df: DataFrame, keep: list[str], tokens: str = "tokens", outer: bo
     return df.select(*keep, (F.inline_outer if outer else F.inline)(zipped))
 
 
-def bigrams(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(ctx, nxt, c)``: next-token counts."""
-    return next_pairs(df, [], tokens).groupBy("ctx", "nxt").agg(F.count(F.lit(1)).alias("c"))
+def bigrams(df: DataFrame, tokens: str = "tokens", packed: bool = False) -> DataFrame:
+    """``(ctx, nxt, c)``: next-token counts of rows of tokens, or of their :func:`adjacent_pairs`.
+
+    For the latter ``packed`` gives the same counts in the form :func:`pair_parts.count_packed` names.
+    """
+    if "body" in df.columns:
+        return pair_parts.count_packed(df, True, packed)
+    return pair_parts.count_pairs(df.select(F.lit(None).cast("int").alias("key"), F.col(tokens).alias("tokens")))
 
 
-def row_pairs(df: DataFrame, key: str, inputs: Column, targets: Column) -> DataFrame:
+def row_pairs(df: DataFrame, key: str, inputs: Column, targets: Column, packed: bool = False) -> DataFrame:
     """``(key, ctx, nxt, whole, m)``: the pairs of two equally long arrays, equal pairs of a row combined.
 
     For every context of a row there is a ``whole`` row as well, with all of its pairs; its ``nxt``
     is the context. A row without pairs gives one ``whole`` row with ``m`` 0 and no context.
-    Pairs with a null are left out. Nothing is shuffled.
+    Pairs with a null are left out. Nothing is shuffled. With ``packed`` the same pairs stand in
+    parts of many rows, see :func:`pair_parts.pack`; :func:`counted` and :func:`cross_entropy` take either.
     """
     rows = df.select(key, inputs.alias("inputs"), targets.alias("targets"))
+    if packed:
+        return pair_parts.pack(rows, key)
     kind = rows.schema["inputs"].dataType.elementType
     schema = T.StructType([
         T.StructField(key, rows.schema[key].dataType), T.StructField("ctx", kind), T.StructField("nxt", kind),
@@ -118,34 +127,39 @@ def padded(ids: str, targets: str, n_tokens: str, include_pad: bool) -> tuple[Co
     return F.slice(ids, F.lit(1), real), F.slice(targets, F.lit(1), real)
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    """``(ctx, nxt, c)`` from the result of :func:`row_pairs`."""
+def counted(pairs: DataFrame, packed: bool = False) -> DataFrame:
+    """``(ctx, nxt, c)`` from the result of :func:`row_pairs`; counts of packed pairs may be ``packed`` as well."""
+    if "body" in pairs.columns:
+        return pair_parts.count_packed(pairs, False, packed)
     return pairs.where("not whole").groupBy("ctx", "nxt").agg(F.sum("m").alias("c"))
 
 
 def cross_entropy(pairs: DataFrame, counts: DataFrame, vocab_size: int | Column, key: str) -> DataFrame:
     """``(key, nll, n, loss)``: add-one smoothed cross-entropy of the result of :func:`row_pairs`.
 
-    ``-ln((c + 1) / (c_ctx + V))`` is the context's ``ln(c_ctx + V)`` less the pair's ``ln(c + 1)``.
-    Both stand in one table, so the pairs meet their counts in a single join; an unseen pair
-    adds nothing and an unseen context ``ln V``.
+    ``-ln((c + 1) / (c_ctx + V))`` is the context's ``ln(c_ctx + V)`` less the pair's ``ln(c + 1)``;
+    an unseen pair adds nothing and an unseen context ``ln V``. Pairs travel in parts, see :mod:`pair_parts`.
     """
-    pair, context = (
-        F.struct("ctx", F.col(nxt).alias("nxt"), F.lit(whole).alias("whole"), "c") for nxt, whole in (("nxt", False), ("ctx", True)))
-    terms = counts.select(F.inline(F.array(pair, context))).groupBy("ctx", "nxt", "whole").agg(F.sum("c").alias("c"))
-    scored = keyed_join(pairs, terms, ["ctx", "nxt", "whole"], weight="c", how="left")
-    count, vocab = F.coalesce("c", F.lit(0)), vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
-    part = F.when(F.col("whole"), F.log(count + vocab)).otherwise(-F.log(count + 1))
-    per_doc = scored.groupBy(key).agg(
-        F.sum(F.col("m") * part).alias("nll"), F.sum(F.when(F.col("whole"), F.col("m")).otherwise(0)).alias("n"))
+    if "body" not in pairs.columns:
+        pairs = pair_parts.pack(pairs.where("not whole or ctx is null").select(key, "ctx", "nxt", "m"), key)
+    vocab = vocab_size if isinstance(vocab_size, Column) else F.lit(vocab_size)
+    per_doc = pair_parts.score(pairs, counts, vocab, key).groupBy(key).agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
     return per_doc.withColumn("loss", F.try_divide("nll", "n"))
 
 
+def adjacent_pairs(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """The packed pairs of :func:`row_pairs` for the adjacent tokens of each row."""
+    return pair_parts.pack(df.select(key, F.col(tokens).alias("tokens")), key)
+
+
 def doc_cross_entropy(
     df: DataFrame, counts: DataFrame, vocab_size: int | Column, key: str = "doc_id", tokens: str = "tokens",
 ) -> DataFrame:
-    """``(key, nll, n, loss)`` of each row's adjacent tokens; with fewer than two, ``n`` is 0 and there is no loss."""
-    return cross_entropy(row_pairs(df, key, *adjacent(tokens)), counts, vocab_size, key)
+    """``(key, nll, n, loss)`` of each row's adjacent tokens; with fewer than two, ``n`` is 0 and there is no loss.
+
+    ``df`` holds the rows or their :func:`adjacent_pairs`.
+    """
+    return cross_entropy(df if "body" in df.columns else adjacent_pairs(df, key, tokens), counts, vocab_size, key)
 
 
 def evaluate(
@@ -153,7 +167,7 @@ def evaluate(
     key: str = "doc_id", tokens: str = "tokens",
 ) -> DataFrame:
     """One row: macro loss (mean of batch means), micro loss (all pairs alike), perplexity."""
-    scored = doc_cross_entropy(validation, bigrams(train, tokens), vocab_size, key, tokens)
+    scored = doc_cross_entropy(validation, bigrams(adjacent_pairs(train, key, tokens), packed=True), vocab_size, key, tokens)
     return report(scored, batch_size, key)
 
 
@@ -167,8 +181,8 @@ def evaluate_fixed(
     without, only the targets of real tokens do, the first filling among them.
     """
     places = padded("input_ids", "targets", "n_tokens", include_pad)
-    counts = counted(row_pairs(train, key, *places))
-    return report(cross_entropy(row_pairs(validation, key, *places), counts, vocab_size, key), batch_size, key)
+    counts = counted(row_pairs(train, key, *places, packed=True), packed=True)
+    return report(cross_entropy(row_pairs(validation, key, *places, packed=True), counts, vocab_size, key), batch_size, key)
 
 
 def report(scored: DataFrame, batch_size: int, key: str) -> DataFrame:

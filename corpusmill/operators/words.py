@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.constants import SPECIAL_TOKENS
 from corpusmill.functions.text import pretokenize
+from corpusmill.operators import pair_parts
 
 
 def explode_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(word)`` of texts, or of rows of words that stand in packed parts, see :func:`pair_parts.pack`."""
+    if "body" in df.columns:
+        return pair_parts.explode_tokens(df, "word")
     return df.select(F.explode(pretokenize(text)).alias("word"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +17,14 @@ from corpusmill.operators.ngram import (
     bigrams, continue_batch, counted, cross_entropy, doc_cross_entropy, evaluate, evaluate_fixed, next_candidates, padded,
     row_pairs,
 )
+from corpusmill.operators.pair_parts import written
 from corpusmill.operators.targets import with_targets
 from corpusmill.operators.words import explode_words
 from corpusmill.plans.oracle_bpe import WORD_PATTERN
 from corpusmill.plans.prepare import fixed_length
 from corpusmill.plans.registry import SQL_TOKENS, SQL_WORD_IDS, corpus, query, r9, tokenizer, tokens, word_ids
-from corpusmill.session import materialize
-
+from corpusmill.session import materialize, materialize_alone
+from corpusmill.sources.corpus import TRAIN, VALIDATION
 
 
 def _sql_bigrams(texts: str) -> str:
@@ -88,6 +92,12 @@ def _split(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
     return tokens(spark, sf_dir).where(F.col("split") == split)
 
 
+def _by_split(pairs: Callable[[str], DataFrame]) -> DataFrame:
+    """Packed pairs of either split, written once: they are counted and scored."""
+    parts = [pairs(split).withColumn("split", F.lit(split)) for split in (TRAIN, VALIDATION)]
+    return written(parts[0].unionByName(parts[1]))
+
+
 def _train_words(spark: SparkSession, sf_dir: str) -> Column:
     words = explode_words(corpus(spark, sf_dir).where("split = 'train'")).distinct()
     return words.agg(F.count(F.lit(1))).scalar()
@@ -155,23 +165,27 @@ per_doc as materialized (
   select include_pad, split, doc_id, coalesce(n, 0) as n, nll from modes left join scored using (include_pad, split, doc_id))"""
 
 
-def _fixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+def _fixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Rows of fixed length with targets, and the number of distinct ids of the training rows and the filling."""
-    rows = materialize(with_targets(fixed_length(word_ids(spark, sf_dir))), "fixed")
+    # Targets are the inputs moved by one place, so only the inputs are written.
+    rows = with_targets(materialize(fixed_length(word_ids(spark, sf_dir)), "fixed"))
     ids = rows.where("split = 'train'").select(F.explode("input_ids").alias("id")).where(F.col("id") != PAD_ID).distinct()
-    return rows, ids.agg(F.count(F.lit(1)) + 1).scalar()
+    return rows, ids.count() + 1
 
 
 @query(f"with {_SQL_FIXED_LOSS} select include_pad, doc_id, n, round(nll / nullif(n, 0), 9) as loss from per_doc")
 def padded_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of every row of fixed length, with the filling and without."""
     rows, vocab = _fixed(spark, sf_dir)
-    parts = []
-    for mode in (True, False):
-        pairs = row_pairs(rows, "doc_id", *padded("input_ids", "targets", "n_tokens", mode))
-        train = row_pairs(rows.where("split = 'train'"), "doc_id", *padded("input_ids", "targets", "n_tokens", mode))
-        scored = cross_entropy(pairs, counted(train), vocab, "doc_id")
-        parts.append(scored.select(F.lit(mode).alias("include_pad"), "doc_id", "n", r9("loss").alias("loss")))
+
+    def scored(mode: bool) -> DataFrame:
+        places = padded("input_ids", "targets", "n_tokens", mode)
+        pairs = _by_split(lambda split: row_pairs(rows.where(F.col("split") == split), "doc_id", *places, packed=True))
+        losses = cross_entropy(pairs, counted(pairs.where("split = 'train'"), packed=True), vocab, "doc_id")
+        return losses.select(F.lit(mode).alias("include_pad"), "doc_id", "n", r9("loss").alias("loss"))
+
+    # What one mode has written goes before the other one starts.
+    parts = [materialize_alone(spark, partial(scored, mode), "losses") for mode in (True, False)]
     return parts[0].unionByName(parts[1])
 
 

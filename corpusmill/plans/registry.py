@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.constants import VOCAB_SIZE
 from corpusmill.functions.text import pretokenize
 from corpusmill.operators.bpe import train_bpe
+from corpusmill.operators.encode import list_parts, rows_of
+from corpusmill.operators.pair_parts import PART_PAIRS
 from corpusmill.operators.ranking import range_rank
 from corpusmill.operators.words import word_counts
 from corpusmill.plans.oracle_bpe import WORD_PATTERN, encoded_docs, merge_tables
@@ -86,8 +91,25 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids that need no vocabulary: the first seven hex digits of the word's md5."""
-    ids = F.transform("tokens", lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"))
-    return tokens(spark, sf_dir).select("split", "doc_id", ids.alias("input_ids"))
+    return tokens(spark, sf_dir).select("split", "doc_id", md5_ids()("tokens").alias("input_ids"))
+
+
+def md5_ids() -> Callable[[str], Column]:
+    """Column function from words to the ids of :func:`word_ids`; each distinct word of a part of a batch is hashed once."""
+
+    def hashed(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        ids = (int.from_bytes(hashlib.md5(word).digest()[:4], "big") >> 4 for word in distinct)
+        ids = np.fromiter(ids, np.int32, len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+        return rows_of(words, ids, np.arange(len(ids) + 1))
+
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.concat_arrays([hashed(batch.slice(start, size)) for start, size in list_parts(batch, PART_PAIRS)])
+
+    return ids_of
 
 
 SQL_WORD_IDS = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -11,6 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What a collection has found is handled by other threads of the driver.
+RELEASE_SECONDS = 0.1
+
+
 def build_session(app_name: str = "corpusmill", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution (coalescing, skew-join splitting) and UTC timestamps."""
     builder = SparkSession.builder.appName(app_name)
@@ -100,9 +105,14 @@ def write_table(df: DataFrame, name: str = "table") -> WrittenTable:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark remove the shuffle files of tables that nothing refers to any more.
+
+    What the first collection finds to be free still holds the shuffles, so a second one follows.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(RELEASE_SECONDS)
 
 
 def clear_scratch(spark: SparkSession) -> None:
