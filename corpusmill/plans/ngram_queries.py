@@ -14,7 +14,7 @@ from corpusmill.functions.text import preview, pretokenize
 from corpusmill.operators.candidates import argmax, sample_one, softmax, top_k_ties
 from corpusmill.operators.encode import decode, encode
 from corpusmill.operators.ngram import (
-    bigrams, continue_batch, counted, cross_entropy, doc_cross_entropy, evaluate, evaluate_fixed, next_candidates, padded,
+    adjacent_pairs, bigrams, continue_batch, counted, cross_entropy, doc_cross_entropy, evaluate, evaluate_fixed, next_candidates, padded,
     row_pairs,
 )
 from corpusmill.operators.pair_parts import written
@@ -99,8 +99,11 @@ def _by_split(pairs: Callable[[str], DataFrame]) -> DataFrame:
 
 
 def _train_words(spark: SparkSession, sf_dir: str) -> Column:
-    words = explode_words(corpus(spark, sf_dir).where("split = 'train'")).distinct()
-    return words.agg(F.count(F.lit(1))).scalar()
+    return _distinct_words(corpus(spark, sf_dir).where("split = 'train'"))
+
+
+def _distinct_words(df: DataFrame) -> Column:
+    return explode_words(df).distinct().agg(F.count(F.lit(1))).scalar()
 
 
 _SQL_LOSS = f"""
@@ -121,8 +124,9 @@ per_doc as materialized (
 @query(f"{_SQL_LOSS} select doc_id, n, round(nll / nullif(n, 0), 9) as loss from per_doc")
 def document_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the statistics of the training split."""
-    counts = bigrams(_split(spark, sf_dir, "train"))
-    scored = doc_cross_entropy(tokens(spark, sf_dir), counts, _train_words(spark, sf_dir))
+    pairs = _by_split(lambda split: adjacent_pairs(_split(spark, sf_dir, split), "doc_id"))
+    train = pairs.where("split = 'train'")
+    scored = doc_cross_entropy(pairs, bigrams(train, packed=True), _distinct_words(train))
     return scored.select("doc_id", "n", r9("loss").alias("loss"))
 
 
